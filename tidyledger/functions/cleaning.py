@@ -30,44 +30,37 @@ def _lookup(pairs: Mapping[str, object], key: Column) -> Column:
 
 # --- money -----------------------------------------------------------------
 
-# Comma is the decimal mark: grouped by dots without decimals, no dot at all,
-# or a comma somewhere after the last dot.
-_COMMA_IS_DECIMAL = r"^[0-9]{1,3}(\.[0-9]{3})*$|^[^.]*$|\.[^.]*,[^.]*$"
-_FLOAT_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# Every step is one regular expression over the step before, so each amount is
+# walked a fixed number of times and never copied into several branches.
+_SYMBOLS = "[€$]"
+_CODES = rf"(?U){_BLANK}*(EUR|USD|eur|usd){_BLANK}*"
+# Dots that only group thousands (``1.234.567``), and dots with the last comma behind them.
+_GROUP_DOT = r"\G([0-9]{1,3})\.(?=[0-9]{3}(?:\.[0-9]{3})*$)"
+_DOT_BEFORE_COMMA = r"\.(?=.*,[^.]*$)"
+# A comma with no dot behind it is the decimal mark; any other comma is dropped.
+_DECIMAL_COMMA = r",(?=[^.]*$)"
+_FLOAT_TEXT = rf"(?U)^{_BLANK}*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?){_BLANK}*$"
 
 
-def amount_body(c: Column) -> Column:
-    """Money text without currency signs and outer blanks."""
-    bare = F.regexp_replace(strip_ws(c), "[€$]", "")
-    return strip_ws(F.regexp_replace(bare, rf"(?U){_BLANK}*(EUR|USD|eur|usd){_BLANK}*", ""))
-
-
-def amount_digits(body: Column) -> Column:
-    """Rewrite a body from :func:`amount_body` with a dot as the decimal mark."""
-    dotted = F.when(body.rlike(_COMMA_IS_DECIMAL), F.translate(body, ",.", ".")).otherwise(body)
-    return F.regexp_replace(dotted, r"[^0-9.\-]", "")
-
+def normalize_currency(c: Column) -> Column:
+    """Amount as double; null for blank text, text without digits, or text that is no number.
 
-def parse_amount(digits: Column, original: Column) -> Column:
-    """Number from the rewritten digits; text the rewrite spoils (``1e-5``) is tried as it stands."""
-    plain = strip_ws(original)
-    return F.when(digits == "", F.lit(None).cast("double")).otherwise(
-        F.coalesce(
-            digits.try_cast("double"),
-            F.when(plain.rlike(_FLOAT_TEXT), plain.try_cast("double")),
-        )
-    )
+    Text the rewrite spoils (``1e-5``) is tried as it stands.
+    """
+    bare = strip_ws(F.regexp_replace(F.regexp_replace(strip_ws(c), _SYMBOLS, ""), _CODES, ""))
+    joined = F.regexp_replace(F.regexp_replace(bare, _GROUP_DOT, "$1"), _DOT_BEFORE_COMMA, "")
+    digits = F.regexp_replace(F.regexp_replace(joined, _DECIMAL_COMMA, "."), r"[^0-9.\-]", "")
+    return F.coalesce(digits.try_cast("double"), F.regexp_extract(c, _FLOAT_TEXT, 1).try_cast("double"))
 
 
-def normalize_currency(c: Column) -> Column:
-    """Amount as double; null for blank text, text without digits, or text that is no number."""
-    return F.when(c != "", parse_amount(amount_digits(amount_body(c)), c))
+def has_amount_text(c: Column) -> Column:
+    """Some digit, dot or sign is left, so a missing number means the text could not be read."""
+    return c.rlike(r"[0-9.\-]")
 
 
 def currency_unreadable(c: Column) -> Column:
     """True where the text has digits but is no number (``1-2``), so it must stay as it is."""
-    digits = amount_digits(amount_body(c))
-    return F.coalesce((c != "") & (digits != "") & parse_amount(digits, c).isNull(), F.lit(False))
+    return F.coalesce(has_amount_text(c) & normalize_currency(c).isNull(), F.lit(False))
 
 
 # --- dates -----------------------------------------------------------------
@@ -141,18 +134,16 @@ def tax_id_without_letter(c: Column) -> Column:
     return c.rlike("^[0-9]{8}$")
 
 
-_INVOICE_NUMBER = r"^(?:FAC-?)?([0-9]{4})-?([0-9]+)"
+_SEPARATOR = rf"(?:-|[/\s\x1c-\x1f]+)?"
+_INVOICE_NUMBER = rf"(?isU)^(?:FAC{_SEPARATOR})?([0-9]{{4}}){_SEPARATOR}([0-9]+).*$"
+# Three zeros are put before the number; these are the surplus ones beyond a width of four.
+_SURPLUS_ZEROS = r"^(FAC-[0-9]{4}-)(?:000(?=[0-9]{4,}$)|00(?=[0-9]{4}$)|0(?=[0-9]{4}$))"
 
 
 def normalize_invoice_number(c: Column) -> Column:
     """``FAC-YYYY-NNNN`` from the usual spellings; trailing text is dropped, other text kept."""
-    dashed = F.regexp_replace(F.upper(strip_ws(c)), rf"(?U)[/\s\x1c-\x1f]+", "-")
-    number = F.regexp_extract(dashed, _INVOICE_NUMBER, 2)
-    padded = F.lpad(number, F.greatest(F.length(number), F.lit(4)), F.lit("0"))
-    return F.when(
-        dashed.rlike(_INVOICE_NUMBER),
-        F.concat_ws("-", F.lit("FAC"), F.regexp_extract(dashed, _INVOICE_NUMBER, 1), padded),
-    ).otherwise(strip_ws(c))
+    wide = F.regexp_replace(strip_ws(c), _INVOICE_NUMBER, "FAC-$1-000$2")
+    return F.regexp_replace(wide, _SURPLUS_ZEROS, "$1")
 
 
 # A mark and a blank after every non-letter that precedes a letter make

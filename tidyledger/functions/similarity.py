@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 # Ship these helpers with the query, so executors need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -87,7 +87,7 @@ def pair_ratio(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     known = (a.notna() & b.notna()).to_numpy()
     out = pd.Series(pd.array([None] * len(a), dtype="Int64"))

@@ -94,10 +94,8 @@ def parse_amounts_and_dates(df: DataFrame) -> DataFrame:
     """Turn amount and date text into numbers and dates, with log lines."""
     amounts = [c for c in _data_columns(df) if c.lower() in words.CURRENCY_FIELDS]
     dates = [c for c in _data_columns(df) if c.lower() in words.DATE_FIELDS]
-    df = df.withColumns({f"_body_{f}": fn.amount_body(F.col(f"`{f}`")) for f in amounts})
-    df = df.withColumns({f"_body_{f}": fn.amount_digits(F.col(f"`_body_{f}`")) for f in amounts})
     df = df.withColumns(
-        {f"_new_{f}": fn.parse_amount(F.col(f"`_body_{f}`"), F.col(f"`{f}`")) for f in amounts}
+        {f"_new_{f}": fn.normalize_currency(F.col(f"`{f}`")) for f in amounts}
         | {f"_new_{f}": fn.normalize_date(F.col(f"`{f}`")) for f in dates})
     logs = {}
     for f in amounts + dates:
@@ -108,7 +106,7 @@ def parse_amounts_and_dates(df: DataFrame) -> DataFrame:
     typed = set(amounts + dates)
     df = df.select(
         *[(F.col(f"`_new_{c}`").alias(c) if c in typed else F.col(f"`{c}`"))
-          for c in df.columns if not c.startswith(("_new_", "_body_"))],
+          for c in df.columns if not c.startswith("_new_")],
         *[v.alias(k) for k, v in logs.items()],
     )
     return _with_log(df, list(logs))
@@ -122,17 +120,22 @@ def derive_pending(df: DataFrame) -> DataFrame:
     """
     if not {"estado_factura", "importe_total"} <= set(df.columns):
         return df
-    has_raw = RAW in df.columns
-    pending = F.col("importe_pendiente") if "importe_pendiente" in df.columns else F.lit(None).cast("double")
-    given = F.lit("")
-    if has_raw and "importe_pendiente" in df.schema[RAW].dataType.names:
-        given = F.coalesce(F.col(f"{RAW}.importe_pendiente"), F.lit(""))
-    total_given = F.col("importe_total").isNotNull()
-    if has_raw:
-        total_given = total_given | fn.currency_unreadable(F.col(f"{RAW}.importe_total")) | (
-            F.col(f"{RAW}.importe_total") == "")
-    # Text with no digits reads as "no amount"; text that is no number stays and is no gap.
-    gap = (pending.isNull() & ~fn.currency_unreadable(given)) | F.isnan(pending)
+    raw_names = df.schema[RAW].dataType.names if RAW in df.columns else []
+
+    def unreadable(name: str) -> Column:
+        """The field has text that is no number, so it counts as given."""
+        if name not in raw_names:
+            return F.lit(False)
+        return F.col(name).isNull() & F.coalesce(fn.has_amount_text(F.col(f"{RAW}.{name}")), F.lit(False))
+
+    pending = F.lit(None).cast("double")
+    gap = F.lit(True)
+    if "importe_pendiente" in df.columns:
+        pending = F.col("importe_pendiente")
+        gap = (pending.isNull() & ~unreadable("importe_pendiente")) | F.isnan(pending)
+    total_given = F.col("importe_total").isNotNull() | unreadable("importe_total")
+    if "importe_total" in raw_names:
+        total_given = total_given | (F.col(f"{RAW}.importe_total") == "")
     fill = F.coalesce(gap & total_given, F.lit(False))
     value = fn.pending_amount(F.col("estado_factura"), F.col("importe_total"))
     df = df.withColumns({"_fill": fill, "_value": F.when(fill, value).otherwise(pending)})

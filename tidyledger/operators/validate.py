@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidyledger.functions import vocabulary as words
+from tidyledger.functions.cleaning import has_amount_text
 from tidyledger.operators.clean import CORRUPT, LOG, RAW, ROW, clean
 from tidyledger.schema import TableSpec
 
@@ -47,7 +48,7 @@ def validate(df: DataFrame, spec: TableSpec, ragged: str = "keep") -> DataFrame:
     no_digits = {}
     if "importe_pendiente" in raw and RAW in df.columns:
         # An open amount without digits was read as "none given", not as a bad number.
-        no_digits["importe_pendiente"] = ~raw["importe_pendiente"].rlike("[0-9]")
+        no_digits["importe_pendiente"] = ~has_amount_text(raw["importe_pendiente"])
     df = _typed(df, spec)
     found = []
     for f in spec.fields:
@@ -65,6 +66,10 @@ def validate(df: DataFrame, spec: TableSpec, ragged: str = "keep") -> DataFrame:
                 F.lit("").alias("field"), F.lit("missing columns" if wanted != "true" else "ragged row").alias("message"),
                 F.col(CORRUPT).alias("value"))))
     errors = F.array_compact(F.array(*[e.cast(ERROR_TYPE) for e in found]))
+    # A filter on the status must not be pushed below this projection: it would be
+    # evaluated on the raw text, with all cleaning expressions copied into it. Catalyst
+    # leaves filters above a non-deterministic column; this condition always holds.
+    errors = F.when(F.rand(0) >= 0, errors)
     return df.withColumn(ERRORS, errors).withColumn(
         STATUS, F.when(F.size(ERRORS) == 0, words.STATUS_VALID).otherwise(words.STATUS_INVALID))
 

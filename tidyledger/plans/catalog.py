@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidyledger.plans import checks_cleaning, queries_cleaning
+from tidyledger.plans import (
+    checks_analytics, checks_cleaning, checks_names, queries_analytics, queries_cleaning, queries_names)
 
-QUERIES = {**queries_cleaning.QUERIES}
-ORACLES = {**checks_cleaning.SQL}
+QUERIES = {**queries_cleaning.QUERIES, **queries_analytics.QUERIES, **queries_names.QUERIES}
+ORACLES = {**checks_cleaning.SQL, **checks_analytics.SQL, **checks_names.SQL}
 
 
 def flagship(spark, sf_dir):

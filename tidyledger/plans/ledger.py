@@ -39,8 +39,19 @@ def _padded(number: Column, width: int) -> Column:
     return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores over all cores; larger scans stay as they are.
+
+    For input in a few small files only. At scale a scan has far more splits
+    than the cluster has cores and no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
