@@ -94,18 +94,28 @@ def _text(df: DataFrame, field: str) -> Column:
 
 
 def segmented_statistics(
-    df: DataFrame, segments: Sequence[str] = words.SEGMENT_FIELDS, fields: Sequence[str] = words.MONEY_FIELDS
+    df: DataFrame, segments: Sequence[str] = words.SEGMENT_FIELDS, fields: Sequence[str] = words.MONEY_FIELDS,
+    scale: int | None = None,
 ) -> DataFrame:
     """Row count, sums and means per value of each segment field, in one pass over the data.
 
-    Missing segment values count as the segment "N/A".
+    Missing segment values count as the segment "N/A". With ``scale`` the amounts
+    are added as decimals with that many places, so the sums do not depend on the
+    order in which tasks finish.
     """
     segments = [s for s in segments if s in df.columns]
     fields = [f for f in fields if f in df.columns]
     keyed = df.select(*[_text(df, s).alias(s) for s in segments],
                       *[F.col(f).cast("double").alias(f"_n_{f}") for f in fields])
+
+
+    def total(f: str) -> Column:
+        amount = F.col(f"_n_{f}")
+        return F.sum(amount if scale is None else amount.cast(f"decimal(18,{scale})")).cast("double")
+
     sums = [a for f in fields for a in (
-        F.sum(f"_n_{f}").alias(f"{f}_sum"), F.avg(f"_n_{f}").alias(f"{f}_mean"))]
+        total(f).alias(f"{f}_sum"),
+        F.try_divide(total(f), F.count(f"_n_{f}")).alias(f"{f}_mean"))]
     grouped = keyed.groupingSets([[F.col(s)] for s in segments], *[F.col(s) for s in segments]).agg(
         *[F.grouping(s).alias(f"_g_{s}") for s in segments], F.count("*").alias("count"), *sums)
     name, value = F.lit(None).cast("string"), F.lit(None).cast("string")

@@ -9,7 +9,9 @@ _STATS = """
 _LINE_STATS = " UNION ALL ".join(
     _STATS.format(f=f, t="lineitem") for f in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
 _MONEY = ("importe_base", "iva", "importe_total", "importe_pendiente")
-_SUMS = ", ".join(f"round(sum({f}), 3) AS {f}_sum, round(avg({f}), 3) AS {f}_mean" for f in _MONEY)
+_SUMS = ", ".join(
+    f"CAST(sum(CAST({f} AS DECIMAL(18,3))) AS DOUBLE) AS {f}_sum, "
+    f"CAST(sum(CAST({f} AS DECIMAL(18,3))) AS DOUBLE) / count({f}) AS {f}_mean" for f in _MONEY)
 _SEGMENTS = " UNION ALL ".join(
     f"SELECT '{s}' AS segment_field, {s} AS segment, count(*) AS count, {_SUMS} FROM invoices GROUP BY {s}"
     for s in ("tipo", "estado_factura", "categoria", "proveedor"))

@@ -6,7 +6,7 @@ in a list fold; the sequential clustering is a recursive query over the ranks.
 
 from tidyledger.plans.checks_cleaning import BASE
 
-# Bit-parallel LCS of lower-case texts {a} (up to 60 characters) and {b}.
+# Bit-parallel LCS of lower-case texts {a} (up to 120 characters) and {b}.
 _LCS = """
   length({a}) - bit_count(list_reduce(
     list_transform(string_split({b}, ''), lambda c: list_sum(list_transform(range(1, length({a}) + 1),
@@ -21,16 +21,16 @@ def ratio(a: str, b: str) -> str:
             f"/ (length({a}) + length({b}))) * 100.0::DOUBLE, 0) AS BIGINT)")
 
 
-def clusters(source: str) -> str:
-    """CTEs for the sequential clustering of ``source`` (value, n), all values ranked and walked in order."""
+def clusters(source: str, p: str = "") -> str:
+    """CTEs for the sequential clustering of ``source`` (value, n), all values ranked and walked in order; ``p`` starts their names."""
     return f"""
-, ranked AS (
+, {p}ranked AS MATERIALIZED (
   SELECT value, n, lower(value) AS low, row_number() OVER (ORDER BY n DESC, length(value) DESC, value) AS r
   FROM ({source})
-), pairs AS (
-  SELECT a.r AS ra, b.r AS rb, {ratio('a.low', 'b.low')} AS sim FROM ranked a JOIN ranked b ON a.r <= b.r
-), near AS (SELECT rb, map_from_entries(list((ra, sim))) AS sims FROM pairs WHERE sim >= 75 GROUP BY rb
-), walk AS (
+), {p}pairs AS (
+  SELECT a.r AS ra, b.r AS rb, {ratio('a.low', 'b.low')} AS sim FROM {p}ranked a JOIN {p}ranked b ON a.r <= b.r
+), {p}near AS MATERIALIZED (SELECT rb, map_from_entries(list((ra, sim))) AS sims FROM {p}pairs WHERE sim >= 75 GROUP BY rb
+), {p}walk AS (
   SELECT 0::BIGINT AS r, []::BIGINT[] AS leaders, 0::BIGINT AS leader, 0::BIGINT AS sim
   UNION ALL
   SELECT w.r + 1,
@@ -38,14 +38,14 @@ def clusters(source: str) -> str:
       THEN list_append(w.leaders, w.r + 1) ELSE w.leaders END,
     coalesce(list_filter(w.leaders, lambda l: map_contains(n.sims, l))[1], w.r + 1),
     coalesce(n.sims[list_filter(w.leaders, lambda l: map_contains(n.sims, l))[1]], 100)
-  FROM walk w JOIN near n ON n.rb = w.r + 1
-), clustered AS (
+  FROM {p}walk w JOIN {p}near n ON n.rb = w.r + 1
+), {p}clustered AS (
   SELECT v.value, v.n, v.low, l.value AS leader, w.sim AS similarity
-  FROM walk w JOIN ranked v ON v.r = w.r JOIN ranked l ON l.r = w.leader WHERE w.r > 0
-), grouped AS (
+  FROM {p}walk w JOIN {p}ranked v ON v.r = w.r JOIN {p}ranked l ON l.r = w.leader WHERE w.r > 0
+), {p}grouped AS (
   SELECT leader, count(*) AS size, CAST(sum(n) AS BIGINT) AS records, arg_max(value, (n, length(value), low)) AS canonical,
     min(similarity) FILTER (value <> leader) AS similarity
-  FROM clustered GROUP BY leader HAVING count(*) > 1
+  FROM {p}clustered GROUP BY leader HAVING count(*) > 1
 )"""
 
 
@@ -53,10 +53,25 @@ _NAMES = "SELECT p_name AS value, count(*) AS n FROM part WHERE p_name <> '' GRO
 _WITH = "WITH RECURSIVE start AS (SELECT 1)" + clusters(_NAMES)
 _LONG = BASE.replace("WITH base", "WITH RECURSIVE base", 1) + """
 , long_names AS (
-  SELECT 'Distribuciones Y Suministros ' || proveedor || CASE WHEN _row_number % 3 = 0 THEN ' Sociedda Limitada'
-    ELSE ' Sociedad Limitada' END AS proveedor, categoria, importe_total, proveedor AS short FROM invoices)"""
+  SELECT CASE WHEN _row_number % 3 = 0 THEN name[1:length(name) - 1] ELSE name END AS proveedor, categoria, importe_total
+  FROM (SELECT *, proveedor || ' ' || proveedor || ' ' || proveedor AS name FROM invoices))""" + clusters(
+    "SELECT proveedor AS value, count(*) AS n FROM long_names GROUP BY 1", "s_") + clusters(
+    "SELECT categoria AS value, count(*) AS n FROM long_names GROUP BY 1", "c_")
 
 SQL = {
+    "dedupe_records": _LONG + """
+      SELECT coalesce(s.canonical, x.proveedor) AS proveedor, coalesce(c.canonical, x.categoria) AS categoria,
+        count(*) AS n, round(sum(importe_total), 2) AS total
+      FROM long_names x
+      LEFT JOIN (SELECT value, canonical FROM s_clustered JOIN s_grouped g USING (leader) WHERE g.similarity >= 95) s
+        ON s.value = x.proveedor
+      LEFT JOIN (SELECT value, canonical FROM c_clustered JOIN c_grouped g USING (leader) WHERE g.similarity >= 95) c
+        ON c.value = x.categoria
+      GROUP BY 1, 2""",
+    "dedupe_stats": _LONG + """
+      SELECT field, CASE WHEN similarity >= 95 THEN 'merge' ELSE 'review' END AS grade, count(*) AS groups
+      FROM (SELECT 'proveedor' AS field, similarity FROM s_grouped UNION ALL SELECT 'categoria', similarity FROM c_grouped)
+      GROUP BY 1, 2""",
     "name_similarity": f"""
       SELECT p_partkey, {ratio('name', 'kind')} AS to_type, {ratio('name', 'other')} AS to_other
       FROM (SELECT p_partkey, lower(p_name) AS name, lower(p_type) AS kind,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidyledger.operators import analytics as A, clean as C, updates as U, validate as V
 from tidyledger.plans.ledger import dirty_invoices, invoices, table
+from tidyledger.plans.queries_cleaning import stored_by_status
 from tidyledger.schema import INVOICE_SPEC
 
 LINE_FIELDS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -26,7 +27,7 @@ def field_statistics_bracketed(spark, sf_dir):
 
 
 def segmented_statistics(spark, sf_dir):
-    return _rounded(A.segmented_statistics(invoices(spark, sf_dir)))
+    return A.segmented_statistics(invoices(spark, sf_dir), scale=3)
 
 
 def segmented_long(spark, sf_dir):
@@ -103,7 +104,7 @@ def keep_last(spark, sf_dir):
 
 def _compared(spark, sf_dir):
     raw = dirty_invoices(spark, sf_dir)
-    cleaned = V.clean_and_validate(raw, INVOICE_SPEC)
+    cleaned = stored_by_status(V.clean_and_validate(raw, INVOICE_SPEC))
     return U.compare(raw, V.split(cleaned).clean.select("_row_number", *INVOICE_SPEC.names))
 
 

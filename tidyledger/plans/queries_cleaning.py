@@ -8,6 +8,7 @@ from tidyledger.functions import cleaning as fn
 from tidyledger.operators import clean as C, validate as V
 from tidyledger.plans.ledger import dirty_invoices
 from tidyledger.schema import INVOICE_SPEC, TableSpec
+from tidyledger.sources.scratch import stored
 
 ALL = ("_row_number", *INVOICE_SPEC.names)
 
@@ -16,6 +17,11 @@ def _validated(spark, sf_dir) -> DataFrame:
     return V.clean_and_validate(dirty_invoices(spark, sf_dir), INVOICE_SPEC)
 
 
+def stored_by_status(df: DataFrame) -> DataFrame:
+    """Validated rows written once, one folder per status, so each route reads its own folder."""
+    return stored(df, "validated", V.STATUS)
+
+
 def clean_text_fields(spark, sf_dir):
     """Stripping, words, tax ids, invoice numbers and title case, in rule order."""
     fields = ["num_factura", "proveedor", "nif_cif", "tipo", "categoria", "estado_factura"]
@@ -89,14 +95,14 @@ def dynamic_spec(spark, sf_dir):
 
 
 def route_records(spark, sf_dir):
-    routed = V.split(_validated(spark, sf_dir))
+    routed = V.split(stored_by_status(_validated(spark, sf_dir)))
     tagged = [df.select(F.lit(name).alias("route"), "_row_number") for name, df in routed._asdict().items()]
     return tagged[0].union(tagged[1]).union(tagged[2]).groupBy("route").agg(
         F.count("*").alias("n"), F.sum(F.col("_row_number") - 2).alias("key_sum"))
 
 
 def error_log(spark, sf_dir):
-    return V.error_log_long(_validated(spark, sf_dir)).groupBy("field", "message").agg(
+    return V.error_log_long(stored_by_status(_validated(spark, sf_dir))).groupBy("field", "message").agg(
         F.count("*").alias("n"), F.min("_row_number").alias("first_row"), F.max("_row_number").alias("last_row"))
 
 
@@ -128,7 +134,7 @@ def parse_corrections(spark, sf_dir):
 
 
 def apply_corrections(spark, sf_dir):
-    validated = _validated(spark, sf_dir)
+    validated = stored_by_status(_validated(spark, sf_dir))
     proposals = V.parse_corrections(_replies(dirty_invoices(spark, sf_dir)))
     fixed = V.apply_corrections(validated, proposals, INVOICE_SPEC, threshold=0.7)
     return fixed.select("_row_number", F.col("_status").alias("status"), "fecha",
