@@ -140,7 +140,7 @@ def derive_pending(df: DataFrame) -> DataFrame:
     value = fn.pending_amount(F.col("estado_factura"), F.col("importe_total"))
     df = df.withColumns({"_fill": fill, "_value": F.when(fill, value).otherwise(pending)})
     df = df.withColumn("_log_fill", F.when(F.col("_fill"), F.concat(
-        F.lit("Calculated importe_pendiente="), F.format_string("%.2f", F.col("_value")),
+        F.lit("Calculated importe_pendiente="), F.call_function("format_number", F.col("_value"), F.lit("0.00")),
         F.lit(" (estado="), F.coalesce(F.col("estado_factura"), F.lit("")), F.lit(")"))))
     df = df.withColumn("importe_pendiente", F.col("_value"))
     return _with_log(df.drop("_fill", "_value"), ["_log_fill"])

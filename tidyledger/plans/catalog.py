@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from tidyledger.plans import (
-    checks_analytics, checks_cleaning, checks_names, checks_sources, queries_analytics, queries_cleaning, queries_names,
-    queries_sources)
+    checks_analytics, checks_cleaning, checks_names, checks_sources, checks_text, queries_analytics, queries_cleaning,
+    queries_names, queries_sources, queries_text)
 
-QUERIES = {**queries_cleaning.QUERIES, **queries_analytics.QUERIES, **queries_names.QUERIES, **queries_sources.QUERIES}
-ORACLES = {**checks_cleaning.SQL, **checks_analytics.SQL, **checks_names.SQL, **checks_sources.SQL}
+QUERIES = {**queries_cleaning.QUERIES, **queries_analytics.QUERIES, **queries_names.QUERIES, **queries_sources.QUERIES,
+           **queries_text.QUERIES}
+ORACLES = {**checks_cleaning.SQL, **checks_analytics.SQL, **checks_names.SQL, **checks_sources.SQL,
+           **checks_text.SQL}
 
 
 def flagship(spark, sf_dir):
