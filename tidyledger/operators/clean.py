@@ -71,7 +71,8 @@ def apply_text_rules(df: DataFrame, rules: Sequence[Rule] = TEXT_RULES) -> DataF
     """Run text rules over every column they apply to, in order."""
     logs: list[str] = []
     for step, rule in enumerate(rules):
-        fields = [c for c in _data_columns(df) if rule.applies_to(c.lower())]
+        fields = [c for c in _data_columns(df)
+                  if rule.applies_to(c.lower()) and df.schema[c].dataType.typeName() == "string"]
         if not fields:
             continue
         df = df.withColumns({f"_new_{step}_{f}": rule.expr(F.col(f"`{f}`")) for f in fields})
@@ -91,9 +92,10 @@ def apply_text_rules(df: DataFrame, rules: Sequence[Rule] = TEXT_RULES) -> DataF
 
 
 def parse_amounts_and_dates(df: DataFrame) -> DataFrame:
-    """Turn amount and date text into numbers and dates, with log lines."""
-    amounts = [c for c in _data_columns(df) if c.lower() in words.CURRENCY_FIELDS]
-    dates = [c for c in _data_columns(df) if c.lower() in words.DATE_FIELDS]
+    """Turn amount and date text into numbers and dates, with log lines; typed columns stay as they are."""
+    text = [c for c in _data_columns(df) if df.schema[c].dataType.typeName() == "string"]
+    amounts = [c for c in text if c.lower() in words.CURRENCY_FIELDS]
+    dates = [c for c in text if c.lower() in words.DATE_FIELDS]
     df = df.withColumns(
         {f"_new_{f}": fn.normalize_currency(F.col(f"`{f}`")) for f in amounts}
         | {f"_new_{f}": fn.normalize_date(F.col(f"`{f}`")) for f in dates})
@@ -160,6 +162,6 @@ def clean(df: DataFrame, rules: Sequence[Rule] = TEXT_RULES, extra_rules: Sequen
     ``extra_rules`` run after the built-in text rules.
     """
     text = _data_columns(df)
-    df = df.withColumn(RAW, F.struct(*[F.col(f"`{c}`") for c in text]))
+    df = df.withColumn(RAW, F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in text]))
     df = apply_text_rules(df, (*rules, *extra_rules))
     return warn_inconsistent(derive_pending(parse_amounts_and_dates(df)))

@@ -8,7 +8,7 @@ from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidyledger.functions import text as fn
+from tidyledger.functions import text as fn, vocabulary as words
 from tidyledger.functions.vectors import nearest_in_partition
 from tidyledger.operators.analytics import Gold, balance, top_k, unique_values
 from tidyledger.operators.clean import ROW
@@ -130,10 +130,12 @@ def stats_context(gold: Gold, total: DataFrame | None = None) -> DataFrame:
                          key.alias("key"), numbered)
 
     none, zero = F.lit("").alias("x"), F.lit(0).cast("long")
+    low, high = (F.lit(sign * 2**62).cast("long") for sign in (-1, 1))
     count = gold.records.agg(F.count("*").alias("n"))
     head = rows(count, 0, none, zero, none, [
         F.lit("## PRECOMPUTED STATISTICS (COMPLETE DATASET):"),
         F.concat(F.lit("Total records in dataset: "), F.col("n").cast("string")), F.lit("")])
+    middle = rows(count, 2, none, zero, none, [F.lit("## SEGMENTED STATISTICS (BY CATEGORY):"), F.lit("")])
     stats = rows(gold.statistics, 1, F.col("field"), zero, none, [
         F.concat(F.lit("### "), F.col("field"), F.lit(":")),
         _labelled("  - Count: ", F.col("count").cast("string")),
@@ -145,21 +147,31 @@ def stats_context(gold: Gold, total: DataFrame | None = None) -> DataFrame:
         F.concat(F.lit("  "), F.col("segment"), F.lit(":")),
         F.concat(F.lit("    - Count: "), F.col("count").cast("string"), F.lit(" records")),
         *[F.when(F.col(m).isNotNull(), F.concat(F.lit(f"    - {m}: "), _euro(F.col(m)))) for m in metrics]])
-    titles = rows(gold.segments.select("segment_field").distinct(), 2, F.col("segment_field"),
-                  F.lit(-(2**62)).cast("long"), none,
+    segment_fields = gold.segments.select("segment_field").distinct()
+    titles = rows(segment_fields, 2, F.col("segment_field"), low, none,
                   [F.concat(F.lit("### Statistics by "), F.col("segment_field"), F.lit(":"))])
-    keys = rows(gold.indexes, 3, F.col("field"), -F.col("count"), F.coalesce("key", F.lit("None")), [
-        F.concat(F.lit("  - "), F.coalesce("key", F.lit("None")), F.lit(": "), F.col("count").cast("string"),
-                 F.lit(" records"))])
-    index_heads = rows(unique_values(gold.indexes), 3, F.col("field"), F.lit(-(2**62)).cast("long"), none, [
+    segment_ends = rows(segment_fields, 2, F.col("segment_field"), high, none, [F.lit("")])
+    shown = F.coalesce("key", F.lit("None"))
+    keys = rows(gold.indexes, 3, F.col("field"), -F.col("count"), F.coalesce("key", F.lit("\U0010ffff")), [
+        F.concat(F.lit("  - "), shown, F.lit(": "), F.col("count").cast("string"), F.lit(" records"))])
+    unique = unique_values(gold.indexes)
+    index_heads = rows(unique, 3, F.col("field"), low, none, [
         F.concat(F.lit("### Index: "), F.col("field")),
         F.concat(F.lit("  - Unique values: "), F.col("unique_values").cast("string"))])
-    return reduce(DataFrame.unionByName, [head, stats, titles, segments, index_heads, keys])
+    index_ends = rows(unique, 3, F.col("field"), high, none, [F.lit("")])
+    return reduce(DataFrame.unionByName, [
+        head, stats, middle, titles, segments, segment_ends, index_heads, keys, index_ends])
+
+
+def _place(names: Sequence[str]) -> Column:
+    return F.array_position(F.array(*[F.lit(n) for n in names]), F.col("field"))
 
 
 def context_text(lines: DataFrame) -> DataFrame:
     """The lines of :func:`stats_context` in reading order."""
-    return lines.orderBy("section", "field", "order_key", "key", "line_no").select("line")
+    place = (F.when(F.col("section") == 1, _place(words.MONEY_FIELDS))
+             .when(F.col("section") == 2, _place(words.SEGMENT_FIELDS)).otherwise(_place(words.INDEX_FIELDS)))
+    return lines.orderBy("section", place, "field", "order_key", "key", "line_no").select("line")
 
 
 # --- search ----------------------------------------------------------------

@@ -62,8 +62,6 @@ CLEANED = BASE + """
 )
 """
 
-_AMOUNT_CASES = "CASE WHEN {c} IS NULL THEN NULL ELSE {c} END"
-
 SQL = {
     "clean_text_fields": CLEANED + """
       SELECT _row_number, num_factura, proveedor, nif_cif, tipo, categoria, estado_factura FROM cleaned""",
@@ -140,4 +138,9 @@ SQL = {
         CASE WHEN n_errors > 0 AND success AND passes THEN DATE '2024-01-15' ELSE fecha END AS fecha,
         CASE WHEN n_errors > 0 AND success AND passes THEN 0 ELSE n_errors END::BIGINT AS n_errors
       FROM outcome""",
+    "flagship": CLEANED + ", ok AS (SELECT * FROM judged WHERE n_errors = 0) " + " UNION ALL ".join(
+        f"SELECT '{s}' AS segment_field, {s} AS segment, count(*) AS count, "
+        "CAST(sum(CAST(importe_total AS DECIMAL(18,3))) AS DOUBLE) AS importe_total_sum, "
+        "CAST(sum(CAST(importe_pendiente AS DECIMAL(18,3))) AS DOUBLE) AS importe_pendiente_sum FROM ok GROUP BY 2"
+        for s in ("tipo", "estado_factura", "categoria", "proveedor")),
 }

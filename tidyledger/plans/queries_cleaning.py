@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidyledger.functions import cleaning as fn
 from tidyledger.operators import clean as C, validate as V
+from tidyledger.operators.analytics import segmented_statistics
 from tidyledger.plans.ledger import dirty_invoices
 from tidyledger.schema import INVOICE_SPEC, TableSpec
 from tidyledger.sources.scratch import stored
@@ -141,7 +142,14 @@ def apply_corrections(spark, sf_dir):
                         F.size("_errors").cast("long").alias("n_errors"))
 
 
+def flagship(spark, sf_dir):
+    """Valid invoices after cleaning, with totals per segment."""
+    valid = V.split(stored_by_status(_validated(spark, sf_dir))).clean
+    return segmented_statistics(valid, scale=3).select(
+        "segment_field", "segment", "count", "importe_total_sum", "importe_pendiente_sum")
+
+
 QUERIES = {f.__name__: f for f in (
     clean_text_fields, clean_currency, clean_dates, clean_table, strip_whitespace, enum_words, derive_pending,
     consistency_warnings, custom_rule, validate_table, dynamic_spec, route_records, error_log, silver_stats,
-    parse_corrections, apply_corrections)}
+    parse_corrections, apply_corrections, flagship)}
