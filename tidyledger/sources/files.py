@@ -36,9 +36,10 @@ def number_rows(df: DataFrame, name: str = ROW, start: int = 0) -> DataFrame:
 
 
 def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
-    """(path, encoding) per file: byte-order mark, else strict UTF-8, else windows-1252 or latin-1.
+    """(path, encoding) per file: UTF-16 by its mark, else strict UTF-8, else windows-1252 or latin-1.
 
-    Lines are checked where they are read, so a large file is checked by many tasks.
+    Lines are checked where they are read, so a large file is checked by many
+    tasks. A UTF-8 mark is dropped by the line reader, here as when the file is read.
     """
     raw = F.col("value").cast("binary")
     lines = spark.read.text(path).select(
@@ -51,12 +52,22 @@ def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
         F.min_by(F.left("hex", F.lit(6)), "at").alias("head"))
     head = F.col("head")
     return facts.select("path", (
-        F.when(head.startswith("EFBBBF"), "utf-8-sig").when(head.startswith("FFFE") | head.startswith("FEFF"), "utf-16")
+        F.when(head.startswith("FFFE") | head.startswith("FEFF"), "utf-16")
         .when(F.col("utf8"), "utf-8").when(F.col("c1"), "windows-1252").otherwise("latin-1")).alias("encoding"))
 
 
 def _java_charset(encoding: str | None) -> str:
-    return {None: "UTF-8", "latin-1": "ISO-8859-1", "utf-8-sig": "UTF-8"}.get(encoding, encoding)
+    """Charset the CSV source reads; windows-1252 is read as latin-1 and repaired by :func:`_repaired`."""
+    return {None: "UTF-8", "latin-1": "ISO-8859-1", "utf-8-sig": "UTF-8", "windows-1252": "ISO-8859-1"}.get(
+        encoding, encoding)
+
+
+# Where windows-1252 has letters and latin-1 has control characters.
+_C1 = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def _repaired(c: Column, encoding: str | None) -> Column:
+    return F.translate(c, "".join(_C1), "".join(_C1.values())) if encoding == "windows-1252" else c
 
 
 def count_cells(line: Column) -> Column:
@@ -109,6 +120,8 @@ def check_csv_structure(spark: SparkSession, path: str) -> DataFrame:
 def header_names(spark: SparkSession, path: str, encoding: str | None = None) -> list[str]:
     """Stripped column names; a column without a name becomes ``column_<i>``."""
     given = spark.read.csv(path, header=True, encoding=_java_charset(encoding), enforceSchema=True).columns
+    if encoding == "windows-1252":
+        given = [n.translate(str.maketrans(_C1)) for n in given]
     return [f"column_{i}" if n.strip() in ("", f"_c{i}") else n.strip() for i, n in enumerate(given)]
 
 
@@ -133,8 +146,9 @@ def read_bronze(
     # An empty cell is empty text; only a cell that is not there is null.
     return numbered.select(
         ROW, F.lit(dataset_id).alias(DATASET),
-        *[F.when(F.col("_missing_cells"), F.col(f"`{n}`")).otherwise(F.coalesce(F.col(f"`{n}`"), F.lit(""))).alias(n)
-          for n in names], CORRUPT, "_missing_cells")
+        *[_repaired(F.when(F.col("_missing_cells"), F.col(f"`{n}`")).otherwise(F.coalesce(F.col(f"`{n}`"), F.lit(""))),
+                    encoding).alias(n) for n in names],
+        _repaired(F.col(CORRUPT), encoding).alias(CORRUPT), "_missing_cells")
 
 
 def infer_schema(df: DataFrame, sample_rows: int = 20, order: str = ROW) -> DataFrame:
