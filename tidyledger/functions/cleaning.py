@@ -50,7 +50,9 @@ def normalize_currency(c: Column) -> Column:
     bare = strip_ws(F.regexp_replace(F.regexp_replace(strip_ws(c), _SYMBOLS, ""), _CODES, ""))
     joined = F.regexp_replace(F.regexp_replace(bare, _GROUP_DOT, "$1"), _DOT_BEFORE_COMMA, "")
     digits = F.regexp_replace(F.regexp_replace(joined, _DECIMAL_COMMA, "."), r"[^0-9.\-]", "")
-    return F.coalesce(digits.try_cast("double"), F.regexp_extract(c, _FLOAT_TEXT, 1).try_cast("double"))
+    # Text without a digit needs none of this, and a failing cast is slow.
+    return F.when(c.rlike("[0-9]"), F.coalesce(
+        digits.try_cast("double"), F.regexp_extract(c, _FLOAT_TEXT, 1).try_cast("double")))
 
 
 def has_amount_text(c: Column) -> Column:

@@ -19,49 +19,62 @@ from tidyledger.operators.clean import ROW
 
 # Up to this many values per field the built-in exact percentile keeps them in one
 # buffer; beyond it the median is searched inside a narrow bracket of ranks.
-SMALL_FIELD = 1_000_000
-BRACKET_ACCURACY = 100_000
+SMALL_FIELD = 50_000
+BRACKET_ACCURACY = 10_000
+BRACKET_VALUES = 1_000_000
 CHUNK_ROWS = 65_536
 
 
 def _numbers(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """(field, value) of all readable numbers."""
-    present = [f for f in fields if f in df.columns]
-    wide = df.select(*[
-        (F.col(f"`{f}`").try_cast("double") if df.schema[f].dataType.typeName() == "string"
-         else F.col(f"`{f}`").cast("double")).alias(f) for f in present])
-    return wide.unpivot([], present, "field", "value").filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    """The fields as numbers; text that is none becomes null."""
+    types = df.schema
+    return df.select(*[
+        F.nanvl(F.col(f"`{f}`").try_cast("double") if types[f].dataType.typeName() == "string"
+                else F.col(f"`{f}`").cast("double"), F.lit(None).cast("double")).alias(f) for f in fields])
+
+
+def _inside(field: str, low: float, high: float) -> Column:
+    return F.when(F.col(field).between(low, high), F.col(field))
 
 
-def _exact_medians(numbers: DataFrame, counts: dict[str, tuple[int, float, float]]) -> DataFrame:
-    """Exact medians of large fields.
+def _brackets(numbers: DataFrame, small_field: int) -> dict[str, tuple[int, float, float]]:
+    """(count, low, high) of every field with more than ``small_field`` values: its median lies in low..high.
 
-    ``counts`` gives for each field its count and a bracket of two values around
-    the middle that is wide enough to hold the median for certain. Only values
-    inside the bracket are ranked, after counting equal ones together.
+    The approximate percentile is off by at most 1/accuracy of the ranks, so four
+    times that on both sides holds the median for certain. A bracket that may
+    still hold more than ``BRACKET_VALUES`` values is narrowed in the same way.
+    One row with a few numbers per field comes back from each pass.
     """
-    def pick(i: int) -> Column:
-        found = F.lit(None).cast("double")
-        for name, triple in counts.items():
-            found = F.when(F.col("field") == name, F.lit(float(triple[i]))).otherwise(found)
-        return found
-
-    low, high, total = pick(1), pick(2), pick(0)
-    value = F.col("value")
-    near = (
-        numbers.filter(F.col("field").isin(*counts))
-        .select("field", F.when(value < low, F.lit(None)).otherwise(value).alias("v"), (value <= high).alias("near"))
-        .filter("near").groupBy("field", "v").agg(F.count("*").alias("n")))
-    # Values below the bracket are one group (v is null), which sorts first.
-    ranks = Window.partitionBy("field").orderBy(F.col("v").asc_nulls_first())
-    upto = F.sum("n").over(ranks)
-    ranked = near.select("field", "v", (upto - F.col("n")).alias("before"), upto.alias("upto"))
-    first, second = F.floor((total + 1) / 2), F.floor((total + 2) / 2)
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("before") < rank) & (rank <= F.col("upto")), F.col("v")))
-
-    return ranked.groupBy("field").agg(((at(first) + at(second)) / 2).alias("median"))
+    width = 4 / BRACKET_ACCURACY
+
+    def ask(values: dict[str, tuple[Column, float]]) -> dict[str, tuple[int, list[float]]]:
+        row = numbers.agg(*[x for f, (c, p) in values.items() for x in (
+            F.count(c).alias(f"n_{f}"), F.percentile_approx(
+                c, [max(p - width, 0.0), min(p + width, 1.0)], BRACKET_ACCURACY).alias(f"b_{f}"))]).first()
+        return {f: (row[f"n_{f}"], row[f"b_{f}"]) for f in values}
+
+    first = ask({f: (F.col(f), 0.5) for f in numbers.columns})
+    found = {f: (n, *bracket) for f, (n, bracket) in first.items() if n > small_field}
+    within = {f: n for f, (n, _, _) in found.items()}
+    while wide := [f for f, (_, low, high) in found.items()
+                   if low < high and within[f] * 10 / BRACKET_ACCURACY > BRACKET_VALUES]:
+        counts = numbers.agg(*[x for f in wide for x in (
+            F.count_if(F.col(f) < found[f][1]).alias(f"below_{f}"),
+            F.count(_inside(f, *found[f][1:])).alias(f"in_{f}"))]).first()
+        middle = {f: ((found[f][0] + 1) / 2 - counts[f"below_{f}"]) / counts[f"in_{f}"] for f in wide}
+        narrowed = ask({f: (_inside(f, *found[f][1:]), middle[f]) for f in wide})
+        for f, (n, bracket) in narrowed.items():
+            found[f], within[f] = (found[f][0], *bracket), n
+    return found
+
+
+def _bracketed_medians(numbers: DataFrame, brackets: dict[str, tuple[int, float, float]]) -> DataFrame:
+    """(field, value, before, upto): ranks inside the bracket of the values in it, equal ones counted together."""
+    near = numbers.select(*[_inside(f, low, high).alias(f) for f, (_, low, high) in brackets.items()])
+    counted = near.unpivot([], list(brackets), "field", "value").filter("value is not null").groupBy(
+        "field", "value").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("field").orderBy("value"))
+    return counted.select("field", "value", (upto - F.col("n")).alias("before"), upto.alias("upto"))
 
 
 def field_statistics(
@@ -70,23 +83,36 @@ def field_statistics(
     """One row per field: count, sum, mean, exact median, min, max, sample standard deviation.
 
     Text that is no number is ignored; fields without any number are left out.
+    All fields are aggregated in one pass, in columns.
     """
-    numbers = _numbers(df, fields)
-    width = 4 / BRACKET_ACCURACY
-    probe = numbers.groupBy("field").agg(
-        F.count("*").alias("n"),
-        F.percentile_approx("value", [0.5 - width, 0.5 + width], BRACKET_ACCURACY).alias("bracket"))
-    # One row per field comes back, whatever the size of the table.
-    large = {r["field"]: (r["n"], *r["bracket"]) for r in probe.collect() if r["n"] > small_field}
-    parts = [F.count("*").alias("count"), F.sum("value").alias("sum"), F.avg("value").alias("mean"),
-             F.min("value").alias("min"), F.max("value").alias("max"),
-             F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std")]
-    small = numbers.filter(~F.col("field").isin(*large)) if large else numbers
-    out = small.groupBy("field").agg(*parts, F.percentile("value", 0.5).alias("median"))
+    present = [f for f in fields if f in df.columns]
+    numbers = _numbers(df, present)
+    large = _brackets(numbers, small_field) if present else {}
+    missing = F.lit(None).cast("double")
+
+    def parts(f: str) -> dict[str, Column]:
+        c = F.col(f)
+        return {
+            "count": F.count(c), "sum": F.sum(c), "mean": F.avg(c),
+            "median": missing if f in large else F.percentile(c, 0.5), "min": F.min(c), "max": F.max(c),
+            "std": F.coalesce(F.stddev_samp(c), F.lit(0.0)),
+            "below": F.count_if(c < large[f][1]) if f in large else F.lit(0).cast("long")}
+
+    names = list(parts("x"))
+    wide = numbers.agg(*[c.alias(f"{name}_{f}") for f in present for name, c in parts(f).items()])
+    rows = wide.select(F.inline(F.array(*[
+        F.struct(F.lit(f).alias("field"), *[F.col(f"{name}_{f}").alias(name) for name in names]) for f in present])))
     if large:
-        rest = numbers.filter(F.col("field").isin(*large)).groupBy("field").agg(*parts)
-        out = out.unionByName(rest.join(_exact_medians(numbers, large), "field"))
-    return out.select("field", "count", "sum", "mean", "median", "min", "max", "std")
+        ranked = _bracketed_medians(numbers, large).join(F.broadcast(rows.select("field", "below", "count")), "field")
+        first, second = F.floor((F.col("count") + 1) / 2), F.floor((F.col("count") + 2) / 2)
+
+        def at(rank: Column) -> Column:
+            place = rank - F.col("below")
+            return F.max(F.when((F.col("before") < place) & (place <= F.col("upto")), F.col("value")))
+
+        found = ranked.groupBy("field").agg(((at(first) + at(second)) / 2).alias("found"))
+        rows = rows.join(F.broadcast(found), "field", "left").withColumn("median", F.coalesce("median", "found"))
+    return rows.filter(F.col("count") > 0).select("field", "count", "sum", "mean", "median", "min", "max", "std")
 
 
 def _text(df: DataFrame, field: str) -> Column:

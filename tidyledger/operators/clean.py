@@ -58,60 +58,68 @@ def _data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if not c.startswith("_")]
 
 
-def _with_log(df: DataFrame, logs: list[str]) -> DataFrame:
-    """Fold the per-step log columns into ``_cleaning_log``."""
-    if LOG in df.columns:
-        merged = F.concat(F.col(LOG), F.array_compact(F.array(*[F.col(c) for c in logs])))
-    else:
-        merged = F.array_compact(F.array(*[F.col(c) for c in logs])) if logs else F.array().cast("array<string>")
-    return df.withColumn(LOG, merged).drop(*logs)
+_NO_LINES = "array<string>"
 
 
-def apply_text_rules(df: DataFrame, rules: Sequence[Rule] = TEXT_RULES) -> DataFrame:
-    """Run text rules over every column they apply to, in order."""
-    logs: list[str] = []
-    for step, rule in enumerate(rules):
-        fields = [c for c in _data_columns(df)
-                  if rule.applies_to(c.lower()) and df.schema[c].dataType.typeName() == "string"]
+def _logged(logs: Sequence[Column], has_log: bool) -> Column:
+    """``_cleaning_log`` with the lines that are not null appended."""
+    new = F.array_compact(F.array(*logs)) if logs else F.array().cast(_NO_LINES)
+    return (F.concat(F.col(LOG), new) if has_log else new).alias(LOG)
+
+
+def _steps(rules: Sequence[Rule], columns: Sequence[str]) -> list[list[tuple[str, Rule]]]:
+    """Rules in order, gathered into steps in which every column changes at most once."""
+    steps: list[list[tuple[str, Rule]]] = []
+    last: dict[str, int] = {}
+    floor = 0
+    for rule in rules:
+        fields = [c for c in columns if rule.applies_to(c.lower())]
         if not fields:
             continue
-        df = df.withColumns({f"_new_{step}_{f}": rule.expr(F.col(f"`{f}`")) for f in fields})
-        notes = {}
-        for f in fields:
-            old, new = F.col(f"`{f}`"), F.col(f"`_new_{step}_{f}`")
-            notes[f"_log_{step}_{f}"] = F.when(old != new, rule.log(old, new, f))
-        kept = [c for c in df.columns if not c.startswith(f"_new_{step}_") and c not in fields]
-        changed = {f: F.col(f"`_new_{step}_{f}`") for f in fields}
-        df = df.select(
-            *[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in df.columns
-              if c in kept or c in changed],
-            *[v.alias(k) for k, v in notes.items()],
-        )
-        logs += list(notes)
-    return _with_log(df, logs)
+        # Log lines keep the order of the rules, so a rule never moves before an earlier one.
+        floor = max([floor, *(last.get(c, -1) + 1 for c in fields)])
+        while len(steps) <= floor:
+            steps.append([])
+        steps[floor] += [(c, rule) for c in fields]
+        last.update({c: floor for c in fields})
+    return steps
+
+
+def apply_text_rules(df: DataFrame, rules: Sequence[Rule] = TEXT_RULES) -> DataFrame:
+    """Run text rules over every text column they apply to, in order.
+
+    Each step is two projections: the new values, then the columns replaced and
+    the log lines appended. The second one is compiled on its own, which keeps
+    every generated method small enough for the JVM to optimise.
+    """
+    columns, types = df.columns, df.schema
+    text = [c for c in _data_columns(df) if types[c].dataType.typeName() == "string"]
+    for step in _steps(rules, text):
+        old = {c: F.col(f"`{c}`") for c in columns}
+        new = {c: F.col(f"`_new_{c}`") for c, _ in step}
+        df = df.select("*", *[rule.expr(old[c]).alias(f"_new_{c}") for c, rule in step])
+        lines = [F.when(old[c] != new[c], rule.log(old[c], new[c], c)) for c, rule in step]
+        has_log = LOG in columns
+        df = df.select(*[new[c].alias(c) if c in new else old[c] for c in columns if c != LOG], _logged(lines, has_log))
+        columns = [*[c for c in columns if c != LOG], LOG]
+    return df if LOG in columns else df.withColumn(LOG, _logged([], False))
 
 
 def parse_amounts_and_dates(df: DataFrame) -> DataFrame:
     """Turn amount and date text into numbers and dates, with log lines; typed columns stay as they are."""
-    text = [c for c in _data_columns(df) if df.schema[c].dataType.typeName() == "string"]
+    columns, types = df.columns, df.schema
+    text = [c for c in _data_columns(df) if types[c].dataType.typeName() == "string"]
     amounts = [c for c in text if c.lower() in words.CURRENCY_FIELDS]
     dates = [c for c in text if c.lower() in words.DATE_FIELDS]
-    df = df.withColumns(
-        {f"_new_{f}": fn.normalize_currency(F.col(f"`{f}`")) for f in amounts}
-        | {f"_new_{f}": fn.normalize_date(F.col(f"`{f}`")) for f in dates})
-    logs = {}
-    for f in amounts + dates:
-        old, new = F.col(f"`{f}`"), F.col(f"`_new_{f}`").cast("string")
-        kind = "date" if f in dates else "currency"
-        logs[f"_log_{f}"] = F.when(
-            old != new, F.concat(F.lit(f"Normalized {kind} in {f}: '"), old, F.lit("' -> "), new))
-    typed = set(amounts + dates)
-    df = df.select(
-        *[(F.col(f"`_new_{c}`").alias(c) if c in typed else F.col(f"`{c}`"))
-          for c in df.columns if not c.startswith("_new_")],
-        *[v.alias(k) for k, v in logs.items()],
-    )
-    return _with_log(df, list(logs))
+    old = {c: F.col(f"`{c}`") for c in columns}
+    new = {c: F.col(f"`_new_{c}`") for c in amounts + dates}
+    df = df.select("*", *[fn.normalize_currency(old[c]).alias(f"_new_{c}") for c in amounts],
+                   *[fn.normalize_date(old[c]).alias(f"_new_{c}") for c in dates])
+    lines = []
+    for c in amounts + dates:
+        kind, shown = ("date" if c in dates else "currency"), new[c].cast("string")
+        lines.append(F.when(old[c] != shown, F.concat(F.lit(f"Normalized {kind} in {c}: '"), old[c], F.lit("' -> "), shown)))
+    return df.select(*[new[c].alias(c) if c in new else old[c] for c in columns if c != LOG], _logged(lines, LOG in columns))
 
 
 def derive_pending(df: DataFrame) -> DataFrame:
@@ -140,19 +148,21 @@ def derive_pending(df: DataFrame) -> DataFrame:
         total_given = total_given | (F.col(f"{RAW}.importe_total") == "")
     fill = F.coalesce(gap & total_given, F.lit(False))
     value = fn.pending_amount(F.col("estado_factura"), F.col("importe_total"))
-    df = df.withColumns({"_fill": fill, "_value": F.when(fill, value).otherwise(pending)})
-    df = df.withColumn("_log_fill", F.when(F.col("_fill"), F.concat(
+    columns = [c for c in df.columns if c not in ("importe_pendiente", LOG)]
+    has_log = LOG in df.columns
+    df = df.select("*", fill.alias("_fill"), F.when(fill, value).otherwise(pending).alias("_value"))
+    line = F.when(F.col("_fill"), F.concat(
         F.lit("Calculated importe_pendiente="), F.call_function("format_number", F.col("_value"), F.lit("0.00")),
-        F.lit(" (estado="), F.coalesce(F.col("estado_factura"), F.lit("")), F.lit(")"))))
-    df = df.withColumn("importe_pendiente", F.col("_value"))
-    return _with_log(df.drop("_fill", "_value"), ["_log_fill"])
+        F.lit(" (estado="), F.coalesce(F.col("estado_factura"), F.lit("")), F.lit(")")))
+    return df.select(*[F.col(f"`{c}`") for c in columns], F.col("_value").alias("importe_pendiente"),
+                     _logged([line], has_log))
 
 
 def warn_inconsistent(df: DataFrame) -> DataFrame:
     if not {"estado_factura", "importe_pendiente"} <= set(df.columns):
         return df
     warnings = fn.consistency_warnings(F.col("estado_factura"), F.col("importe_pendiente"))
-    return df.withColumn(LOG, F.concat(F.col(LOG), F.coalesce(warnings, F.array().cast("array<string>"))))
+    return df.withColumn(LOG, F.concat(F.col(LOG), F.coalesce(warnings, F.array().cast(_NO_LINES))))
 
 
 def clean(df: DataFrame, rules: Sequence[Rule] = TEXT_RULES, extra_rules: Sequence[Rule] = ()) -> DataFrame:
