@@ -86,6 +86,14 @@ def test_bracketed_median_is_exact(spark, n):
         assert got["importe_base"] == pytest.approx(statistics.median(values[1::2]))
 
 
+def test_wide_brackets_are_narrowed(spark, monkeypatch):
+    monkeypatch.setattr(A, "BRACKET_VALUES", 0)
+    values = [float((i * 7919) % 5003) / 7 for i in range(5003)]
+    df = spark.createDataFrame([(v, v if v > 300 else 1.0) for v in values], "iva double, importe_base double")
+    got = {r["field"]: r["median"] for r in A.field_statistics(df, small_field=0).collect()}
+    assert got == {"iva": statistics.median(values), "importe_base": statistics.median([v if v > 300 else 1.0 for v in values])}
+
+
 def test_missing_segment_and_index_values(spark):
     df = spark.createDataFrame([(0, "a", 1.0), (1, None, 2.0), (2, None, None)], "_row_number long, tipo string, iva double")
     seg = {r["segment"]: (r["count"], r["iva_sum"], r["iva_mean"]) for r in A.segmented_statistics(df).collect()}
@@ -265,11 +273,12 @@ def test_neighbours_equal_brute_force(spark):
     asks = [(q, [rng.randint(0, 3) * 1.0 for _ in range(4)], rng.choice(["a", None]), rng.choice([3, None])) for q in range(7)]
     df = spark.createDataFrame(docs, "id long, v array<double>, kind string").repartition(5)
     queries = spark.createDataFrame(asks, "query_id long, v array<double>, kind string, k int")
-    got = {(r["query_id"], r["rank"]): (r["id"], r["distance"]) for r in R.nearest(df, queries, "id", "v", ["kind"], block=2).collect()}
+    got = {(r["query_id"], r["id"]): (r["rank"], r["distance"])
+           for r in R.nearest(df, queries, "id", "v", ["kind"], block=2).collect()}
     want = {}
     for q, p, kind, k in asks:
         best = sorted((sum((a - b) ** 2 for a, b in zip(v, p)), i) for i, v, t in docs if kind in (None, t))[:k]
-        want |= {(q, n): (i, d) for n, (d, i) in enumerate(best, 1)}
+        want |= {(q, i): (n if k else None, d) for n, (d, i) in enumerate(best, 1)}
     assert got == want
 
 

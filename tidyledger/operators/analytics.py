@@ -56,14 +56,18 @@ def _brackets(numbers: DataFrame, small_field: int) -> dict[str, tuple[int, floa
     first = ask({f: (F.col(f), 0.5) for f in numbers.columns})
     found = {f: (n, *bracket) for f, (n, bracket) in first.items() if n > small_field}
     within = {f: n for f, (n, _, _) in found.items()}
+    final: set[str] = set()
     while wide := [f for f, (_, low, high) in found.items()
-                   if low < high and within[f] * 10 / BRACKET_ACCURACY > BRACKET_VALUES]:
+                   if f not in final and low < high and within[f] * 10 / BRACKET_ACCURACY > BRACKET_VALUES]:
         counts = numbers.agg(*[x for f in wide for x in (
             F.count_if(F.col(f) < found[f][1]).alias(f"below_{f}"),
             F.count(_inside(f, *found[f][1:])).alias(f"in_{f}"))]).first()
         middle = {f: ((found[f][0] + 1) / 2 - counts[f"below_{f}"]) / counts[f"in_{f}"] for f in wide}
         narrowed = ask({f: (_inside(f, *found[f][1:]), middle[f]) for f in wide})
         for f, (n, bracket) in narrowed.items():
+            # Unchanged bounds: nearly all values equal one of them, and equal values count together.
+            if tuple(bracket) == found[f][1:]:
+                final.add(f)
             found[f], within[f] = (found[f][0], *bracket), n
     return found
 

@@ -15,6 +15,8 @@ from tidyledger.operators.clean import ROW
 
 # Query vectors handed to every task at once, and categories per summary document.
 QUERY_BLOCK = 256
+# Shares in which the best rows of a query are merged first.
+MERGE_SHARES = 64
 SUMMARY_ROWS = 100_000
 
 METADATA = ("doc_type", "source_field", "record_id", "tipo", "categoria", "proveedor", "estado_factura", "fecha",
@@ -189,10 +191,14 @@ def nearest(
 ) -> DataFrame:
     """Exact nearest neighbours by squared distance: (query_id, id, distance, rank).
 
+    Rows of a query without k are all its matching documents; they get no rank,
+    as ranking them would bring a whole table to one task.
+
     ``queries`` has query_id, vector, k (null for all) and the filter columns
     (null for no condition). Query rows go to the tasks in blocks of bounded
     size; each task keeps its best k per query, and only those meet in the
-    shuffle. Documents are read once per block and never paired with each other.
+    shuffle, first in many shares per query and then once more. Documents are
+    read once per block and never paired with each other.
     """
     wanted = ["query_id", "k", *filters]
     rows = queries.select(*wanted, F.col(vector).alias("vector")).toLocalIterator()
@@ -206,9 +212,15 @@ def nearest(
     if not found:
         return docs.sparkSession.createDataFrame([], schema + ", rank int")
     limits = queries.select("query_id", "k")
-    best = Window.partitionBy("query_id").orderBy("distance", id_column)
-    ranked = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(best))
-    return ranked.join(limits, "query_id").filter(F.col("k").isNull() | (F.col("rank") <= F.col("k"))).drop("k")
+    scored = reduce(DataFrame.union, found).join(limits, "query_id")
+    share = F.pmod(F.xxhash64(id_column), F.lit(MERGE_SHARES))
+    in_share, over_all = (Window.partitionBy(*keys).orderBy("distance", id_column)
+                          for keys in (("query_id", "_share"), ("query_id",)))
+    limited = scored.filter("k is not null").withColumn("_share", share)
+    for window in (in_share, over_all):
+        limited = limited.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= F.col("k"))
+    whole = scored.filter("k is null").withColumn("rank", F.lit(None).cast("int"))
+    return limited.drop("k", "_share").unionByName(whole.drop("k"))
 
 
 def question_queries(questions: DataFrame, question: str, total_documents: int) -> DataFrame:

@@ -41,19 +41,21 @@ def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
     Lines are checked where they are read, so a large file is checked by many
     tasks. A UTF-8 mark is dropped by the line reader, here as when the file is read.
     """
-    raw = F.col("value").cast("binary")
+    raw = F.hex(F.col("value").cast("binary"))
+    valid = F.is_valid_utf8("value")
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("s")).alias("at"),
-        F.is_valid_utf8("value").alias("valid"), F.hex(raw).alias("hex"))
+        F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") == 0).alias("top"),
+        F.monotonically_increasing_id().alias("seq"), valid.alias("valid"),
+        (~valid & raw.rlike("^(?:[0-9A-F]{2})*?[89][0-9A-F]")).alias("c1"),
+        (raw.startswith("FFFE") | raw.startswith("FEFF")).cast("int").alias("marked"))
+    # The smallest of 2 * id + mark belongs to the first line of the file, and its last
+    # bit is the mark. Numbers and flags only, so the aggregate hashes and never sorts.
     facts = lines.groupBy("path").agg(
-        F.bool_and("valid").alias("utf8"),
-        F.bool_or(~F.col("valid") & F.col("hex").rlike("^(?:[0-9A-F]{2})*?[89][0-9A-F]")).alias("c1"),
-        F.min_by(F.left("hex", F.lit(6)), "at").alias("head"))
-    head = F.col("head")
+        F.bool_and("valid").alias("utf8"), F.bool_or("c1").alias("c1"),
+        F.min(F.when(F.col("top"), F.col("seq") * 2 + F.col("marked"))).alias("first"))
     return facts.select("path", (
-        F.when(head.startswith("FFFE") | head.startswith("FEFF"), "utf-16")
-        .when(F.col("utf8"), "utf-8").when(F.col("c1"), "windows-1252").otherwise("latin-1")).alias("encoding"))
+        F.when(F.col("first") % 2 == 1, "utf-16").when(F.col("utf8"), "utf-8")
+        .when(F.col("c1"), "windows-1252").otherwise("latin-1")).alias("encoding"))
 
 
 def _java_charset(encoding: str | None) -> str:
@@ -97,20 +99,20 @@ def check_csv_structure(spark: SparkSession, path: str) -> DataFrame:
     The ragged rows themselves, of which there is no bound, come from :func:`ragged_rows`.
     """
     lines = csv_lines(spark, path)
-    is_header = F.col("row_number") == 1
-    per_file = lines.groupBy("path").agg(
-        F.max(F.when(is_header, F.col("line"))).alias("header"),
-        F.max(F.when(is_header, F.col("found"))).alias("column_count"),
-        F.count_if(~is_header).alias("row_count"))
-    ragged = ragged_rows(lines).groupBy("path").agg(F.count("*").alias("ragged_rows"))
+    # Lines are counted by their number of cells; everything else works on these few rows.
+    widths = lines.groupBy("path", "found").agg(F.count("*").alias("n"))
+    headers = lines.filter("row_number = 1").select("path", F.col("line").alias("header"), F.col("found").alias("column_count"))
+    fits = F.col("found") == F.col("column_count")
+    per_file = headers.join(widths, "path").groupBy("path", "header", "column_count").agg(
+        (F.sum("n") - 1).alias("row_count"), F.coalesce(F.sum(F.when(~fits, F.col("n"))), F.lit(0)).alias("ragged_rows"))
     names = F.transform(F.split("header", ","), lambda n: strip_ws(F.regexp_replace(n, '^"|"$', "")))
     twice = F.array_distinct(F.filter("column_names", lambda n: F.size(
         F.filter("column_names", lambda m: m == n)) > 1))
     empty = F.forall("column_names", lambda n: n == "")
     return (
-        per_file.join(ragged, "path", "left").withColumn("column_names", names)
+        per_file.withColumn("column_names", names)
         .withColumns({
-            "ragged_rows": F.coalesce("ragged_rows", F.lit(0)), "duplicate_names": twice,
+            "duplicate_names": twice,
             "errors": F.array_compact(F.array(F.when(
                 empty, "CSV header is empty or contains only empty values")))})
         .withColumn("is_valid", F.size("errors") == 0)
