@@ -349,3 +349,21 @@ def test_lookup_reaches_the_scan(spark, tmp_path):
     spark.createDataFrame([("a", 1)], "tipo string, v int").write.parquet(str(tmp_path / "t"))
     plan = A.lookup(spark.read.parquet(str(tmp_path / "t")), "tipo", "a")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(tipo), EqualTo(tipo,a)]" in plan
+
+
+def test_samples_and_blocks_are_top_k_not_sorts(spark):
+    df = spark.range(1000).withColumn("name", F.col("id").cast("string"))
+    plan = df.orderBy("id").limit(20)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+
+
+def test_summary_document_has_no_cross_join(spark):
+    df = spark.createDataFrame([(2, "Ingreso", "Viajes", 5.0), (3, "Gasto", "Ocio", 2.0), (4, "Gasto", "Viajes", 1.0)],
+                               "_row_number long, tipo string, categoria string, importe_total double")
+    docs = R.summary_documents(df)
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert docs.first()["content"] == (
+        "Dataset Summary:\n- Total records: 3\n- Income (Ingreso) records: 1, total: 5.00 EUR\n"
+        "- Expense (Gasto) records: 2, total: 3.00 EUR\n- Net balance: 2.00 EUR\n- Categories: Viajes (2), Ocio (1)\n")
+    assert [d["content"].count("(1)") for d in R.summary_documents(df, rows=1).collect()]

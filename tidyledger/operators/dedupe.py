@@ -57,7 +57,7 @@ def cluster(values: DataFrame, threshold: int = REVIEW, first_block: int = FIRST
     while True:
         # At most ``size`` rows reach the driver, found by a distributed top-k.
         order = [direction(name) for direction, name in _RANK]
-        block = [(r["value"], r["low"]) for r in left.orderBy(*order).limit(size).select("value", "low").collect()]
+        block = [(r["value"], r["low"]) for r in left.orderBy(*order).limit(size).collect()]
         if not block:
             break
         matched = left.mapInPandas(assign_to_block(block, threshold), schema)

@@ -79,23 +79,24 @@ def summary_documents(df: DataFrame, rows: int = SUMMARY_ROWS) -> DataFrame:
     has at most that many entries; later ones go to further documents.
     """
     whole = balance(df)
+    # The balance is one row, so it enters as a single value and not by a join.
+    figures = whole.select(F.struct(*whole.columns)).scalar()
     seen = df.groupBy(F.coalesce("categoria", F.lit("Unknown")).alias("categoria")).agg(
         F.count("*").alias("n"), F.min(ROW).alias("first"))
     listed = seen.groupBy(F.floor(F.col("first") / rows).alias("part")).agg(
         F.sort_array(F.collect_list(F.struct("first", "categoria", "n"))).alias("items"))
     names = F.array_join(F.transform("items", lambda c: F.concat(
         c["categoria"], F.lit(" ("), c["n"].cast("string"), F.lit(")"))), ", ")
-    # The balance is one row; it reaches every part through a constant key.
-    joined = listed.withColumn("_one", F.lit(1)).join(F.broadcast(whole.withColumn("_one", F.lit(1))), "_one")
+    joined = listed.withColumn("b", figures)
 
     def side(label: str, name: str) -> Column:
-        return F.concat(F.lit(f"- {label} records: "), F.col(f"{name}_count").cast("string"), F.lit(", total: "),
-                        _euro(F.col(f"{name}_total")))
+        return F.concat(F.lit(f"- {label} records: "), F.col(f"b.{name}_count").cast("string"), F.lit(", total: "),
+                        _euro(F.col(f"b.{name}_total")))
 
     content = _lines(
-        "Dataset Summary:", _labelled("- Total records: ", F.col("records").cast("string")),
+        "Dataset Summary:", _labelled("- Total records: ", F.col("b.records").cast("string")),
         side("Income (Ingreso)", "income"), side("Expense (Gasto)", "expense"),
-        _labelled("- Net balance: ", _euro(F.col("net"))), F.concat(F.lit("- Categories: "), names, F.lit("\n")))
+        _labelled("- Net balance: ", _euro(F.col("b.net"))), F.concat(F.lit("- Categories: "), names, F.lit("\n")))
     return _other_documents(joined, "summary", F.lit(None).cast("string"), content)
 
 

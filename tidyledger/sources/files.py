@@ -156,7 +156,11 @@ def read_bronze(
 def infer_schema(df: DataFrame, sample_rows: int = 20, order: str = ROW) -> DataFrame:
     """(position, column, type) from the first rows: int, float, date, bool, else str."""
     columns = [c for c in df.columns if not c.startswith("_")]
-    sample = df.orderBy(order).limit(sample_rows).select(*[strip_ws(F.col(f"`{c}`")).alias(c) for c in columns])
+    # A distributed top-k; only the few sample rows come back.
+    cells = df.select(order, *[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
+    rows = cells.orderBy(order).limit(sample_rows).collect()
+    sample = df.sparkSession.createDataFrame(rows, cells.schema).select(
+        *[strip_ws(F.col(f"`{c}`")).alias(c) for c in columns])
 
     def all_fit(c: str, *patterns: str) -> Column:
         fits = F.lit(False)
