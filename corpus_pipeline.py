@@ -6,18 +6,46 @@ documents. All but the last return the columns of the documents they got.
 
 from __future__ import annotations
 
+from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 
-from tidyledger.llm import exact_dedup
+from tidyledger.llm import exact_dedup, mixing, packing, quality, simhash
 from tidyledger.llm.common import stored, table
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays, the one with the largest id."""
     return exact_dedup.drop_exact(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more."""
+    return simhash.drop_near(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are read as often as their target weights ask; a document read twice is two rows."""
+    return mixing.mixture(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of 4096 ids: one row per piece with its place."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("exact_dedup", exact),
+    ("simhash_near_dedup", near),
+    ("mix_sources", mix_sources),
+    ("best_fit_packing", pack),
+]
+#: The first stage is a trained network, so SQL cannot express the rows; tests use brute-force versions.
 ORACLE_SQL = None
 
 

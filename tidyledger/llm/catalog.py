@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidyledger.llm import exact_dedup, simhash
+from public_tokenizers import path as vocabulary
+
+from tidyledger.llm import exact_dedup, mixing, packing, quality, simhash
 from tidyledger.llm.common import table
 
 
@@ -14,8 +16,23 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark, sf_dir):
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_mixing(spark, sf_dir):
+    return mixing.mixture_report(table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_quality": op7_quality,
+    "op9_mixing": op9_mixing,
+    "op10_packing": op10_packing,
 }
 ORACLES = {"op5_exact_dedup": exact_dedup.ORACLE}

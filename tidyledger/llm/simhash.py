@@ -121,8 +121,12 @@ def _linked(fps: np.ndarray, cls: int, masks: np.ndarray, mask_class: np.ndarray
     return pd.DataFrame({"a": signed[label[moved]], "b": signed[moved]})
 
 
-def fingerprint_links(different: DataFrame, count: int, distance: int) -> DataFrame:
-    """(a, b): links between different fingerprints whose components are those of 'at most distance bits apart'."""
+def fingerprint_links(different: DataFrame, count: int, distance: int, turns: int = 1) -> DataFrame:
+    """(a, b): links between different fingerprints whose components are those of 'at most distance bits apart'.
+
+    In each class a fingerprint is linked to the first of those it is connected to
+    there. ``turns`` different orders make different ones the first, class by class.
+    """
     masks = ball(distance // 2)
     checks_needed = int(np.ceil(np.log2(max(1, count * len(masks) / VARIANTS_PER_TASK))))
     checks = parity_masks(max(checks_needed, 4))
@@ -134,6 +138,9 @@ def fingerprint_links(different: DataFrame, count: int, distance: int) -> DataFr
 
     def link(key, pdf):
         fps = np.sort(pdf["fp"].to_numpy(np.int64)).view(np.uint64)
+        turn = np.uint64(int(key[0]) % turns)
+        if turn:
+            fps = fps[np.argsort((fps ^ turn) * np.uint64(0x9E3779B97F4A7C15) * (turn * np.uint64(2) + np.uint64(1)))]
         return _linked(fps, int(key[0]), masks, mask_class, checks)
 
     dealt = different.select("fp", own.alias("own")).select(
@@ -161,3 +168,87 @@ def near_groups(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFra
     labels = stored(named.join(least, "root").select("fp", "component_id"), "labels")
     return rows.join(labels, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _word_set_prints(texts: pd.Series, seeds: range) -> pd.DataFrame:
+    """Fingerprints of the set of different words: one per seed."""
+    out = np.zeros((len(texts), len(seeds)), np.uint64)
+    for i, text in enumerate(texts):
+        words = set(("" if text is None else text).encode("utf-8", "surrogatepass").lower().split())
+        for j, seed in enumerate(seeds):
+            if words:
+                hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], "<u8")
+                counts = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                out[i, j] = np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0]
+    return pd.DataFrame({f"fp{j}": out[:, j].view(np.int64) for j in range(len(seeds))})
+
+
+def shingle_set(text: str | None, shingle: int) -> bytes:
+    """Sorted 32-bit hashes of the different word shingles; a shorter text is one shingle."""
+    words = ("" if text is None else text).encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(words) - shingle + 1)
+    return np.unique(np.array([xxhash.xxh32_intdigest(b" ".join(words[i:i + shingle])) for i in range(n)], "<u4")).tobytes()
+
+
+def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 4, tables: int = 3) -> tuple:
+    """(nodes, links): every row's node key and id, and the verified links between nodes.
+
+    Candidates collide in one of several fingerprints of the set of words, which a
+    changed word moves far less than a fingerprint of shingles. They are verified by the
+    Jaccard similarity of their different word shingles.
+    """
+    seeds = range(1, tables + 1)
+    kind = ", ".join(f"fp{j} long" for j in range(tables))
+
+    @F.pandas_udf(kind)
+    def prints(texts: pd.Series) -> pd.DataFrame:
+        return _word_set_prints(texts, seeds)
+
+    @F.pandas_udf("binary")
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, shingle) for t in texts])
+
+    @F.pandas_udf("boolean")
+    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(left, right, strict=True):
+            x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both >= similarity * (len(x) + len(y) - both))
+        return pd.Series(out, dtype=bool)
+
+    node = F.xxhash64("doc_id", "text")
+    nodes = stored(docs.select(node.alias("node"), "doc_id", prints("text").alias("p")).select("node", "doc_id", "p.*"),
+                   "word-prints")
+    pairs = None
+    for j in range(tables):
+        own = nodes.select("node", F.col(f"fp{j}").alias("fp"))
+        different = stored(own.groupBy("fp").agg(F.min("node").alias("first")), "different")
+        links = stored(fingerprint_links(different, different.count(), distance, turns=8), "print-links")
+        same = own.join(different, "fp").selectExpr("first a", "node b")
+        other = (links.join(different.selectExpr("fp a", "first x"), "a")
+                 .join(different.selectExpr("fp b", "first y"), "b").selectExpr("x a", "y b"))
+        found = same.unionAll(other)
+        pairs = found if pairs is None else pairs.unionAll(found)
+    pairs = stored(pairs.filter("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct(), "pairs")
+    asked = stored(pairs.selectExpr("a node").unionAll(pairs.selectExpr("b node")).distinct(), "asked")
+    words = stored(docs.select(node.alias("node"), "text").join(asked, "node", "left_semi").dropDuplicates(["node"])
+                   .select("node", sets("text").alias("set")), "shingles")
+    links = (pairs.join(words.selectExpr("node a", "set left"), "a").join(words.selectExpr("node b", "set right"), "b")
+             .filter(alike("left", "right")).select("a", "b"))
+    return nodes, links
+
+
+def drop_near(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 4, tables: int = 3) -> DataFrame:
+    """One document of each near-duplicate group stays, the one with the smallest id, with all its columns.
+
+    Null texts are empty; null ids lose to any id. Of rows that repeat id and text all stay or none.
+    """
+    nodes, links = near_pairs(docs, shingle, similarity, distance, tables)
+    roots = stored(components(links), "near-roots")
+    ids = nodes.join(roots, "node").select("root", "node", "doc_id")
+    first = stored(ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("f"))
+                   .select("root", F.col("f.node").alias("stays")), "near-first")
+    gone = stored(roots.join(first, "root").filter("node <> stays").select("node"), "near-gone")
+    packed = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("node"))
+    return packed.join(gone, "node", "left_anti").select("row.*")
