@@ -5,11 +5,12 @@ reaches by flipping at most r/2 bits. So every different fingerprint emits its
 ball of variants, the variants are shuffled, and fingerprints that collide on a
 variant are linked: both are within r/2 of it, so the collision itself verifies r.
 
-A ball of radius two has 2,081 variants. They are shuffled by class: a few
-parity bits of the variant. A fingerprint goes to each class once, and the task
-that holds the class forms the variants that belong there, so eight bytes cross
-the network for many variants. The number of parity bits follows the number of
-fingerprints and keeps what a task holds bounded at every size.
+A ball of radius two has 2,081 variants. They are shuffled by class: the lowest
+few bits of the variant. A fingerprint goes once to each class that its ball
+touches (37 of 256, 137 of 65,536), and the task that holds the class forms the
+variants that belong there, so eight bytes cross the network for many variants.
+The number of bits follows the number of fingerprints and keeps what a task
+holds bounded at every size.
 """
 
 from __future__ import annotations
@@ -68,26 +69,21 @@ def ball(radius: int) -> np.ndarray:
     return np.array(masks, np.uint64)
 
 
-def parity_masks(n: int) -> np.ndarray:
-    """The parity checks: fixed random 64-bit masks."""
-    return np.random.default_rng(7).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+def _linked(fps: np.ndarray, cls: int, bits: int, masks: np.ndarray) -> list[pd.DataFrame]:
+    """Links of the fingerprints whose variants collide in this class, each to the first it is connected to here.
 
-
-def classes_of(values: np.ndarray, checks: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(values), np.int64)
-    for j, check in enumerate(checks):
-        out |= (np.bitwise_count(values & check).astype(np.int64) & 1) << j
-    return out
-
-
-def _linked(fps: np.ndarray, cls: int, masks: np.ndarray, mask_class: np.ndarray, checks: np.ndarray) -> pd.DataFrame:
-    """Links of the fingerprints whose variants collide in this class, each to the least it is connected to here."""
-    order = np.argsort(mask_class, kind="stable")
-    sorted_class = mask_class[order]
-    own = classes_of(fps, checks) ^ cls  # class of the masks that lead from each fingerprint into this class
-    first = np.searchsorted(sorted_class, own, "left")
-    count = np.searchsorted(sorted_class, own, "right") - first
+    The class holds the variants whose lowest ``bits`` bits are ``cls``. One with too
+    many variants for memory is gone through in halves, by the next bit.
+    """
+    low = np.uint64((1 << bits) - 1)
+    order = np.argsort(masks & low, kind="stable")
+    sorted_low = (masks & low)[order]
+    own = (fps & low) ^ np.uint64(cls)  # low bits of the masks that lead from each fingerprint into this class
+    first = np.searchsorted(sorted_low, own, "left")
+    count = np.searchsorted(sorted_low, own, "right") - first
     total = int(count.sum())
+    if total > 2 * VARIANTS_PER_TASK and bits < 40:
+        return _linked(fps, cls, bits + 1, masks) + _linked(fps, cls | 1 << bits, bits + 1, masks)
     ends = np.cumsum(count)
     who = np.repeat(np.arange(len(fps), dtype=np.int32), count)
     which = np.arange(total) - np.repeat(ends - count, count) + np.repeat(first, count)
@@ -97,7 +93,7 @@ def _linked(fps: np.ndarray, cls: int, masks: np.ndarray, mask_class: np.ndarray
     met = ranked[1:][ranked[1:] == ranked[:-1]]
     del ranked
     if not len(met):
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        return []
     met = np.unique(met)
     near = np.zeros(1 << 20, bool)
     near[(met >> np.uint64(44)).astype(np.int64)] = True
@@ -118,7 +114,7 @@ def _linked(fps: np.ndarray, cls: int, masks: np.ndarray, mask_class: np.ndarray
         label = after
     moved = np.flatnonzero(label != np.arange(len(fps)))
     signed = fps.view(np.int64)
-    return pd.DataFrame({"a": signed[label[moved]], "b": signed[moved]})
+    return [pd.DataFrame({"a": signed[label[moved]], "b": signed[moved]})]
 
 
 def fingerprint_links(different: DataFrame, count: int, distance: int, turns: int = 1) -> DataFrame:
@@ -128,20 +124,18 @@ def fingerprint_links(different: DataFrame, count: int, distance: int, turns: in
     there. ``turns`` different orders make different ones the first, class by class.
     """
     masks = ball(distance // 2)
-    checks_needed = int(np.ceil(np.log2(max(1, count * len(masks) / VARIANTS_PER_TASK))))
-    checks = parity_masks(max(checks_needed, 4))
-    mask_class = classes_of(masks, checks)
-    steps = F.array(*[F.lit(int(c)) for c in np.unique(mask_class)])
-    own = F.lit(0)
-    for j, check in enumerate(checks):
-        own = own.bitwiseOR(F.shiftleft(F.bit_count(F.col("fp").bitwiseAND(F.lit(int(check.view(np.int64))))) % 2, j))
+    bits = max(4, int(np.ceil(np.log2(max(1, count * len(masks) / VARIANTS_PER_TASK)))))
+    low = (1 << bits) - 1
+    steps = F.array(*[F.lit(int(c)) for c in np.unique(masks & np.uint64(low))])
+    own = F.col("fp").bitwiseAND(F.lit(low))
+    nothing = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
 
     def link(key, pdf):
         fps = np.sort(pdf["fp"].to_numpy(np.int64)).view(np.uint64)
         turn = np.uint64(int(key[0]) % turns)
         if turn:
             fps = fps[np.argsort((fps ^ turn) * np.uint64(0x9E3779B97F4A7C15) * (turn * np.uint64(2) + np.uint64(1)))]
-        return _linked(fps, int(key[0]), masks, mask_class, checks)
+        return pd.concat([nothing, *_linked(fps, int(key[0]), bits, masks)], ignore_index=True)
 
     dealt = different.select("fp", own.alias("own")).select(
         "fp", F.explode(F.transform(steps, lambda s: s.bitwiseXOR(F.col("own")))).alias("cls"))
