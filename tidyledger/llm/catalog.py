@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from public_tokenizers import path as vocabulary
 
-from tidyledger.llm import exact_dedup, mixing, packing, quality, simhash
+from tidyledger.llm import exact_dedup, html_extract, licenses, mixing, packing, quality, simhash
 from tidyledger.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
+def op4_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -20,6 +24,10 @@ def op7_quality(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_html_extract(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mixture_report(table(spark, sf_dir, "documents"))
 
@@ -30,8 +38,10 @@ def op10_packing(spark, sf_dir):
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op4_licenses": op4_licenses,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_quality": op7_quality,
+    "op8_html_extract": op8_html_extract,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }
