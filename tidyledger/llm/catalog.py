@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from public_tokenizers import path as vocabulary
+from pyspark.sql import functions as F
 
-from tidyledger.llm import exact_dedup, html_extract, licenses, mixing, packing, quality, simhash
+from tidyledger.llm import exact_dedup, html_extract, licenses, mixing, neighbours, packing, quality, simhash
 from tidyledger.llm.common import table
 
 
+def op2_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
@@ -37,6 +42,7 @@ def op10_packing(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_neighbours": op2_neighbours,
     "op3_simhash": op3_simhash,
     "op4_licenses": op4_licenses,
     "op5_exact_dedup": op5_exact_dedup,
