@@ -5,10 +5,14 @@ from __future__ import annotations
 from public_tokenizers import path as vocabulary
 from pyspark.sql import functions as F
 
-from tidyledger.llm import exact_dedup, html_extract, licenses, mixing, neighbours, packing, quality, simhash
+from tidyledger.llm import exact_dedup, html_extract, licenses, mixing, neighbours, packing, quality, simhash, substring, suffixes
 from tidyledger.llm.common import table
 
 
+def op1_substring(spark, sf_dir):
+    return substring.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_neighbours(spark, sf_dir):
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -25,6 +29,10 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_suffixes(spark, sf_dir):
+    return suffixes.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_quality(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,10 +50,12 @@ def op10_packing(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_substring": op1_substring,
     "op2_neighbours": op2_neighbours,
     "op3_simhash": op3_simhash,
     "op4_licenses": op4_licenses,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_suffixes": op6_suffixes,
     "op7_quality": op7_quality,
     "op8_html_extract": op8_html_extract,
     "op9_mixing": op9_mixing,
