@@ -26,9 +26,9 @@ FILTERS = 16
 HIDDEN = 12
 CHUNK = 512
 OVERLAP = 64
-TRAINING_ROWS = 3000
-TRAINING_CHUNKS = 6
-EPOCHS = 14
+TRAINING_ROWS = 2000
+TRAINING_CHUNKS = 4
+EPOCHS = 6
 BATCH = 48
 PAD = 256  # byte value of the padding behind a text
 
