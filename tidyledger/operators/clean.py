@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidyledger.functions import cleaning as fn, vocabulary as words
 
 ROW, DATASET, RAW, LOG, CORRUPT = "_row_number", "_dataset_id", "_raw", "_cleaning_log", "_corrupt_record"
+# The file of a row, and its number over all files of a read; ROW counts within the file.
+FILE, ROW_ID = "_file", "_row_id"
 
 
 @dataclass(frozen=True)
@@ -54,6 +56,11 @@ TEXT_RULES: tuple[Rule, ...] = (
 )
 
 
+def row_key(*tables: DataFrame) -> str:
+    """The column that tells rows apart: the number over all files where every table has it."""
+    return ROW_ID if all(ROW_ID in t.columns for t in tables) else ROW
+
+
 def _data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if not c.startswith("_")]
 

@@ -50,14 +50,31 @@ _CLEAN = BASE + """
   SELECT _row_number, num_factura, fecha, proveedor, nif_cif, tipo, categoria, importe_base, iva, importe_total,
     estado_factura, importe_pendiente FROM invoices"""
 
+
+
+def _gold_rows() -> str:
+    parts = ["SELECT 'record' AS name, num_factura AS field, categoria AS key, 1::BIGINT AS n, importe_total AS amount FROM invoices"]
+    parts += [f"SELECT 'statistic', '{f}', NULL, count({f}), max({f}) FROM invoices"
+              for f in ("importe_base", "iva", "importe_total", "importe_pendiente")]
+    parts += [f"SELECT 'index', '{f}', CAST({f} AS VARCHAR), count(*), NULL FROM invoices GROUP BY {f}"
+              for f in ("fecha", "categoria", "proveedor", "tipo", "estado_factura")]
+    parts += [f"SELECT 'segment', '{f}', {f}, count(*), round(sum(CAST(importe_total AS DECIMAL(18,2))), 2)::DOUBLE FROM invoices GROUP BY {f}"
+              for f in ("categoria", "proveedor", "tipo", "estado_factura")]
+    return " UNION ALL ".join(parts)
+
+
 SQL = {
     "read_bronze": DIRTY + "SELECT * EXCLUDE (k, _row_number), _row_number AS clave FROM dirty",
-    "bronze_row_numbers": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) + 1 AS row_number FROM orders",
+    "bronze_row_numbers": "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey % 7 ORDER BY o_orderkey) + 1 AS row_number FROM orders",
     "csv_structure": """
-      SELECT true AS is_valid, count(*) AS row_count, 3::BIGINT AS column_count, 'clave|cliente|clave' AS column_names,
-        'clave' AS duplicate_names, count(*) FILTER (o_orderkey % 100 = 99 OR o_orderkey % 50 IN (47, 48)) AS ragged_rows
-      FROM orders""",
-    "encodings": "SELECT * FROM (VALUES ('utf', 'utf-8'), ('latin', 'latin-1'), ('ascii', 'utf-8')) t(label, encoding)",
+      SELECT CAST((o_orderkey + 1) % 5 AS VARCHAR) AS file, true AS is_valid, count(*) AS row_count, 3::BIGINT AS column_count,
+        'clave|cliente|clave' AS column_names, 'clave' AS duplicate_names,
+        count(*) FILTER (o_orderkey % 100 = 99 OR o_orderkey % 50 IN (47, 48)) AS ragged_rows
+      FROM orders GROUP BY 1""",
+    "encodings": r"""
+      WITH t AS (SELECT doc_id, regexp_replace(text, '[^\x20-\x7e\x{a1}-\x{ff}]', ' ', 'g') AS text FROM documents)
+      SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN regexp_replace(text, '[^\x20-\x7e]', ' ', 'g') ELSE text || ' ñ' END AS text,
+        CASE doc_id % 3 WHEN 1 THEN 'latin-1' ELSE 'utf-8' END AS encoding FROM t""",
     "infer_schema": DIRTY + """
       , first20 AS (
         SELECT * EXCLUDE (k, _row_number), CAST(_row_number AS VARCHAR) AS cliente, CASE WHEN _row_number % 2 = 0 THEN 'sí' ELSE 'no' END AS activo,
@@ -72,20 +89,18 @@ SQL = {
         FROM cells GROUP BY name)
       SELECT name, CASE WHEN n = 0 THEN 'str' WHEN whole THEN 'int' WHEN num THEN 'float' WHEN stamp THEN 'date'
         WHEN flag THEN 'bool' ELSE 'str' END AS type FROM facts""",
-    "ingest_manifest": "SELECT 'utf-8' AS encoding, count(*) AS stored_rows, 12::BIGINT AS columns, 0::BIGINT AS ragged_rows FROM orders",
+    "ingest_manifest": DIRTY + """
+      SELECT _row_number AS clave, num_factura, importe_total, 'utf-8' AS encoding, count(*) OVER () AS row_count, 12::BIGINT AS columns,
+        0::BIGINT AS ragged_rows FROM dirty""",
     "clean_sink_parquet": _CLEAN,
     "clean_sink_csv": _CLEAN,
-    "gold_sink": BASE + """
-      SELECT 'records' AS name, count(*) AS rows FROM invoices UNION ALL SELECT 'statistics', 4
-      UNION ALL SELECT 'indexes', count(DISTINCT fecha) + count(DISTINCT categoria) + count(DISTINCT proveedor)
-        + count(DISTINCT tipo) + count(DISTINCT estado_factura) FROM invoices
-      UNION ALL SELECT 'segments', count(DISTINCT categoria) + count(DISTINCT proveedor) + count(DISTINCT tipo)
-        + count(DISTINCT estado_factura) FROM invoices""",
+    "gold_sink": BASE + _gold_rows(),
     "preview": BASE + "SELECT num_factura, proveedor, tipo FROM invoices ORDER BY _row_number LIMIT 10",
     "review_sink": _WITH + """
-      SELECT 'p_name' AS campo, g.canonical || coalesce('|' || string_agg(c.value, '|' ORDER BY c.n DESC, length(c.value) DESC, c.value)
-        FILTER (c.value <> g.canonical), '') AS grupo, round(g.similarity / 100.0, 2)::DOUBLE AS similitud, 'pendiente' AS accion
-      FROM grouped g JOIN clustered c USING (leader) GROUP BY g.canonical, g.similarity""",
+      SELECT 'p_name' AS campo, g.canonical AS grupo, row_number() OVER (PARTITION BY leader
+        ORDER BY c.value <> g.canonical, c.n DESC, length(c.value) DESC, c.value) AS posicion, c.value AS nombre,
+        round(g.similarity / 100.0, 2)::DOUBLE AS similitud, 'pendiente' AS accion
+      FROM grouped g JOIN clustered c USING (leader)""",
     "list_runs": """
       SELECT strftime(ts, '%Y%m%d') AS run_id, arg_max('user_' || user_id, ts) AS file_name, arg_max(event_type, ts) AS status,
         arg_max(event_id, ts) AS record_count

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from tidyledger.operators import analytics as A, dedupe as D
@@ -31,9 +33,15 @@ def read_bronze(spark, sf_dir):
 
 
 def bronze_row_numbers(spark, sf_dir):
-    """Numbers run from 2 without a gap in every file, in file order."""
-    path = _write_csv(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey").coalesce(1), "orders")
-    raw = files.read_bronze(spark, path)
+    """Numbers run from 2 without a gap in every file, in file order, over many files and splits.
+
+    The orders of each file ascend, so a row's number follows from the keys of its file.
+    """
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 7).alias("file"))
+    path = new_path(spark, "orders")
+    ordered = orders.repartition("file").sortWithinPartitions("o_orderkey")
+    ordered.select("o_orderkey", F.lit("x").alias("filler"), "file").write.partitionBy("file").csv(path, header=True)
+    raw = files.read_bronze(spark, f"{path}/*/*.csv")
     return raw.select(F.col("o_orderkey").cast("long"), F.col("_row_number").cast("long").alias("row_number"))
 
 
@@ -42,27 +50,37 @@ def csv_structure(spark, sf_dir):
     k = F.col("o_orderkey")
     line = (F.when(k % 100 == 99, "").when(k % 50 == 48, F.concat_ws(",", k, "o_custkey"))
             .when(k % 50 == 47, F.concat_ws(",", k, "o_custkey", "o_orderstatus", F.lit("x")))
+            .when(k % 50 == 46, F.concat_ws(",", k, F.concat(F.lit('"'), "o_custkey", F.lit('\n,"')), "o_orderstatus"))
             .otherwise(F.concat_ws(",", k, F.concat(F.lit('"'), "o_custkey", F.lit(',"')), "o_orderstatus")))
     path = new_path(spark, "lines")
     body = table(spark, sf_dir, "orders").select(line.alias("value"), (k + 1).alias("at"))
     head = spark.range(1).select(F.lit("clave,cliente, clave").alias("value"), F.lit(0).cast("long").alias("at"))
-    body.union(head).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
-    report = files.check_csv_structure(spark, path)
-    return report.select("is_valid", "row_count", F.col("column_count").cast("long"),
+    # Several files, each with the header in front; every key goes to one of them.
+    shares = F.explode(F.array(*[F.lit(i).cast("long") for i in range(5)]))
+    dealt = body.withColumn("file", F.col("at") % 5).unionByName(head.withColumn("file", shares))
+    dealt.repartition("file").sortWithinPartitions("file", "at").select("value", "file").write.partitionBy("file").text(path)
+    report = files.check_csv_structure(spark, f"{path}/*/*.txt")
+    return report.select(F.regexp_extract("path", "file=([0-9]+)", 1).alias("file"), "is_valid", "row_count", F.col("column_count").cast("long"),
                          F.array_join("column_names", "|").alias("column_names"),
                          F.array_join("duplicate_names", "|").alias("duplicate_names"), "ragged_rows")
 
 
 def encodings(spark, sf_dir):
-    """Documents written in three encodings, detected per file."""
+    """Documents in one folder of files of three encodings, ingested: every text comes back, each file as it was written."""
     docs = table(spark, sf_dir, "documents").select(
-        F.concat(F.regexp_replace("text", "[^\\x00-\\x7f¡-ÿ]", " "), F.lit(" ñ")).alias("text"))
-    found = []
-    for label, charset in (("utf", "UTF-8"), ("latin", "ISO-8859-1"), ("ascii", "US-ASCII")):
-        lines = docs if charset != "US-ASCII" else docs.select(F.regexp_replace("text", "[^\\x00-\\x7f]", " ").alias("text"))
-        path = _write_csv(lines, label, charset, header=False)
-        found.append(files.detect_encoding(spark, path).select(F.lit(label).alias("label"), "encoding").distinct())
-    return found[0].union(found[1]).union(found[2])
+        "doc_id", F.regexp_replace("text", "[^\\x20-\\x7e¡-ÿ]", " ").alias("text"))
+    path = new_path(spark, "mixed")
+    plain = F.regexp_replace("text", "[^\\x20-\\x7e]", " ")
+    for i, (charset, text) in enumerate((("UTF-8", F.col("text")), ("ISO-8859-1", F.col("text")), ("US-ASCII", plain))):
+        some = docs.filter(F.col("doc_id") % 3 == i).select(F.concat(text, F.lit("" if i == 2 else " ñ")).alias("text"), "doc_id")
+        # The order of the columns differs from file to file.
+        some.select(*(("doc_id", "text") if i == 1 else ("text", "doc_id"))).write.csv(
+            f"{path}/{i}", header=True, encoding=charset, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False)
+    manifest = store.ingest(spark, f"{path}/*/*.csv", new_path(spark, "bronze"))
+    rows = store.read_ingested(spark, manifest)
+    found = manifest.select(F.explode("files").alias("f")).select(F.col("f.path").alias("_file"), F.col("f.encoding"))
+    return rows.join(found, "_file").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "encoding")
 
 
 def infer_schema(spark, sf_dir):
@@ -73,11 +91,12 @@ def infer_schema(spark, sf_dir):
 
 
 def ingest_manifest(spark, sf_dir):
-    path = _dirty_csv(spark, sf_dir)
-    manifest = store.ingest(spark, path, new_path(spark, "bronze"))
-    stored_rows = store.read_ingested(spark, manifest).count()
-    return manifest.select("encoding", F.lit(stored_rows).alias("stored_rows"),
-                           F.size("column_names").cast("long").alias("columns"), "ragged_rows")
+    """The stored rows with what the manifest says of them."""
+    manifest = store.ingest(spark, _dirty_csv(spark, sf_dir), new_path(spark, "bronze"))
+    facts = manifest.select("encoding", "row_count", F.size("column_names").cast("long").alias("columns"), "ragged_rows").first()
+    return store.read_ingested(spark, manifest).select(
+        F.col("clave").cast("long").alias("clave"), "num_factura", "importe_total",
+        *[F.lit(v).alias(n) for n, v in facts.asDict().items()])
 
 
 def _clean_round_trip(spark, sf_dir, fmt: str) -> DataFrame:
@@ -99,9 +118,13 @@ def gold_sink(spark, sf_dir):
     path = new_path(spark, "gold")
     store.write_gold(A.aggregate(invoices(spark, sf_dir)), path)
     gold = store.load_gold(spark, path)
-    counts = [t.agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows")
-              for n, t in gold._asdict().items()]
-    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+    none = F.lit(None).cast("string")
+    return reduce(DataFrame.unionAll, [
+        gold.records.select(F.lit("record").alias("name"), F.col("num_factura").alias("field"), F.col("categoria").alias("key"),
+                            F.lit(1).cast("long").alias("n"), F.col("importe_total").alias("amount")),
+        gold.statistics.select(F.lit("statistic"), "field", none, "count", "max"),
+        gold.indexes.select(F.lit("index"), "field", "key", "count", F.lit(None).cast("double")),
+        gold.segments.select(F.lit("segment"), "segment_field", "segment", "count", F.round("importe_total_sum", 2))])
 
 
 def preview(spark, sf_dir):
@@ -114,7 +137,7 @@ def review_sink(spark, sf_dir):
     path = new_path(spark, "review")
     store.write_review(entries, path)
     back = spark.read.schema(entries.schema).json(path)
-    return back.select("campo", F.array_join("grupo", "|").alias("grupo"), "similitud", "accion")
+    return back.withColumn("posicion", F.col("posicion").cast("long"))
 
 
 def list_runs(spark, sf_dir):

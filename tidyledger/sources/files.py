@@ -2,59 +2,60 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidyledger.functions import vocabulary as words
 from tidyledger.functions.cleaning import strip_ws
-from tidyledger.operators.clean import CORRUPT, DATASET, ROW
+from tidyledger.operators.clean import CORRUPT, DATASET, FILE, ROW, ROW_ID
+from tidyledger.sources.scratch import stored
 
-# Split offsets up to this many rows (some 10 MB) are broadcast; more are joined by shuffle.
-BROADCAST_SPLITS = 50_000
-_FILE, _BLOCK, _SEQ = "_file", "_block", "_seq"
+_BLOCK = "_block"
 
 
 def number_rows(df: DataFrame, name: str = ROW, start: int = 0) -> DataFrame:
-    """Number the records of every file in file order.
+    """Number the records of every file in file order; add ``_file`` and ``_row_id``.
 
     Spark deals file splits to tasks by size, so task order is not file order.
-    Within a split the running id is in order: the splits are counted first,
-    and each gets the number of records before it in its file as an offset. One
-    counting pass over the files, no global sort.
+    The records are read once and stored with their split and running id, which is
+    in order within a split. Each split's offset, the number of records before
+    it in its file, is counted on the stored rows, so a later change of the session's
+    settings cannot change the splits in between; a row without an offset is an error.
+    ``_row_id`` is unique over all files and stays what it is in the stored rows.
     """
-    keyed = df.withColumns({
-        _FILE: F.col("_metadata.file_path"), _BLOCK: F.col("_metadata.file_block_start"),
-        _SEQ: F.monotonically_increasing_id()})
-    splits = keyed.groupBy(_FILE, _BLOCK).agg(F.min(_SEQ).alias("first"), F.count("*").alias("n"))
-    earlier = Window.partitionBy(_FILE).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    keyed = stored(df.withColumns({
+        FILE: F.col("_metadata.file_path"), _BLOCK: F.col("_metadata.file_block_start"),
+        ROW_ID: F.monotonically_increasing_id()}), "numbered")
+    splits = keyed.groupBy(FILE, _BLOCK).agg(F.min(ROW_ID).alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy(FILE).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
-        _FILE, _BLOCK, (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("_shift"))
-    few = offsets.limit(BROADCAST_SPLITS + 1).collect()
-    if len(few) <= BROADCAST_SPLITS:
-        offsets = F.broadcast(df.sparkSession.createDataFrame(few, offsets.schema))
-    return keyed.join(offsets, [_FILE, _BLOCK]).withColumn(
-        name, F.col(_SEQ) + F.col("_shift") + start).drop(_BLOCK, _SEQ, "_shift")
+        FILE, _BLOCK, (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("_shift"))
+    number = F.coalesce(F.col(ROW_ID) + F.col("_shift"), F.raise_error(F.concat(
+        F.lit("no offset for a split of "), F.col(FILE))).cast("long"))
+    return keyed.join(offsets, [FILE, _BLOCK], "left").withColumn(name, number + start).drop(_BLOCK, "_shift")
+
 
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Numbered lines of every file as they are read, stored once: _file, row_number (from 1), value."""
+    return number_rows(spark.read.text(path), "row_number", 1)
 
-def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
+
+def detect_encoding(spark: SparkSession, path: str, lines: DataFrame | None = None) -> DataFrame:
     """(path, encoding) per file: UTF-16 by its mark, else strict UTF-8, else windows-1252 or latin-1.
 
     Lines are checked where they are read, so a large file is checked by many
     tasks. A UTF-8 mark is dropped by the line reader, here as when the file is read.
     """
-    raw = F.hex(F.col("value").cast("binary"))
-    valid = F.is_valid_utf8("value")
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") == 0).alias("top"),
-        F.monotonically_increasing_id().alias("seq"), valid.alias("valid"),
-        (~valid & raw.rlike("^(?:[0-9A-F]{2})*?[89][0-9A-F]")).alias("c1"),
-        (raw.startswith("FFFE") | raw.startswith("FEFF")).cast("int").alias("marked"))
-    # The smallest of 2 * id + mark belongs to the first line of the file, and its last
-    # bit is the mark. Numbers and flags only, so the aggregate hashes and never sorts.
-    facts = lines.groupBy("path").agg(
-        F.bool_and("valid").alias("utf8"), F.bool_or("c1").alias("c1"),
-        F.min(F.when(F.col("top"), F.col("seq") * 2 + F.col("marked"))).alias("first"))
+    lines = raw_lines(spark, path) if lines is None else lines
+    binary, valid = F.col("value").cast("binary"), F.is_valid_utf8("value")
+    start = F.hex(F.substring(binary, 1, 2))
+    # Flags only, so the aggregate hashes and never sorts.
+    facts = lines.groupBy(F.col(FILE).alias("path")).agg(
+        F.bool_and(valid).alias("utf8"), F.bool_or(~valid & F.decode(binary, "ISO-8859-1").rlike("[\\x80-\\x9f]")).alias("c1"),
+        F.bool_or((F.col("row_number") == 1) & start.isin("FFFE", "FEFF")).alias("marked"))
     return facts.select("path", (
-        F.when(F.col("first") % 2 == 1, "utf-16").when(F.col("utf8"), "utf-8")
+        F.when(F.col("marked"), "utf-16").when(F.col("utf8"), "utf-8")
         .when(F.col("c1"), "windows-1252").otherwise("latin-1")).alias("encoding"))
 
 
@@ -74,16 +75,38 @@ def _repaired(c: Column, encoding: str | None) -> Column:
 
 def count_cells(line: Column) -> Column:
     """Number of cells of a CSV record; delimiters inside quotes do not count."""
-    bare = F.regexp_replace(line, r'"(?:[^"]|"")*"', "")
+    # A doubled quote inside quotes ends one quoted part and begins the next.
+    bare = F.regexp_replace(line, '"[^"]*"', "")
     return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
 
-def csv_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Numbered lines with their cell count; the header is line 1, a blank line has 0 cells."""
-    text = F.regexp_replace("value", "\r$", "")
-    lines = number_rows(spark.read.text(path), "row_number", 1)
-    return lines.select(F.col(_FILE).alias("path"), "row_number", text.alias("line"),
-                        F.when(text == "", 0).otherwise(count_cells(text)).alias("found"))
+def csv_lines(spark: SparkSession, path: str, lines: DataFrame | None = None) -> DataFrame:
+    """Numbered records of every file in its own encoding with their cell count; the header is record 1.
+
+    A blank line has 0 cells. A line that ends inside quotes goes on in the next
+    one; only files that have such lines are put together record by record.
+    """
+    lines = raw_lines(spark, path) if lines is None else lines
+    known = lines.join(detect_encoding(spark, path, lines), F.col(FILE) == F.col("path"))
+    binary = F.col("value").cast("binary")
+    latin = F.decode(binary, "ISO-8859-1")
+    text = (F.when(F.col("encoding") == "utf-8", F.col("value"))
+            .when(F.col("encoding") == "windows-1252", _repaired(latin, "windows-1252")).otherwise(latin))
+    text = F.regexp_replace(text, "\r$", "")
+    plain = known.select("path", "encoding", "row_number", text.alias("line"))
+    quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))
+    marked = plain.withColumn("odd", (quotes % 2).cast("int"))
+    open_files = marked.groupBy("path").agg((F.max("odd") == 1).alias("breaks"))
+    marked = marked.join(open_files, "path")
+    upto = Window.partitionBy("path").orderBy("row_number")
+    before = F.sum("odd").over(upto.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(F.coalesce(before, F.lit(0)) % 2 == 0, 1).otherwise(0)
+    joined = marked.filter("breaks").withColumn("begins", begins).withColumn("record", F.sum("begins").over(upto)).groupBy(
+        "path", "encoding", "record").agg(F.array_sort(F.collect_list(F.struct("row_number", "line"))).alias("parts")).select(
+        "path", "encoding", F.col("record").alias("row_number"),
+        F.array_join(F.transform("parts", lambda x: x["line"]), "\n").alias("line"), F.lit(True).alias("breaks"))
+    records = marked.filter("NOT breaks").select("path", "encoding", "row_number", "line", "breaks").unionByName(joined)
+    return records.withColumn("found", F.when(F.col("line") == "", 0).otherwise(count_cells(F.col("line"))))
 
 
 def ragged_rows(lines: DataFrame) -> DataFrame:
@@ -93,17 +116,19 @@ def ragged_rows(lines: DataFrame) -> DataFrame:
         "path", "row_number", "expected", "found")
 
 
-def check_csv_structure(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: validity, counts, header names, duplicate names, ragged rows, errors.
+def check_csv_structure(spark: SparkSession, path: str, lines: DataFrame | None = None) -> DataFrame:
+    """One row per file: validity, encoding, line breaks in quotes, counts, header names, duplicate names, ragged
+    rows, errors.
 
     The ragged rows themselves, of which there is no bound, come from :func:`ragged_rows`.
     """
-    lines = csv_lines(spark, path)
-    # Lines are counted by their number of cells; everything else works on these few rows.
+    lines = csv_lines(spark, path) if lines is None else lines
+    # Records are counted by their number of cells; everything else works on these few rows.
     widths = lines.groupBy("path", "found").agg(F.count("*").alias("n"))
-    headers = lines.filter("row_number = 1").select("path", F.col("line").alias("header"), F.col("found").alias("column_count"))
+    headers = lines.filter("row_number = 1").select(
+        "path", "encoding", "breaks", F.col("line").alias("header"), F.col("found").alias("column_count"))
     fits = F.col("found") == F.col("column_count")
-    per_file = headers.join(widths, "path").groupBy("path", "header", "column_count").agg(
+    per_file = headers.join(widths, "path").groupBy("path", "encoding", "breaks", "header", "column_count").agg(
         (F.sum("n") - 1).alias("row_count"), F.coalesce(F.sum(F.when(~fits, F.col("n"))), F.lit(0)).alias("ragged_rows"))
     names = F.transform(F.split("header", ","), lambda n: strip_ws(F.regexp_replace(n, '^"|"$', "")))
     twice = F.array_distinct(F.filter("column_names", lambda n: F.size(
@@ -116,28 +141,34 @@ def check_csv_structure(spark: SparkSession, path: str) -> DataFrame:
             "errors": F.array_compact(F.array(F.when(
                 empty, "CSV header is empty or contains only empty values")))})
         .withColumn("is_valid", F.size("errors") == 0)
-        .select("path", "is_valid", "row_count", "column_count", "column_names", "duplicate_names", "ragged_rows", "errors"))
+        .select("path", "is_valid", "encoding", "breaks", "row_count", "column_count", "column_names", "duplicate_names",
+                "ragged_rows", "errors"))
 
 
-def header_names(spark: SparkSession, path: str, encoding: str | None = None) -> list[str]:
+def header_names(spark: SparkSession, path: str | list[str], encoding: str | None = None,
+                 multi_line: bool = False) -> list[str]:
     """Stripped column names; a column without a name becomes ``column_<i>``."""
-    given = spark.read.csv(path, header=True, encoding=_java_charset(encoding), enforceSchema=True).columns
+    given = spark.read.csv(path, header=True, encoding=_java_charset(encoding), enforceSchema=True, quote='"', escape='"',
+                           multiLine=multi_line).columns
     if encoding == "windows-1252":
         given = [n.translate(str.maketrans(_C1)) for n in given]
     return [f"column_{i}" if n.strip() in ("", f"_c{i}") else n.strip() for i, n in enumerate(given)]
 
 
 def read_bronze(
-    spark: SparkSession, path: str, encoding: str | None = None, dataset_id: str = "", multi_line: bool = False
+    spark: SparkSession, path: str | list[str], encoding: str | None = None, dataset_id: str = "", multi_line: bool = False
 ) -> DataFrame:
-    """Raw CSV as text columns with ``_row_number`` (the first record is 2) and ``_corrupt_record``.
+    """Raw CSV files of one header and one encoding as text columns.
 
-    Surplus cells are dropped and the record text kept in ``_corrupt_record``;
-    ``_missing_cells`` marks short rows, which validation rejects. Blank lines
-    are skipped. Quoted line breaks need ``multi_line``, which reads a file as
-    one split.
+    Adds ``_row_number`` within the file (the first record is 2), ``_file``,
+    ``_row_id`` over all files, and ``_corrupt_record``. Surplus cells are dropped and
+    the record text kept in ``_corrupt_record``; ``_missing_cells`` marks short rows, which
+    validation rejects. Blank lines are skipped. Quoted line breaks and UTF-16 need
+    ``multi_line``, which reads a file as one split. :func:`read_files` reads any mixture of files.
     """
-    names = header_names(spark, path, encoding)
+    if encoding == "utf-16" and not multi_line:
+        raise ValueError("UTF-16 is read with multi_line=True only")
+    names = header_names(spark, path, encoding, multi_line)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
     raw = spark.read.schema(schema).csv(
         path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, quote='"', escape='"',
@@ -147,20 +178,41 @@ def read_bronze(
     numbered = number_rows(raw, ROW, 2).withColumn("_missing_cells", short)
     # An empty cell is empty text; only a cell that is not there is null.
     return numbered.select(
-        ROW, F.lit(dataset_id).alias(DATASET),
+        ROW, FILE, ROW_ID, F.lit(dataset_id).alias(DATASET),
         *[_repaired(F.when(F.col("_missing_cells"), F.col(f"`{n}`")).otherwise(F.coalesce(F.col(f"`{n}`"), F.lit(""))),
                     encoding).alias(n) for n in names],
         _repaired(F.col(CORRUPT), encoding).alias(CORRUPT), "_missing_cells")
 
 
-def infer_schema(df: DataFrame, sample_rows: int = 20, order: str = ROW) -> DataFrame:
-    """(position, column, type) from the first rows: int, float, date, bool, else str."""
+def read_files(spark: SparkSession, path: str, dataset_id: str = "", structure: DataFrame | None = None,
+               encoding: str | None = None) -> DataFrame:
+    """CSV files of any encodings and headers as one table, columns matched by name.
+
+    Files are read in groups of equal header, encoding and kind; ``structure`` is the result of
+    :func:`check_csv_structure` if it is at hand. Only its facts per file come to the driver.
+    """
+    structure = check_csv_structure(spark, path) if structure is None else structure
+    kinds: dict[tuple, list[str]] = {}
+    for r in structure.select("path", "encoding", "breaks", "column_names").collect():
+        found = encoding or r["encoding"]
+        header = r["path"] if found == "utf-16" else tuple(r["column_names"])
+        kinds.setdefault((found, r["breaks"] or found == "utf-16", header), []).append(r["path"])
+    tables = [read_bronze(spark, sorted(files), found, dataset_id, breaks) for (found, breaks, _), files in kinds.items()]
+    if len(tables) == 1:
+        return tables[0]
+    # Every group has counted its own rows; the group's place makes the ids unique over all of them.
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
+        t.withColumn(ROW_ID, F.col(ROW_ID) * len(tables) + i) for i, t in enumerate(tables)])
+
+
+def infer_schema(df: DataFrame, sample_rows: int | None = 20, order: str = ROW) -> DataFrame:
+    """(position, column, type): int, float, date, bool, else str; from the first rows, or with None from all."""
     columns = [c for c in df.columns if not c.startswith("_")]
-    # A distributed top-k; only the few sample rows come back.
     cells = df.select(order, *[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
-    rows = cells.orderBy(order).limit(sample_rows).collect()
-    sample = df.sparkSession.createDataFrame(rows, cells.schema).select(
-        *[strip_ws(F.col(f"`{c}`")).alias(c) for c in columns])
+    if sample_rows is not None:
+        # A distributed top-k; only the few sample rows come back.
+        cells = df.sparkSession.createDataFrame(cells.orderBy(order).limit(sample_rows).collect(), cells.schema)
+    sample = cells.select(*[strip_ws(F.col(f"`{c}`")).alias(c) for c in columns])
 
     def all_fit(c: str, *patterns: str) -> Column:
         fits = F.lit(False)

@@ -10,32 +10,38 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidyledger.functions import vocabulary as words
 from tidyledger.operators.analytics import Gold
 from tidyledger.schema import TableSpec
-from tidyledger.sources.files import check_csv_structure, detect_encoding, read_bronze
+from tidyledger.sources.files import check_csv_structure, read_files
+from tidyledger.sources.scratch import stored
 
 MANIFEST = ("dataset_id string, source string, ingested_at timestamp, encoding string, row_count bigint, "
-            "column_names array<string>, storage_path string, size_bytes bigint, ragged_rows bigint")
+            "column_names array<string>, storage_path string, size_bytes bigint, ragged_rows bigint, "
+            "files array<struct<path:string,encoding:string,row_count:bigint>>")
 
 
 def ingest(spark: SparkSession, path: str, store: str, encoding: str | None = None) -> DataFrame:
-    """Store raw CSV as numbered text rows in Parquet and return its one-row manifest, also kept in the store.
+    """Store raw CSV files as numbered text rows in Parquet and return the one-row manifest, also kept in the store.
 
-    A file that fails the structure check is refused.
+    Every file is read in its own encoding unless one is given, with its own header;
+    columns are matched by name. A file that fails the structure check is refused. The manifest names the
+    stored columns, all encodings found, and has one entry per file.
     """
-    found = encoding or detect_encoding(spark, path).agg(F.max("encoding")).first()[0]
-    if found is None:
+    structure = stored(check_csv_structure(spark, path), "structure")
+    checked = structure.agg(
+        F.bool_and("is_valid").alias("ok"), F.sum("row_count").alias("row_count"), F.sum("ragged_rows").alias("ragged_rows"),
+        F.array_join(F.array_sort(F.collect_set("encoding")), ",").alias("encodings"),
+        F.array_sort(F.collect_list(F.struct("path", "encoding", "row_count"))).alias("files")).first()
+    if checked["ok"] is None:
         raise ValueError(f"{path}: CSV file is empty (no header row)")
-    checked = check_csv_structure(spark, path).agg(
-        F.bool_and("is_valid").alias("ok"), F.sum("row_count").alias("row_count"),
-        F.sum("ragged_rows").alias("ragged_rows"), F.first("column_names").alias("column_names")).first()
     if not checked["ok"]:
         raise ValueError(f"{path}: CSV header is empty or contains only empty values")
     size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
     now = datetime.now(timezone.utc)
     dataset_id = str(uuid.uuid4())
     storage = f"{store}/data/{now:%Y%m%d_%H%M%S}_{dataset_id[:8]}"
-    read_bronze(spark, path, found, dataset_id).write.parquet(storage)
-    row = (dataset_id, path, now.replace(tzinfo=None), found, checked["row_count"], checked["column_names"], storage,
-           size, checked["ragged_rows"])
+    read_files(spark, path, dataset_id, structure, encoding).write.parquet(storage)
+    names = [c for c in spark.read.parquet(storage).columns if not c.startswith("_")]
+    row = (dataset_id, path, now.replace(tzinfo=None), encoding or checked["encodings"], checked["row_count"], names, storage,
+           size, checked["ragged_rows"], [tuple(f) for f in checked["files"]])
     manifest = spark.createDataFrame([row], MANIFEST)
     manifest.write.mode("append").parquet(f"{store}/manifest")
     return manifest
