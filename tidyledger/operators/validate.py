@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidyledger.functions import vocabulary as words
 from tidyledger.functions.cleaning import has_amount_text
-from tidyledger.operators.clean import CORRUPT, LOG, RAW, ROW, clean
+from tidyledger.operators.clean import CORRUPT, LOG, RAW, ROW, clean, row_key
 from tidyledger.schema import TableSpec
 
 STATUS, ERRORS = "_status", "_errors"
@@ -66,10 +66,6 @@ def validate(df: DataFrame, spec: TableSpec, ragged: str = "keep") -> DataFrame:
                 F.lit("").alias("field"), F.lit("missing columns" if wanted != "true" else "ragged row").alias("message"),
                 F.col(CORRUPT).alias("value"))))
     errors = F.array_compact(F.array(*[e.cast(ERROR_TYPE) for e in found]))
-    # A filter on the status must not be pushed below this projection: it would be
-    # evaluated on the raw text, with all cleaning expressions copied into it. Catalyst
-    # leaves filters above a non-deterministic column; this condition always holds.
-    errors = F.when(F.rand(0) >= 0, errors)
     return df.withColumn(ERRORS, errors).withColumn(
         STATUS, F.when(F.size(ERRORS) == 0, words.STATUS_VALID).otherwise(words.STATUS_INVALID))
 
@@ -92,12 +88,13 @@ def split(df: DataFrame) -> Routed:
 
 def error_log(df: DataFrame) -> DataFrame:
     """One row per rejected record."""
-    return df.filter(F.col(STATUS) == words.STATUS_INVALID).select(ROW, ERRORS, LOG)
+    return df.filter(F.col(STATUS) == words.STATUS_INVALID).select(row_key(df), ERRORS, LOG)
 
 
 def error_log_long(df: DataFrame) -> DataFrame:
     """One row per error of a rejected record."""
-    return error_log(df).select(ROW, F.explode(ERRORS).alias("e")).select(ROW, "e.field", "e.message", "e.value")
+    key = row_key(df)
+    return error_log(df).select(key, F.explode(ERRORS).alias("e")).select(key, "e.field", "e.message", "e.value")
 
 
 def silver_stats(df: DataFrame) -> DataFrame:
@@ -152,17 +149,22 @@ def apply_corrections(
 ) -> DataFrame:
     """Overlay proposed field values on rejected rows and validate those again.
 
-    ``corrections`` has ``_row_number``, ``corrected_fields``, ``corrections``
-    and ``confidence``, at most one row per record. Rows that still fail keep
+    ``corrections`` has the row key, ``corrected_fields``, ``corrections`` and
+    ``confidence``; of several proposals for a record the most confident counts. Rows that still fail keep
     their old values and errors; those that pass go to review when the
     confidence is below the threshold, and else count as corrected.
     Only the rejected rows take part in the join.
     """
     routed = split(df)
-    proposal = corrections.filter("success").select(
-        ROW, "corrected_fields", "corrections", "confidence") if "success" in corrections.columns else (
-        corrections.select(ROW, "corrected_fields", "corrections", "confidence"))
-    joined = routed.rejected.join(proposal, ROW, "left")
+    key = row_key(df, corrections)
+    # Only proposals for rejected rows are looked at, and parsed where parsing comes before.
+    proposal = corrections.join(routed.rejected.select(key), key, "left_semi")
+    if "success" in corrections.columns:
+        proposal = proposal.filter("success")
+    order = F.struct("confidence", F.to_json("corrected_fields"))
+    proposal = proposal.groupBy(key).agg(F.max_by(F.struct("corrected_fields", "corrections", "confidence"), order).alias(
+        "p")).select(key, "p.*")
+    joined = routed.rejected.join(proposal, key, "left")
     overlaid = {}
     for f in spec.fields:
         text = F.col("corrected_fields")[f.name]

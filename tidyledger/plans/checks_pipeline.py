@@ -11,10 +11,14 @@ SQL = {
     "pipeline_report": CLEANED + """
       SELECT count(*) AS row_count, count(*) AS total_records, count(*) FILTER (n_errors = 0) AS valid_records,
         count(*) FILTER (n_errors > 0) AS invalid_records, count(*) FILTER (n_errors = 0) AS record_count,
-        'importe_base,importe_pendiente,importe_total,iva' AS statistics_fields FROM judged""",
+        0::BIGINT AS corrected_records, 0::BIGINT AS review_records, 0::BIGINT AS merged_groups, 0::BIGINT AS review_groups,
+        round(count(*) FILTER (n_errors = 0) / count(*), 6) AS valid_rate,
+        'num_factura,fecha,proveedor,nif_cif,tipo,categoria,importe_base,iva,importe_total,estado_factura,importe_pendiente' AS column_names,
+        'importe_base,importe_pendiente,importe_total,iva' AS statistics_fields,
+        'categoria,estado_factura,fecha,proveedor,tipo' AS index_fields FROM judged""",
     "pipeline_hooks": CLEANED + """
       SELECT CASE WHEN n_errors = 0 THEN 'valid' ELSE 'invalid' END AS status, count(*) AS n,
         count(*) FILTER (abs(importe_base + iva - importe_total) > 0.01) AS warned
       FROM judged WHERE categoria = 'Machinery' GROUP BY 1""",
-    "stream_upsert": BASE + "SELECT 'Pagada' AS estado_factura, count(*) AS n FROM invoices",
+    "stream_upsert": BASE + "SELECT num_factura, _row_number, 'Pagada' AS estado_factura FROM invoices",
 }

@@ -121,22 +121,33 @@ def silver_layer(
 
 
 def pipeline_report(raw: DataFrame, silver: Silver, gold: A.Gold) -> DataFrame:
-    """One row with a struct of counters per layer; only counts and field names are looked at."""
-    counts = V.silver_stats(silver.validated).first()
-    grades = {r["grade"]: r["n"] for r in (
-        silver.groups.groupBy("grade").agg(F.count("*").alias("n")).collect() if silver.groups is not None else [])}
-    fields = sorted(r["field"] for r in gold.statistics.select("field").collect())
-    indexed = sorted(r["field"] for r in gold.indexes.select("field").distinct().collect())
-    row = (
-        (raw.count(), [c for c in raw.columns if not c.startswith("_")]),
-        (*counts, grades.get(D.MERGE_GRADE, 0), grades.get(D.REVIEW_GRADE, 0)),
-        (gold.records.count(), fields, indexed),
-    )
-    return raw.sparkSession.createDataFrame([row], (
-        "bronze struct<row_count:bigint,column_names:array<string>>, "
-        "silver struct<total_records:bigint,valid_records:bigint,invalid_records:bigint,corrected_records:bigint,"
-        "review_records:bigint,valid_rate:double,merged_groups:bigint,review_groups:bigint>, "
-        "gold struct<record_count:bigint,statistics_fields:array<string>,index_fields:array<string>>"))
+    """One row with a struct of counters per layer, computed when it is asked for.
+
+    One aggregate per layer: a field has statistics if any of its values is a number, so
+    the analytics themselves are not computed for it.
+    """
+    stats = V.silver_stats(silver.validated)
+    money = sorted(f for f in words.MONEY_FIELDS if f in gold.records.columns)
+    indexed = sorted(f for f in words.INDEX_FIELDS if f in gold.records.columns)
+    facts = gold.records.agg(F.struct(F.count("*").alias("n"), *[
+        F.count(F.col(f).try_cast("double")).alias(f) for f in money]).alias("facts")).scalar()
+    columns = F.array(*[F.lit(c) for c in raw.columns if not c.startswith("_")])
+    graded = {grade: F.lit(0).cast("long") if silver.groups is None else silver.groups.agg(
+        F.count_if(F.col("grade") == grade)).scalar() for grade in (D.MERGE_GRADE, D.REVIEW_GRADE)}
+    with_facts = stats.withColumn("facts", facts)
+    return with_facts.select(
+        F.struct(raw.agg(F.count("*")).scalar().alias("row_count"), columns.alias("column_names")).alias("bronze"),
+        F.struct(*stats.columns, graded[D.MERGE_GRADE].alias("merged_groups"),
+                 graded[D.REVIEW_GRADE].alias("review_groups")).alias("silver"),
+        F.struct(
+            F.col("facts.n").alias("record_count"),
+            F.array_compact(F.array(*[F.when(F.col(f"facts.{f}") > 0, F.lit(f)) for f in money])).alias("statistics_fields"),
+            F.when(F.col("facts.n") > 0, F.array(*[F.lit(f) for f in indexed])).otherwise(F.array().cast("array<string>"))
+            .alias("index_fields")).alias("gold"))
+
+
+def _row_columns(df: DataFrame) -> tuple[str, ...]:
+    return tuple(c for c in (C.ROW, C.FILE, C.ROW_ID) if c in df.columns)
 
 
 def run_layers(raw: DataFrame, spec: TableSpec = INVOICE_SPEC, hooks: Hooks | None = None, **silver) -> PipelineResult:
@@ -156,7 +167,7 @@ def run_layers(raw: DataFrame, spec: TableSpec = INVOICE_SPEC, hooks: Hooks | No
 
     validated = around("silver", raw, silver_step)
     routed = V.split(validated)
-    records = around("gold", routed.clean.select(C.ROW, *spec.names), lambda df: df)
+    records = around("gold", routed.clean.select(*_row_columns(routed.clean), *spec.names), lambda df: df)
     gold = A.aggregate(records)
     result = Silver(validated, made[0].groups, made[0].members)
     return PipelineResult(raw, result, *routed, gold, pipeline_report(raw, result, gold))
@@ -169,7 +180,9 @@ def run_pipeline(spark: SparkSession, path: str, spec: TableSpec = INVOICE_SPEC,
     result = run_layers(S.read_ingested(spark, manifest), spec, hooks, **silver)
     if store:
         run = f"{store}/runs/{manifest.first()['dataset_id']}"
-        S.write_clean(result.clean, f"{run}/clean", spec, keep=(C.ROW,))
+        S.write_clean(result.clean, f"{run}/clean", spec, keep=_row_columns(result.clean))
+        result.rejected.write.parquet(f"{run}/rejected")
+        V.error_log_long(result.rejected).write.parquet(f"{run}/errors")
         S.write_gold(result.gold, f"{run}/gold")
         if result.silver.members is not None:
             S.write_review(D.review_entries(result.silver.members), f"{run}/review")

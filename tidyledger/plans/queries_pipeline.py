@@ -21,8 +21,11 @@ def pipeline_report(spark, sf_dir):
     result = P.run_layers(dirty_invoices(spark, sf_dir), dedupe_fields=("categoria",))
     return result.report.select(
         F.col("bronze.row_count"), F.col("silver.total_records"), F.col("silver.valid_records"),
-        F.col("silver.invalid_records"), F.col("gold.record_count"),
-        F.array_join("gold.statistics_fields", ",").alias("statistics_fields"))
+        F.col("silver.invalid_records"), "silver.corrected_records", "silver.review_records",
+        F.round("silver.valid_rate", 6).alias("valid_rate"), "silver.merged_groups", "silver.review_groups",
+        F.col("gold.record_count"), F.array_join("bronze.column_names", ",").alias("column_names"),
+        F.array_join("gold.statistics_fields", ",").alias("statistics_fields"),
+        F.array_join("gold.index_fields", ",").alias("index_fields"))
 
 
 def pipeline_hooks(spark, sf_dir):
@@ -37,18 +40,17 @@ def pipeline_hooks(spark, sf_dir):
 
 
 def stream_upsert(spark, sf_dir):
-    """All invoices, then every unpaid one again as paid, as two files of a stream."""
+    """All invoices, then every unpaid one again as paid, as two streams over many files; the rows they leave."""
     rows = invoices(spark, sf_dir).select("num_factura", "_row_number", "estado_factura")
     source = new_path(spark, "stream")
-    rows.coalesce(1).write.parquet(source)
-    rows.filter(F.col("estado_factura") != "Pagada").withColumn("estado_factura", F.lit("Pagada")).coalesce(
-        1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     path = new_path(spark, "versions")
-    query = upsert_stream(stream, path, new_path(spark, "progress"))
-    query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 1
-    return snapshot(spark, path, min(last, 1)).groupBy("estado_factura").agg(F.count("*").alias("n"))
+    paid = rows.filter(F.col("estado_factura") != "Pagada").withColumn("estado_factura", F.lit("Pagada"))
+    for some, label in ((rows, "first"), (paid, "second")):
+        some.repartition(4).write.parquet(f"{source}/{label}")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{source}/{label}")
+        # The second stream has a checkpoint of its own, as one that lost the first one's.
+        upsert_stream(stream, path, new_path(spark, "progress"), parts=8).awaitTermination()
+    return snapshot(spark, path).select("num_factura", "_row_number", "estado_factura")
 
 
 QUERIES = {f.__name__: f for f in (pipeline_segments, pipeline_report, pipeline_hooks, stream_upsert)}

@@ -1,30 +1,80 @@
-"""Incremental updates fed by a stream of files: each batch is one upsert."""
+"""Incremental updates fed by a stream of files: each batch is one upsert of the key partitions it touches."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from tidyledger.operators.clean import ROW
 from tidyledger.operators.updates import upsert
 
+PARTS = 64
+# One row per key partition that a version rewrote, and one with part -1 for the version itself.
+_LOG = "version int, query_id string, batch long, part int, folder string"
+
+
+def _log(spark: SparkSession, path: str) -> list:
+    try:
+        return spark.read.schema(_LOG).parquet(f"{path}/log").collect()
+    except AnalysisException:  # no version yet
+        return []
+
 
-def snapshot(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/version={version}")
+def _current(log: list, version: int) -> dict[int, str]:
+    """Folder of every key partition at a version: at most one per partition."""
+    folders: dict[int, tuple[int, str]] = {}
+    for r in log:
+        if 0 <= r["part"] and r["version"] <= version and r["version"] >= folders.get(r["part"], (-1, ""))[0]:
+            folders[r["part"]] = r["version"], r["folder"]
+    return {part: folder for part, (_, folder) in folders.items()}
 
 
-def upsert_stream(batches: DataFrame, path: str, checkpoint: str, key: str = "num_factura") -> StreamingQuery:
-    """Keep the last row per key over all batches seen; batch n writes ``path/version=n``.
+def snapshot(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """All rows at a version, the newest by default."""
+    log = _log(spark, path)
+    if not log:
+        raise ValueError(f"{path}: no version yet")
+    newest = max(r["version"] for r in log)
+    folders = _current(log, newest if version is None else version)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
+        spark.read.parquet(folder) for _, folder in sorted(folders.items())])
 
-    A batch that is retried after a failure reads the version before it and
-    replaces its own folder, so every batch counts once. Rows of a batch keep
-    their ``_row_number`` as order, or get one.
+
+def upsert_stream(batches: DataFrame, path: str, checkpoint: str, key: str = "num_factura", order: str = ROW,
+                  parts: int = PARTS) -> StreamingQuery:
+    """Keep the last row per key over all batches seen.
+
+    Rows are kept in ``parts`` partitions by the hash of their key. A batch reads and
+    rewrites only the partitions its keys fall into, and then adds a version to the log, which
+    makes it count. A batch that is retried after a failure is known by its query and
+    number: it replaces its own version. A stream whose checkpoint was lost has a new
+    query id, so it goes on from the newest version and never writes over it. The batches
+    must have an ``order`` column that says which of a batch's rows for a key is the last.
     """
+    if order not in batches.columns:
+        raise ValueError(f"the stream needs the order column {order}")
+
     def step(batch: DataFrame, number: int) -> None:
-        new = batch if ROW in batch.columns else batch.withColumn(ROW, F.monotonically_increasing_id())
-        # The first batch has nothing to add to, but may hold a key twice itself.
-        existing = snapshot(batch.sparkSession, path, number - 1) if number else new.limit(0)
-        upsert(existing, new, key).write.mode("overwrite").parquet(f"{path}/version={number}")
+        spark = batch.sparkSession
+        query_id = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+        log = _log(spark, path)
+        done = [r["version"] for r in log if (r["query_id"], r["batch"]) == (query_id, number)]
+        if done:
+            return  # the log row is written last, so the version is complete
+        base = max((r["version"] for r in log), default=-1)
+        version, known = base + 1, _current(log, base)
+        part = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(parts)).cast("int")
+        new = batch.withColumn("_part", part)
+        touched = [r["_part"] for r in new.select("_part").distinct().collect()]
+        old = [spark.read.parquet(known[p]).withColumn("_part", F.lit(p)) for p in touched if p in known]
+        existing = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), old) if old else new.limit(0)
+        target = f"{path}/data/version={version}"
+        upsert(existing, new, key, order).repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(target)
+        rows = [(version, query_id, number, p, f"{target}/_part={p}") for p in touched] + [(version, query_id, number, -1, "")]
+        spark.createDataFrame(rows, _LOG).coalesce(1).write.mode("append").parquet(f"{path}/log")
 
     return (batches.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
