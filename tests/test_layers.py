@@ -80,7 +80,7 @@ def test_bracketed_median_is_exact(spark, n):
     rng = random.Random(n)
     values = [rng.choice([round(rng.gauss(0, 100), 2), 5.0, 5.0]) for _ in range(n)]
     df = spark.createDataFrame([(v, v if i % 2 else None) for i, v in enumerate(values)], "iva double, importe_base double")
-    got = {r["field"]: r["median"] for r in A.field_statistics(df, small_field=0).collect()}
+    got = {r["field"]: r["median"] for r in A.field_statistics(df).collect()}
     assert got["iva"] == pytest.approx(statistics.median(values))
     if n > 1:
         assert got["importe_base"] == pytest.approx(statistics.median(values[1::2]))
@@ -90,7 +90,7 @@ def test_wide_brackets_are_narrowed(spark, monkeypatch):
     monkeypatch.setattr(A, "BRACKET_VALUES", 0)
     values = [float((i * 7919) % 5003) / 7 for i in range(5003)]
     df = spark.createDataFrame([(v, v if v > 300 else 1.0) for v in values], "iva double, importe_base double")
-    got = {r["field"]: r["median"] for r in A.field_statistics(df, small_field=0).collect()}
+    got = {r["field"]: r["median"] for r in A.field_statistics(df).collect()}
     assert got == {"iva": statistics.median(values), "importe_base": statistics.median([v if v > 300 else 1.0 for v in values])}
 
 
@@ -189,7 +189,7 @@ def test_latin1_file_and_inference(spark, tmp_path):
     path = tmp_path / "l.csv"
     path.write_bytes("id,nombre,fecha,importe,activo,\n1,Peña,01/02/2024,\"1,5\",sí,\n2,Ruiz,15/02/2024,20 €,no,\n".encode("cp1252"))
     raw = files.read_bronze(spark, str(path), "windows-1252")
-    assert raw.columns[2:8] == ["id", "nombre", "fecha", "importe", "activo", "column_5"]
+    assert [c for c in raw.columns if not c.startswith("_")] == ["id", "nombre", "fecha", "importe", "activo", "column_5"]
     assert raw.orderBy("_row_number").first()["nombre"] == "Peña"
     assert {r["column"]: r["type"] for r in files.infer_schema(raw).collect()} == {
         "id": "int", "nombre": "str", "fecha": "date", "importe": "float", "activo": "bool", "column_5": "str"}
@@ -270,16 +270,25 @@ def test_text_functions(spark, function, table):
 def test_neighbours_equal_brute_force(spark):
     rng = random.Random(3)
     docs = [(i, [rng.randint(0, 3) * 1.0 for _ in range(4)], rng.choice("ab")) for i in range(200)]
-    asks = [(q, [rng.randint(0, 3) * 1.0 for _ in range(4)], rng.choice(["a", None]), rng.choice([3, None])) for q in range(7)]
+    asks = [(q, [rng.randint(0, 3) * 1.0 for _ in range(4)], rng.choice(["a", None]), rng.choice([3, 40])) for q in range(7)]
     df = spark.createDataFrame(docs, "id long, v array<double>, kind string").repartition(5)
     queries = spark.createDataFrame(asks, "query_id long, v array<double>, kind string, k int")
     got = {(r["query_id"], r["id"]): (r["rank"], r["distance"])
-           for r in R.nearest(df, queries, "id", "v", ["kind"], block=2).collect()}
+           for r in R.nearest(df, queries, "id", "v", ["kind"], block=2, share_rows=30).collect()}
     want = {}
     for q, p, kind, k in asks:
         best = sorted((sum((a - b) ** 2 for a, b in zip(v, p)), i) for i, v, t in docs if kind in (None, t))[:k]
-        want |= {(q, i): (n if k else None, d) for n, (d, i) in enumerate(best, 1)}
+        want |= {(q, i): (n, d) for n, (d, i) in enumerate(best, 1)}
     assert got == want
+    with pytest.raises(Exception, match="a query needs k"):
+        R.nearest(df, queries.withColumn("k", F.lit(None).cast("int")), "id", "v", ["kind"]).collect()
+
+
+def test_neighbour_plan_does_not_grow_with_the_queries(spark):
+    df = spark.range(50).select("id", F.array(F.rand(1), F.rand(2)).alias("v"))
+    few, many = (R.nearest(df, df.limit(n).selectExpr("id query_id", "v", "2 k"), "id", "v", block=4)
+                 ._jdf.queryExecution().executedPlan().toString().count("Exchange") for n in (4, 40))
+    assert few == many
 
 
 def test_conversation_tail(spark):
@@ -336,8 +345,21 @@ def test_stream_of_batches_keeps_the_last_row(spark, tmp_path):
             1).write.mode("append").parquet(source)
         stream = spark.readStream.schema("_row_number long, num_factura string, v int").parquet(source)
         upsert_stream(stream, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
-    got = {r["num_factura"]: r["v"] for r in snapshot(spark, str(tmp_path / "out"), 2).collect()}
+    got = {r["num_factura"]: r["v"] for r in snapshot(spark, str(tmp_path / "out")).collect()}
     assert got == {"a": 2, "b": 9, "c": 3}
+    assert {r["num_factura"] for r in snapshot(spark, str(tmp_path / "out"), 1).collect()} == {"a", "b"}
+
+
+def test_stream_survives_a_lost_checkpoint_and_needs_an_order(spark, tmp_path):
+    schema, out = "_row_number long, num_factura string, v int", str(tmp_path / "out")
+    for n, rows in enumerate([[(1, "a", 1), (2, "b", 1)], [(1, "b", 2)]]):
+        source = str(tmp_path / f"in{n}")
+        spark.createDataFrame(rows, schema).write.parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        upsert_stream(stream, out, str(tmp_path / f"progress{n}"), parts=4).awaitTermination()
+    assert {(r["num_factura"], r["v"]) for r in snapshot(spark, out).collect()} == {("a", 1), ("b", 2)}
+    with pytest.raises(ValueError, match="order column"):
+        upsert_stream(spark.readStream.schema("num_factura string").parquet(str(tmp_path / "in0")), out, "x")
 
 
 def test_cleaning_has_no_python_and_no_shuffle(spark):
@@ -366,4 +388,69 @@ def test_summary_document_has_no_cross_join(spark):
     assert docs.first()["content"] == (
         "Dataset Summary:\n- Total records: 3\n- Income (Ingreso) records: 1, total: 5.00 EUR\n"
         "- Expense (Gasto) records: 2, total: 3.00 EUR\n- Net balance: 2.00 EUR\n- Categories: Viajes (2), Ocio (1)\n")
-    assert [d["content"].count("(1)") for d in R.summary_documents(df, rows=1).collect()]
+    late = spark.createDataFrame([(2, "Gasto", "a", 1.0), (150_000, "Gasto", "b", 1.0)], df.schema)
+    assert R.summary_documents(late).count() == 1
+
+
+def test_several_files_are_told_apart(spark, tmp_path):
+    for n in range(2):
+        (tmp_path / f"f{n}.csv").write_text(f"num_factura,tipo\nx{n},a\ny{n},a\n")
+    raw = files.read_files(spark, f"{tmp_path}/*.csv")
+    assert raw.select("_row_id").distinct().count() == 4 and sorted(r[0] for r in raw.select("_row_number").collect()) == [2, 2, 3, 3]
+    assert U.compare(raw, raw).count() == 4
+    ids = A.value_index_rows(raw, ["tipo"]).collect()
+    assert sorted(i for r in ids for i in r["row_indices"]) == sorted(r["_row_id"] for r in raw.collect())
+
+
+def test_rows_survive_a_change_of_the_split_size(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(20_000).selectExpr("id", "'x' AS filler").coalesce(1).write.csv(path, header=True)
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        spark.conf.set("spark.sql.files.minPartitionNum", "4")
+        raw = files.read_bronze(spark, path)
+        spark.conf.set("spark.sql.files.minPartitionNum", "7")
+        got = raw.select(F.col("id").cast("long"), "_row_number").collect()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert len(got) == 20_000 and all(r["_row_number"] == r["id"] + 2 for r in got)
+
+
+def test_files_of_different_encodings_headers_and_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("número,y\nuno ñ,1\n".encode())
+    (tmp_path / "b.csv").write_bytes("y,número\n2,dos é\n".encode("latin-1"))
+    (tmp_path / "c.csv").write_bytes("número,y\ntres €,3\n".encode("cp1252"))
+    (tmp_path / "d.csv").write_bytes("número,y\ncuatro ü,4\n".encode("utf-16"))
+    (tmp_path / "e.csv").write_bytes('número,y\n"cin\nco",5\n'.encode())
+    manifest = store.ingest(spark, f"{tmp_path}/*.csv", str(tmp_path / "store"))
+    rows = store.read_ingested(spark, manifest)
+    assert {(r["número"], r["y"]) for r in rows.collect()} == {
+        ("uno ñ", "1"), ("dos é", "2"), ("tres €", "3"), ("cuatro ü", "4"), ("cin\nco", "5")}
+    facts = manifest.first()
+    assert set(facts["column_names"]) == {"número", "y"} and facts["row_count"] == 5 and facts["ragged_rows"] == 0
+    assert {f["encoding"] for f in facts["files"]} == {"utf-8", "latin-1", "windows-1252", "utf-16"}
+
+
+def test_long_cells_are_counted_without_recursion(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(('x,y\n"' + 'a""b,' * 40_000 + '",ñ\n').encode("latin-1"))
+    facts = files.check_csv_structure(spark, f"{tmp_path}/a.csv").first()
+    assert facts["ragged_rows"] == 0 and facts["encoding"] == "latin-1"
+
+
+def test_the_most_confident_correction_counts(spark):
+    bad = V.validate(C.clean(dirty(spark, fecha="04/21/2025").withColumn("_row_number", F.lit(2).cast("long"))), INVOICE_SPEC)
+    reply = '{"corrected_fields": {"fecha": "2024-01-%02d"}, "corrections": [], "confidence": %s}'
+    proposals = corrections(spark, (2, reply % (1, 0.7)), (2, reply % (2, 0.9)), (2, reply % (3, 0.8)))
+    fixed = V.apply_corrections(bad, proposals, INVOICE_SPEC).collect()
+    assert [str(r["fecha"])[:10] for r in fixed] == ["2024-01-02"]
+
+
+def test_an_update_recomputes_the_analytics(spark):
+    schema = "_row_number long, num_factura string, tipo string, importe_total double"
+    old = spark.createDataFrame([(1, "a", "Gasto", 1.0), (2, "b", "Gasto", 2.0)], schema)
+    made = U.update(old, spark.createDataFrame([(1, "b", "Ingreso", 5.0)], schema))
+    assert {(r["segment"], r["count"]) for r in made.gold.segments.collect() if r["segment_field"] == "tipo"} == {
+        ("Gasto", 1), ("Ingreso", 1)}
+    assert made.counts.first().asDict() == {"previous_record_count": 2, "record_count": 2, "new_records_added": 0}

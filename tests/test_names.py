@@ -128,8 +128,9 @@ def test_review_flow(spark):
     decided = D.decide(review, made)
     assert sorted(r[0] for r in D.apply_review(result.records, decided, result.members).collect()) == [
         "Aseo", "Aseo", "Aseo", "Marketing"]
-    entry = D.review_entries(result.members).first()
-    assert entry.asDict() == {"campo": "categoria", "grupo": ["Limpieza", "Limpiesa"], "similitud": 0.88, "accion": "pendiente"}
+    entries = D.review_entries(result.members).orderBy("posicion").collect()
+    assert [(e["grupo"], e["posicion"], e["nombre"], e["similitud"]) for e in entries] == [
+        ("Limpieza", 1, "Limpieza", 0.88), ("Limpieza", 2, "Limpiesa", 0.88)]
 
 
 def test_empty_field(spark):

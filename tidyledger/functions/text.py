@@ -90,9 +90,9 @@ def question_filter(c: Column) -> Column:
     )
 
 
-def neighbours_wanted(kind: Column, total: Column) -> Column:
-    """How many documents a question needs: all of them, or at most 1000 for plain data."""
-    return F.when(kind == "data", F.least(total, F.lit(1000))).otherwise(total)
+def neighbours_wanted(kind: Column, total: Column, data_limit: int) -> Column:
+    """How many documents a question needs: all of them, or at most ``data_limit`` for plain data."""
+    return F.when(kind == "data", F.least(total, F.lit(data_limit))).otherwise(total)
 
 
 def needs_clarification(c: Column) -> Column:

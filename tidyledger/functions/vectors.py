@@ -1,10 +1,8 @@
-"""Nearest neighbours inside a task: running best k per query over the batches of a partition."""
+"""Nearest neighbours inside a task: one block of queries against one share of the documents."""
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -12,44 +10,48 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+ROWS_AT_ONCE = 128
 
-def nearest_in_partition(queries: list[dict[str, Any]], id_column: str, vector: str, filters: tuple[str, ...]):
-    """``mapInPandas`` function over (id, vector, filter columns).
 
-    Gives (query_id, id, distance) of the best ``k`` rows of the partition per
-    query by (squared distance, id), or of all matching rows where k is None.
-    A filter value of None puts no condition.
+def nearest_in_share(id_column: str, filters: tuple[str, ...]):
+    """Cogroup function over (query_id, k, point, asked filters) and (id, vector, filters).
+
+    Gives (query_id, k, id, distance) of the best k documents per query by (squared
+    distance, id). A filter value that is missing puts no condition. Queries that ask for
+    the same filter values share one matrix product, which picks the candidates; their distances
+    are then summed pair by pair.
     """
-    points = [(q, np.asarray(q["vector"], dtype=np.float64)) for q in queries]
-
-    def matching(batch: pd.DataFrame, query: dict[str, Any]) -> np.ndarray:
-        keep = np.ones(len(batch), dtype=bool)
-        for name in filters:
-            if query[name] is not None:
-                keep &= (batch[name] == query[name]).to_numpy(dtype=bool, na_value=False)
-        return np.flatnonzero(keep)
-
-    def frame(query_id, ids, distances) -> pd.DataFrame:
-        return pd.DataFrame({"query_id": query_id, id_column: ids, "distance": distances})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            if batch.empty:
-                continue
-            matrix = np.stack(batch[vector].to_numpy()).astype(np.float64)
-            ids = batch[id_column].to_numpy()
-            for i, (query, point) in enumerate(points):
-                rows = matching(batch, query)
-                distance = ((matrix[rows] - point) ** 2).sum(axis=1)
-                if query["k"] is None:
-                    yield frame(query["query_id"], ids[rows], distance)
-                    continue
-                old_ids, old = best.get(i, (ids[:0], distance[:0]))
-                all_ids, every = np.concatenate([old_ids, ids[rows]]), np.concatenate([old, distance])
-                first = np.lexsort((all_ids, every))[: query["k"]]
-                best[i] = all_ids[first], every[first]
-        for i, (found, distance) in best.items():
-            yield frame(points[i][0]["query_id"], found, distance)
+
+    def run(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+        columns = ["query_id", "k", id_column, "distance"]
+        if queries.empty or docs.empty:
+            return pd.DataFrame(columns=columns)
+        matrix, ids = np.stack(list(docs["_vector"])).astype(np.float64), docs[id_column].to_numpy()
+        squares = (matrix ** 2).sum(axis=1)
+        asked = [f"_asked_{f}" for f in filters]
+        groups = queries.groupby(asked, dropna=False, sort=False) if asked else [((), queries)]
+        out = []
+        for values, some in groups:
+            keep = np.ones(len(docs), dtype=bool)
+            for name, value in zip(filters, values if isinstance(values, tuple) else (values,), strict=True):
+                if not pd.isna(value):
+                    keep &= (docs[name] == value).to_numpy(dtype=bool, na_value=False)
+            rows = np.flatnonzero(keep)
+            for at in range(0, len(some) if len(rows) else 0, ROWS_AT_ONCE):
+                part = some.iloc[at:at + ROWS_AT_ONCE]
+                points = np.stack(list(part["_point"])).astype(np.float64)
+                rough = squares[rows] - 2 * points @ matrix[rows].T
+                for query_id, k, point, line in zip(part["query_id"], part["k"], points, rough, strict=True):
+                    k = min(int(k), len(rows))
+                    if not k:
+                        continue
+                    border = np.partition(line, k - 1)[k - 1]
+                    # Rounding of the product must not lose a document at the border.
+                    near = rows[line <= border + 1e-9 * (1 + abs(border) + (point ** 2).sum())]
+                    distance = ((matrix[near] - point) ** 2).sum(axis=1)
+                    first = np.lexsort((ids[near], distance))[:k]
+                    out.append(pd.DataFrame({"query_id": query_id, "k": k, id_column: ids[near][first],
+                                             "distance": distance[first]}).assign(k=int(k)))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=columns)
 
     return run

@@ -15,11 +15,9 @@ from typing import Any, NamedTuple
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidyledger.functions import vocabulary as words
-from tidyledger.operators.clean import ROW
+from tidyledger.operators.clean import row_key
 
-# Up to this many values per field the built-in exact percentile keeps them in one
-# buffer; beyond it the median is searched inside a narrow bracket of ranks.
-SMALL_FIELD = 50_000
+# The median is searched inside a narrow bracket of ranks.
 BRACKET_ACCURACY = 10_000
 BRACKET_VALUES = 1_000_000
 CHUNK_ROWS = 65_536
@@ -37,8 +35,8 @@ def _inside(field: str, low: float, high: float) -> Column:
     return F.when(F.col(field).between(low, high), F.col(field))
 
 
-def _brackets(numbers: DataFrame, small_field: int) -> dict[str, tuple[int, float, float]]:
-    """(count, low, high) of every field with more than ``small_field`` values: its median lies in low..high.
+def _brackets(numbers: DataFrame) -> dict[str, tuple[int, float, float]]:
+    """(count, low, high) of every field with values: its median lies in low..high.
 
     The approximate percentile is off by at most 1/accuracy of the ranks, so four
     times that on both sides holds the median for certain. A bracket that may
@@ -54,7 +52,7 @@ def _brackets(numbers: DataFrame, small_field: int) -> dict[str, tuple[int, floa
         return {f: (row[f"n_{f}"], row[f"b_{f}"]) for f in values}
 
     first = ask({f: (F.col(f), 0.5) for f in numbers.columns})
-    found = {f: (n, *bracket) for f, (n, bracket) in first.items() if n > small_field}
+    found = {f: (n, *bracket) for f, (n, bracket) in first.items() if n}
     within = {f: n for f, (n, _, _) in found.items()}
     final: set[str] = set()
     while wide := [f for f, (_, low, high) in found.items()
@@ -81,9 +79,7 @@ def _bracketed_medians(numbers: DataFrame, brackets: dict[str, tuple[int, float,
     return counted.select("field", "value", (upto - F.col("n")).alias("before"), upto.alias("upto"))
 
 
-def field_statistics(
-    df: DataFrame, fields: Sequence[str] = words.MONEY_FIELDS, small_field: int = SMALL_FIELD
-) -> DataFrame:
+def field_statistics(df: DataFrame, fields: Sequence[str] = words.MONEY_FIELDS) -> DataFrame:
     """One row per field: count, sum, mean, exact median, min, max, sample standard deviation.
 
     Text that is no number is ignored; fields without any number are left out.
@@ -91,14 +87,14 @@ def field_statistics(
     """
     present = [f for f in fields if f in df.columns]
     numbers = _numbers(df, present)
-    large = _brackets(numbers, small_field) if present else {}
+    large = _brackets(numbers) if present else {}
     missing = F.lit(None).cast("double")
 
     def parts(f: str) -> dict[str, Column]:
         c = F.col(f)
         return {
             "count": F.count(c), "sum": F.sum(c), "mean": F.avg(c),
-            "median": missing if f in large else F.percentile(c, 0.5), "min": F.min(c), "max": F.max(c),
+            "median": missing, "min": F.min(c), "max": F.max(c),
             "std": F.coalesce(F.stddev_samp(c), F.lit(0.0)),
             "below": F.count_if(c < large[f][1]) if f in large else F.lit(0).cast("long")}
 
@@ -115,7 +111,9 @@ def field_statistics(
             return F.max(F.when((F.col("before") < place) & (place <= F.col("upto")), F.col("value")))
 
         found = ranked.groupBy("field").agg(((at(first) + at(second)) / 2).alias("found"))
-        rows = rows.join(F.broadcast(found), "field", "left").withColumn("median", F.coalesce("median", "found"))
+        # A bracket that misses the middle would be a fault; it must not pass as a missing median.
+        rows = rows.join(F.broadcast(found), "field", "left").withColumn("median", F.when(F.col("count") > 0, F.coalesce(
+            "found", F.raise_error(F.concat(F.lit("no median found for "), F.col("field"))).cast("double"))))
     return rows.filter(F.col("count") > 0).select("field", "count", "sum", "mean", "median", "min", "max", "std")
 
 
@@ -178,13 +176,14 @@ def value_index(df: DataFrame, fields: Sequence[str] = words.INDEX_FIELDS) -> Da
 
 
 def value_index_rows(
-    df: DataFrame, fields: Sequence[str] = words.INDEX_FIELDS, row: str = ROW, chunk_rows: int = CHUNK_ROWS
+    df: DataFrame, fields: Sequence[str] = words.INDEX_FIELDS, row: str | None = None, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Row ids of every value: (field, key, chunk, count, row_indices).
 
     Chunk ``c`` holds the ids from ``c * chunk_rows`` on, so no list gets longer
     than ``chunk_rows`` however common a value is; ids ascend over the chunks.
     """
+    row = row or row_key(df)
     chunk = F.floor(F.col(row) / chunk_rows).alias("chunk")
     return _entries(df, fields, row).groupBy("field", "key", chunk).agg(
         F.count("*").alias("count"), F.sort_array(F.collect_list(row)).alias("row_indices"))

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidyledger.functions import vocabulary as words
 from tidyledger.functions.cleaning import strip_ws
@@ -29,8 +29,6 @@ from tidyledger.sources.scratch import cut
 
 AUTO_MERGE, REVIEW = 95, 75
 FIRST_BLOCK, LAST_BLOCK = 512, 4096
-# Members listed per row of the review file.
-LISTED = 1000
 
 MERGE_GRADE, REVIEW_GRADE = "merge", "review"
 _RANK = (F.desc, "n"), (F.desc, "length"), (F.asc, "value")
@@ -193,18 +191,15 @@ def apply_review(df: DataFrame, review: DataFrame, group_members: DataFrame) ->
     return df
 
 
-def review_entries(group_members: DataFrame, listed: int = LISTED) -> DataFrame:
-    """Rows of the review file: field, names (canonical first), similarity, action.
+def review_entries(group_members: DataFrame) -> DataFrame:
+    """Rows of the review file, one per name: field, group, place in the group (canonical first), name, similarity, action.
 
-    Groups with more than ``listed`` names take several rows, so no list grows
-    without bound; names are dealt over the rows by hash.
+    One form for groups of any size; the names of a group are ordered by a sort and never collected.
     """
-    waiting = group_members.filter((F.col("grade") == REVIEW_GRADE) & (F.col("value") != F.col("canonical")))
-    parts = F.ceil(F.col("size") / listed)
-    rank = F.struct((-F.col("n")).alias("n"), (-F.col("length")).alias("length"), "value")
-    rows = waiting.withColumn("part", F.pmod(F.xxhash64("value"), parts)).groupBy(
-        "field", "group_id", "canonical", "similarity", "part").agg(F.sort_array(F.collect_list(rank)).alias("names"))
-    return rows.select(
-        F.col("field").alias("campo"),
-        F.concat(F.array("canonical"), F.transform("names", lambda n: n["value"])).alias("grupo"),
-        F.round(F.col("similarity") / 100, 2).alias("similitud"), F.lit("pendiente").alias("accion"))
+    waiting = group_members.filter(F.col("grade") == REVIEW_GRADE)
+    order = Window.partitionBy("field", "group_id").orderBy(
+        (F.col("value") != F.col("canonical")), F.desc("n"), F.desc("length"), "value")
+    return waiting.select(
+        F.col("field").alias("campo"), F.col("canonical").alias("grupo"), F.row_number().over(order).alias("posicion"),
+        F.col("value").alias("nombre"), F.round(F.col("similarity") / 100, 2).alias("similitud"),
+        F.lit("pendiente").alias("accion"))

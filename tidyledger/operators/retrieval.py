@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
-from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidyledger.functions import text as fn, vocabulary as words
-from tidyledger.functions.vectors import nearest_in_partition
+from tidyledger.functions.vectors import nearest_in_share
 from tidyledger.operators.analytics import Gold, balance, top_k, unique_values
-from tidyledger.operators.clean import ROW
+from tidyledger.operators.clean import ROW, row_key
 
-# Query vectors handed to every task at once, and categories per summary document.
-QUERY_BLOCK = 256
-# Shares in which the best rows of a query are merged first.
-MERGE_SHARES = 64
-SUMMARY_ROWS = 100_000
+# Query vectors and documents that meet in one task.
+QUERY_BLOCK = 1024
+SHARE_ROWS = 16_384
 
 METADATA = ("doc_type", "source_field", "record_id", "tipo", "categoria", "proveedor", "estado_factura", "fecha",
             "importe_base", "iva", "importe_total", "content")
@@ -72,18 +69,14 @@ def statistics_documents(statistics: DataFrame) -> DataFrame:
     return _other_documents(statistics, "statistics", F.col("field"), content)
 
 
-def summary_documents(df: DataFrame, rows: int = SUMMARY_ROWS) -> DataFrame:
-    """The data set in one text; categories in order of appearance.
-
-    Categories first seen within ``rows`` rows share a document, so its list
-    has at most that many entries; later ones go to further documents.
-    """
+def summary_documents(df: DataFrame) -> DataFrame:
+    """The data set in one text, whatever its size; categories in order of appearance."""
     whole = balance(df)
     # The balance is one row, so it enters as a single value and not by a join.
     figures = whole.select(F.struct(*whole.columns)).scalar()
     seen = df.groupBy(F.coalesce("categoria", F.lit("Unknown")).alias("categoria")).agg(
-        F.count("*").alias("n"), F.min(ROW).alias("first"))
-    listed = seen.groupBy(F.floor(F.col("first") / rows).alias("part")).agg(
+        F.count("*").alias("n"), F.min(row_key(df)).alias("first"))
+    listed = seen.agg(
         F.sort_array(F.collect_list(F.struct("first", "categoria", "n"))).alias("items"))
     names = F.array_join(F.transform("items", lambda c: F.concat(
         c["categoria"], F.lit(" ("), c["n"].cast("string"), F.lit(")"))), ", ")
@@ -180,56 +173,47 @@ def context_text(lines: DataFrame) -> DataFrame:
 # --- search ----------------------------------------------------------------
 
 
-def _blocks(rows: Iterator, size: int) -> Iterator[list]:
-    rows = iter(rows)
-    while block := list(islice(rows, size)):
-        yield block
-
-
 def nearest(
     docs: DataFrame, queries: DataFrame, id_column: str, vector: str, filters: Sequence[str] = (),
-    block: int = QUERY_BLOCK,
+    block: int = QUERY_BLOCK, share_rows: int = SHARE_ROWS,
 ) -> DataFrame:
     """Exact nearest neighbours by squared distance: (query_id, id, distance, rank).
 
-    Rows of a query without k are all its matching documents; they get no rank,
-    as ranking them would bring a whole table to one task.
-
-    ``queries`` has query_id, vector, k (null for all) and the filter columns
-    (null for no condition). Query rows go to the tasks in blocks of bounded
-    size; each task keeps its best k per query, and only those meet in the
-    shuffle, first in many shares per query and then once more. Documents are
-    read once per block and never paired with each other.
+    ``queries`` has query_id, vector, k and the filter columns (null for no
+    condition); a query without k is refused. Both sides are tables: queries are dealt
+    into blocks and documents into shares by hash, each task gets one block and one share
+    through a shuffle and keeps the best k of every query, and these are ranked once more.
+    The plan is the same for any number of queries, and what a task holds is bounded.
     """
-    wanted = ["query_id", "k", *filters]
-    rows = queries.select(*wanted, F.col(vector).alias("vector")).toLocalIterator()
-    narrow = docs.select(id_column, vector, *filters)
-    schema = (f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
+    blocks = max(1, -(-queries.count() // block))
+    shares = max(1, -(-docs.count() // share_rows))
+    k = F.coalesce("k", F.raise_error(F.lit("a query needs k")).cast("int"))
+    asked = queries.select(
+        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_block"),
+        F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("_share"), "query_id", k.cast("int").alias("k"),
+        F.col(vector).cast("array<double>").alias("_point"), *[F.col(f).alias(f"_asked_{f}") for f in filters])
+    offered = docs.select(
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"),
+        F.pmod(F.xxhash64(id_column), F.lit(shares)).cast("int").alias("_share"), id_column,
+        F.col(vector).cast("array<double>").alias("_vector"), *filters)
+    schema = (f"query_id {queries.schema['query_id'].dataType.simpleString()}, k int, "
               f"{id_column} {docs.schema[id_column].dataType.simpleString()}, distance double")
-    found = []
-    for some in _blocks(rows, block):
-        plain = [{**{c: r[c] for c in wanted}, "vector": r["vector"]} for r in some]
-        found.append(narrow.mapInPandas(nearest_in_partition(plain, id_column, vector, tuple(filters)), schema))
-    if not found:
-        return docs.sparkSession.createDataFrame([], schema + ", rank int")
-    limits = queries.select("query_id", "k")
-    scored = reduce(DataFrame.union, found).join(limits, "query_id")
-    share = F.pmod(F.xxhash64(id_column), F.lit(MERGE_SHARES))
-    in_share, over_all = (Window.partitionBy(*keys).orderBy("distance", id_column)
-                          for keys in (("query_id", "_share"), ("query_id",)))
-    limited = scored.filter("k is not null").withColumn("_share", share)
-    for window in (in_share, over_all):
-        limited = limited.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= F.col("k"))
-    whole = scored.filter("k is null").withColumn("rank", F.lit(None).cast("int"))
-    return limited.drop("k", "_share").unionByName(whole.drop("k"))
-
-
-def question_queries(questions: DataFrame, question: str, total_documents: int) -> DataFrame:
-    """Add kind, k and the filter columns a question implies, ready for :func:`nearest`."""
+    found = asked.groupBy("_block", "_share").cogroup(offered.groupBy("_block", "_share")).applyInPandas(
+        nearest_in_share(id_column, tuple(filters)), schema)
+    best = Window.partitionBy("query_id").orderBy("distance", id_column)
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= F.col("k")).drop("k")
+
+
+def question_queries(questions: DataFrame, question: str, total_documents: int, data_limit: int) -> DataFrame:
+    """Add kind, k and the filter columns a question implies, ready for :func:`nearest`.
+
+    Questions for plain data get at most ``data_limit`` documents. Those for statistics
+    are about all of them and are answered from the statistics; their k is the number of documents.
+    """
     text = F.col(question)
     kind = fn.classify_question(text)
     return questions.withColumns({
-        "kind": kind, "k": fn.neighbours_wanted(kind, F.lit(total_documents)).cast("int"),
+        "kind": kind, "k": fn.neighbours_wanted(kind, F.lit(total_documents), data_limit).cast("int"),
         "estado_factura": fn.question_status(text), "tipo": fn.question_type(text), "doc_type": F.lit("record")})
 
 

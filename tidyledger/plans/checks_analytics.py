@@ -1,5 +1,6 @@
 """Oracle SQL (DuckDB dialect) for analytics, updates and comparisons."""
 
+from tidyledger.plans.checks_sources import DIRTY
 from tidyledger.plans.checks_cleaning import BASE, CLEANED
 
 _STATS = """
@@ -35,19 +36,14 @@ _BATCHES = BASE + """
   SELECT num_factura, _row_number, estado_factura, importe_pendiente, NULL FROM invoices
   WHERE num_factura NOT IN (SELECT num_factura FROM fresh)
 )"""
-# Fields whose dirty style differs from the clean text, from the styles alone.
-_CHANGED = CLEANED + """
+# Fields whose raw text, stripped, is not the text of the clean value.
+_CHANGED = CLEANED + DIRTY[len(BASE):] + """
 , changed AS (
-  SELECT j._row_number, j.categoria, lower(concat_ws('|', j.proveedor, j.num_factura)) AS words,
-    concat_ws(',',
-      CASE WHEN j.k % 5 IN (1, 3) OR (j.k % 5 = 2) THEN 'num_factura' END,
-      CASE WHEN j.k % 7 IN (1, 2, 3, 4, 6) OR (j.k % 7 = 5 AND (month(j.fecha) < 10 OR day(j.fecha) < 10)) THEN 'fecha' END,
-      CASE WHEN j.k % 4 <> 3 THEN 'proveedor' END,
-      CASE WHEN j.k % 4 IN (0, 1) THEN 'nif_cif' END,
-      CASE WHEN j.k % 5 <> 0 THEN 'tipo' END,
-      CASE WHEN j.k % 3 <> 2 THEN 'categoria' END,
-      CASE WHEN j.k % 59 <> 58 AND j.k % 3 <> 0 THEN 'estado_factura' END) AS modified_fields
-  FROM judged j WHERE n_errors = 0
+  SELECT j._row_number, j.categoria, concat_ws(',', """ + ", ".join(
+    f"CASE WHEN trim(replace(coalesce(d.{f}, ''), chr(160), ' ')) <> coalesce(CAST(j.{f} AS VARCHAR), '') THEN '{f}' END"
+    for f in ("num_factura", "fecha", "proveedor", "nif_cif", "tipo", "categoria", "importe_base", "iva", "importe_total",
+              "estado_factura", "importe_pendiente")) + """) AS modified_fields
+  FROM judged j JOIN dirty d USING (_row_number) WHERE n_errors = 0
 )"""
 
 SQL = {
@@ -103,6 +99,6 @@ SQL = {
     "keep_last": """
       SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders
       QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
-    "compare_layers": _CHANGED + "SELECT _row_number, true AS modified, modified_fields FROM changed",
+    "compare_layers": _CHANGED + "SELECT _row_number, modified_fields <> '' AS modified, modified_fields FROM changed",
     "filter_compare": _CHANGED + "SELECT _row_number FROM changed WHERE categoria = 'Machinery'",
 }

@@ -23,7 +23,7 @@ def field_statistics(spark, sf_dir):
 
 def field_statistics_bracketed(spark, sf_dir):
     """The path for fields too large for one buffer: median by ranking inside a bracket."""
-    return _rounded(A.field_statistics(table(spark, sf_dir, "lineitem"), LINE_FIELDS, small_field=0))
+    return _rounded(A.field_statistics(table(spark, sf_dir, "lineitem"), LINE_FIELDS))
 
 
 def segmented_statistics(spark, sf_dir):
@@ -105,13 +105,13 @@ def keep_last(spark, sf_dir):
 def _compared(spark, sf_dir):
     raw = dirty_invoices(spark, sf_dir)
     cleaned = stored_by_status(V.clean_and_validate(raw, INVOICE_SPEC))
-    return U.compare(raw, V.split(cleaned).clean.select("_row_number", *INVOICE_SPEC.names))
+    return U.compare_within(V.split(cleaned).clean, INVOICE_SPEC.names)
 
 
 def compare_layers(spark, sf_dir):
     return _compared(spark, sf_dir).select(
         "_row_number", "modified",
-        F.array_join(F.filter("modified_fields", lambda f: ~f.startswith("i")), ",").alias("modified_fields"))
+        F.array_join("modified_fields", ",").alias("modified_fields"))
 
 
 def filter_compare(spark, sf_dir):

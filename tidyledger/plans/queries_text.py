@@ -60,7 +60,7 @@ def _questions(spark, sf_dir) -> DataFrame:
 def classify_question(spark, sf_dir):
     kind = fn.classify_question(F.col("text"))
     return _questions(spark, sf_dir).select(
-        "conv_id", "turn", kind.alias("kind"), fn.neighbours_wanted(kind, F.lit(5000)).cast("long").alias("k"))
+        "conv_id", "turn", kind.alias("kind"), fn.neighbours_wanted(kind, F.lit(5000), 1000).cast("long").alias("k"))
 
 
 def question_filter(spark, sf_dir):
@@ -90,8 +90,11 @@ def record_documents(spark, sf_dir):
 
 
 def stats_context(spark, sf_dir):
-    return R.stats_context(A.aggregate(invoices(spark, sf_dir))).groupBy("section", "field").agg(
-        F.count("*").alias("lines"), F.sum(F.length("line")).alias("characters"))
+    """Every line of the context, in reading order."""
+    gold = A.aggregate(invoices(spark, sf_dir))
+    # Sums as decimals: half cents do not depend on the order of addition.
+    lines = R.context_text(R.stats_context(gold._replace(segments=A.segmented_statistics(gold.records, scale=3))))
+    return lines.filter("line <> ''")
 
 
 def _centroids(spark, sf_dir) -> DataFrame:
@@ -110,11 +113,12 @@ def nearest_filtered(spark, sf_dir):
 
 
 def nearest_any(spark, sf_dir):
-    """Seven nearest of all vectors for the even labels, all of the own label for the odd ones."""
-    even = F.col("query_id") % 2 == 0
-    queries = stored(_centroids(spark, sf_dir).withColumns({
-        "k": F.when(even, F.lit(7)), "label": F.when(~even, F.col("label"))}), "centroids")
-    found = R.nearest(table(spark, sf_dir, "embeddings"), queries, "vec_id", "embedding", ("label",), block=4)
+    """Every tenth vector asks: 7 of all vectors for even ids, 4 of its own label for odd ones; several blocks and shares."""
+    even = F.col("query_id") % 20 == 0
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "label", "embedding").withColumns({
+        "k": F.when(even, 7).otherwise(4), "label": F.when(~even, F.col("label"))})
+    found = R.nearest(vectors, queries, "vec_id", "embedding", ("label",), block=16, share_rows=100)
     return found.select("query_id", "vec_id", "rank")
 
 
