@@ -154,7 +154,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def _search(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best different vectors of one shard for each query of one block."""
     if not len(queries) or not len(rows):
-        return pd.DataFrame({"q": np.zeros(0, np.int64), "ids": [], "score": np.zeros(0)})
+        return pd.DataFrame({"q": np.zeros(0, np.int64), "ids": pd.Series([], dtype=object), "score": np.zeros(0)})
     base, out = _matrix(rows["embedding"]), []
     ids = rows["ids"].to_numpy()
     for at in range(0, len(queries), 256):
