@@ -157,16 +157,20 @@ def _search(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
         return pd.DataFrame({"q": np.zeros(0, np.int64), "ids": pd.Series([], dtype=object), "score": np.zeros(0)})
     base, out = _matrix(rows["embedding"]), []
     ids = rows["ids"].to_numpy()
+    least = np.array([i[0] for i in ids])
     for at in range(0, len(queries), 256):
         some = queries.iloc[at:at + 256]
         asked = _matrix(some["asked"])
         scores = asked @ base.T
-        best = np.argpartition(-scores, k - 1, axis=1)[:, :k] if scores.shape[1] > k else np.tile(
-            np.arange(scores.shape[1]), (len(some), 1))
-        who = np.repeat(np.arange(len(some)), best.shape[1])
-        which = best.ravel()
+        border = np.partition(scores, -min(k, scores.shape[1]), axis=1)[:, -min(k, scores.shape[1])]
+        # With everything that the product's rounding cannot tell from the border: ties go to the smaller id.
+        who, which = np.nonzero(scores >= (border - 1e-9 * (1 + np.abs(border)))[:, None])
         # Summed pair by pair, so that equal vectors get equal scores wherever they stand in a block.
         exact = np.einsum("ij,ij->i", asked[who], base[which])
+        order = np.lexsort((least[which], -exact, who))
+        who, which, exact = who[order], which[order], exact[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        who, which, exact = who[rank < k], which[rank < k], exact[rank < k]
         out.append(pd.DataFrame({"q": some["q"].to_numpy()[who], "ids": ids[which], "score": exact}))
     return pd.concat(out, ignore_index=True)
 
