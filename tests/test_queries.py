@@ -5,11 +5,16 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from tidyledger.plans import catalog
 from compare import difference, duck
 
 SMALLEST = "/root/testdata/sf0.001"
 
 
+def test_every_query_of_the_library_has_an_oracle():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+
+
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 

@@ -151,11 +151,14 @@ class Leaders:
 
 
 def assign_to_block(block: list[tuple[str, str]], threshold: int):
-    """``mapInPandas`` function: give every name its first similar leader out of the block."""
+    """``mapInPandas`` function: give every name its first similar leader out of the block.
+
+    The block's leaders are found here, once, and not again in every task.
+    """
+    leaders = Leaders(block, threshold)
+    titles = np.array([name for name, _ in leaders.found] + [None], dtype=object)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        leaders = Leaders(block, threshold)
-        titles = np.array([name for name, _ in leaders.found] + [None], dtype=object)
         for batch in batches:
             number, score = leaders.assign(batch["low"].tolist())
             yield batch.assign(leader=titles[number], similarity=score)

@@ -8,7 +8,8 @@ any text.
 BASE = """
 WITH base AS (
   SELECT o_orderkey AS k, o_orderkey + 2 AS _row_number,
-    CAST(year(o_orderdate) AS VARCHAR) AS y, CAST(o_orderdate AS DATE) AS fecha, p_name,
+    CAST(year(o_orderdate) AS VARCHAR) AS y, CAST(o_orderdate AS DATE) AS fecha,
+    coalesce(p_name, 'part ' || o_custkey) AS p_name,
     c_mktsegment AS segment, substr('ABCDEFGH', CAST(o_custkey % 8 + 1 AS INT), 1) AS letter,
     lpad(CAST(o_custkey AS VARCHAR), CAST(greatest(8, length(CAST(o_custkey AS VARCHAR))) AS INT), '0') AS digits,
     CASE WHEN o_orderkey % 2 = 1 THEN 'Gasto' ELSE 'Ingreso' END AS tipo,
@@ -16,7 +17,7 @@ WITH base AS (
     CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) // 5 AS iva_c,
     CASE o_orderstatus WHEN 'F' THEN 'Pagada' WHEN 'O' THEN 'Pendiente'
       ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'Vencida' ELSE 'Parcialmente Pagada' END END AS estado_factura
-  FROM orders JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = o_custkey
+  FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN part ON p_partkey = o_custkey
 ), invoices AS (
   SELECT _row_number, 'FAC-' || y || '-' || lpad(CAST(k AS VARCHAR), CAST(greatest(4, length(CAST(k AS VARCHAR))) AS INT), '0') AS num_factura,
     fecha,

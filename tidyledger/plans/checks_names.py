@@ -59,6 +59,8 @@ _LONG = BASE.replace("WITH base", "WITH RECURSIVE base", 1) + """
     "SELECT categoria AS value, count(*) AS n FROM long_names GROUP BY 1", "c_")
 
 SQL = {
+    "dense_names": "WITH RECURSIVE start AS (SELECT 1)" + clusters("SELECT s_name AS value, count(*) AS n FROM supplier GROUP BY 1") + """
+      SELECT leader, count(*) AS size, min(similarity) AS weakest FROM clustered GROUP BY leader""",
     "dedupe_records": _LONG + """
       SELECT coalesce(s.canonical, x.proveedor) AS proveedor, coalesce(c.canonical, x.categoria) AS categoria,
         count(*) AS n, round(sum(importe_total), 2) AS total

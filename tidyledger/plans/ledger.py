@@ -62,11 +62,12 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     letter = _pick(F.col("o_custkey") % 8, "ABCDEFGH")
     return (
         orders.join(customer, F.col("c_custkey") == F.col("o_custkey"))
-        .join(part, F.col("p_partkey") == F.col("o_custkey"))
+        .join(part, F.col("p_partkey") == F.col("o_custkey"), "left")
         .select(
             k.alias("k"), (k + 2).alias("_row_number"),
             F.year(day).cast("string").alias("y"), day.alias("fecha"),
-            F.col("p_name"), F.col("c_mktsegment").alias("segment"),
+            F.coalesce("p_name", F.concat(F.lit("part "), F.col("o_custkey").cast("string"))).alias("p_name"),
+            F.col("c_mktsegment").alias("segment"),
             letter.alias("letter"), _padded(F.col("o_custkey"), 8).alias("digits"),
             F.when(k % 2 == 1, "Gasto").otherwise("Ingreso").alias("tipo"),
             cents.alias("total_c"), F.expr("cast(cast(o_totalprice as decimal(18,2)) * 100 as bigint) div 5").alias("iva_c"),

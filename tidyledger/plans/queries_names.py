@@ -34,7 +34,7 @@ def similar_names_small_blocks(spark, sf_dir):
 
 def dense_names(spark, sf_dir):
     """Numbered names that all resemble each other: a few leaders take in everything."""
-    clusters = D.cluster(D.value_counts(table(spark, sf_dir, "customer"), "c_name"))
+    clusters = D.cluster(D.value_counts(table(spark, sf_dir, "supplier"), "s_name"))
     return clusters.groupBy("leader").agg(F.count("*").alias("size"), F.min("similarity").alias("weakest"))
 
 
