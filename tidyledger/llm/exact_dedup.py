@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import ascii_lower, shuffle_partitions, stored
+from tidyledger.llm.common import ascii_lower, ship, shuffle_partitions, stored
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -150,6 +150,7 @@ class DigestIndex:
         return cls(spark.createDataFrame([], STATE), buckets)
 
     def _changed(self, batch: DataFrame, delete: bool) -> DigestIndex:
+        ship(batch.sparkSession)
         bucket = F.pmod(F.xxhash64("text_sha256"), F.lit(self.buckets)).cast("int")
         state = (self.state.groupBy("bucket").cogroup(batch.withColumn("bucket", bucket).groupBy("bucket"))
                  .applyInPandas(lambda old, new: _merge_bucket(old, new, delete), STATE))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import stored
+from tidyledger.llm.common import ship, stored
 
 # Kinds of elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -350,6 +350,7 @@ def extract(pages: DataFrame) -> DataFrame:
     once in the induction and are extracted like any other; no pages give no rows. Pages whose host has no wrapper,
     or that do not align with it, are read by tags and class words alone. Other columns are never read.
     """
+    ship(pages.sparkSession)
     dealt = _hosts(pages)
     found = wrappers(dealt)
 

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidyledger.llm.common import ship
+
 # Words that must stand consecutively, and the label they give.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
@@ -73,6 +75,7 @@ def vocabulary() -> dict[bytes, None]:
 
 def document_frequencies(docs: DataFrame) -> tuple[int, dict[bytes, int]]:
     """Number of documents, and of documents with each licence word, over the whole corpus."""
+    ship(docs.sparkSession)
     known = frozenset(vocabulary())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

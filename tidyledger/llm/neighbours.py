@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import stored
+from tidyledger.llm.common import ship, stored
 
 SAMPLE = 4000
 PARTITIONS = 16
@@ -184,6 +184,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, partitions: int = PARTITI
     of another length than most. Rows that repeat a query's id count as its own; rows that repeat id and vector
     count once. No rows give no rows. The index is fitted on ``sample_rows`` vectors and holds every row.
     """
+    ship(vectors.sparkSession)
     every = usable(vectors)
     dims = every.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     rows = every.filter(F.size("embedding") == (dims[0]["d"] if dims else 0)).distinct()

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import shuffle_partitions, stored
+from tidyledger.llm.common import ship, shuffle_partitions, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -102,6 +102,7 @@ def word_ids(path: str) -> WordIds:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
            with_ids: bool = False) -> DataFrame:
     """Token pieces of every document, the end id included; ``ids`` holds the little-endian ids when asked for."""
+    ship(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,6 +212,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
 
 def placed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to a stored table of pieces."""
+    ship(cut.sparkSession)
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     rows, _ = plan(counts, capacity)
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidyledger.llm.common import ship
+
 WIDTH = 5
 FILTERS = 16
 HIDDEN = 12
@@ -205,6 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Networ
 
 def score(docs: DataFrame, net: Network, column: str = "score") -> DataFrame:
     """Add the probability of quality 1 of every whole text (null: empty). The network is some 100 kB, in the closure."""
+    ship(docs.sparkSession)
     parts = net.parts
 
     @F.pandas_udf("double")

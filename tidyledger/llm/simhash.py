@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import stored
+from tidyledger.llm.common import ship, stored
 from tidyledger.llm.components import components
 
 BITS = 64
@@ -55,6 +55,7 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, fp (signed long) of every row."""
+    ship(docs.sparkSession)
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
@@ -123,6 +124,7 @@ def fingerprint_links(different: DataFrame, count: int, distance: int, turns: in
     In each class a fingerprint is linked to the first of those it is connected to
     there. ``turns`` different orders make different ones the first, class by class.
     """
+    ship(different.sparkSession)
     masks = ball(distance // 2)
     bits = max(4, int(np.ceil(np.log2(max(1, count * len(masks) / VARIANTS_PER_TASK)))))
     low = (1 << bits) - 1
@@ -191,6 +193,7 @@ def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dista
     changed word moves far less than a fingerprint of shingles. They are verified by the
     Jaccard similarity of their different word shingles.
     """
+    ship(docs.sparkSession)
     seeds = range(1, tables + 1)
     kind = ", ".join(f"fp{j} long" for j in range(tables))
 
