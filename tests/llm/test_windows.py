@@ -85,7 +85,7 @@ def test_long_texts_are_gone_through_in_parts(docs_of, monkeypatch):
     text = "".join(r.choices("abcdefgh", k=3000))
     parts = [p for s in (0, 1500) for p in [text[s:s + 1500]]]
     rows = [(1, text), (2, "x" + parts[1] + "y" + parts[0])]
-    units = [sampling.byte_units(t) for _, t in rows]
+    units = [sampling.BYTES.named(sampling.BYTES.split(t)) for _, t in rows]
     found = [sampling.segments(u, np.array([0]), 100, 32) for u in units]
     assert sum(f[2].sum() for f in found) == sum(len(u) - 99 for u in units)
     got = {r.doc_id: r.n_removed for r in suffixes.deduplicate(docs_of(rows)).collect()}
@@ -93,7 +93,7 @@ def test_long_texts_are_gone_through_in_parts(docs_of, monkeypatch):
 
 
 def test_names_tell_grams_apart_and_join():
-    units = sampling.byte_units("abcabcabd" * 20)
+    units = sampling.BYTES.named(sampling.BYTES.split("abcabcabd" * 20))
     for length in (1, 3, 5, 8, 13):
         names = sampling.Names(units).of(length)
         text = "abcabcabd" * 20

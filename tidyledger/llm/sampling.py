@@ -19,7 +19,8 @@ all rows reaches no task as a whole; only the firsts are compared further.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,17 +28,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import stored, text_key
+from tidyledger.llm.common import ship, stored, text_key
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTE = np.random.default_rng(17).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-UNITS_PER_CALL = 600_000
+UNITS_PER_CALL = 50_000  # so that a step's arrays stay in the processor's cache
 SEGMENT = "doc long, key long, lo int, n int, at int, core long, cls long"
 LAST = (1 << 63) - 1  # order of a null id: behind all others
 
 
-def byte_units(text: str) -> np.ndarray:
-    return _BYTE[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+class Units(NamedTuple):
+    """What a window is made of: how a text is split, and the 64-bit names of some of the pieces."""
+
+    split: Callable[[str], Sequence]
+    named: Callable[[Sequence], np.ndarray]
 
 
 def words_of(text: str) -> list[bytes]:
@@ -45,17 +49,20 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-def word_units(text: str) -> np.ndarray:
+def _word_names(words: Sequence[bytes]) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(w) for w in words_of(text)], np.uint64)
+    return np.array([digest(w) for w in words], np.uint64)
+
+
+BYTES = Units(lambda text: np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), lambda part: _BYTE[part])
+WORDS = Units(words_of, _word_names)
 
 
-def pair(left: np.ndarray, right: np.ndarray, salt: int = 0) -> np.ndarray:
+def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Name of two neighbouring grams."""
-    out = left ^ (left >> np.uint64(29))
-    out *= _A
-    out += right * _B + np.uint64(salt)
-    out ^= out >> np.uint64(32)
+    out = left * _A
+    out += right * _B
+    out ^= out >> np.uint64(31)
     return out
 
 
@@ -73,7 +80,7 @@ class Names:
             self.levels.append(pair(last[:-half], last[half:]) if len(last) > half else last[:0])
         rest = length - (1 << level)
         last = self.levels[level]
-        return last if not rest else pair(last[:len(last) - rest], last[rest:], length)
+        return last if not rest else pair(last[:len(last) - rest], last[rest:])
 
 
 def first_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -136,6 +143,7 @@ def shorter_runs(names: Names, length: int, gram: int, lo: np.ndarray, n: np.nda
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc (the id, a null one behind all others), key (of the text), doc_id, text (null: empty)."""
+    ship(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text_key(text).alias("key"),
                        F.col("doc_id"), text.alias("text"))
@@ -146,7 +154,7 @@ def _frame(doc, key, lo, n, at, core, cls) -> pd.DataFrame:
                          "at": at.astype(np.int32), "core": core.view(np.int64), "cls": cls.view(np.int64)})
 
 
-def all_segments(texts: DataFrame, units: Callable[[str], np.ndarray], length: int, gram: int) -> DataFrame:
+def all_segments(texts: DataFrame, units: Units, length: int, gram: int) -> DataFrame:
     """The segments of every text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,10 +165,10 @@ def all_segments(texts: DataFrame, units: Callable[[str], np.ndarray], length: i
             return _frame(np.array([r[0] for r in rows])[text], np.array([r[1] for r in rows])[text],
                           lo - shift[text], n, at - shift[text], core, cls)
 
-        for batch in batches:
+        def parts(batch):
             rows, size = [], 0
             for doc, key, text in zip(batch["doc"], batch["key"], batch["text"], strict=True):
-                own = units(text)
+                own = units.named(units.split(text))
                 # A very long text is gone through in parts that overlap by a window less one.
                 for start in range(0, max(1, len(own) - length + 1), UNITS_PER_CALL):
                     part = own[start:start + UNITS_PER_CALL + length - 1]
@@ -172,28 +180,73 @@ def all_segments(texts: DataFrame, units: Callable[[str], np.ndarray], length: i
             if rows:
                 yield joined(rows)
 
+        for batch in batches:
+            yield from _gathered(parts(batch))
+
     return texts.select("doc", "key", "text").mapInPandas(run, SEGMENT)
 
 
-def cut_segments(texts: DataFrame, asked: DataFrame, units: Callable[[str], np.ndarray], length: int, gram: int) -> DataFrame:
-    """The segments of ``asked`` (doc, key, lo, n, at) cut into runs that share a gram of the given length."""
-    lists = asked.groupBy("doc", "key").agg(F.collect_set(F.struct("lo", "n", "at")).alias("asked"))
+def _gathered(frames: Iterator[pd.DataFrame], rows: int = 20_000) -> Iterator[pd.DataFrame]:
+    """Fewer and larger frames."""
+    some, size = [], 0
+    for frame in frames:
+        some.append(frame)
+        size += len(frame)
+        if size > rows:
+            yield pd.concat(some, ignore_index=True)
+            some, size = [], 0
+    if some:
+        yield pd.concat(some, ignore_index=True)
+
+
+def _spans(lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merged spans (start, end) of sorted intervals, and the span that each interval lies in."""
+    reach = np.maximum.accumulate(end)
+    new = np.concatenate([[True], lo[1:] > reach[:-1]])
+    first = np.flatnonzero(new)
+    return lo[first], reach[np.append(first[1:], len(lo)) - 1], np.cumsum(new) - 1
+
+
+def cut_segments(texts: DataFrame, asked: DataFrame, units: Units, length: int, gram: int) -> DataFrame:
+    """The segments of ``asked`` (doc, key, lo, n, at) cut into runs that share a gram of the given length.
+
+    Only the parts of a text that these segments cover are named again.
+    """
+    lists = asked.groupBy("doc", "key").agg(F.sort_array(F.collect_set(F.struct("lo", "n", "at"))).alias("asked"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out, size = [], 0
+        def joined(rows):
+            units_of, docs, keys, wanted, shifts = zip(*rows, strict=True)
+            starts = np.cumsum([0] + [len(u) for u in units_of[:-1]])
+            sizes = [len(w) for w in wanted]
+            shift = np.concatenate([s - at for s, at in zip(shifts, starts, strict=True)])
+            lo, n, at = np.concatenate(wanted).T
+            source, new_lo, new_n, core, cls = shorter_runs(
+                Names(np.concatenate(units_of)), length, gram, lo - shift, n, at - shift)
+            return _frame(np.repeat(docs, sizes)[source], np.repeat(keys, sizes)[source], new_lo + shift[source], new_n,
+                          at[source], core, cls)
+
+        def parts(batch):
+            rows, size = [], 0
             for doc, key, text, some in zip(batch["doc"], batch["key"], batch["text"], batch["asked"], strict=True):
                 wanted = np.array([(r["lo"], r["n"], r["at"]) for r in some], np.int64).reshape(-1, 3)
-                source, lo, n, core, cls = shorter_runs(Names(units(text)), length, gram, *wanted.T)
-                out.append(_frame(doc, key, lo, n, wanted[source, 2], core, cls))
-                size += len(source)
+                start, end, span = _spans(wanted[:, 0], wanted[:, 0] + wanted[:, 1] - 1 + length)
+                split = units.split(text)
+                own = np.concatenate([units.named(split[s:e]) for s, e in zip(start.tolist(), end.tolist())])
+                # Place in the text less place in the named parts.
+                shift = (start - np.concatenate([[0], np.cumsum(end - start)[:-1]]))[span]
+                rows.append((own, doc, key, wanted, shift))
+                size += len(own)
                 if size > UNITS_PER_CALL:
-                    yield pd.concat(out, ignore_index=True)
-                    out, size = [], 0
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                    yield joined(rows)
+                    rows, size = [], 0
+            if rows:
+                yield joined(rows)
+
+        for batch in batches:
+            yield from _gathered(parts(batch))
 
-    return texts.select("doc", "key", "text").join(lists, ["doc", "key"]).mapInPandas(run, SEGMENT)
+    return stored(texts.select("doc", "key", "text").join(lists, ["doc", "key"]).mapInPandas(run, SEGMENT), "runs")
 
 
 class Rounds:

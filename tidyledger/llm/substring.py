@@ -72,7 +72,7 @@ def _suffixes(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc, key, text, some in zip(batch["doc"], batch["key"], batch["text"], batch["asked"], strict=True):
-                names = sampling.Names(sampling.word_units(text))
+                names = sampling.Names(sampling.WORDS.named(sampling.words_of(text)))
                 lo = np.concatenate([np.arange(r["lo"], r["lo"] + r["n"]) for r in some])
                 edge = names.of(step)
                 out = pd.DataFrame({"doc": doc, "key": key, "lo": lo.astype(np.int32)})
@@ -117,9 +117,9 @@ def by_trees(suffixes: DataFrame, tree_rows: int = TREE_ROWS) -> DataFrame:
 def repeated_runs(texts: DataFrame, length: int = LENGTH, grams: tuple = GRAMS, tree_rows: int = TREE_ROWS) -> DataFrame:
     """(doc, key, lo, n): runs of window starts whose window also starts in a smaller document."""
     rounds = sampling.Rounds(within_document=False)
-    rounds.meet(sampling.all_segments(texts, sampling.word_units, length, grams[0]))
+    rounds.meet(sampling.all_segments(texts, sampling.WORDS, length, grams[0]))
     for gram in grams[1:]:
-        rounds.meet(sampling.cut_segments(texts, rounds.open, sampling.word_units, length, gram))
+        rounds.meet(sampling.cut_segments(texts, rounds.open, sampling.WORDS, length, gram))
     return rounds.repeats().unionAll(by_trees(_suffixes(texts, rounds.open, length), tree_rows))
 
 
@@ -150,3 +150,25 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, grams: tuple = GRAMS, tre
             yield out
 
     return sampling.with_runs(texts, runs).mapInPandas(cut, RESULT)
+
+
+ORACLE = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), starts AS (
+  SELECT doc_id, unnest(generate_series(1, len(words) - 49)) AS p FROM w WHERE len(words) >= 50
+), windows AS (
+  SELECT doc_id, p, md5(array_to_string(words[p:p + 49], ' ')) AS k FROM starts JOIN w USING (doc_id)
+), hits AS (
+  SELECT doc_id, p FROM windows JOIN (SELECT k, min(doc_id) AS least FROM windows GROUP BY k) USING (k) WHERE doc_id > least
+), each AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM w
+), marked AS (
+  SELECT doc_id, p, word, count(h.p) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > 0 AS gone
+  FROM each LEFT JOIN hits h USING (doc_id, p)
+), kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS text FROM marked GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""

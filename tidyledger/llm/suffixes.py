@@ -32,9 +32,9 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, prefixes: tuple = PREF
     if prefixes[-1] != length or list(prefixes) != sorted(prefixes):
         raise ValueError("prefixes must grow up to the window's length")
     rounds = sampling.Rounds(within_document=True)
-    rounds.meet(sampling.all_segments(texts, sampling.byte_units, length, prefixes[0]))
+    rounds.meet(sampling.all_segments(texts, sampling.BYTES, length, prefixes[0]))
     for prefix in prefixes[1:]:
-        rounds.meet(sampling.cut_segments(texts, rounds.open, sampling.byte_units, length, prefix))
+        rounds.meet(sampling.cut_segments(texts, rounds.open, sampling.BYTES, length, prefix))
     return rounds.repeats()
 
 
