@@ -61,4 +61,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }
-ORACLES = {"op5_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {
+    "op1_substring": substring.ORACLE,
+    "op5_exact_dedup": exact_dedup.ORACLE,
+}
