@@ -41,8 +41,8 @@ def nearest_in_share(id_column: str, filters: tuple[str, ...]):
                 part = some.iloc[at:at + ROWS_AT_ONCE]
                 points = np.stack(list(part["_point"])).astype(np.float64)
                 rough = squares[rows] - 2 * points @ matrix[rows].T
-                for query_id, k, point, line in zip(part["query_id"], part["k"], points, rough, strict=True):
-                    k = min(int(k), len(rows))
+                for query_id, wanted, point, line in zip(part["query_id"], part["k"], points, rough, strict=True):
+                    k = min(int(wanted), len(rows))
                     if not k:
                         continue
                     border = np.partition(line, k - 1)[k - 1]
@@ -50,8 +50,8 @@ def nearest_in_share(id_column: str, filters: tuple[str, ...]):
                     near = rows[line <= border + 1e-9 * (1 + abs(border) + (point ** 2).sum())]
                     distance = ((matrix[near] - point) ** 2).sum(axis=1)
                     first = np.lexsort((ids[near], distance))[:k]
-                    out.append(pd.DataFrame({"query_id": query_id, "k": k, id_column: ids[near][first],
-                                             "distance": distance[first]}).assign(k=int(k)))
+                    out.append(pd.DataFrame({"query_id": query_id, "k": int(wanted), id_column: ids[near][first],
+                                             "distance": distance[first]}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=columns)
 
     return run

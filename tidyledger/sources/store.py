@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidyledger.functions import vocabulary as words
 from tidyledger.operators.analytics import Gold
+from tidyledger.operators.clean import CORRUPT, FILE
 from tidyledger.schema import TableSpec
 from tidyledger.sources.files import check_csv_structure, read_files
 from tidyledger.sources.scratch import stored
@@ -27,9 +28,8 @@ def ingest(spark: SparkSession, path: str, store: str, encoding: str | None = No
     """
     structure = stored(check_csv_structure(spark, path), "structure")
     checked = structure.agg(
-        F.bool_and("is_valid").alias("ok"), F.sum("row_count").alias("row_count"), F.sum("ragged_rows").alias("ragged_rows"),
-        F.array_join(F.array_sort(F.collect_set("encoding")), ",").alias("encodings"),
-        F.array_sort(F.collect_list(F.struct("path", "encoding", "row_count"))).alias("files")).first()
+        F.bool_and("is_valid").alias("ok"), F.array_join(F.array_sort(F.collect_set("encoding")), ",").alias("encodings"),
+        F.array_sort(F.collect_list(F.struct("path", "encoding"))).alias("files")).first()
     if checked["ok"] is None:
         raise ValueError(f"{path}: CSV file is empty (no header row)")
     if not checked["ok"]:
@@ -39,9 +39,14 @@ def ingest(spark: SparkSession, path: str, store: str, encoding: str | None = No
     dataset_id = str(uuid.uuid4())
     storage = f"{store}/data/{now:%Y%m%d_%H%M%S}_{dataset_id[:8]}"
     read_files(spark, path, dataset_id, structure, encoding).write.parquet(storage)
-    names = [c for c in spark.read.parquet(storage).columns if not c.startswith("_")]
-    row = (dataset_id, path, now.replace(tzinfo=None), encoding or checked["encodings"], checked["row_count"], names, storage,
-           size, checked["ragged_rows"], [tuple(f) for f in checked["files"]])
+    # What the manifest says of the rows is counted on the stored ones.
+    kept = spark.read.parquet(storage)
+    names = [c for c in kept.columns if not c.startswith("_")]
+    counts = {r[FILE]: r for r in kept.groupBy(FILE).agg(
+        F.count("*").alias("rows"), F.count(CORRUPT).alias("ragged")).collect()}
+    files = [(f["path"], f["encoding"], counts[f["path"]]["rows"] if f["path"] in counts else 0) for f in checked["files"]]
+    row = (dataset_id, path, now.replace(tzinfo=None), encoding or checked["encodings"], sum(r["rows"] for r in counts.values()),
+           names, storage, size, sum(r["ragged"] for r in counts.values()), files)
     manifest = spark.createDataFrame([row], MANIFEST)
     manifest.write.mode("append").parquet(f"{store}/manifest")
     return manifest
