@@ -16,6 +16,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
@@ -23,8 +24,11 @@ def ship(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python, wherever the driver imported it from.
 
     Operators call it before they make a function for executors; once per application
-    the driver sends its sources, as ``spark-submit --py-files`` would.
+    the driver sends its sources, as ``spark-submit --py-files`` would. Texts go to Python in
+    batches of at most 16 MB, so a worker's memory does not depend on how long they are.
     """
+    if spark.conf.get(BATCH_BYTES).startswith("67108864"):  # Spark's default; another choice of the user stays
+        spark.conf.set(BATCH_BYTES, "16m")
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

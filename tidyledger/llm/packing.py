@@ -27,7 +27,7 @@ from tidyledger.llm.common import ship, shuffle_partitions, stored
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
 PIECES_PER_BUCKET = 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

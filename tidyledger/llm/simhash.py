@@ -28,7 +28,7 @@ from tidyledger.llm.components import components
 
 BITS = 64
 SEED = 42
-VARIANTS_PER_TASK = 6_000_000
+VARIANTS_PER_TASK = 3_000_000
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
