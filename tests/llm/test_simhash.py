@@ -98,3 +98,44 @@ def test_near_copies_go_and_others_stay(docs_of, odd_rows):
     assert simhash.drop_near(docs_of(odd_rows)).filter("doc_id = 4 or doc_id = 6").count() >= 2
     assert simhash.drop_near(docs_of([])).count() == 0
     assert simhash.near_groups(docs_of([])).count() == 0
+
+
+def kept_by_brute_force(rows, similarity=0.8):
+    """Ids that stay: the least of every component of all pairs of that Jaccard similarity."""
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for _, t in rows)]
+    near = [(i, j) for i, j in combinations(range(len(rows)), 2)
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    root, least = roots(range(len(rows)), near), {}
+    for i, (doc_id, _) in enumerate(rows):
+        least[root[i]] = min(doc_id, least.get(root[i], doc_id))
+    return set(least.values())
+
+
+def independent_variants(r):
+    """Many variants of one text, each within reach of the text but few of each other, and chains of changes."""
+    words = [f"v{i}" for i in range(5000)]
+    base, rows = r.choices(words, k=300), []
+    for i in range(120):
+        text = list(base)
+        for at in r.sample(range(300), r.randint(3, 9)):
+            text[at] = r.choice(words)
+        rows.append((5000 - i, " ".join(text)))
+    return [*rows, (9000, " ".join(base))]
+
+
+def reordered_texts(r):
+    """Near copies that share their word set with other, reordered texts."""
+    rows = []
+    for g in range(10):
+        words = [f"o{g}x{i}" for i in range(120)]
+        for k in range(4):
+            r.shuffle(words)
+            rows.append((100 * g + 10 * k, " ".join(words)))
+            rows.append((100 * g + 10 * k + 1, " ".join([*words[-2:], *words[:-2]])))
+    return rows
+
+
+@pytest.mark.parametrize("make", [independent_variants, reordered_texts])
+def test_groups_of_variants_equal_brute_force(docs_of, make):
+    rows = make(random.Random(6))
+    assert {row.doc_id for row in simhash.drop_near(docs_of(rows)).collect()} == kept_by_brute_force(rows)

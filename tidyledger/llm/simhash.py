@@ -11,6 +11,9 @@ touches (37 of 256, 137 of 65,536), and the task that holds the class forms the
 variants that belong there, so eight bytes cross the network for many variants.
 The number of bits follows the number of fingerprints and keeps what a task
 holds bounded at every size.
+
+``drop_near`` uses such collisions only to join most copies early. What they miss is found
+by an exact join of rare word shingles, so its groups are those of all pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +32,21 @@ from tidyledger.llm.components import components
 BITS = 64
 SEED = 42
 VARIANTS_PER_TASK = 3_000_000
+FREQUENT_SAMPLE = 20_000  # documents in which frequent shingles are counted
+FREQUENT_SHINGLES = 100_000  # and how many of them are put last; any choice gives the same groups
+PAIR_BLOCK = 1000
+
+
+def _shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of every word shingle in order; fewer words are one shingle."""
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(lengths)
+    starts = (ends - lengths)[:len(words) - shingle + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts, (ends[shingle - 1:] - 1).tolist())], np.uint64)
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -36,15 +54,7 @@ def fingerprint(text: str | None, shingle: int) -> int:
     words = ("" if text is None else text).encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
-    if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    else:
-        joined = b" ".join(words)
-        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        ends = np.cumsum(lengths)
-        starts = (ends - lengths)[:len(words) - shingle + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, (ends[shingle - 1:] - 1).tolist())], np.uint64)
+    hashes = _shingle_hashes(words, shingle)
     counts = np.zeros(BITS, np.int64)
     for block in range(0, len(hashes), 1 << 16):
         part = np.ascontiguousarray(hashes[block:block + (1 << 16)], "<u8")
@@ -186,12 +196,81 @@ def shingle_set(text: str | None, shingle: int) -> bytes:
     return np.unique(np.array([xxhash.xxh32_intdigest(b" ".join(words[i:i + shingle])) for i in range(n)], "<u4")).tobytes()
 
 
-def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 4, tables: int = 3) -> tuple:
-    """(nodes, links): every row's node key and id, and the verified links between nodes.
+def _different_shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted 64-bit hashes (signed) of the different word shingles."""
+    words = ("" if text is None else text).encode("utf-8", "surrogatepass").lower().split()
+    return np.unique(_shingle_hashes(words, shingle).view(np.int64))
+
+
+def _frequent(docs: DataFrame, shingle: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, rank of each by rising count): the most frequent shingles of a sample of documents."""
+
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([_different_shingles(t, shingle) for t in texts])
+
+    share = max(1, count // FREQUENT_SAMPLE)
+    rows = (docs.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select(F.explode(of("text")).alias("key"))
+            .groupBy("key").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "key")
+            .limit(FREQUENT_SHINGLES).collect())
+    keys, counts = np.array([r["key"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
+    order = np.argsort(keys)
+    rank = np.empty(len(keys), np.int64)
+    rank[np.lexsort((keys, counts))] = np.arange(len(keys))
+    return keys[order], rank[order]
+
 
-    Candidates collide in one of several fingerprints of the set of words, which a
-    changed word moves far less than a fingerprint of shingles. They are verified by the
-    Jaccard similarity of their different word shingles.
+def _prefixes(docs: DataFrame, node, shingle: int, similarity: float, count: int) -> DataFrame:
+    """(node, n, place, key): of the n different shingles of each document the first n - ceil(similarity n) + 1.
+
+    All documents order their shingles alike, frequent ones last, by count. Two documents
+    of the wanted similarity share one of these shingles.
+    """
+    known, rank = _frequent(docs, shingle, count)
+
+    @F.pandas_udf("n int, keys array<long>")
+    def first(texts: pd.Series) -> pd.DataFrame:
+        sizes, chosen = [], []
+        for text in texts:
+            keys = _different_shingles(text, shingle)
+            sizes.append(len(keys))
+            wanted = len(keys) - int(np.ceil(similarity * len(keys) - 1e-9)) + 1
+            if len(known):
+                place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                frequent = known[place] == keys
+                late = np.argsort(rank[place[frequent]])
+                keys = np.concatenate([keys[~frequent], keys[frequent][late]])
+            chosen.append(keys[:wanted])
+        return pd.DataFrame({"n": np.array(sizes, np.int32), "keys": chosen})
+
+    return docs.select(node.alias("node"), first("text").alias("p")).select(
+        "node", "p.n", F.posexplode("p.keys").alias("place", "key"))
+
+
+def _ball_pairs(nodes: DataFrame, distance: int, tables: int) -> DataFrame:
+    """Pairs of nodes that collide in one of several fingerprints: each with the first of those it is connected to."""
+    pairs = None
+    for j in range(tables):
+        own = nodes.select("node", F.col(f"fp{j}").alias("fp"))
+        different = stored(own.groupBy("fp").agg(F.min("node").alias("first")), "different")
+        links = stored(fingerprint_links(different, different.count(), distance, turns=8), "print-links")
+        same = own.join(different, "fp").selectExpr("first a", "node b")
+        other = (links.join(different.selectExpr("fp a", "first x"), "a")
+                 .join(different.selectExpr("fp b", "first y"), "b").selectExpr("x a", "y b"))
+        found = same.unionAll(other)
+        pairs = found if pairs is None else pairs.unionAll(found)
+    return pairs
+
+
+def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 4, tables: int = 3) -> tuple:
+    """(nodes, links): every row's node key and id, and links between nodes.
+
+    The links' components are those of all pairs whose different word shingles have the
+    wanted Jaccard similarity. First candidates are collisions of several fingerprints of the
+    set of words, and every document that shares a shingle of its prefix with another against
+    one of those that have it; this joins large groups in few pairs. Then all that share such
+    a shingle, and are not joined yet, are compared. Pairs whose sizes and places of the
+    shingle rule the similarity out are left out.
     """
     ship(docs.sparkSession)
     seeds = range(1, tables + 1)
@@ -217,23 +296,41 @@ def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dista
     node = F.xxhash64("doc_id", "text")
     nodes = stored(docs.select(node.alias("node"), "doc_id", prints("text").alias("p")).select("node", "doc_id", "p.*"),
                    "word-prints")
-    pairs = None
-    for j in range(tables):
-        own = nodes.select("node", F.col(f"fp{j}").alias("fp"))
-        different = stored(own.groupBy("fp").agg(F.min("node").alias("first")), "different")
-        links = stored(fingerprint_links(different, different.count(), distance, turns=8), "print-links")
-        same = own.join(different, "fp").selectExpr("first a", "node b")
-        other = (links.join(different.selectExpr("fp a", "first x"), "a")
-                 .join(different.selectExpr("fp b", "first y"), "b").selectExpr("x a", "y b"))
-        found = same.unionAll(other)
-        pairs = found if pairs is None else pairs.unionAll(found)
-    pairs = stored(pairs.filter("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct(), "pairs")
-    asked = stored(pairs.selectExpr("a node").unionAll(pairs.selectExpr("b node")).distinct(), "asked")
-    words = stored(docs.select(node.alias("node"), "text").join(asked, "node", "left_semi").dropDuplicates(["node"])
-                   .select("node", sets("text").alias("set")), "shingles")
-    links = (pairs.join(words.selectExpr("node a", "set left"), "a").join(words.selectExpr("node b", "set right"), "b")
-             .filter(alike("left", "right")).select("a", "b"))
-    return nodes, links
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        asked = stored(pairs.selectExpr("a node").unionAll(pairs.selectExpr("b node")).distinct(), "asked")
+        words = stored(docs.select(node.alias("node"), "text").join(asked, "node", "left_semi").dropDuplicates(["node"])
+                       .select("node", sets("text").alias("set")), "shingles")
+        return (pairs.join(words.selectExpr("node a", "set left"), "a").join(words.selectExpr("node b", "set right"), "b")
+                .filter(alike("left", "right")).select("a", "b"))
+
+    def different_pairs(pairs: DataFrame) -> DataFrame:
+        return pairs.filter("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
+
+    entries = stored(_prefixes(docs, node, shingle, similarity, nodes.count()), "prefixes")
+    met = (entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(F.struct("node", "n", "place")).alias("c"))
+           .filter("lo <> hi").select("key", F.col("c.node").alias("b"), F.col("c.n").alias("m"), F.col("c.place").alias("at")))
+    entries = stored(entries.join(met, "key"), "met-prefixes")
+    rest = 1 + F.least(F.col("n") - 1 - F.col("place"), F.col("m") - 1 - F.col("at"))
+    fits = ((F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-6)
+            & (rest >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6))
+    stars = entries.filter(fits).selectExpr("node a", "b")
+    tried = stored(different_pairs(_ball_pairs(nodes, distance, tables).unionAll(stars)), "pairs")
+    roots = stored(components(verify(tried)), "link-roots")
+
+    rooted = stored(entries.join(roots, "node", "left").select(
+        "key", "node", "n", "place", F.coalesce("root", "node").alias("root")), "rooted-prefixes")
+    unsettled = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows"))
+    rooted = stored(rooted.join(unsettled.filter("lo <> hi"), "key").withColumn(
+        "blocks", F.ceil(F.col("rows") / PAIR_BLOCK)), "open-prefixes")
+    left = rooted.select("key", F.col("node").alias("a"), "n", "place", "root",
+                         F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+    right = rooted.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"),
+                          F.col("root").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    others = (left.join(right, ["key", "block"]).filter(fits & (F.col("a") < F.col("b")) & (F.col("root") != F.col("other")))
+              .select("a", "b"))
+    untried = stored(different_pairs(others).join(tried, ["a", "b"], "left_anti"), "untried")
+    return nodes, verify(untried).unionAll(roots.filter("node <> root").selectExpr("root a", "node b"))
 
 
 def drop_near(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 4, tables: int = 3) -> DataFrame:
