@@ -139,3 +139,25 @@ def reordered_texts(r):
 def test_groups_of_variants_equal_brute_force(docs_of, make):
     rows = make(random.Random(6))
     assert {row.doc_id for row in simhash.drop_near(docs_of(rows)).collect()} == kept_by_brute_force(rows)
+
+
+def passages(r):
+    """(rows, kind and wanted similarity by pair): texts with a passage appended, cut off or moved, ids 2 i and 2 i + 1."""
+    rows, kinds = [], {}
+    for i in range(90):
+        n = r.choice([100, 300, 1000])
+        kind, want = ("appended", "cut", "moved")[i % 3], (0.8, 0.85, 0.9)[i // 3 % 3]
+        text = [f"p{i}x{k}" for k in range(n)]
+        some = int((n - 4) * (1 - want) / want)  # shingles that an appended or cut passage of so many words adds or takes
+        other = {"appended": text + [f"q{i}x{k}" for k in range(some)], "cut": text[:n - int((n - 4) * (1 - want))],
+                 "moved": text[n // 2:] + text[:n // 2]}[kind]
+        rows += [(20_000 + 2 * i, " ".join(text)), (20_001 + 2 * i, " ".join(other))]
+        kinds[i] = kind, want
+    return rows, kinds
+
+
+def test_appended_cut_and_moved_passages_equal_brute_force(docs_of):
+    rows, kinds = passages(random.Random(7))
+    want = kept_by_brute_force(rows)
+    assert len(want) < len(rows) * 0.55
+    assert {row.doc_id for row in simhash.drop_near(docs_of(rows)).collect()} == want
