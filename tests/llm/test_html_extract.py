@@ -90,3 +90,18 @@ def test_template_goes_and_slots_stay(spark):
     assert {g.page_id: g.text for g in got} == want
     assert all(g.n_chars == len(g.text) for g in got)
     assert H.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+@pytest.mark.parametrize("text,blocks", [
+    ("<div class='content-sidebar-wrap'><article><p>yes</p></article></div>", ["yes"]),
+    ("<body class='comments-open'><div id='page' class='has-sidebar'><p>yes it is</p></div></body>", ["yes it is"]),
+    ("<body><form action='x'><nav>no</nav><div><p>a whole page</p><p>in a form</p></div></form></body>", ["a whole page", "in a form"]),
+    ("<form><main><p>yes</p></main></form><p>no</p>", ["yes"]),
+    ("<article><h2 id='related-work'>Related work</h2><section id='search-algorithm'><p class='notice'>Note</p></section></article>",
+     ["Related work", "Note"]),
+    ("<article><p data-id='ad' data-role='share'>yes</p><div class='share'>no</div></article>", ["yes"]),
+    ("<div class='sidebar'><article>no</article></div><div><p>the text of a page without an article</p></div>",
+     ["the text of a page without an article"]),
+    ("<div><p>short</p></div><div class='comments'><p>comments of many, many words</p></div>", ["short"])])
+def test_marked_frames_are_no_boilerplate(text, blocks):
+    assert H.main_text(text, None, frozenset(), -1) == "\n\n".join(blocks)

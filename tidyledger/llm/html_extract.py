@@ -42,29 +42,34 @@ NO_ARTICLE_WORDS = frozenset(
     "gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup social share sharing comment comments "
     "disqus reply replies related recommended recommendations breadcrumb breadcrumbs pagination pager footer masthead topbar "
     "copyright widget widgets search login toolbar skip".split())
+NOTE_WORDS = frozenset("notice notices alert".split())  # inside an article they mark notes that belong to it
+COMMENT_WORDS = frozenset("comment comments disqus reply replies related recommended recommendations".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEADER_WORDS = frozenset("header head".split())
 ARTICLE_WORDS = frozenset("article post entry content story main body text".split())
 MAX_DEPTH = 200  # deeper elements hang at this depth, as in browsers
 SAME_SHARE = 0.5  # share of different pages on which a node's text is the same
 SAME_PAGES = 4  # and at least so many
+WRAP_SHARE = 0.8  # an element that holds so much of the varying text is no boilerplate whatever its words
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
                     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAMES = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[a-zA-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "classes", "names", "children", "depth")
+    __slots__ = ("tag", "classes", "names", "marks", "children", "depth")
 
     def __init__(self, tag: str, attributes: str, depth: int):
         self.tag, self.depth, self.children = tag, depth, []
-        self.classes, self.names = "", frozenset()
+        self.classes, self.names, self.marks = "", frozenset(), frozenset()
         if attributes:
             found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _NAMES.finditer(attributes)]
             self.classes = " ".join(w for kind, value in found if kind == "class" for w in _WORDS.findall(value.lower()))
             self.names = frozenset(w for _, value in found for w in _WORDS.findall(value.lower()))
+            self.marks = frozenset(w for kind, value in found if kind != "id" for w in _WORDS.findall(value.lower()))
 
     @property
     def label(self) -> str:
@@ -198,22 +203,53 @@ def simple_tree_matching(a: Skeleton, b: Skeleton) -> dict[int, int]:
 
 
 def is_boilerplate(node: Node, in_article: bool) -> bool:
+    if node.tag in ("html", "body"):
+        return False
     if node.tag in NO_ARTICLE or node.tag == "header" and not in_article:
         return True
-    if not node.names:
+    # An id of a heading, or of a section of an article, is made of its title.
+    names = node.marks if node.tag in HEADINGS or node.tag == "section" and in_article else node.names
+    if not names:
         return False
-    if node.names & NO_ARTICLE_WORDS:
-        return node.tag not in ("html", "body", "article", "main") or bool(node.names & {"comment", "comments", "related"})
-    return bool(node.names & HEADER_WORDS) and not in_article and not node.names & ARTICLE_WORDS
+    if names & (NO_ARTICLE_WORDS - NOTE_WORDS if in_article else NO_ARTICLE_WORDS):
+        return node.tag not in ("article", "main") or bool(names & {"comment", "comments", "related"})
+    return bool(names & HEADER_WORDS) and not in_article and not names & ARTICLE_WORDS
+
+
+def may_wrap(tag: str, names: frozenset | set) -> bool:
+    """Whether an element that a word marks, or a form, can be the frame around the article."""
+    return (tag == "form" or tag not in NO_ARTICLE and tag != "header") and not names & COMMENT_WORDS
+
+
+def frames(root: Node, template: set[int]) -> set[int]:
+    """Ids of marked elements and forms that hold four fifths of the page's text without template."""
+    held: dict[int, int] = {}
 
+    def count(node: Node) -> int:
+        if node.tag in NO_ARTICLE and node.tag != "form":
+            return 0
+        held[id(node)] = sum((len(clean(c)) if id(node) not in template else 0) if isinstance(c, str) else count(c)
+                             for c in node.children)
+        return held[id(node)]
 
-def article_roots(root: Node) -> list[Node]:
-    """The outermost article elements outside boilerplate, else the main elements."""
+    out, total, level = set(), count(root), [root]
+    while level:
+        level = [c for node in level for c in node.children if not isinstance(c, str) and held.get(id(c), 0) >= WRAP_SHARE * total > 0]
+        out |= {id(c) for c in level if is_boilerplate(c, False) and may_wrap(c.tag, c.names)}
+    return out
+
+
+def article_roots(root: Node, inside: bool = False) -> list[Node]:
+    """The outermost article elements outside boilerplate, else the main elements; or also ``inside`` marked frames and forms."""
     found: dict[str, list[Node]] = {"article": [], "main": []}
 
     def walk(node: Node, kinds: tuple) -> None:
         for child in node.children:
-            if isinstance(child, str) or is_boilerplate(child, child.tag == "article"):
+            if isinstance(child, str):
+                continue
+            if is_boilerplate(child, child.tag == "article"):
+                if inside and child.tag != "article" and may_wrap(child.tag, child.names):
+                    walk(child, kinds)
                 continue
             kind = "article" if child.tag == "article" else "main" if child.tag == "main" or "main" in child.names else None
             if kind in kinds:
@@ -228,8 +264,8 @@ def article_roots(root: Node) -> list[Node]:
     return found["article"] or found["main"]
 
 
-def blocks(roots: list[Node], template: set[int], in_article: bool) -> list[str]:
-    """Text blocks in page order. ``template`` holds the ids of elements whose own text is template."""
+def blocks(roots: list[Node], template: set[int], in_article: bool, spared: set[int] | frozenset = frozenset()) -> list[str]:
+    """Text blocks in page order. ``template`` holds the ids of elements whose own text is template; ``spared`` ones stay."""
     out: list[str] = []
     parts: list[str] = []
 
@@ -247,7 +283,7 @@ def blocks(roots: list[Node], template: set[int], in_article: bool) -> list[str]
                     parts.append(child)
             elif child.tag == "br":
                 parts.append(" ")
-            elif not is_boilerplate(child, in_article):
+            elif id(child) in spared or not is_boilerplate(child, in_article):
                 block = child.tag in BLOCK
                 if block:
                     flush()
@@ -271,8 +307,14 @@ def main_text(page: str, wrapper: Skeleton | None, template_nodes: frozenset, re
         template = {id(m) for i in template_nodes if i in matched for m in skeleton.members[matched[i]]}
         place = skeleton.members[matched[region]] if region in matched else None
     roots = article_roots(root)
-    text = "\n\n".join(blocks(roots or place or [root], template, bool(roots)))
-    return text if text or roots or not place else "\n\n".join(blocks([root], template, False))
+    if roots:
+        return "\n\n".join(blocks(roots, template, True))
+    spared = frames(root, template)
+    text = "\n\n".join(blocks(place or [root], template, False, spared))
+    if not text and place:
+        text = "\n\n".join(blocks([root], template, False, spared))
+    framed = "\n\n".join(blocks(article_roots(root, True), template, True))
+    return framed if 2 * len(framed) > len(text) else text
 
 
 def _hosts(pages: DataFrame) -> DataFrame:
@@ -326,10 +368,19 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 def _region(wrapper: Skeleton, chars: dict[int, int]) -> int:
     """The deepest node that still holds four fifths of the varying text outside boilerplate elements."""
-    inside = [0] * len(wrapper.labels)
-    for i in range(len(wrapper.labels) - 1, -1, -1):
-        tag, _, words = wrapper.labels[i].partition(".")
-        if tag in NO_ARTICLE or tag == "header" or NO_ARTICLE_WORDS & set(words.split()):
+    parts = [label.partition(".") for label in wrapper.labels]
+    words = [set(names.split()) for _, _, names in parts]
+    held, inside = [0] * len(parts), [0] * len(parts)
+    for i in range(len(parts) - 1, -1, -1):
+        held[i] += chars.get(i, 0)
+        if parts[i][0] in NO_ARTICLE and parts[i][0] != "form":
+            held[i] = 0
+        elif wrapper.parents[i] >= 0:
+            held[wrapper.parents[i]] += held[i]
+    for i in range(len(parts) - 1, -1, -1):
+        tag = parts[i][0]
+        marked = tag in NO_ARTICLE or tag == "header" or tag not in ("html", "body") and NO_ARTICLE_WORDS & words[i]
+        if marked and not (may_wrap(tag, words[i]) and held[i] >= WRAP_SHARE * held[0]):
             inside[i] = 0
             continue
         inside[i] += chars.get(i, 0)
