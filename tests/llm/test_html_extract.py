@@ -105,3 +105,16 @@ def test_template_goes_and_slots_stay(spark):
     ("<div><p>short</p></div><div class='comments'><p>comments of many, many words</p></div>", ["short"])])
 def test_marked_frames_are_no_boilerplate(text, blocks):
     assert H.main_text(text, None, frozenset(), -1) == "\n\n".join(blocks)
+
+
+def test_copies_do_not_vote_their_article_into_the_template(spark):
+    shell = "<div class='top'>Always the same banner</div><div class='ads'><b>{}</b></div><article>{}</article>"
+    rows, want = [], {}
+    for i in range(10):
+        copy, other = "the article that was copied many times", f"article number {i} has its own words"
+        quote = ("<blockquote>same quote</blockquote>" if i < 4 else f"<blockquote>quote {i}</blockquote>") if i < 7 else ""
+        rows += [(100 + i, f"http://c.example/{i}", page(0, shell.format(f"buy {i}", f"<p>{copy}</p>"), "{}"), "x", "x"),
+                 (i, f"http://c.example/o{i}", page(0, shell.format(f"buy {i}", f"<p>{other}</p>{quote}"), "{}"), "x", "x")]
+        want |= {100 + i: copy, i: other + (f"\n\nquote {i}" if 4 <= i < 7 else "")}
+    got = {g.page_id: g.text for g in H.extract(spark.createDataFrame(rows, PAGES).repartition(4)).collect()}
+    assert got == want

@@ -50,6 +50,7 @@ ARTICLE_WORDS = frozenset("article post entry content story main body text".spli
 MAX_DEPTH = 200  # deeper elements hang at this depth, as in browsers
 SAME_SHARE = 0.5  # share of different pages on which a node's text is the same
 SAME_PAGES = 4  # and at least so many
+NEARLY_ALL = 0.9  # a text on fewer of a host's pages can be an article
 WRAP_SHARE = 0.8  # an element that holds so much of the varying text is no boilerplate whatever its words
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
@@ -297,14 +298,16 @@ def blocks(roots: list[Node], template: set[int], in_article: bool, spared: set[
     return out
 
 
-def main_text(page: str, wrapper: Skeleton | None, template_nodes: frozenset, region: int) -> str:
+def main_text(page: str, wrapper: Skeleton | None, template_texts: frozenset, region: int) -> str:
+    """``template_texts`` holds (node of the wrapper, hash of its constant own text)."""
     root = parse(page)
     template: set[int] = set()
     place = None
     if wrapper is not None:
         skeleton = Skeleton.of(root)
         matched = simple_tree_matching(wrapper, skeleton)
-        template = {id(m) for i in template_nodes if i in matched for m in skeleton.members[matched[i]]}
+        template = {id(m) for i in {i for i, _ in template_texts} if i in matched
+                    and (i, _text_hash(skeleton.own_text(matched[i]))) in template_texts for m in skeleton.members[matched[i]]}
         place = skeleton.members[matched[region]] if region in matched else None
     roots = article_roots(root)
     if roots:
@@ -317,13 +320,17 @@ def main_text(page: str, wrapper: Skeleton | None, template_nodes: frozenset, re
     return framed if 2 * len(framed) > len(text) else text
 
 
+def _text_hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) >> 1
+
+
 def _hosts(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1))
     return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, skeleton (JSON), template (node numbers of constant text), region (node that holds most varying text)."""
+    """host, skeleton (JSON), template (node numbers and hashes of their constant texts), region (node that holds most varying text)."""
 
     @F.pandas_udf("string")
     def skeleton(texts: pd.Series) -> pd.Series:
@@ -340,21 +347,34 @@ def wrappers(pages: DataFrame) -> DataFrame:
             rows = []
             for host, text, start in zip(batch["host"], batch["html"], batch["skeleton"], strict=True):
                 page = Skeleton.of(parse(text))
-                key = xxhash.xxh64_intdigest(text) >> 1
+                key = _text_hash(text)
                 for i, j in simple_tree_matching(starts[start], page).items():
                     own = page.own_text(j)
                     if own:
-                        rows.append((host, i, xxhash.xxh64_intdigest(own) >> 1, key, len(own)))
+                        rows.append((host, i, _text_hash(own), key, len(own)))
             yield pd.DataFrame(rows, columns=["host", "node", "own", "page", "chars"])
 
-    seen = (pages.join(reference, "host").select("host", "html", "skeleton")
-            .mapInPandas(nodes, "host string, node int, own long, page long, chars long").distinct())
+    seen = stored(pages.join(reference, "host").select("host", "html", "skeleton")
+            .mapInPandas(nodes, "host string, node int, own long, page long, chars long").distinct(), "page-texts")
+    # Copies of one article, with other adverts or links, vote once: a page is known by its longest text that is not on nearly all.
+    total = seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("total"))
+    some = (seen.groupBy("host", "node", "own").agg(F.count("*").alias("n")).join(total, "host")
+            .filter(F.col("n") < NEARLY_ALL * F.col("total")).select("host", "node", "own"))
+    bodies = seen.join(some, ["host", "node", "own"]).groupBy("host", "page").agg(
+        F.max_by("own", F.struct("chars", "own")).alias("body"))
+    seen = seen.join(bodies, ["host", "page"], "left").select(
+        "host", "node", "own", F.coalesce("body", "page").alias("page"), "chars").distinct()
     by_text = seen.groupBy("host", "node", "own").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     by_node = by_text.groupBy("host", "node").agg(
-        F.max("n").alias("same"), F.sum("n").alias("pages"), F.sum("chars").alias("chars"))
+        F.max("n").alias("same"), F.sum("n").alias("pages"), F.sum("chars").alias("chars"),
+        # Two texts with half of the pages each are both template.
+        F.when(F.count("*") == 2, F.array(F.min("own"), F.max("own"))).otherwise(F.array(F.max_by("own", F.struct("n", "own")))).alias("top"),
+        F.max_by("own", F.struct("n", "own")).alias("most"))
+    by_node = by_node.withColumn(
+        "texts", F.when(F.col("same") * 2 == F.col("pages"), F.col("top")).otherwise(F.array("most")))
     constant = (F.col("same") >= SAME_PAGES) & (F.col("same") >= SAME_SHARE * F.col("pages"))
     facts = by_node.groupBy("host").agg(
-        F.collect_list(F.when(constant, F.col("node"))).alias("template"),
+        F.flatten(F.collect_list(F.when(constant, F.transform("texts", lambda t: F.struct("node", t.alias("own")))))).alias("template"),
         F.collect_list(F.when(~constant, F.struct("node", "chars"))).alias("slots"))
 
     @F.pandas_udf("int")
@@ -409,7 +429,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             known = {k: Skeleton.unpacked(k) for k in batch["skeleton"].dropna().unique()}
             texts = [main_text(page, known.get(skeleton),
-                               frozenset(() if template is None else template), -1 if pd.isna(region) else int(region))
+                               frozenset(() if template is None else ((t["node"], t["own"]) for t in template)), -1 if pd.isna(region) else int(region))
                      for page, skeleton, template, region in zip(
                          batch["html"], batch["skeleton"], batch["template"], batch["region"], strict=True)]
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts,
