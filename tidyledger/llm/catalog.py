@@ -5,7 +5,8 @@ from __future__ import annotations
 from public_tokenizers import path as vocabulary
 from pyspark.sql import functions as F
 
-from tidyledger.llm import exact_dedup, html_extract, licenses, mixing, neighbours, packing, quality, simhash, substring, suffixes
+from tidyledger.llm import exact_dedup, html_extract, licenses, mixing, neighbours, packing, prefix_trie, quality, simhash
+from tidyledger.llm import substring, suffixes
 from tidyledger.llm.common import table
 
 
@@ -49,6 +50,10 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"), chains=prefix_trie.forked)
+
+
 QUERIES = {
     "op1_substring": op1_substring,
     "op2_neighbours": op2_neighbours,
@@ -60,8 +65,10 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES = {
     "op1_substring": substring.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
