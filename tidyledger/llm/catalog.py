@@ -6,7 +6,7 @@ from public_tokenizers import path as vocabulary
 from pyspark.sql import functions as F
 
 from tidyledger.llm import exact_dedup, html_extract, licenses, mixing, neighbours, packing, prefix_trie, quality, simhash
-from tidyledger.llm import substring, suffixes
+from tidyledger.llm import substring, suffixes, warc
 from tidyledger.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op12_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op13_prefix_trie(spark, sf_dir):
     return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"), chains=prefix_trie.forked)
 
@@ -65,10 +69,12 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op12_warc": op12_warc,
     "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES = {
     "op1_substring": substring.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op12_warc": warc.ORACLE,
     "op13_prefix_trie": prefix_trie.ORACLE,
 }
