@@ -6,7 +6,7 @@ from public_tokenizers import path as vocabulary
 from pyspark.sql import functions as F
 
 from tidyledger.llm import exact_dedup, html_extract, licenses, mixing, neighbours, packing, prefix_trie, quality, simhash
-from tidyledger.llm import substring, suffixes, warc
+from tidyledger.llm import substring, suffixes, warc, whitening
 from tidyledger.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_whitening(spark, sf_dir):
+    return whitening.whitening_report(table(spark, sf_dir, "embeddings"))
+
+
 def op12_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op11_whitening": op11_whitening,
     "op12_warc": op12_warc,
     "op13_prefix_trie": op13_prefix_trie,
 }

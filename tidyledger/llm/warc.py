@@ -172,9 +172,9 @@ def frames(data: memoryview) -> Iterator[tuple[int, memoryview]]:
     at = 0
     while at < len(data):
         magic, = struct.unpack_from("<I", data, at)
+        start = at
         if magic & SKIPPABLE_MASK == SKIPPABLE:
-            end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
-            yield magic, data[at + 8:end]
+            start, end = at + 8, at + 8 + struct.unpack_from("<I", data, at + 4)[0]
         else:
             end = at + zstandard.frame_header_size(data[at:at + 18])
             last = False
@@ -183,9 +183,9 @@ def frames(data: memoryview) -> Iterator[tuple[int, memoryview]]:
                 last, kind, size = block & 1, block >> 1 & 3, block >> 3
                 end += 3 + (1 if kind == 1 else size)
             end += 4 if data[at + 4] & 4 else 0  # checksum
-            yield magic, data[at:end]
         if end > len(data):
             raise ValueError("An archive ends inside a frame")
+        yield magic, data[start:end]
         at = end
 
 
