@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tidyledger.functions.similarity import Leaders, Names, assign_to_block, indel_ratio, pair_ratio, ratio
+from tidyledger.functions.similarity import Leaders, Names, Texts, assign_to_block, first_similar, indel_ratio, pair_ratio, ratio
 from tidyledger.operators import dedupe as D
 
 
@@ -56,6 +57,53 @@ def test_ratio_of_long_names():
         assert ratio(plain_lcs(a, b), n, n) == plain_ratio(a, b)
 
 
+def test_ratio_of_many_long_names_at_once():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdé") for _ in range(rng.choice([0, 1, 30, 63, 64, 65, 130, 200]))) for _ in range(60)]
+    pairs = [(rng.choice(texts), rng.choice(texts)) for _ in range(150)]
+    assert list(pair_ratio(*zip(*pairs))) == [plain_ratio(a, b) for a, b in pairs]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abcde ", max_size=40) | st.text(alphabet="ab", min_size=30, max_size=60), min_size=1, max_size=25),
+       st.sampled_from([0, 50, 75, 100]), st.integers(1, 3), st.integers(-1, 3))
+def test_first_similar_names_equal_plain_search(texts, threshold, keep, after):
+    ranks = np.arange(len(texts)) * 2
+    j, i, score, _ = first_similar(ranks, Texts(texts), ranks, Texts(texts), np.full(len(texts), after), threshold, keep)
+    got = {}
+    for target, seed, s in sorted(zip(j.tolist(), i.tolist(), score.tolist())):
+        got.setdefault(target, []).append((seed, s))
+    for target, text in enumerate(texts):
+        near = [(seed, plain_ratio(texts[seed], text)) for seed in range(target) if 2 * seed > after]
+        assert got.get(target, [])[:keep] == [x for x in near if x[1] >= threshold][:keep]
+
+
+def invented_names(n, seed=5):
+    """Different names of firms and persons, a few of them near one another."""
+    rng = random.Random(seed)
+    parts = ["".join(rng.choice("bcdfglmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(3000)]
+    made = set()
+    while len(made) < n:
+        name = " ".join(rng.choice(parts) for _ in range(rng.randint(2, 3)))
+        made.add(name)
+        if rng.random() < 0.1:
+            cut = rng.randrange(len(name))
+            made.add(name[:cut] + rng.choice("aeix") + name[cut + 1:])
+    return sorted(made, key=lambda _: rng.random())[:n]
+
+
+def test_few_of_twenty_thousand_different_names_are_compared():
+    texts = invented_names(20_000)
+    ranks = np.arange(len(texts))
+    block, compared = 2000, 0
+    names = [Texts(texts[a:a + block]) for a in range(0, len(texts), block)]
+    for a, seeds in enumerate(names):
+        for b, targets in enumerate(names[a:], a):
+            at = slice(a * block, (a + 1) * block), slice(b * block, (b + 1) * block)
+            compared += first_similar(ranks[at[0]], seeds, ranks[at[1]], targets, np.full(block, -1), 75, 8)[3]
+    assert compared < 0.05 * len(texts) ** 2 / 2
+
+
 def test_known_similarities(spark):
     df = spark.createDataFrame([("Limpieza", "LIMPIESA", 88), ("Tecnología", "Tecnologia", 90), ("a", None, None)],
                                "a string, b string, s int")
@@ -77,8 +125,8 @@ def test_blocks_equal_sequential_pass(counts, threshold, size):
     assert leader == sequential(counts, threshold)
 
 
-@pytest.mark.parametrize("first,last", [(512, 4096), (3, 7)])
-def test_spark_clusters_equal_sequential_pass(spark, first, last):
+@pytest.mark.parametrize("first,least,keep", [(512, 4096, 8), (3, 40, 8), (3, 7, 1), (1, 100, 2)])
+def test_spark_clusters_equal_sequential_pass(spark, first, least, keep):
     rng = random.Random(7)
     stems = ["".join(rng.choice("abcdefgh ") for _ in range(10)).strip() or "x" for _ in range(15)]
     rows = []
@@ -89,7 +137,7 @@ def test_spark_clusters_equal_sequential_pass(spark, first, last):
         rows.append(("".join(text),))
     values = D.value_counts(spark.createDataFrame(rows, "name string"), "name").collect()
     counts = {r["value"]: r["n"] for r in values}
-    got = D.cluster(D.value_counts(spark.createDataFrame(rows, "name string"), "name"), 75, first, last).collect()
+    got = D.cluster(D.value_counts(spark.createDataFrame(rows, "name string"), "name"), 75, first, least, keep).collect()
     assert len(got) == len(counts)
     assert {r["value"]: r["leader"] for r in got} == sequential(counts, 75)
     assert all(r["similarity"] == plain_ratio(r["value"].lower(), r["leader"].lower()) for r in got)
@@ -104,6 +152,19 @@ def test_third_of_all_rows_in_one_name(spark):
     assert result.records.filter("proveedor = 'Suministros Garcia S.L.'").count() == 320
 
 
+def test_rounds_equal_the_sequential_pass_for_random_ranks(spark):
+    """Chains of names, each near the next: which of them lead depends on the whole chain of ranks before them."""
+    rng = random.Random(11)
+    base = "abcdefghijklmnopqrstuvwxyz"
+    texts = {base[k:k + 14] for k in range(13)} | {base[::-1][k:k + 15] for k in range(12)} | {base[k:k + 12] + "0" * k for k in range(8)}
+    rows = [(t, rng.randint(1, 5)) for t in sorted(texts)]
+    counts = dict(rows)
+    df = spark.createDataFrame(rows, "value string, n long").withColumns({"length": F.length("value"), "low": F.lower("value")})
+    for keep in (1, 8):
+        got = D.cluster(df, 75, 1, 10, keep).collect()
+        assert {r["value"]: r["leader"] for r in got} == sequential(counts, 75) and len(got) == len(counts)
+
+
 def test_grades_canonical_and_weakest_member(spark):
     rows = [("Distribuciones Lopez Hermanos",)] * 3 + [("distribuciones lopez hermanos",)] * 2 + [("Limpieza",)] * 2 + [("Limpiesa",)]
     clusters = D.cluster(D.value_counts(spark.createDataFrame(rows, "p string"), "p"))

@@ -1,16 +1,17 @@
 """Merging near-duplicate names, exactly as a sequential pass by rank would.
 
-Names are ranked by (frequency desc, length desc, text). Going down the ranks,
-a name that is not yet in a cluster opens one and takes in every later free
-name that is similar enough *to it*. The distributed form works on blocks of
-ranks: the next ``block_size`` undecided names, a bounded number, go to all
-tasks; a single pass over the undecided names gives each its first similar
-leader from that block. Leaders of a prefix of the ranks depend on that prefix
-alone, so the outcome equals the sequential pass whatever the block size.
-
-No pair of names is ever materialised: each pass is a map over the names that
-are left, without a shuffle, and a name leaves as soon as it has a leader. Data
-full of near-copies need few leaders, hence few passes.
+Names are ranked by (frequency desc, length desc, text). Going down the ranks, a name that is not yet in a cluster opens
+one and takes in every later free name that is similar enough *to it*. The distributed form:
+
+1. The most frequent names, a bounded block, go to all tasks; one map-only pass takes out what is similar to their leaders.
+2. The names left are cut into blocks by length. Pairs of blocks that may hold similar names meet in a task, which gives
+   every name its *first* few similar names of smaller rank (:func:`first_before`). A matrix product over (letter, occurrence)
+   tokens bounds the similarity of all pairs; only the few that may reach the threshold are compared.
+3. Rounds of the lexicographically first independent set: a name whose similar earlier names have all joined others
+   leads; a name whose first similar name that has not joined leads, joins it. Only open names iterate, on a bounded list
+   each; a name that has used up its list looks for the next similar names (:func:`cluster`).
+
+No list of pairs grows with the square of a dense group, and no round goes through the driver.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidyledger.functions import vocabulary as words
 from tidyledger.functions.cleaning import strip_ws
-from tidyledger.functions.similarity import assign_to_block
+from tidyledger.functions.similarity import assign_to_block, similar_before
 from tidyledger.operators.clean import LOG
-from tidyledger.sources.scratch import cut
+from tidyledger.sources.scratch import cut, ranked, stored
 
 AUTO_MERGE, REVIEW = 95, 75
-FIRST_BLOCK, LAST_BLOCK = 512, 4096
+FIRST_BLOCK = 512  # names of the first pass
+LEAST_BLOCK, MOST_BLOCK, BLOCKS = 1024, 4096, 64  # names of a block: as many as make 64 blocks, within bounds
+KEPT = 8  # similar earlier names that a name holds at a time
 
 MERGE_GRADE, REVIEW_GRADE = "merge", "review"
 _RANK = (F.desc, "n"), (F.desc, "length"), (F.asc, "value")
@@ -42,34 +45,112 @@ def value_counts(df: DataFrame, field: str) -> DataFrame:
         .withColumns({"length": F.length("value"), "low": F.lower("value")}))
 
 
-def cluster(values: DataFrame, threshold: int = REVIEW, first_block: int = FIRST_BLOCK,
-            last_block: int = LAST_BLOCK) -> DataFrame:
-    """Cluster of every value: (value, n, length, low, leader, similarity to the leader).
+def _blocks(names: DataFrame, threshold: int, least: int) -> DataFrame:
+    """Add ``block``, blocks of about equal size in order of length, and the blocks in reach of it, ``lo`` to ``hi``."""
+    per_length = names.groupBy(F.length("low").alias("letters")).count()  # one row per different length
+    shorter = Window.orderBy("letters").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_length.withColumn("start", F.coalesce(F.sum("count").over(shorter), F.lit(0)))
+    size = max(least, min(MOST_BLOCK, -(-names.count() // BLOCKS)))
+    inside = F.pmod(F.xxhash64("value"), F.col("count"))
+    placed = stored(names.withColumn("letters", F.length("low")).join(starts, "letters").withColumn(
+        "block", F.floor((F.col("start") + inside) / size)).drop("start", "count"), "name-blocks")
+    # Names further apart in length than by this factor cannot reach the threshold.
+    low = max(threshold - 0.5, 0.0) / 100.0
+    factor = low / (2.0 - low)
+    # One row per block of a thousand names or more comes to the driver.
+    ends = placed.groupBy("block").agg(F.min("letters").alias("least"), F.max("letters").alias("most")).collect()
+    near = []
+    for one in ends:
+        reached = [o["block"] for o in ends if o["least"] * factor <= one["most"] and one["least"] * factor <= o["most"]]
+        near.append((one["block"], min(reached), max(reached)))
+    reach = names.sparkSession.createDataFrame(near, "block long, lo long, hi long")
+    return placed.drop("letters").join(F.broadcast(reach), "block")
+
+
+def first_before(seeds: DataFrame, targets: DataFrame, threshold: int, keep: int) -> DataFrame:
+    """(rank, other, similarity): for every target the first ``keep`` similar seeds with after < other < rank.
+
+    Both have rank, low, block, lo, hi; targets have ``after`` too. A task gets one block of either side.
+    """
+    reach = F.explode(F.sequence("lo", "hi"))
+    s = seeds.select("rank", "low", F.col("block").alias("of_seeds"), reach.alias("of_targets"))
+    t = targets.select(F.col("rank").alias("target"), F.col("low").alias("text"), "after", reach.alias("of_seeds"),
+                       F.col("block").alias("of_targets"))
+    hits = s.groupBy("of_seeds", "of_targets").cogroup(t.groupBy("of_seeds", "of_targets")).applyInPandas(
+        similar_before(threshold, keep), "rank long, other long, similarity long")
+    order = Window.partitionBy("rank").orderBy("other")
+    return hits.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= keep).drop("_place")
+
 
-    ``values`` is what :func:`value_counts` gives. It is checkpointed first, as
-    each pass reads it again; passes that leave names undecided are, too.
+def _settled(lists: DataFrame, states: DataFrame) -> DataFrame:
+    """One step for every open name: (rank, leader, similarity, after); leader null while the name stays open.
+
+    ``after`` is set where every similar name known so far has joined another one, but there may be more.
     """
-    spark = values.sparkSession
-    left, decided, size = cut(values), [], first_block
-    schema = "value string, n bigint, length int, low string, leader string, similarity bigint"
+    known = states.select(F.col("rank").alias("other"), F.col("leader").alias("others_leader"))
+    listed = lists.join(states, "rank", "left_anti").select("rank", "more", F.explode_outer("hits").alias("hit")).select(
+        "rank", "more", F.col("hit.other").alias("other"), "hit.similarity").join(known, "other", "left")
+    leads = F.col("others_leader") == F.col("other")
+    free = F.col("other").isNotNull() & (F.col("others_leader").isNull() | leads)
+    best = F.min(F.when(free, F.struct("other", "similarity", F.coalesce(leads, F.lit(False)).alias("leads"))))
+    seen = listed.groupBy("rank").agg(best.alias("best"), F.max("other").alias("last"), F.bool_or("more").alias("more"))
+    alone = F.col("best").isNull() & ~F.col("more")
+    return seen.select(
+        "rank", F.when(alone, F.col("rank")).when(F.col("best.leads"), F.col("best.other")).alias("leader"),
+        F.when(alone, F.lit(100)).when(F.col("best.leads"), F.col("best.similarity")).cast("long").alias("similarity"),
+        F.when(F.col("best").isNull() & F.col("more"), F.col("last")).alias("after"))
+
+
+def _in_rounds(left: DataFrame, threshold: int, least: int, keep: int) -> DataFrame:
+    """Clusters of names of which none is similar to an earlier leader: as :func:`cluster`."""
+    names = _blocks(ranked(left, "rank", *(direction(column) for direction, column in _RANK)), threshold, least)
+
+    def lists(targets: DataFrame, seeds: DataFrame) -> DataFrame:
+        found = first_before(seeds, targets, threshold, keep).groupBy("rank").agg(
+            F.sort_array(F.collect_list(F.struct("other", "similarity"))).alias("hits"))  # at most ``keep``
+        return targets.select("rank").join(found, "rank", "left").select(
+            "rank", "hits", (F.coalesce(F.size("hits"), F.lit(0)) >= keep).alias("more"))
+
+    waiting = stored(lists(names.withColumn("after", F.lit(-1).cast("long")), names), "similar-before")
+    states = left.sparkSession.createDataFrame([], "rank long, leader long, similarity long")
     while True:
-        # At most ``size`` rows reach the driver, found by a distributed top-k.
-        order = [direction(name) for direction, name in _RANK]
-        block = [(r["value"], r["low"]) for r in left.orderBy(*order).limit(size).collect()]
-        if not block:
-            break
-        matched = left.mapInPandas(assign_to_block(block, threshold), schema)
-        if len(block) < size:
-            # The block held every name that was left, so all of them get a leader now.
-            decided.append(matched)
+        step = stored(_settled(waiting, states), "independent-set")
+        n, decided, asking = step.agg(F.count("*"), F.count("leader"), F.count("after")).first()
+        if decided:
+            states = states.union(step.filter("leader is not null").drop("after"))
+        elif asking:
+            targets = names.join(step.filter("after is not null").select("rank", "after"), "rank")
+            seeds = names.join(states.filter("leader <> rank"), "rank", "left_anti")
+            waiting = stored(waiting.join(states, "rank", "left_anti").join(targets, "rank", "left_anti").union(
+                lists(targets, seeds)), "similar-before")
+        if n == decided:
             break
-        matched = cut(matched)
-        decided.append(matched.filter(F.col("leader").isNotNull()))
-        left = matched.filter(F.col("leader").isNull()).drop("leader", "similarity")
-        size = min(size * 2, last_block)
-    if not decided:
-        return spark.createDataFrame([], schema)
-    return reduce(DataFrame.union, decided)
+    leaders = names.select(F.col("rank").alias("leader_rank"), F.col("value").alias("leader"))
+    return names.join(states.withColumnRenamed("leader", "leader_rank"), "rank").join(leaders, "leader_rank").select(
+        "value", "n", "length", "low", "leader", "similarity")
+
+
+def cluster(values: DataFrame, threshold: int = REVIEW, first_block: int = FIRST_BLOCK, least_block: int = LEAST_BLOCK,
+            keep: int = KEPT) -> DataFrame:
+    """Cluster of every value: (value, n, length, low, leader, similarity to the leader).
+
+    ``values`` is what :func:`value_counts` gives. It is checkpointed first, as it is read more than once.
+    """
+    left = cut(values)
+    # At most ``first_block`` rows reach the driver, found by a distributed top-k.
+    order = [direction(name) for direction, name in _RANK]
+    block = [(r["value"], r["low"]) for r in left.orderBy(*order).limit(first_block).collect()]
+    schema = "value string, n bigint, length int, low string, leader string, similarity bigint"
+    if not block:
+        return values.sparkSession.createDataFrame([], schema)
+    matched = left.mapInPandas(assign_to_block(block, threshold), schema)
+    if len(block) < first_block:
+        return matched  # the block held every name, so all of them have a leader
+    matched = stored(matched, "first-leaders")
+    left = matched.filter("leader is null").drop("leader", "similarity")
+    if left.isEmpty():
+        return matched
+    return matched.filter("leader is not null").unionByName(_in_rounds(left, threshold, least_block, keep))
 
 
 def groups(clusters: DataFrame, field: str, auto: int = AUTO_MERGE, review: int = REVIEW) -> DataFrame:

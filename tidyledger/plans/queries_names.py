@@ -28,8 +28,8 @@ def similar_names(spark, sf_dir):
 
 
 def similar_names_small_blocks(spark, sf_dir):
-    """The same through many passes of small blocks."""
-    return D.cluster(_names(spark, sf_dir), first_block=4, last_block=16).select("value", "n", "leader", "similarity")
+    """The same through small blocks and lists of one name, so that names look for the next similar one again and again."""
+    return D.cluster(_names(spark, sf_dir), first_block=4, least_block=16, keep=1).select("value", "n", "leader", "similarity")
 
 
 def dense_names(spark, sf_dir):

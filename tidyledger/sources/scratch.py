@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,3 +43,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts the lineage and survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def ranked(df: DataFrame, name: str, *order) -> DataFrame:
+    """Number the rows from 0 in the given order, and store them.
+
+    A range sort puts them in order over many tasks; each task's offset is counted on the stored rows.
+    """
+    rows = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({
+        "_task": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "ranked")
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_task").agg(F.count("*").alias("_n")).select(
+        "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    # One row per task of the sort.
+    return rows.join(F.broadcast(offsets), "_task").withColumn(name, F.col("_offset") + F.col("_row")).drop("_task", "_row", "_offset")
