@@ -1,5 +1,6 @@
 """Validation, corrections, analytics, updates, sources, hooks and streams."""
 
+import math
 import random
 import statistics
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidyledger.functions import text as fn
-from tidyledger.operators import analytics as A, clean as C, retrieval as R, updates as U, validate as V
+from tidyledger.operators import analytics as A, clean as C, retrieval as R, selection, updates as U, validate as V
 from tidyledger.plans import pipeline as P
 from tidyledger.schema import INVOICE_SPEC, FieldSpec, TableSpec
 from tidyledger.sources import files, scratch, store
@@ -87,13 +88,43 @@ def test_bracketed_median_is_exact(spark, n):
 
 
 def test_wide_brackets_are_narrowed(spark, monkeypatch):
-    monkeypatch.setattr(A, "BRACKET_VALUES", 0)
+    monkeypatch.setattr(A, "medians", lambda numbers, facts: selection.medians(numbers, facts, buckets=5))
     values = [float((i * 7919) % 5003) / 7 for i in range(5003)]
     df = spark.createDataFrame([(v, v if v > 300 else 1.0) for v in values], "iva double, importe_base double")
     got = {r["field"]: r["median"] for r in A.field_statistics(df).collect()}
     assert got == {"iva": statistics.median(values), "importe_base": statistics.median([v if v > 300 else 1.0 for v in values])}
 
 
+def test_median_of_values_of_any_magnitude(spark):
+    rng = random.Random(3)
+    wide = [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300) for _ in range(999)] + [0.0, math.inf, -math.inf, 5e-324, -5e-324]
+    mostly = [1.5] * 9900 + [rng.random() for _ in range(51)] + [2 + rng.random() for _ in range(49)]
+    edge = [1.0] * 500 + [math.nextafter(1.0, 2)] * 500
+    high = [math.inf] * 3 + [1e308, 1.7e308]
+    for values in (wide, mostly, mostly + [float(i) for i in range(9900)], edge, high, [-v for v in high], [3.0], [-2.0, 7.0]):
+        df = spark.createDataFrame([(v,) for v in values], "iva double")
+        for buckets in (2, 16_384) if values is not wide else (16_384, 30):
+            got = selection.medians(df, {"iva": (len(values), min(values), max(values))}, buckets)
+            assert got == {"iva": statistics.median(values)}
+
+
+def test_no_value_is_ranked_for_the_median(spark, monkeypatch):
+    """Passes are aggregates with map-side partials; no window, no sort, and few rows to the driver."""
+    plans, real = [], type(spark.range(1)).collect
+
+    def seen(df):
+        rows = real(df)
+        plans.append((df._jdf.queryExecution().executedPlan().toString(), len(rows)))
+        return rows
+
+    monkeypatch.setattr(type(spark.range(1)), "collect", seen)
+    df = spark.range(200_000).selectExpr("cast(sin(id) * 1e6 as double) iva", "double(id % 7) importe_base")
+    got = selection.medians(df, {"iva": (200_000, -1e6, 1e6), "importe_base": (200_000, 0.0, 6.0)})
+    assert got["importe_base"] == 3.0 and 2 <= len(plans) <= 4
+    assert all("Window" not in plan and "Sort" not in plan and "partial_count" in plan for plan, _ in plans)
+    assert all(n <= 2 * selection.BUCKETS for _, n in plans)
+
+
 def test_missing_segment_and_index_values(spark):
     df = spark.createDataFrame([(0, "a", 1.0), (1, None, 2.0), (2, None, None)], "_row_number long, tipo string, iva double")
     seg = {r["segment"]: (r["count"], r["iva_sum"], r["iva_mean"]) for r in A.segmented_statistics(df).collect()}

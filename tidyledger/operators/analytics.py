@@ -16,10 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidyledger.functions import vocabulary as words
 from tidyledger.operators.clean import row_key
+from tidyledger.operators.selection import medians
 
-# The median is searched inside a narrow bracket of ranks.
-BRACKET_ACCURACY = 10_000
-BRACKET_VALUES = 1_000_000
 CHUNK_ROWS = 65_536
 
 
@@ -31,90 +29,26 @@ def _numbers(df: DataFrame, fields: Sequence[str]) -> DataFrame:
                 else F.col(f"`{f}`").cast("double"), F.lit(None).cast("double")).alias(f) for f in fields])
 
 
-def _inside(field: str, low: float, high: float) -> Column:
-    return F.when(F.col(field).between(low, high), F.col(field))
-
-
-def _brackets(numbers: DataFrame) -> dict[str, tuple[int, float, float]]:
-    """(count, low, high) of every field with values: its median lies in low..high.
-
-    The approximate percentile is off by at most 1/accuracy of the ranks, so four
-    times that on both sides holds the median for certain. A bracket that may
-    still hold more than ``BRACKET_VALUES`` values is narrowed in the same way.
-    One row with a few numbers per field comes back from each pass.
-    """
-    width = 4 / BRACKET_ACCURACY
-
-    def ask(values: dict[str, tuple[Column, float]]) -> dict[str, tuple[int, list[float]]]:
-        row = numbers.agg(*[x for f, (c, p) in values.items() for x in (
-            F.count(c).alias(f"n_{f}"), F.percentile_approx(
-                c, [max(p - width, 0.0), min(p + width, 1.0)], BRACKET_ACCURACY).alias(f"b_{f}"))]).first()
-        return {f: (row[f"n_{f}"], row[f"b_{f}"]) for f in values}
-
-    first = ask({f: (F.col(f), 0.5) for f in numbers.columns})
-    found = {f: (n, *bracket) for f, (n, bracket) in first.items() if n}
-    within = {f: n for f, (n, _, _) in found.items()}
-    final: set[str] = set()
-    while wide := [f for f, (_, low, high) in found.items()
-                   if f not in final and low < high and within[f] * 10 / BRACKET_ACCURACY > BRACKET_VALUES]:
-        counts = numbers.agg(*[x for f in wide for x in (
-            F.count_if(F.col(f) < found[f][1]).alias(f"below_{f}"),
-            F.count(_inside(f, *found[f][1:])).alias(f"in_{f}"))]).first()
-        middle = {f: ((found[f][0] + 1) / 2 - counts[f"below_{f}"]) / counts[f"in_{f}"] for f in wide}
-        narrowed = ask({f: (_inside(f, *found[f][1:]), middle[f]) for f in wide})
-        for f, (n, bracket) in narrowed.items():
-            # Unchanged bounds: nearly all values equal one of them, and equal values count together.
-            if tuple(bracket) == found[f][1:]:
-                final.add(f)
-            found[f], within[f] = (found[f][0], *bracket), n
-    return found
-
-
-def _bracketed_medians(numbers: DataFrame, brackets: dict[str, tuple[int, float, float]]) -> DataFrame:
-    """(field, value, before, upto): ranks inside the bracket of the values in it, equal ones counted together."""
-    near = numbers.select(*[_inside(f, low, high).alias(f) for f, (_, low, high) in brackets.items()])
-    counted = near.unpivot([], list(brackets), "field", "value").filter("value is not null").groupBy(
-        "field", "value").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("field").orderBy("value"))
-    return counted.select("field", "value", (upto - F.col("n")).alias("before"), upto.alias("upto"))
+_STATISTICS = "field string, count long, sum double, mean double, median double, min double, max double, std double"
 
 
 def field_statistics(df: DataFrame, fields: Sequence[str] = words.MONEY_FIELDS) -> DataFrame:
     """One row per field: count, sum, mean, exact median, min, max, sample standard deviation.
 
     Text that is no number is ignored; fields without any number are left out.
-    All fields are aggregated in one pass, in columns.
+    All fields are aggregated in one pass, in columns; medians take a few passes more (:mod:`.selection`).
     """
     present = [f for f in fields if f in df.columns]
     numbers = _numbers(df, present)
-    large = _brackets(numbers) if present else {}
-    missing = F.lit(None).cast("double")
-
-    def parts(f: str) -> dict[str, Column]:
-        c = F.col(f)
-        return {
-            "count": F.count(c), "sum": F.sum(c), "mean": F.avg(c),
-            "median": missing, "min": F.min(c), "max": F.max(c),
-            "std": F.coalesce(F.stddev_samp(c), F.lit(0.0)),
-            "below": F.count_if(c < large[f][1]) if f in large else F.lit(0).cast("long")}
-
-    names = list(parts("x"))
-    wide = numbers.agg(*[c.alias(f"{name}_{f}") for f in present for name, c in parts(f).items()])
-    rows = wide.select(F.inline(F.array(*[
-        F.struct(F.lit(f).alias("field"), *[F.col(f"{name}_{f}").alias(name) for name in names]) for f in present])))
-    if large:
-        ranked = _bracketed_medians(numbers, large).join(F.broadcast(rows.select("field", "below", "count")), "field")
-        first, second = F.floor((F.col("count") + 1) / 2), F.floor((F.col("count") + 2) / 2)
-
-        def at(rank: Column) -> Column:
-            place = rank - F.col("below")
-            return F.max(F.when((F.col("before") < place) & (place <= F.col("upto")), F.col("value")))
-
-        found = ranked.groupBy("field").agg(((at(first) + at(second)) / 2).alias("found"))
-        # A bracket that misses the middle would be a fault; it must not pass as a missing median.
-        rows = rows.join(F.broadcast(found), "field", "left").withColumn("median", F.when(F.col("count") > 0, F.coalesce(
-            "found", F.raise_error(F.concat(F.lit("no median found for "), F.col("field"))).cast("double"))))
-    return rows.filter(F.col("count") > 0).select("field", "count", "sum", "mean", "median", "min", "max", "std")
+    if not present:
+        return df.sparkSession.createDataFrame([], _STATISTICS)
+    parts = {"count": F.count, "sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max,
+             "std": lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))}
+    row = numbers.agg(*[make(F.col(f)).alias(f"{name}_{f}") for f in present for name, make in parts.items()]).first()
+    known = {f: {name: row[f"{name}_{f}"] for name in parts} for f in present if row[f"count_{f}"]}
+    middle = medians(numbers, {f: (k["count"], k["min"], k["max"]) for f, k in known.items()})
+    rows = [(f, k["count"], k["sum"], k["mean"], middle[f], k["min"], k["max"], k["std"]) for f, k in known.items()]
+    return df.sparkSession.createDataFrame(rows, _STATISTICS)
 
 
 def _text(df: DataFrame, field: str) -> Column:
