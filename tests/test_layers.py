@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidyledger.functions import text as fn
-from tidyledger.operators import analytics as A, clean as C, retrieval as R, selection, updates as U, validate as V
+from tidyledger.operators import analytics as A, clean as C, increments, retrieval as R, selection, updates as U, validate as V
 from tidyledger.plans import pipeline as P
 from tidyledger.schema import INVOICE_SPEC, FieldSpec, TableSpec
 from tidyledger.sources import files, scratch, store
+from tidyledger.streaming import incremental
 from tidyledger.streaming.incremental import snapshot, upsert_stream
 from test_cleaning import dirty
 
@@ -121,7 +122,7 @@ def test_no_value_is_ranked_for_the_median(spark, monkeypatch):
     df = spark.range(200_000).selectExpr("cast(sin(id) * 1e6 as double) iva", "double(id % 7) importe_base")
     got = selection.medians(df, {"iva": (200_000, -1e6, 1e6), "importe_base": (200_000, 0.0, 6.0)})
     assert got["importe_base"] == 3.0 and 2 <= len(plans) <= 4
-    assert all("Window" not in plan and "Sort" not in plan and "partial_count" in plan for plan, _ in plans)
+    assert all("Window" not in plan and "Sort" not in plan and "partial_sum" in plan for plan, _ in plans)
     assert all(n <= 2 * selection.BUCKETS for _, n in plans)
 
 
@@ -393,6 +394,74 @@ def test_stream_survives_a_lost_checkpoint_and_needs_an_order(spark, tmp_path):
         upsert_stream(spark.readStream.schema("num_factura string").parquet(str(tmp_path / "in0")), out, "x")
 
 
+def test_stream_partitions_split_and_keep_their_size(spark, tmp_path):
+    schema, out, source = "_row_number long, num_factura string, v int", str(tmp_path / "out"), str(tmp_path / "in")
+    want, sizes = {}, []
+    for n in range(4):
+        rows = [(i, None if i == 0 else f"k{(i * 7 + n * 101) % 900}", n * 1000 + i) for i in range(300)]
+        want |= {key: v for _, key, v in rows}
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        upsert_stream(stream, out, str(tmp_path / "progress"), parts=2, part_rows=60).awaitTermination()
+        version = incremental.read_version(spark, out)
+        sizes.append(len(version.parts))
+        assert sum(p.rows for p in version.parts) == len(want) and max(p.rows for p in version.parts) <= 60
+        # Every hash belongs to one partition.
+        assert sum(2.0 ** -p.depth for p in version.parts) == 1.0
+    assert {r["num_factura"]: r["v"] for r in snapshot(spark, out).collect()} == want
+    assert sizes == sorted(sizes) and sizes[0] > 2 and len({p.depth for p in version.parts}) > 1
+    assert snapshot(spark, out, 0).count() == 300
+    assert incremental.expire(spark, out) == 3 and incremental.versions(spark, out) == [3]
+    assert {r["num_factura"]: r["v"] for r in snapshot(spark, out).collect()} == want
+    held = {str(f.parent) for f in (tmp_path / "out" / "data").rglob("*.parquet")}
+    assert held == {p.folder for p in version.parts if p.folder}
+
+
+def same_gold(got, want):
+    """Analytics from states equal those of one full pass."""
+    def rows(df, *key):
+        return {tuple(r[k] for k in key): {c: v for c, v in r.asDict().items() if c not in key} for r in df.collect()}
+
+    for name, key in (("statistics", ["field"]), ("indexes", ["field", "key"]), ("segments", ["segment_field", "segment"])):
+        mine, full = rows(getattr(got, name), *key), rows(getattr(want, name), *key)
+        assert mine.keys() == full.keys(), name
+        for k, values in full.items():
+            for column, value in values.items():
+                assert mine[k][column] == (value if value is None else pytest.approx(value, rel=1e-9, abs=1e-9)), (name, k, column)
+
+
+def test_analytics_of_a_stream_equal_a_full_pass(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "STATES", 2)
+    schema = "_row_number long, num_factura string, tipo string, fecha date, importe_total double, iva string"
+    out, source, rng = str(tmp_path / "out"), str(tmp_path / "in"), random.Random(5)
+    day = lambda i: __import__("datetime").date(2024, 1, 1 + i % 28)
+    for n in range(5):
+        # The largest and smallest amounts are taken back later; the middle moves; a third of all rows has one value.
+        rows = [(i, f"k{rng.randrange(150)}", rng.choice(["Gasto", "Ingreso", None]), rng.choice([None, day(i)]),
+                 rng.choice([None, 7.0, round(rng.gauss(50 * n, 40), 2), 1e5 * (5 - n)]), rng.choice(["1.5", None, str(i)]))
+                for i in range(120)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        upsert_stream(spark.readStream.schema(schema).parquet(source), out, str(tmp_path / "progress"), parts=4, part_rows=40,
+                      analytics=True).awaitTermination()
+        if n in (0, 2, 4):
+            same_gold(incremental.gold_snapshot(spark, out), A.aggregate(snapshot(spark, out)))
+    assert len(incremental.read_version(spark, out).states) <= 2
+
+
+def test_states_add_up_in_any_order_and_take_everything_back(spark):
+    schema = "tipo string, importe_total double"
+    one = spark.createDataFrame([("a", 1.0), ("b", 2.0), (None, None)], schema)
+    two = spark.createDataFrame([("a", 5.0), ("c", -1.0)], schema)
+    none, shape = one.limit(0), increments.shape_of(one)
+    states = [increments.changes(one, none, shape), increments.changes(two, one, shape), increments.changes(one, none, shape)]
+    for order in ([0, 1, 2], [2, 1, 0]):
+        both = states[order[0]].union(states[order[1]]).union(states[order[2]])
+        want = A.aggregate(one.union(two))
+        same_gold(A.Gold(None, increments.statistics(both, shape), increments.value_counts(both), increments.segments(both, shape)), want)
+    empty = states[0].union(increments.changes(none, one, shape))
+    assert increments.merged(empty).count() == 0 and increments.statistics(empty, shape).count() == 0
+
+
 def test_cleaning_has_no_python_and_no_shuffle(spark):
     plan = V.clean_and_validate(dirty(spark), INVOICE_SPEC)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan

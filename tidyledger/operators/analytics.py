@@ -21,15 +21,15 @@ from tidyledger.operators.selection import medians
 CHUNK_ROWS = 65_536
 
 
-def _numbers(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+def _numbers(df: DataFrame, fields: Sequence[str], *keep: str) -> DataFrame:
     """The fields as numbers; text that is none becomes null."""
     types = df.schema
-    return df.select(*[
+    return df.select(*keep, *[
         F.nanvl(F.col(f"`{f}`").try_cast("double") if types[f].dataType.typeName() == "string"
                 else F.col(f"`{f}`").cast("double"), F.lit(None).cast("double")).alias(f) for f in fields])
 
 
-_STATISTICS = "field string, count long, sum double, mean double, median double, min double, max double, std double"
+STATISTICS = "field string, count long, sum double, mean double, median double, min double, max double, std double"
 
 
 def field_statistics(df: DataFrame, fields: Sequence[str] = words.MONEY_FIELDS) -> DataFrame:
@@ -41,14 +41,14 @@ def field_statistics(df: DataFrame, fields: Sequence[str] = words.MONEY_FIELDS)
     present = [f for f in fields if f in df.columns]
     numbers = _numbers(df, present)
     if not present:
-        return df.sparkSession.createDataFrame([], _STATISTICS)
+        return df.sparkSession.createDataFrame([], STATISTICS)
     parts = {"count": F.count, "sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max,
              "std": lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))}
     row = numbers.agg(*[make(F.col(f)).alias(f"{name}_{f}") for f in present for name, make in parts.items()]).first()
     known = {f: {name: row[f"{name}_{f}"] for name in parts} for f in present if row[f"count_{f}"]}
     middle = medians(numbers, {f: (k["count"], k["min"], k["max"]) for f, k in known.items()})
     rows = [(f, k["count"], k["sum"], k["mean"], middle[f], k["min"], k["max"], k["std"]) for f, k in known.items()]
-    return df.sparkSession.createDataFrame(rows, _STATISTICS)
+    return df.sparkSession.createDataFrame(rows, STATISTICS)
 
 
 def _text(df: DataFrame, field: str) -> Column:

@@ -56,27 +56,35 @@ def _narrowed(rows: list[tuple[int, float, float]], before: int, lower: int, upp
 
 def medians(numbers: DataFrame, facts: dict[str, tuple[int, float, float]], buckets: int = BUCKETS) -> dict[str, float]:
     """Exact median of every column, nulls left out; ``facts`` has the count, minimum and maximum of columns with values."""
-    found = {f: low for f, (_, low, high) in facts.items() if low == high}
-    open_ranges = {f: Range(low, high, 0) for f, (_, low, high) in facts.items() if f not in found}
-    while open_ranges:
-        value, bucket = F.col("value"), F.lit(None).cast("int")
-        inside = F.lit(False)
-        for f, r in open_ranges.items():
+    known = {f: low for f, (_, low, high) in facts.items() if low == high}
+    sought = {f: (n, Range(low, high, 0)) for f, (n, low, high) in facts.items() if f not in known}
+    if sought:
+        rows = numbers.select(*sought).unpivot([], list(sought), "field", "value").withColumn("n", F.lit(1).cast("long"))
+        known |= weighted_medians(rows, sought, buckets)
+    return known
+
+
+def weighted_medians(rows: DataFrame, sought: dict[str, tuple[int, Range]], buckets: int = BUCKETS) -> dict[str, float]:
+    """Medians of (field, value, n), each value counted n times, for fields given by their count and the range of the middle."""
+    found: dict[str, float] = {}
+    ranges = {f: r for f, (_, r) in sought.items()}
+    while ranges:
+        value, bucket, inside = F.col("value"), F.lit(None).cast("int"), F.lit(False)
+        for f, r in ranges.items():
             mine = F.col("field") == f
             inside = inside | (mine & value.between(r.low, r.high))
             bucket = F.when(mine, bucket_of(value, r.low, r.high, buckets)).otherwise(bucket)
-        columns = list(open_ranges)
-        counted = numbers.select(*columns).unpivot([], columns, "field", "value").filter(inside).groupBy(
-            "field", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
-        rows: dict[str, list] = {f: [] for f in columns}
+        counted = rows.filter(inside).groupBy("field", bucket.alias("bucket")).agg(
+            F.sum("n").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+        of_field: dict[str, list] = {f: [] for f in ranges}
         for row in counted.collect():
-            rows[row["field"]].append((row["bucket"], row["n"], row["least"], row["most"]))
-        for f, r in list(open_ranges.items()):
-            n = facts[f][0]
-            step = _narrowed([x[1:] for x in sorted(rows[f])], r.before, (n + 1) // 2, (n + 2) // 2)
+            of_field[row["field"]].append((row["bucket"], row["n"], row["least"], row["most"]))
+        for f, r in list(ranges.items()):
+            n = sought[f][0]
+            step = _narrowed([x[1:] for x in sorted(of_field[f])], r.before, (n + 1) // 2, (n + 2) // 2)
             if isinstance(step, Range):
-                open_ranges[f] = step
+                ranges[f] = step
             else:
                 found[f] = step
-                del open_ranges[f]
+                del ranges[f]
     return found

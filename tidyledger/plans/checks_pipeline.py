@@ -4,6 +4,21 @@ from tidyledger.plans.checks_cleaning import BASE, CLEANED
 
 _VALID = CLEANED + ", ok AS (SELECT * FROM judged WHERE n_errors = 0)"
 
+_FIGURES = {"count": "count({f})", "sum": "sum({f})", "mean": "avg({f})", "median": "median({f})", "min": "min({f})",
+            "max": "max({f})", "std": "coalesce(stddev_samp({f}), 0)"}
+_AMOUNTS = ("importe_total", "importe_pendiente")
+_PAID = BASE + """
+, updated AS (
+  SELECT categoria, 'Pagada' AS estado_factura, importe_total,
+    CASE WHEN estado_factura <> 'Pagada' THEN 0.0 ELSE importe_pendiente END::DOUBLE AS importe_pendiente FROM invoices
+) """ + " UNION ALL ".join(
+    [f"SELECT 'statistics' AS section, '{f}' AS item, '{name}' AS metric, round({figure.format(f=f)}::DOUBLE, 2) AS value FROM updated"
+     for f in _AMOUNTS for name, figure in _FIGURES.items()]
+    + [f"SELECT 'index', '{f}', {f}, count(*)::DOUBLE FROM updated GROUP BY {f}" for f in ("categoria", "estado_factura")]
+    + [f"SELECT 'segments', '{s}=' || coalesce({s}, 'N/A'), '{metric}', round(({figure})::DOUBLE, 2) FROM updated GROUP BY {s}"
+       for s in ("categoria", "estado_factura")
+       for metric, figure in [("count", "count(*)")] + [(f"{f}_{n}", f"{g}({f})") for f in _AMOUNTS for n, g in (("sum", "sum"), ("mean", "avg"))]])
+
 SQL = {
     "pipeline_segments": _VALID + " UNION ALL ".join(
         f"SELECT '{s}' AS segment_field, {s} AS segment, count(*) AS count, round(sum(importe_total), 2) AS total FROM ok GROUP BY 2"
@@ -20,5 +35,6 @@ SQL = {
       SELECT CASE WHEN n_errors = 0 THEN 'valid' ELSE 'invalid' END AS status, count(*) AS n,
         count(*) FILTER (abs(importe_base + iva - importe_total) > 0.01) AS warned
       FROM judged WHERE categoria = 'Machinery' GROUP BY 1""",
+    "stream_gold": _PAID,
     "stream_upsert": BASE + "SELECT num_factura, _row_number, 'Pagada' AS estado_factura FROM invoices",
 }

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidyledger.operators.analytics import segmented_long
 from tidyledger.plans import pipeline as P
 from tidyledger.plans.ledger import dirty_invoices, invoices
 from tidyledger.plans.queries_sources import _dirty_csv
 from tidyledger.sources.scratch import new_path
-from tidyledger.streaming.incremental import snapshot, upsert_stream
+from tidyledger.streaming.incremental import gold_snapshot, snapshot, upsert_stream
 
 
 def pipeline_segments(spark, sf_dir):
@@ -53,4 +54,28 @@ def stream_upsert(spark, sf_dir):
     return snapshot(spark, path).select("num_factura", "_row_number", "estado_factura")
 
 
-QUERIES = {f.__name__: f for f in (pipeline_segments, pipeline_report, pipeline_hooks, stream_upsert)}
+def stream_gold(spark, sf_dir):
+    """Statistics, index and segments after both streams, from the states of their batches alone."""
+    rows = invoices(spark, sf_dir).select(
+        "num_factura", "_row_number", "estado_factura", "categoria", "importe_total", "importe_pendiente")
+    paid = rows.filter(F.col("estado_factura") != "Pagada").withColumns(
+        {"estado_factura": F.lit("Pagada"), "importe_pendiente": F.lit(0.0)})
+    source, path = new_path(spark, "stream"), new_path(spark, "versions")
+    for some, label in ((rows, "first"), (paid, "second")):
+        some.repartition(4).write.parquet(f"{source}/{label}")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{source}/{label}")
+        upsert_stream(stream, path, new_path(spark, "progress"), analytics=True).awaitTermination()
+    gold = gold_snapshot(spark, path)
+    figures = [f for f in gold.statistics.columns if f != "field"]
+    doubles = gold.statistics.select("field", *[F.col(f).cast("double").alias(f) for f in figures])
+    line = lambda section: F.lit(section).alias("section")
+    return (doubles.unpivot(["field"], figures, "metric", "value").select(
+                line("statistics"), F.col("field").alias("item"), "metric", F.round("value", 2).alias("value"))
+            .unionByName(gold.indexes.select(line("index"), F.col("field").alias("item"), F.col("key").alias("metric"),
+                                             F.col("count").cast("double").alias("value")))
+            .unionByName(segmented_long(gold.segments).select(
+                line("segments"), F.concat_ws("=", "segment_field", "segment").alias("item"), "metric",
+                F.round("value", 2).alias("value"))))
+
+
+QUERIES = {f.__name__: f for f in (pipeline_segments, pipeline_report, pipeline_hooks, stream_upsert, stream_gold)}
