@@ -11,7 +11,7 @@ from tidyledger.llm.common import table
 
 
 def op1_substring(spark, sf_dir):
-    return substring.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+    return substring.deduplicate(table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op2_neighbours(spark, sf_dir):
@@ -31,7 +31,7 @@ def op5_exact_dedup(spark, sf_dir):
 
 
 def op6_suffixes(spark, sf_dir):
-    return suffixes.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+    return suffixes.deduplicate(table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op7_quality(spark, sf_dir):

@@ -75,5 +75,14 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def id_text(name: str) -> Column:
+    """An id on its way through pandas, which would turn the ids of a batch with a null id into doubles."""
+    return F.col(name).cast("string").alias(name)
+
+
+def id_back(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.col(name).cast("long"))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

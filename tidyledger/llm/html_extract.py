@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import ship, stored
+from tidyledger.llm.common import id_back, id_text, ship, stored
 
 # Kinds of elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -432,8 +432,8 @@ def extract(pages: DataFrame) -> DataFrame:
                                frozenset(() if template is None else ((t["node"], t["own"]) for t in template)), -1 if pd.isna(region) else int(region))
                      for page, skeleton, template, region in zip(
                          batch["html"], batch["skeleton"], batch["template"], batch["region"], strict=True)]
-            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts,
+            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts,
                                 "n_chars": [len(t) for t in texts]})
 
-    return dealt.join(found, "host", "left").select("page_id", "url", "html", "skeleton", "template", "region").mapInPandas(
-        run, "page_id long, url string, text string, n_chars long")
+    paired = dealt.join(found, "host", "left").select(id_text("page_id"), "url", "html", "skeleton", "template", "region")
+    return id_back(paired.mapInPandas(run, "page_id string, url string, text string, n_chars long"), "page_id")

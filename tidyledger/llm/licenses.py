@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import ship
+from tidyledger.llm.common import id_back, id_text, ship
 
 # Words that must stand consecutively, and the label they give.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -171,7 +171,7 @@ class RareWordIndex:
         return all(b" " + b" ".join(key) + b" " in joined for key in self.keys[template])
 
 
-RESULT = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
+RESULT = ("doc_id string, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
           "score double")
 
 
@@ -188,6 +188,6 @@ def scan(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = [(d, *index.scan(t)) for d, t in zip(batch["doc_id"], batch["text"], strict=True)]
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
-            yield out.astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
+            yield out.astype({"first_word": "Int64", "last_word": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, RESULT)
+    return id_back(docs.select(id_text("doc_id"), "text").mapInPandas(run, RESULT), "doc_id")

@@ -23,13 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import ship, shuffle_partitions, stored
+from tidyledger.llm.common import id_back, id_text, ship, shuffle_partitions, stored
 
 CAPACITY = 4096
 END_ID = 1
 CACHED_WORDS = 200_000
 PIECES_PER_BUCKET = 50_000
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
 # Fixed values of the vocabulary's byte-level alphabet: printable bytes stand for themselves.
@@ -117,11 +117,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                         some = ids[start:start + 4 * capacity]
                         rows.append((doc_id, piece, start // 4, len(some) // 4, zlib.crc32(some), some))
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out if with_ids else out.drop(columns="ids")
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(
-        cut, PIECES + (", ids binary" if with_ids else ""))
+    return id_back(docs.select(id_text("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(
+        cut, PIECES + (", ids binary" if with_ids else "")), "doc_id")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import ship, stored, text_key
+from tidyledger.llm.common import id_text, ship, stored, text_key
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTE = np.random.default_rng(17).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -290,6 +290,6 @@ def covered(flags_of: int, runs, length: int) -> np.ndarray:
 
 
 def with_runs(texts: DataFrame, repeats: DataFrame) -> DataFrame:
-    """doc_id, text and the list of repeated runs of every row."""
-    runs = repeats.groupBy("doc", "key").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
-    return texts.join(runs, ["doc", "key"], "left").select("doc_id", "text", "runs")
+    """doc_id (as text), text and the different repeated runs of every row."""
+    runs = repeats.groupBy("doc", "key").agg(F.collect_set(F.struct("lo", "n")).alias("runs"))
+    return texts.join(runs, ["doc", "key"], "left").select(id_text("doc_id"), "text", "runs")

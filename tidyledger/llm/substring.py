@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidyledger.llm import sampling
-from tidyledger.llm.common import shuffle_partitions, stored
+from tidyledger.llm.common import id_back, shuffle_partitions, stored
 
 LENGTH = 50
 GRAMS = (20, 40, 48)
@@ -123,11 +123,12 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, grams: tuple = GRAMS,
     return rounds.repeats().unionAll(by_trees(_suffixes(texts, rounds.open, length), tree_rows))
 
 
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+RESULT = "doc_id string, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, grams: tuple = GRAMS, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, kept (the words that remain, joined by one space).
+def deduplicate(docs: DataFrame, length: int = LENGTH, grams: tuple = GRAMS, tree_rows: int = TREE_ROWS,
+                with_text: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256, and if asked for kept (the words that remain, joined by one space).
 
     Words are separated by space and tab to carriage return; a null text has none, shorter ones than a
     window keep all. Null ids count as one document behind all others. Rows that repeat an id are the same document, so
@@ -144,12 +145,11 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, grams: tuple = GRAMS, tre
                 gone = sampling.covered(len(words), some, length)
                 kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
                 rows.append((doc_id, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(),
-                             kept.decode("utf-8", "surrogatepass")))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                             kept.decode("utf-8", "surrogatepass") if with_text else None))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
 
-    return sampling.with_runs(texts, runs).mapInPandas(cut, RESULT)
+    out = id_back(sampling.with_runs(texts, runs).mapInPandas(cut, RESULT), "doc_id")
+    return out if with_text else out.drop("kept")
 
 
 ORACLE = r"""

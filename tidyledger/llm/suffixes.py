@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tidyledger.llm import sampling
+from tidyledger.llm.common import id_back
 
 LENGTH = 100
 PREFIXES = (32, 64, 96, 100)
@@ -38,11 +39,11 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, prefixes: tuple = PREF
     return rounds.repeats()
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, prefixes: tuple = PREFIXES) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that remain).
+def deduplicate(docs: DataFrame, length: int = LENGTH, prefixes: tuple = PREFIXES, with_text: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and if asked for kept (the bytes that remain).
 
     A null text is empty; texts shorter than a window keep all. Null ids count as one document behind all
     others. Rows that repeat id and text are the same document and none of them is earlier than the other; rows
@@ -60,9 +61,9 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, prefixes: tuple = PREFIXE
                 gone = sampling.covered(len(data), some, length)
                 kept = data[~gone].tobytes()
                 spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                rows.append((doc_id, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                rows.append((doc_id, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(),
+                             kept if with_text else None))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
 
-    return sampling.with_runs(texts, runs).mapInPandas(cut, RESULT)
+    out = id_back(sampling.with_runs(texts, runs).mapInPandas(cut, RESULT), "doc_id")
+    return out if with_text else out.drop("kept")
