@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import zipfile
 from contextlib import contextmanager
 from pathlib import Path
@@ -20,6 +21,16 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
+class _Scratch(threading.local):
+    """Paths that the thread has stored, so that one caller's clean-up never touches another's tables."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_scratch = _Scratch()
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python, wherever the driver imported it from.
 
@@ -58,9 +69,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     with freed_shuffles(spark):
         df.write.parquet(path)
+    _scratch.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_mark() -> int:
+    """For :func:`discard`: what is stored from here on."""
+    return len(_scratch.paths)
+
+
+def discard(spark: SparkSession, mark: int) -> None:
+    """Delete what was stored since the mark, but for the last table. For callers whose result reads that one alone."""
+    for path in _scratch.paths[mark:-1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del _scratch.paths[mark:-1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

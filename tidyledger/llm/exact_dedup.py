@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import ascii_lower, ship, shuffle_partitions, stored
+from tidyledger.llm.common import ascii_lower, discard, scratch_mark, ship, shuffle_partitions, stored
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -194,8 +194,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; of rows that repeat id and text, one."""
+    mark = scratch_mark()
     rows = stored(digests(docs), "digests")
     live = DigestIndex.empty(docs.sparkSession, rows.count()).insert(rows).live()
+    discard(docs.sparkSession, mark)
     packed = docs.select(F.struct("*").alias("row"))
     digest = F.sha2(ascii_lower(F.col("row.text")).cast("binary"), 256)
     kept = (packed.withColumn("text_sha256", digest).join(live, "text_sha256")

@@ -18,15 +18,16 @@ by an exact join of rare word shingles, so its groups are those of all pairs.
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import reduce
+from itertools import combinations, count
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import ship, stored
+from tidyledger.llm.common import discard, scratch_mark, ship, stored
 from tidyledger.llm.components import components
 
 BITS = 64
@@ -35,6 +36,7 @@ VARIANTS_PER_TASK = 3_000_000
 FREQUENT_SAMPLE = 20_000  # documents in which frequent shingles are counted
 FREQUENT_SHINGLES = 100_000  # and how many of them are put last; any choice gives the same groups
 PAIR_BLOCK = 1000
+PARITY_WORDS = 16  # 64-bit words of a document's parities
 
 
 def _shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
@@ -190,10 +192,8 @@ def _word_set_prints(texts: pd.Series, seeds: range) -> pd.DataFrame:
 
 
 def shingle_set(text: str | None, shingle: int) -> bytes:
-    """Sorted 32-bit hashes of the different word shingles; a shorter text is one shingle."""
-    words = ("" if text is None else text).encode("utf-8", "surrogatepass").lower().split()
-    n = max(1, len(words) - shingle + 1)
-    return np.unique(np.array([xxhash.xxh32_intdigest(b" ".join(words[i:i + shingle])) for i in range(n)], "<u4")).tobytes()
+    """Sorted 64-bit hashes of the different word shingles; a shorter text is one shingle."""
+    return _different_shingles(text, shingle).astype("<i8").tobytes()
 
 
 def _different_shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -221,19 +221,22 @@ def _frequent(docs: DataFrame, shingle: int, count: int) -> tuple[np.ndarray, np
 
 
 def _prefixes(docs: DataFrame, node, shingle: int, similarity: float, count: int) -> DataFrame:
-    """(node, n, place, key): of the n different shingles of each document the first n - ceil(similarity n) + 1.
+    """(node, n, keys, w0, …): of the n different shingles of each document the first n - ceil(similarity n) + 1, and its parities.
 
     All documents order their shingles alike, frequent ones last, by count. Two documents
-    of the wanted similarity share one of these shingles.
+    of the wanted similarity share one of these shingles. Bit i of the parities says whether an odd number of the shingles
+    hash to i; the bits in which two documents differ are at most the shingles that only one of them has.
     """
     known, rank = _frequent(docs, shingle, count)
+    words = [f"w{i}" for i in range(PARITY_WORDS)]
 
-    @F.pandas_udf("n int, keys array<long>")
+    @F.pandas_udf("n int, keys array<long>, " + ", ".join(f"{w} long" for w in words))
     def first(texts: pd.Series) -> pd.DataFrame:
-        sizes, chosen = [], []
-        for text in texts:
+        sizes, chosen, parities = [], [], np.zeros((len(texts), PARITY_WORDS * 64), np.uint8)
+        for i, text in enumerate(texts):
             keys = _different_shingles(text, shingle)
             sizes.append(len(keys))
+            parities[i] = np.bincount(keys & (PARITY_WORDS * 64 - 1), minlength=PARITY_WORDS * 64) & 1
             wanted = len(keys) - int(np.ceil(similarity * len(keys) - 1e-9)) + 1
             if len(known):
                 place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
@@ -241,10 +244,10 @@ def _prefixes(docs: DataFrame, node, shingle: int, similarity: float, count: int
                 late = np.argsort(rank[place[frequent]])
                 keys = np.concatenate([keys[~frequent], keys[frequent][late]])
             chosen.append(keys[:wanted])
-        return pd.DataFrame({"n": np.array(sizes, np.int32), "keys": chosen})
+        bits = np.packbits(parities, axis=1, bitorder="little").view("<i8")
+        return pd.DataFrame({"n": np.array(sizes, np.int32), "keys": chosen} | {w: bits[:, i] for i, w in enumerate(words)})
 
-    return docs.select(node.alias("node"), first("text").alias("p")).select(
-        "node", "p.n", F.posexplode("p.keys").alias("place", "key"))
+    return docs.select(node.alias("node"), first("text").alias("p")).select("node", "p.*")
 
 
 def _ball_pairs(nodes: DataFrame, distance: int, tables: int) -> DataFrame:
@@ -268,9 +271,10 @@ def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dista
     The links' components are those of all pairs whose different word shingles have the
     wanted Jaccard similarity. First candidates are collisions of several fingerprints of the
     set of words, and every document that shares a shingle of its prefix with another against
-    one of those that have it; this joins large groups in few pairs. Then all that share such
-    a shingle, and are not joined yet, are compared. Pairs whose sizes and places of the
-    shingle rule the similarity out are left out.
+    one of those that have it. This is repeated among documents that are not joined yet, with another centre each time,
+    until nothing more is joined: large groups are joined in few pairs. Then all that share such
+    a shingle, and are not joined yet, are compared. Pairs whose sizes, places of the
+    shingle or parities rule the similarity out are left out.
     """
     ship(docs.sparkSession)
     seeds = range(1, tables + 1)
@@ -288,7 +292,7 @@ def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dista
     def alike(left: pd.Series, right: pd.Series) -> pd.Series:
         out = []
         for a, b in zip(left, right, strict=True):
-            x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+            x, y = np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append(both >= similarity * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
@@ -307,27 +311,54 @@ def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dista
     def different_pairs(pairs: DataFrame) -> DataFrame:
         return pairs.filter("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
 
-    entries = stored(_prefixes(docs, node, shingle, similarity, nodes.count()), "prefixes")
-    met = (entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(F.struct("node", "n", "place")).alias("c"))
-           .filter("lo <> hi").select("key", F.col("c.node").alias("b"), F.col("c.n").alias("m"), F.col("c.place").alias("at")))
+    lists = stored(_prefixes(docs, node, shingle, similarity, nodes.count()), "prefixes")
+    entries = lists.select("node", "n", F.posexplode("keys").alias("place", "key"))
+    met = stored(entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key"),
+                 "shared-keys")
     entries = stored(entries.join(met, "key"), "met-prefixes")
     rest = 1 + F.least(F.col("n") - 1 - F.col("place"), F.col("m") - 1 - F.col("at"))
     fits = ((F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-6)
             & (rest >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6))
-    stars = entries.filter(fits).selectExpr("node a", "b")
-    tried = stored(different_pairs(_ball_pairs(nodes, distance, tables).unionAll(stars)), "pairs")
-    roots = stored(components(verify(tried)), "link-roots")
-
-    rooted = stored(entries.join(roots, "node", "left").select(
-        "key", "node", "n", "place", F.coalesce("root", "node").alias("root")), "rooted-prefixes")
-    unsettled = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows"))
-    rooted = stored(rooted.join(unsettled.filter("lo <> hi"), "key").withColumn(
-        "blocks", F.ceil(F.col("rows") / PAIR_BLOCK)), "open-prefixes")
-    left = rooted.select("key", F.col("node").alias("a"), "n", "place", "root",
-                         F.pmod(F.xxhash64("node"), "blocks").alias("block"))
-    right = rooted.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"),
-                          F.col("root").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    others = (left.join(right, ["key", "block"]).filter(fits & (F.col("a") < F.col("b")) & (F.col("root") != F.col("other")))
+
+    def opened(roots: DataFrame) -> DataFrame:
+        """Entries, with their document's root, of the shingles that documents of several roots share."""
+        rooted = stored(entries.join(roots, "node", "left").select(
+            "key", "node", "n", "place", F.coalesce("root", "node").alias("root")), "rooted-prefixes")
+        several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows"))
+        return stored(rooted.join(several.filter("lo <> hi").select("key", "rows"), "key"), "open-prefixes")
+
+    def stars(found: DataFrame, turn: int) -> DataFrame:
+        """Every document against one that shares a shingle with it. The order is the same for all shingles, so documents
+        that share many meet few different centres."""
+        centre = found.groupBy("key").agg(F.min(F.struct(
+            F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "place", "root")).alias("c")).select(
+                "key", F.col("c.node").alias("b"), F.col("c.n").alias("m"), F.col("c.place").alias("at"), F.col("c.root").alias("other"))
+        return found.join(centre, "key").filter(fits & (F.col("root") != F.col("other"))).selectExpr("node a", "b")
+
+    alone = entries.withColumn("root", F.col("node"))
+    tried = stored(different_pairs(_ball_pairs(nodes, distance, tables).unionAll(stars(alone, 0))), "pairs")
+    links = stored(verify(tried), "near-links")
+    # Another centre each turn, until a turn joins nothing more.
+    for turn in count(1):
+        roots = stored(components(links), "link-roots")
+        found = opened(roots)
+        more = stored(different_pairs(stars(found, turn)).join(tried, ["a", "b"], "left_anti"), "pairs")
+        joined = stored(verify(more), "near-links")
+        tried = tried.unionAll(more)
+        if joined.isEmpty():
+            break
+        links = links.unionAll(joined)
+
+    # What is left shares shingles without being near a centre. Only pairs that the parities do not rule out are made.
+    words = [f"w{i}" for i in range(PARITY_WORDS)]
+    found = found.withColumn("blocks", F.ceil(F.col("rows") / PAIR_BLOCK)).join(lists.select("node", *words), "node")
+    left = found.select("key", F.col("node").alias("a"), "n", "place", "root", F.pmod(F.xxhash64("node"), "blocks").alias("block"), *words)
+    right = found.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"),
+                         F.col("root").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
+                         *(F.col(w).alias(f"x{w}") for w in words))
+    differ = reduce(Column.__add__, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"x{w}"))) for w in words])
+    possible = differ <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("m")) + 1e-6
+    others = (left.join(right, ["key", "block"]).filter(fits & possible & (F.col("a") < F.col("b")) & (F.col("root") != F.col("other")))
               .select("a", "b"))
     untried = stored(different_pairs(others).join(tried, ["a", "b"], "left_anti"), "untried")
     return nodes, verify(untried).unionAll(roots.filter("node <> root").selectExpr("root a", "node b"))
@@ -338,11 +369,13 @@ def drop_near(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distan
 
     Null texts are empty; null ids lose to any id. Of rows that repeat id and text all stay or none.
     """
+    mark = scratch_mark()
     nodes, links = near_pairs(docs, shingle, similarity, distance, tables)
     roots = stored(components(links), "near-roots")
     ids = nodes.join(roots, "node").select("root", "node", "doc_id")
     first = stored(ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("f"))
                    .select("root", F.col("f.node").alias("stays")), "near-first")
     gone = stored(roots.join(first, "root").filter("node <> stays").select("node"), "near-gone")
+    discard(docs.sparkSession, mark)
     packed = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("node"))
     return packed.join(gone, "node", "left_anti").select("row.*")
