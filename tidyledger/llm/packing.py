@@ -17,6 +17,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from tidyledger.llm.common import id_back, id_text, ship, shuffle_partitions, st
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 200_000
+CACHED_WORDS = 600_000  # of either table of a worker; the older half goes when one is full
 PIECES_PER_BUCKET = 50_000
 PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
@@ -60,10 +61,10 @@ class WordIds:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         known = self.words
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        if len(self.parts) > CACHED_WORDS:
-            self.parts.clear()
+        for table in (known, self.parts):
+            if len(table) > CACHED_WORDS:
+                for old in list(islice(table, len(table) // 2)):
+                    del table[old]
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         for words in split:
             for word in words:
