@@ -36,10 +36,10 @@ def ship(spark: SparkSession) -> None:
 
     Operators call it before they make a function for executors; once per application
     the driver sends its sources, as ``spark-submit --py-files`` would. Texts go to Python in
-    batches of at most 16 MB, so a worker's memory does not depend on how long they are.
+    batches of at most 8 MB, so a worker's memory does not depend on how long they are.
     """
     if spark.conf.get(BATCH_BYTES).startswith("67108864"):  # Spark's default; another choice of the user stays
-        spark.conf.set(BATCH_BYTES, "16m")
+        spark.conf.set(BATCH_BYTES, "8m")
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
