@@ -394,6 +394,38 @@ def test_stream_survives_a_lost_checkpoint_and_needs_an_order(spark, tmp_path):
         upsert_stream(spark.readStream.schema("num_factura string").parquet(str(tmp_path / "in0")), out, "x")
 
 
+@pytest.mark.parametrize("block", [1, 3, 7, 100_000])
+def test_quoted_breaks_are_joined_by_blocks(spark, tmp_path, block):
+    rng = random.Random(block)
+    want = {}
+    for name in ("one", "two", "three"):
+        records = [["id", "text"]]
+        for i in range(60):
+            words = [rng.choice(["a", "b,c", 'say ""hi""', "", "\n", "x\ny", "\n\n", '""']) for _ in range(rng.randint(0, 4))]
+            records.append([str(i), " ".join(words)])
+        lines = [f'{i},"{text}"' if n else f"{i},{text}" for n, (i, text) in enumerate(records)]
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines) + "\n")
+        want[name] = lines
+    got = files.csv_lines(spark, f"{tmp_path}/*.csv", block_lines=block).collect()
+    for name, lines in want.items():
+        mine = sorted((r["row_number"], r["line"]) for r in got if r["path"].endswith(f"{name}.csv"))
+        assert mine == list(enumerate(lines, 1))
+    assert not any(r["unclosed"] for r in got) and {r["found"] for r in got} == {2}
+
+
+def test_a_quote_that_is_never_closed_is_an_error(spark, tmp_path):
+    lines = ["id,text", '1,"two', 'lines"', '2,"never closed', *[f"{i},x" for i in range(3, 400)]]
+    (tmp_path / "open.csv").write_text("\n".join(lines) + "\n")
+    for block in (2, 50, 1000):
+        got = sorted((r["row_number"], r["line"], r["unclosed"]) for r in files.csv_lines(spark, str(tmp_path), block_lines=block).collect())
+        assert got[:3] == [(1, "id,text", False), (2, '1,"two\nlines"', False), (3, '2,"never closed', True)]
+        assert len(got) == len(lines) - 1 and all(r[2] for r in got[2:])
+    report = files.check_csv_structure(spark, str(tmp_path)).first()
+    assert not report["is_valid"] and report["errors"] == ["a quote opened in record 3 is never closed"]
+    with pytest.raises(ValueError, match="record 3 is never closed"):
+        store.ingest(spark, str(tmp_path), str(tmp_path / "store"))
+
+
 def test_stream_partitions_split_and_keep_their_size(spark, tmp_path):
     schema, out, source = "_row_number long, num_factura string, v int", str(tmp_path / "out"), str(tmp_path / "in")
     want, sizes = {}, []

@@ -12,6 +12,7 @@ from tidyledger.operators.clean import CORRUPT, DATASET, FILE, ROW, ROW_ID
 from tidyledger.sources.scratch import stored
 
 _BLOCK = "_block"
+BLOCK_LINES = 100_000  # of a file with line breaks in quotes that one task looks at
 
 
 def number_rows(df: DataFrame, name: str = ROW, start: int = 0) -> DataFrame:
@@ -41,22 +42,34 @@ def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     return number_rows(spark.read.text(path), "row_number", 1)
 
 
-def detect_encoding(spark: SparkSession, path: str, lines: DataFrame | None = None) -> DataFrame:
-    """(path, encoding) per file: UTF-16 by its mark, else strict UTF-8, else windows-1252 or latin-1.
+def _odd_quotes(value: Column) -> Column:
+    """1 for a line with an odd number of quotes; counted on bytes, as the encoding may not be known yet."""
+    latin = F.decode(value.cast("binary"), "ISO-8859-1")
+    return ((F.length(latin) - F.length(F.replace(latin, F.lit('"'), F.lit("")))) % 2).cast("int")
 
-    Lines are checked where they are read, so a large file is checked by many
-    tasks. A UTF-8 mark is dropped by the line reader, here as when the file is read.
-    """
-    lines = raw_lines(spark, path) if lines is None else lines
+
+def _file_facts(lines: DataFrame) -> DataFrame:
+    """(path, encoding, breaks) per file, in one pass: UTF-16 by its mark, else strict UTF-8, else windows-1252 or latin-1;
+    and whether a line ends inside quotes."""
     binary, valid = F.col("value").cast("binary"), F.is_valid_utf8("value")
     start = F.hex(F.substring(binary, 1, 2))
     # Flags only, so the aggregate hashes and never sorts.
     facts = lines.groupBy(F.col(FILE).alias("path")).agg(
         F.bool_and(valid).alias("utf8"), F.bool_or(~valid & F.decode(binary, "ISO-8859-1").rlike("[\\x80-\\x9f]")).alias("c1"),
-        F.bool_or((F.col("row_number") == 1) & start.isin("FFFE", "FEFF")).alias("marked"))
+        F.bool_or((F.col("row_number") == 1) & start.isin("FFFE", "FEFF")).alias("marked"),
+        F.bool_or(_odd_quotes(F.col("value")) == 1).alias("breaks"))
     return facts.select("path", (
         F.when(F.col("marked"), "utf-16").when(F.col("utf8"), "utf-8")
-        .when(F.col("c1"), "windows-1252").otherwise("latin-1")).alias("encoding"))
+        .when(F.col("c1"), "windows-1252").otherwise("latin-1")).alias("encoding"), "breaks")
+
+
+def detect_encoding(spark: SparkSession, path: str, lines: DataFrame | None = None) -> DataFrame:
+    """(path, encoding) per file: UTF-16 by its mark, else strict UTF-8, else windows-1252 or latin-1.
+
+    Lines are checked where they are read, so a large file is checked by many
+    tasks. A UTF-8 mark is dropped by the line reader, here as when the file is read.
+    """
+    return _file_facts(raw_lines(spark, path) if lines is None else lines).select("path", "encoding")
 
 
 def _java_charset(encoding: str | None) -> str:
@@ -80,32 +93,58 @@ def count_cells(line: Column) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
 
-def csv_lines(spark: SparkSession, path: str, lines: DataFrame | None = None) -> DataFrame:
+def _joined_records(lines: DataFrame, block_lines: int) -> DataFrame:
+    """Records of files in which lines end inside quotes: their lines joined, numbered per file.
+
+    Whether a line begins a record depends on all quotes before it. A block of lines is summed up by its parity and by how
+    many records begin in it if it starts outside and if it starts inside quotes. A scan over the blocks of a file, one row each,
+    then says how each block starts, so any number of tasks work on one file. A quote that is never closed would
+    make one record of the rest of the file: its lines stay apart and are marked ``unclosed``.
+    """
+    local = Window.partitionBy("path", "block").orderBy("row_number")
+    inside = F.coalesce(F.sum("odd").over(local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
+    blocks_of = stored(lines.withColumn("block", F.floor(F.col("row_number") / block_lines)).withColumn("inside", inside),
+                       "quoted-lines")
+    out, within = F.col("inside") == 0, F.col("inside") == 1
+    sums = blocks_of.groupBy("path", "block").agg(
+        (F.sum("odd") % 2).alias("parity"), F.count_if(out).alias("begins_out"), F.count_if(within).alias("begins_in"),
+        F.max(F.when(out, F.col("row_number"))).alias("last_out"), F.max(F.when(within, F.col("row_number"))).alias("last_in"))
+    earlier, whole = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("path")
+    opened = sums.withColumn("opened", F.coalesce(F.sum("parity").over(earlier), F.lit(0)) % 2)
+    opened = opened.withColumns({
+        "begins": F.when(F.col("opened") == 0, F.col("begins_out")).otherwise(F.col("begins_in")),
+        "last": F.when(F.col("opened") == 0, F.col("last_out")).otherwise(F.col("last_in"))})
+    states = opened.select("path", "block", "opened", F.coalesce(F.sum("begins").over(earlier), F.lit(0)).alias("base"),
+                           F.sum("begins").over(whole).alias("records"), (F.sum("parity").over(whole) % 2 == 1).alias("open"),
+                           F.max("last").over(whole).alias("open_line"))
+    begun = F.sum((F.col("inside") == F.col("opened")).cast("long")).over(local)
+    placed = blocks_of.join(states, ["path", "block"]).withColumn("record", F.col("base") + begun)
+    unclosed = F.col("open") & (F.col("record") == F.col("records"))
+    apart = F.col("record") + F.col("row_number") - F.col("open_line")
+    return placed.withColumn("unclosed", unclosed).withColumn("record", F.when(F.col("unclosed"), apart).otherwise(F.col("record"))).groupBy(
+        "path", "encoding", "record", "unclosed").agg(F.array_sort(F.collect_list(F.struct("row_number", "line"))).alias("parts")).select(
+        "path", "encoding", F.col("record").alias("row_number"),
+        F.array_join(F.transform("parts", lambda x: x["line"]), "\n").alias("line"), F.lit(True).alias("breaks"), "unclosed")
+
+
+def csv_lines(spark: SparkSession, path: str, lines: DataFrame | None = None, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Numbered records of every file in its own encoding with their cell count; the header is record 1.
 
     A blank line has 0 cells. A line that ends inside quotes goes on in the next
-    one; only files that have such lines are put together record by record.
+    one; only files that have such lines are put together record by record. Lines behind a quote that is never
+    closed are records of their own, marked ``unclosed``.
     """
     lines = raw_lines(spark, path) if lines is None else lines
-    known = lines.join(detect_encoding(spark, path, lines), F.col(FILE) == F.col("path"))
-    binary = F.col("value").cast("binary")
-    latin = F.decode(binary, "ISO-8859-1")
+    facts = stored(_file_facts(lines), "file-facts")
+    known = lines.join(facts, F.col(FILE) == F.col("path"))
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     text = (F.when(F.col("encoding") == "utf-8", F.col("value"))
             .when(F.col("encoding") == "windows-1252", _repaired(latin, "windows-1252")).otherwise(latin))
-    text = F.regexp_replace(text, "\r$", "")
-    plain = known.select("path", "encoding", "row_number", text.alias("line"))
-    quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))
-    marked = plain.withColumn("odd", (quotes % 2).cast("int"))
-    open_files = marked.groupBy("path").agg((F.max("odd") == 1).alias("breaks"))
-    marked = marked.join(open_files, "path")
-    upto = Window.partitionBy("path").orderBy("row_number")
-    before = F.sum("odd").over(upto.rowsBetween(Window.unboundedPreceding, -1))
-    begins = F.when(F.coalesce(before, F.lit(0)) % 2 == 0, 1).otherwise(0)
-    joined = marked.filter("breaks").withColumn("begins", begins).withColumn("record", F.sum("begins").over(upto)).groupBy(
-        "path", "encoding", "record").agg(F.array_sort(F.collect_list(F.struct("row_number", "line"))).alias("parts")).select(
-        "path", "encoding", F.col("record").alias("row_number"),
-        F.array_join(F.transform("parts", lambda x: x["line"]), "\n").alias("line"), F.lit(True).alias("breaks"))
-    records = marked.filter("NOT breaks").select("path", "encoding", "row_number", "line", "breaks").unionByName(joined)
+    plain = known.select("path", "encoding", "row_number", F.regexp_replace(text, "\r$", "").alias("line"), "breaks",
+                         _odd_quotes(F.col("value")).alias("odd"))
+    records = plain.filter("NOT breaks").select("path", "encoding", "row_number", "line", "breaks", F.lit(False).alias("unclosed"))
+    if not facts.filter("breaks").isEmpty():
+        records = records.unionByName(_joined_records(plain.filter("breaks"), block_lines))
     return records.withColumn("found", F.when(F.col("line") == "", 0).otherwise(count_cells(F.col("line"))))
 
 
@@ -124,12 +163,14 @@ def check_csv_structure(spark: SparkSession, path: str, lines: DataFrame | None
     """
     lines = csv_lines(spark, path) if lines is None else lines
     # Records are counted by their number of cells; everything else works on these few rows.
-    widths = lines.groupBy("path", "found").agg(F.count("*").alias("n"))
+    widths = lines.groupBy("path", "found").agg(
+        F.count("*").alias("n"), F.min(F.when(F.col("unclosed"), F.col("row_number"))).alias("open_row"))
     headers = lines.filter("row_number = 1").select(
         "path", "encoding", "breaks", F.col("line").alias("header"), F.col("found").alias("column_count"))
     fits = F.col("found") == F.col("column_count")
     per_file = headers.join(widths, "path").groupBy("path", "encoding", "breaks", "header", "column_count").agg(
-        (F.sum("n") - 1).alias("row_count"), F.coalesce(F.sum(F.when(~fits, F.col("n"))), F.lit(0)).alias("ragged_rows"))
+        (F.sum("n") - 1).alias("row_count"), F.coalesce(F.sum(F.when(~fits, F.col("n"))), F.lit(0)).alias("ragged_rows"),
+        F.min("open_row").alias("open_row"))
     names = F.transform(F.split("header", ","), lambda n: strip_ws(F.regexp_replace(n, '^"|"$', "")))
     twice = F.array_distinct(F.filter("column_names", lambda n: F.size(
         F.filter("column_names", lambda m: m == n)) > 1))
@@ -139,7 +180,8 @@ def check_csv_structure(spark: SparkSession, path: str, lines: DataFrame | None
         .withColumns({
             "duplicate_names": twice,
             "errors": F.array_compact(F.array(F.when(
-                empty, "CSV header is empty or contains only empty values")))})
+                empty, "CSV header is empty or contains only empty values"), F.when(F.col("open_row").isNotNull(), F.concat(
+                    F.lit("a quote opened in record "), F.col("open_row"), F.lit(" is never closed")))))})
         .withColumn("is_valid", F.size("errors") == 0)
         .select("path", "is_valid", "encoding", "breaks", "row_count", "column_count", "column_names", "duplicate_names",
                 "ragged_rows", "errors"))

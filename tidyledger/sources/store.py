@@ -29,11 +29,12 @@ def ingest(spark: SparkSession, path: str, store: str, encoding: str | None = No
     structure = stored(check_csv_structure(spark, path), "structure")
     checked = structure.agg(
         F.bool_and("is_valid").alias("ok"), F.array_join(F.array_sort(F.collect_set("encoding")), ",").alias("encodings"),
-        F.array_sort(F.collect_list(F.struct("path", "encoding"))).alias("files")).first()
+        F.array_sort(F.collect_list(F.struct("path", "encoding"))).alias("files"),
+        F.min(F.when(~F.col("is_valid"), F.concat_ws(": ", "path", F.array_join("errors", "; ")))).alias("error")).first()
     if checked["ok"] is None:
         raise ValueError(f"{path}: CSV file is empty (no header row)")
     if not checked["ok"]:
-        raise ValueError(f"{path}: CSV header is empty or contains only empty values")
+        raise ValueError(checked["error"])
     size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
     now = datetime.now(timezone.utc)
     dataset_id = str(uuid.uuid4())
