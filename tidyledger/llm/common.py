@@ -70,7 +70,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     with freed_shuffles(spark):
         df.write.parquet(path)
     _scratch.paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 def scratch_mark() -> int:
@@ -81,11 +83,21 @@ def scratch_mark() -> int:
 def discard(spark: SparkSession, mark: int) -> None:
     """Delete what was stored since the mark, but for the last table. For callers whose result reads that one alone."""
     for path in _scratch.paths[mark:-1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(spark, path)
     del _scratch.paths[mark:-1]
 
 
+def forget(table: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more."""
+    _delete(table.sparkSession, table.scratch_path)
+    _scratch.paths.remove(table.scratch_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import stored
+from tidyledger.llm.common import discard, scratch_mark, stored
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -30,6 +30,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round is stored in the shared folder. Ends when a round changes no link;
     links of a node to itself and repeated links add nothing, no links give no rows.
     """
+    mark = scratch_mark()
     links = stored(links.filter("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct(), "links")
     before = _mark(links)
     while before[0]:
@@ -44,4 +45,5 @@ def components(links: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
+    discard(links.sparkSession, mark)
     return links.selectExpr("b node", "a root").unionAll(links.selectExpr("a node", "a root").distinct())

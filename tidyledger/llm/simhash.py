@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import discard, scratch_mark, ship, stored
+from tidyledger.llm.common import discard, forget, scratch_mark, ship, stored
 from tidyledger.llm.components import components
 
 BITS = 64
@@ -36,6 +36,7 @@ VARIANTS_PER_TASK = 3_000_000
 FREQUENT_SAMPLE = 20_000  # documents in which frequent shingles are counted
 FREQUENT_SHINGLES = 100_000  # and how many of them are put last; any choice gives the same groups
 PAIR_BLOCK = 1000
+STAR_YIELD = 0.05  # part of a turn's pairs that must be near for another turn
 PARITY_WORDS = 16  # 64-bit words of a document's parities
 
 
@@ -272,7 +273,7 @@ def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dista
     wanted Jaccard similarity. First candidates are collisions of several fingerprints of the
     set of words, and every document that shares a shingle of its prefix with another against
     one of those that have it. This is repeated among documents that are not joined yet, with another centre each time,
-    until nothing more is joined: large groups are joined in few pairs. Then all that share such
+    as long as a good part of the pairs are joined: large groups are joined in few pairs. Then all that share such
     a shingle, and are not joined yet, are compared. Pairs whose sizes, places of the
     shingle or parities rule the similarity out are left out.
     """
@@ -302,11 +303,14 @@ def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dista
                    "word-prints")
 
     def verify(pairs: DataFrame) -> DataFrame:
+        mark = scratch_mark()
         asked = stored(pairs.selectExpr("a node").unionAll(pairs.selectExpr("b node")).distinct(), "asked")
         words = stored(docs.select(node.alias("node"), "text").join(asked, "node", "left_semi").dropDuplicates(["node"])
                        .select("node", sets("text").alias("set")), "shingles")
-        return (pairs.join(words.selectExpr("node a", "set left"), "a").join(words.selectExpr("node b", "set right"), "b")
-                .filter(alike("left", "right")).select("a", "b"))
+        near = stored(pairs.join(words.selectExpr("node a", "set left"), "a").join(words.selectExpr("node b", "set right"), "b")
+                      .filter(alike("left", "right")).select("a", "b"), "near-links")
+        discard(docs.sparkSession, mark)
+        return near
 
     def different_pairs(pairs: DataFrame) -> DataFrame:
         return pairs.filter("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
@@ -316,16 +320,20 @@ def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dista
     met = stored(entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key"),
                  "shared-keys")
     entries = stored(entries.join(met, "key"), "met-prefixes")
+    forget(met)
     rest = 1 + F.least(F.col("n") - 1 - F.col("place"), F.col("m") - 1 - F.col("at"))
     fits = ((F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-6)
             & (rest >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6))
 
     def opened(roots: DataFrame) -> DataFrame:
         """Entries, with their document's root, of the shingles that documents of several roots share."""
+        mark = scratch_mark()
         rooted = stored(entries.join(roots, "node", "left").select(
             "key", "node", "n", "place", F.coalesce("root", "node").alias("root")), "rooted-prefixes")
         several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows"))
-        return stored(rooted.join(several.filter("lo <> hi").select("key", "rows"), "key"), "open-prefixes")
+        out = stored(rooted.join(several.filter("lo <> hi").select("key", "rows"), "key"), "open-prefixes")
+        discard(docs.sparkSession, mark)
+        return out
 
     def stars(found: DataFrame, turn: int) -> DataFrame:
         """Every document against one that shares a shingle with it. The order is the same for all shingles, so documents
@@ -336,18 +344,23 @@ def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dista
         return found.join(centre, "key").filter(fits & (F.col("root") != F.col("other"))).selectExpr("node a", "b")
 
     alone = entries.withColumn("root", F.col("node"))
+    mark = scratch_mark()
     tried = stored(different_pairs(_ball_pairs(nodes, distance, tables).unionAll(stars(alone, 0))), "pairs")
-    links = stored(verify(tried), "near-links")
-    # Another centre each turn, until a turn joins nothing more.
+    discard(docs.sparkSession, mark)
+    links = verify(tried)
+    # Another centre each turn, while turns join many of the pairs they try.
     for turn in count(1):
+        mark = scratch_mark()
         roots = stored(components(links), "link-roots")
+        discard(docs.sparkSession, mark)
         found = opened(roots)
         more = stored(different_pairs(stars(found, turn)).join(tried, ["a", "b"], "left_anti"), "pairs")
-        joined = stored(verify(more), "near-links")
-        tried = tried.unionAll(more)
-        if joined.isEmpty():
+        joined = verify(more)
+        tried, links = tried.unionAll(more), links.unionAll(joined)
+        if joined.count() < STAR_YIELD * more.count() or more.isEmpty():
             break
-        links = links.unionAll(joined)
+        forget(found)
+        forget(roots)
 
     # What is left shares shingles without being near a centre. Only pairs that the parities do not rule out are made.
     words = [f"w{i}" for i in range(PARITY_WORDS)]
@@ -361,7 +374,7 @@ def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dista
     others = (left.join(right, ["key", "block"]).filter(fits & possible & (F.col("a") < F.col("b")) & (F.col("root") != F.col("other")))
               .select("a", "b"))
     untried = stored(different_pairs(others).join(tried, ["a", "b"], "left_anti"), "untried")
-    return nodes, verify(untried).unionAll(roots.filter("node <> root").selectExpr("root a", "node b"))
+    return nodes, verify(untried).unionAll(joined).unionAll(roots.filter("node <> root").selectExpr("root a", "node b"))
 
 
 def drop_near(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 4, tables: int = 3) -> DataFrame:
