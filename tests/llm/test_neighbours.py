@@ -56,6 +56,42 @@ def test_learned_partitions_reach_the_recall(spark):
     assert hits / (20 * len(want)) >= 0.9
 
 
+def test_ids_that_repeat_with_other_vectors_are_exact_over_many_partitions_shards_and_blocks(spark):
+    r = np.random.default_rng(5)
+
+    def vector():
+        return [float(x) for x in r.integers(-3, 4, 4)]
+
+    rows = [(i, vector()) for i in range(1, 400)] + [(0, vector()) for _ in range(40)] + [(7, vector()) for _ in range(300)]
+    rows += [(40, vector()) for _ in range(30)] + [(500 + i, [2.0, 1.0, 0.0, 1.0]) for i in range(60)] + [(3, vector())]
+    rows = [(i, v) for i, v in rows if any(v)]
+    got = N.nearest(table(spark, rows), F.col("vec_id") % 20 == 0, k=20, partitions=4, wanted_recall=1.01, query_block=5,
+                    shard_rows=40).collect()
+    found, want = {}, {}
+    for g in sorted(got, key=lambda g: (g.query_id, g.rank)):
+        found.setdefault(g.query_id, []).append((g.vec_id, g.score))
+    for q in {i for i, _ in rows if i % 20 == 0}:
+        scores = {}
+        for _, v in (x for x in rows if x[0] == q):
+            for j, w in rows:
+                if j != q:
+                    scores[j] = max(scores.get(j, -math.inf), sum(a * b for a, b in zip(v, w)))
+        want[q] = sorted(scores.items(), key=lambda s: (-s[1], s[0]))[:20]
+    assert found == want
+
+
+def test_rows_go_only_to_the_blocks_that_ask_their_part(spark):
+    routed = spark.createDataFrame(
+        [(i, [i], [float(i)], [i % 3, 2] if i % 3 == 0 else [i % 3]) for i in range(90)],
+        "key long, ids array<long>, embedding array<double>, parts array<int>")
+    asked = routed.filter("key % 3 = 0 and key < 30").select("key")  # ten queries: parts 0 and 2, never 1
+    left, right = N.meetings(asked, routed, 4, query_block=5, shard_rows=10)
+    assert right.filter("part = 1").count() == 0
+    assert right.count() == 2 * 30 * 2  # parts 0 and 2 hold 30 rows each, for two blocks each
+    pairs = left.join(right, ["part", "shard", "block"])
+    assert pairs.count() == pairs.select("q", "ids").distinct().count() == 10 * 60
+
+
 def test_parts_are_balanced_and_follow_the_graph():
     r = np.random.default_rng(3)
     x = np.concatenate([c + 0.1 * r.normal(size=(200, 8)) for c in 3 * np.eye(8)[:4]])

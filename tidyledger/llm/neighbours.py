@@ -8,7 +8,8 @@ a query asks is measured on the sample, for the recall asked for.
 
 Equal vectors are indexed once, with the smallest ids that can appear in a result.
 Partitions are split into shards of bounded size, so neither a partition nor a
-group of equal vectors has to fit into one task.
+group of equal vectors has to fit into one task. The queries that ask a partition
+are split into blocks, and a row is copied to the blocks that ask its partition only.
 """
 
 from __future__ import annotations
@@ -151,38 +152,86 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(list(column)).astype(np.float64)
 
 
-def _search(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best different vectors of one shard for each query of one block."""
-    if not len(queries) or not len(rows):
-        return pd.DataFrame({"q": np.zeros(0, np.int64), "ids": pd.Series([], dtype=object), "score": np.zeros(0)})
-    base, out = _matrix(rows["embedding"]), []
-    ids = rows["ids"].to_numpy()
-    least = np.array([i[0] for i in ids])
-    for at in range(0, len(queries), 256):
-        some = queries.iloc[at:at + 256]
-        asked = _matrix(some["asked"])
-        scores = asked @ base.T
-        border = np.partition(scores, -min(k, scores.shape[1]), axis=1)[:, -min(k, scores.shape[1])]
+def _best_ids(asked: np.ndarray, scores: np.ndarray, base: np.ndarray, ids: list[np.ndarray], k: int) -> list[tuple]:
+    """(row of ``asked``, ids, scores): the k best different ids of each row, best first, ties to the smaller id."""
+    counts = np.array([len(i) for i in ids])
+    starts, flat = np.cumsum(counts) - counts, np.concatenate(ids)
+    out, left, wanted = [], np.arange(len(asked)), k
+    while len(left):  # an id may stand behind many vectors, so k vectors can be too few
+        m = min(wanted, len(base))
+        border = np.partition(scores[left], -m, axis=1)[:, -m]
         # With everything that the product's rounding cannot tell from the border: ties go to the smaller id.
-        who, which = np.nonzero(scores >= (border - 1e-9 * (1 + np.abs(border)))[:, None])
+        who, which = np.nonzero(scores[left] >= (border - 1e-9 * (1 + np.abs(border)))[:, None])
         # Summed pair by pair, so that equal vectors get equal scores wherever they stand in a block.
-        exact = np.einsum("ij,ij->i", asked[who], base[which])
-        order = np.lexsort((least[which], -exact, who))
-        who, which, exact = who[order], which[order], exact[order]
-        rank = np.arange(len(who)) - np.searchsorted(who, who)
-        who, which, exact = who[rank < k], which[rank < k], exact[rank < k]
-        out.append(pd.DataFrame({"q": some["q"].to_numpy()[who], "ids": ids[which], "score": exact}))
+        exact = np.einsum("ij,ij->i", asked[left[who]], base[which])
+        times = counts[which]
+        place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        found = flat[np.repeat(starts[which], times) + place]
+        who, exact = np.repeat(who, times), np.repeat(exact, times)
+        order = np.lexsort((-exact, found, who))
+        who, found, exact = who[order], found[order], exact[order]
+        first = np.ones(len(who), bool)
+        first[1:] = (who[1:] != who[:-1]) | (found[1:] != found[:-1])
+        who, found, exact = who[first], found[first], exact[first]
+        order = np.lexsort((found, -exact, who))
+        who, found, exact = who[order], found[order], exact[order]
+        done = (np.bincount(who, minlength=len(left)) >= k) | (m == len(base))
+        kept = done[who] & (np.arange(len(who)) - np.searchsorted(who, who) < k)
+        out.append((left[who[kept]], found[kept], exact[kept]))
+        left, wanted = left[~done], wanted * 4
+    return out
+
+
+def _search(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best different ids of one shard for each query vector of one block."""
+    out = [pd.DataFrame({"q": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+    if not len(queries) or not len(rows):
+        return out[0]
+    base, ids = _matrix(rows["embedding"]), list(rows["ids"])
+    for at in range(0, len(queries), 128):
+        some = queries.iloc[at:at + 128]
+        asked, keys = _matrix(some["asked"]), some["q"].to_numpy()
+        out += [pd.DataFrame({"q": keys[who], "vec_id": found, "score": exact})
+                for who, found, exact in _best_ids(asked, asked @ base.T, base, ids, k)]
     return pd.concat(out, ignore_index=True)
 
 
+def meetings(asked: DataFrame, routed: DataFrame, parts: int, query_block: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Queries and rows by the (part, shard, block) they meet in: every query that asks a part meets all its rows once.
+
+    ``routed`` has key, ids, embedding and parts (the most probable first), ``asked`` the keys of the queries.
+    """
+    asking = asked.join(routed, "key").select("key", "embedding", F.explode("parts").alias("part"))
+
+    def pieces(counted: DataFrame, size: int):
+        n = {r["part"]: r["n"] for r in counted.groupBy("part").agg(F.count("*").alias("n")).collect()}
+        return F.get(F.array(*[F.lit(-(-n.get(p, 0) // size)) for p in range(parts)]), F.col("part"))
+
+    homes = routed.withColumn("part", F.col("parts")[0])
+    shards, blocks = pieces(homes.select("part"), shard_rows), pieces(asking.select("part"), query_block)
+
+    def piece_of(n):
+        return F.pmod(F.xxhash64("key"), n).cast("int")
+
+    def every(n):  # none if the part has no rows, or no queries
+        return F.explode(F.filter(F.sequence(F.lit(0), n), lambda i: i < n))
+
+    left = asking.withColumn("block", piece_of(blocks)).withColumn("shard", every(shards)).select(
+        "part", "shard", "block", F.col("key").alias("q"), F.col("embedding").alias("asked"))
+    right = homes.withColumn("shard", piece_of(shards)).withColumn("block", every(blocks)).select(
+        "part", "shard", "block", "ids", "embedding")
+    return left, right
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 20, partitions: int = PARTITIONS, sample_rows: int = SAMPLE,
-            wanted_recall: float = WANTED_RECALL) -> DataFrame:
+            wanted_recall: float = WANTED_RECALL, query_block: int = QUERY_BLOCK, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows of every row that ``is_query`` (a condition) picks.
 
-    Nearest first by inner product, ties to the smaller id; all other rows if there are fewer than k. Vectors
+    Nearest first by inner product, ties to the smaller id; all other ids if there are fewer than k. Vectors
     that are null, empty or zero, or hold null or non-finite numbers, and null ids take no part, nor do vectors
     of another length than most. Rows that repeat a query's id count as its own; rows that repeat id and vector
-    count once. No rows give no rows. The index is fitted on ``sample_rows`` vectors and holds every row.
+    count once. An id that repeats with different vectors is one query and one candidate, and the best pair of
+    vectors gives the score. No rows give no rows. The index is fitted on ``sample_rows`` vectors and holds every row.
     """
     ship(vectors.sparkSession)
     every = usable(vectors)
@@ -190,13 +239,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, partitions: int = PARTITI
     rows = every.filter(F.size("embedding") == (dims[0]["d"] if dims else 0)).distinct()
     # Of equal vectors only the smallest k + 1 ids can be among a query's k nearest others.
     smallest = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    # The key is written with its vector, so it is the same for every later reader.
     index = stored(
         rows.withColumn("n", smallest).filter(F.col("n") <= k + 1).groupBy("embedding").agg(
-            F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("vid"), "ids", "embedding"),
-        "vectors")
-    sample = index.orderBy(F.xxhash64("vid"), "vid").limit(sample_rows).select("embedding").collect()
+            F.sort_array(F.collect_list(F.col("vec_id").cast("long"))).alias("ids"))
+        .select(F.monotonically_increasing_id().alias("key"), "ids", "embedding"), "vectors")
+    sample = index.orderBy(F.xxhash64("embedding"), "key").limit(sample_rows).select("embedding").collect()
     router, probes = learn(np.array([r["embedding"] for r in sample], np.float64), partitions, wanted_recall, k)
-    parts = len(router.b2)
 
     @F.pandas_udf("array<int>")
     def ranked(some: pd.Series) -> pd.Series:
@@ -204,28 +253,18 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, partitions: int = PARTITI
         return pd.Series(list(order[:, :probes]))
 
     routed = stored(index.withColumn("parts", ranked("embedding")), "routed")
-    counts = {r["part"]: r["n"] for r in routed.groupBy(F.col("parts")[0].alias("part")).agg(F.count("*").alias("n")).collect()}
-    shards = F.array(*[F.lit(max(1, -(-counts.get(p, 0) // SHARD_ROWS))) for p in range(parts)])
-    queries = stored(rows.filter(is_query).join(index.select("embedding", "vid"), "embedding").select(
-        F.col("vec_id").alias("query_id"), "vid"), "queries")
-    asked = queries.select("vid").distinct()
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("vid"), F.lit(blocks)).cast("int")
-    part = F.col("parts")[0]
-    left = (asked.join(routed, "vid").withColumn("block", block).withColumn("part", F.explode("parts"))
-            .withColumn("shard", F.explode(F.sequence(F.lit(0), F.get(shards, F.col("part")) - 1)))
-            .select("part", "shard", "block", F.col("vid").alias("q"), F.col("embedding").alias("asked")))
-    right = (routed.withColumn("part", part)
-             .withColumn("shard", F.pmod(F.xxhash64("vid"), F.get(shards, F.col("part"))).cast("int"))
-             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-             .select("part", "shard", "block", "ids", "embedding"))
-    found = left.groupBy("part", "shard", "block").cogroup(right.groupBy("part", "shard", "block")).applyInPandas(
-        lambda q, r: _search(q, r, k + 1), "q long, ids array<long>, score double")
-    one = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    best = found.withColumn("vec_id", F.explode("ids")).drop("ids").withColumn("n", F.row_number().over(one)).filter(
-        F.col("n") <= k + 1)
-    best = stored(best.select("q", "vec_id", "score"), "best")
+    queries = stored(rows.filter(is_query).join(index.select("embedding", "key"), "embedding").select(
+        F.col("vec_id").cast("long").alias("query_id"), "key"), "queries")
+    left, right = meetings(queries.select("key").distinct(), routed, len(router.b2), query_block, shard_rows)
+    keys = ("part", "shard", "block")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        lambda q, r: _search(q, r, k + 1), "q long, vec_id long, score double")
+    # One id more than asked for, as the query's own may be among them. One shuffle serves both steps.
+    of_vector = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    best = stored(found.repartition("q").groupBy("q", "vec_id").agg(F.max("score").alias("score"))
+                  .withColumn("n", F.row_number().over(of_vector)).filter(F.col("n") <= k + 1).drop("n"), "best")
     of_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (queries.join(best, queries["vid"] == best["q"]).filter("vec_id <> query_id")
+    return (queries.join(best, queries["key"] == best["q"]).filter("vec_id <> query_id")
+            .groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
             .withColumn("rank", F.row_number().over(of_query)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
