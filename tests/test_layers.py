@@ -4,11 +4,12 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidyledger.functions import text as fn
-from tidyledger.operators import analytics as A, clean as C, increments, retrieval as R, selection, updates as U, validate as V
+from tidyledger.operators import analytics as A, clean as C, increments, retrieval as R, search, selection, updates as U, validate as V
 from tidyledger.plans import pipeline as P
 from tidyledger.schema import INVOICE_SPEC, FieldSpec, TableSpec
 from tidyledger.sources import files, scratch, store
@@ -316,6 +317,34 @@ def test_neighbours_equal_brute_force(spark):
         R.nearest(df, queries.withColumn("k", F.lit(None).cast("int")), "id", "v", ["kind"]).collect()
 
 
+@pytest.mark.parametrize("spread,share", [(0.3, 0.25), (30.0, 1.0)])
+def test_neighbours_pass_over_cells_that_are_too_far(spark, spread, share):
+    rng = random.Random(8)
+    centres = [[rng.uniform(-50, 50) for _ in range(3)] for _ in range(12)]
+    docs = [(i, [c + rng.gauss(0, spread) for c in centres[i % 12]], "ab"[i % 2]) for i in range(1500)]
+    docs += [(2000 + i, docs[5][1], "b") for i in range(300)]  # a place with many equal vectors
+    asks = [(q, docs[37 * q][1], "a" if q % 3 else None, 400 if q == 9 else 1 + q % 12) for q in range(40)] + [(99, [0.0] * 3, "c", 5)]
+    df = spark.createDataFrame([*docs, (9000, None, "a")], "id long, v array<double>, kind string").repartition(4)
+    queries = spark.createDataFrame([*asks, (98, None, "a", 3), (97, [1.0] * 3, "a", 0)],
+                                    "query_id long, v array<double>, kind string, k int")
+    found, pairs = search.nearest_counted(df, queries, "id", "v", ["kind"], block=6, share_rows=50)
+    got = {(r["query_id"], r["rank"]): (r["id"], r["distance"]) for r in found.collect()}
+    want = {}
+    for q, p, kind, k in asks:
+        best = sorted((float(((np.array(v) - np.array(p)) ** 2).sum()), i) for i, v, t in docs if kind in (None, t))[:k]
+        want |= {(q, n): (i, d) for n, (d, i) in enumerate(best, 1)}
+    assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and got[x][1] == pytest.approx(want[x][1]) for x in want)
+    assert pairs <= share * len(asks) * len(docs)  # each pair at most once, few where the places lie apart (22 % measured; two queries need far cells)
+
+
+def test_neighbours_of_empty_tables(spark):
+    df = spark.createDataFrame([], "id long, v array<double>")
+    asks = spark.createDataFrame([(1, [1.0], 2)], "query_id long, v array<double>, k int")
+    some = spark.createDataFrame([(5, [1.0])], "id long, v array<double>")
+    assert R.nearest(df, asks, "id", "v").count() == R.nearest(some, asks.limit(0), "id", "v").count() == 0
+    assert [tuple(r) for r in R.nearest(some, asks, "id", "v").collect()] == [(1, 5, 0.0, 1)]
+
+
 def test_neighbour_plan_does_not_grow_with_the_queries(spark):
     df = spark.range(50).select("id", F.array(F.rand(1), F.rand(2)).alias("v"))
     few, many = (R.nearest(df, df.limit(n).selectExpr("id query_id", "v", "2 k"), "id", "v", block=4)

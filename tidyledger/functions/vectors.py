@@ -13,6 +13,53 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ROWS_AT_ONCE = 128
 
 
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(list(vectors)).astype(np.float64)
+
+
+def nearest_pivot(pivots: np.ndarray):
+    """Function of a column of vectors: the pivot that is nearest to each, and its distance."""
+
+    def run(vectors: pd.Series) -> pd.DataFrame:
+        x = _matrix(vectors)
+        at = ((pivots ** 2).sum(axis=1) - 2 * x @ pivots.T).argmin(axis=1)
+        return pd.DataFrame({"pivot": at.astype(np.int32), "far": np.sqrt(((x - pivots[at]) ** 2).sum(axis=1))})
+
+    return run
+
+
+def cells_to_ask(pivots: np.ndarray, cell: np.ndarray, pivot: np.ndarray, low: np.ndarray, high: np.ndarray,
+                 count: np.ndarray, width: int):
+    """Function of points, k, limits (the squared distance of the k-th so far) and cells done.
+
+    Cells are taken by the least distance their documents can have: ``width`` more, or as many
+    as hold k documents, without those beyond the limit. Gives them and how many are done then.
+    """
+
+    def some(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(cell) == 1:
+            return np.zeros((len(points), 1)), np.zeros((len(points), 1), np.int64)
+        far = np.stack([np.sqrt(((points - p) ** 2).sum(axis=1)) for p in pivots], axis=1)[:, pivot]
+        # Rounding must not rule out a document at the border.
+        bound = np.maximum(np.maximum(far - high, low - far) - 1e-9 * (1 + far + high), 0) ** 2
+        return bound, np.argsort(bound, axis=1, kind="stable")
+
+    def run(points: pd.Series, k: pd.Series, limit: pd.Series, done: pd.Series) -> pd.DataFrame:
+        cells, until = [], []
+        for at in range(0, len(points), ROWS_AT_ONCE):
+            part = slice(at, at + ROWS_AT_ONCE)
+            for bound, order, wanted, border, first in zip(
+                    *some(_matrix(points.iloc[part])), k.iloc[part], limit.iloc[part], done.iloc[part], strict=True):
+                enough = 1 + int(np.searchsorted(np.cumsum(count[order]), wanted))
+                last = min(len(order), max(first + width, enough))
+                new = order[first:last]
+                cells.append(cell[new[bound[new] <= border]].astype(np.int32))
+                until.append(last)
+        return pd.DataFrame({"cells": cells, "until": pd.Series(until, dtype="int32")})
+
+    return run
+
+
 def nearest_in_share(id_column: str, filters: tuple[str, ...]):
     """Cogroup function over (query_id, k, point, asked filters) and (id, vector, filters).
 

@@ -8,13 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidyledger.functions import text as fn, vocabulary as words
-from tidyledger.functions.vectors import nearest_in_share
 from tidyledger.operators.analytics import Gold, balance, top_k, unique_values
 from tidyledger.operators.clean import ROW, row_key
+from tidyledger.operators.search import nearest
 
-# Query vectors and documents that meet in one task.
-QUERY_BLOCK = 1024
-SHARE_ROWS = 16_384
+__all__ = [
+    "build_documents", "context_text", "conversation_tail", "index_documents", "nearest", "question_queries", "record_documents",
+    "statistics_documents", "stats_context", "summary_documents", "supporting"]
 
 METADATA = ("doc_type", "source_field", "record_id", "tipo", "categoria", "proveedor", "estado_factura", "fecha",
             "importe_base", "iva", "importe_total", "content")
@@ -173,37 +173,6 @@ def context_text(lines: DataFrame) -> DataFrame:
 # --- search ----------------------------------------------------------------
 
 
-def nearest(
-    docs: DataFrame, queries: DataFrame, id_column: str, vector: str, filters: Sequence[str] = (),
-    block: int = QUERY_BLOCK, share_rows: int = SHARE_ROWS,
-) -> DataFrame:
-    """Exact nearest neighbours by squared distance: (query_id, id, distance, rank).
-
-    ``queries`` has query_id, vector, k and the filter columns (null for no
-    condition); a query without k is refused. Both sides are tables: queries are dealt
-    into blocks and documents into shares by hash, each task gets one block and one share
-    through a shuffle and keeps the best k of every query, and these are ranked once more.
-    The plan is the same for any number of queries, and what a task holds is bounded.
-    """
-    blocks = max(1, -(-queries.count() // block))
-    shares = max(1, -(-docs.count() // share_rows))
-    k = F.coalesce("k", F.raise_error(F.lit("a query needs k")).cast("int"))
-    asked = queries.select(
-        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("_share"), "query_id", k.cast("int").alias("k"),
-        F.col(vector).cast("array<double>").alias("_point"), *[F.col(f).alias(f"_asked_{f}") for f in filters])
-    offered = docs.select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"),
-        F.pmod(F.xxhash64(id_column), F.lit(shares)).cast("int").alias("_share"), id_column,
-        F.col(vector).cast("array<double>").alias("_vector"), *filters)
-    schema = (f"query_id {queries.schema['query_id'].dataType.simpleString()}, k int, "
-              f"{id_column} {docs.schema[id_column].dataType.simpleString()}, distance double")
-    found = asked.groupBy("_block", "_share").cogroup(offered.groupBy("_block", "_share")).applyInPandas(
-        nearest_in_share(id_column, tuple(filters)), schema)
-    best = Window.partitionBy("query_id").orderBy("distance", id_column)
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= F.col("k")).drop("k")
-
-
 def question_queries(questions: DataFrame, question: str, total_documents: int, data_limit: int) -> DataFrame:
     """Add kind, k and the filter columns a question implies, ready for :func:`nearest`.
 
