@@ -107,6 +107,18 @@ def test_marked_frames_are_no_boilerplate(text, blocks):
     assert H.main_text(text, None, frozenset(), -1) == "\n\n".join(blocks)
 
 
+@pytest.mark.parametrize("inside,kept", [
+    ("<section class='search-engine-history'><p>text</p></section>", True), ("<table class='menu'><tr><td>text</td></tr></table>", True),
+    ("<p class='related'>text</p>", True), ("<div class='text share-price'>text</div>", True),
+    ("<div id='alert-fatigue'>text</div>", True), ("<p class='related'>See <a href='x'>text and more</a></p>", False),
+    ("<div class='notice'>text</div>", False), ("<div class='alert alert-box'>text</div>", False),
+    ("<div class='post-share'>text</div>", False), ("<ul class='related-posts'><li>text</li></ul>", False),
+    ("<div class='social-media'>text</div>", False), ("<p class='advert'>text</p>", False), ("<div class='comment-thread'>text</div>", False)])
+def test_class_words_inside_an_article(inside, kept):
+    got = H.main_text(f"<article><p>before</p>{inside}<p>after</p></article>", None, frozenset(), -1)
+    assert got.split("\n\n") == ["before", "text", "after"] if kept else got.split("\n\n") == ["before", "after"]
+
+
 def test_copies_do_not_vote_their_article_into_the_template(spark):
     shell = "<div class='top'>Always the same banner</div><div class='ads'><b>{}</b></div><article>{}</article>"
     rows, want = [], {}

@@ -42,7 +42,18 @@ NO_ARTICLE_WORDS = frozenset(
     "gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup social share sharing comment comments "
     "disqus reply replies related recommended recommendations breadcrumb breadcrumbs pagination pager footer masthead topbar "
     "copyright widget widgets search login toolbar skip".split())
-NOTE_WORDS = frozenset("notice notices alert".split())  # inside an article they mark notes that belong to it
+# Inside an article these say something only where they are what a class name is about, as in "post-share" but not in "share-price".
+UNSURE_WORDS = frozenset(
+    "menu banner modal notice notices alert social share sharing reply replies related recommended recommendations "
+    "subscription copyright search login toolbar skip".split())
+# Words at the end of a class name that do not say what it is about.
+FILLER_WORDS = frozenset(
+    "area article articles bar block body bottom box btn button buttons card cards col column container content desktop field form "
+    "grid group header heading icon icons image inline inner input item items large left link links list main media mobile outer panel "
+    "post posts primary right row secondary section slot small stories text this title top unit wrap wrapper".split())
+# Elements that hold an article's own words; an unsure word drops them only if they are mostly links.
+PROSE = frozenset("p table thead tbody tr td th blockquote pre code figure figcaption dl dt dd li em strong b i span a h1 h2 h3 h4 h5 h6".split())
+LINK_SHARE = 0.5
 COMMENT_WORDS = frozenset("comment comments disqus reply replies related recommended recommendations".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEADER_WORDS = frozenset("header head".split())
@@ -61,13 +72,13 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "classes", "names", "marks", "children", "depth")
+    __slots__ = ("tag", "classes", "names", "marks", "found", "children", "depth")
 
     def __init__(self, tag: str, attributes: str, depth: int):
         self.tag, self.depth, self.children = tag, depth, []
-        self.classes, self.names, self.marks = "", frozenset(), frozenset()
+        self.classes, self.names, self.marks, self.found = "", frozenset(), frozenset(), ()
         if attributes:
-            found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _NAMES.finditer(attributes)]
+            self.found = found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _NAMES.finditer(attributes)]
             self.classes = " ".join(w for kind, value in found if kind == "class" for w in _WORDS.findall(value.lower()))
             self.names = frozenset(w for _, value in found for w in _WORDS.findall(value.lower()))
             self.marks = frozenset(w for kind, value in found if kind != "id" for w in _WORDS.findall(value.lower()))
@@ -203,16 +214,48 @@ def simple_tree_matching(a: Skeleton, b: Skeleton) -> dict[int, int]:
     return dict(match(0, 0)[1]) if a.labels and b.labels and a.labels[0] == b.labels[0] else {}
 
 
+def _subjects(node: Node, with_ids: bool) -> set[str]:
+    """What the element's class names (and id) are about: the last word of each that is no filler."""
+    out = set()
+    for kind, value in node.found:
+        for name in value.lower().split() if with_ids or kind != "id" else ():
+            words = [w for w in _WORDS.findall(name) if len(w) > 1 and w not in FILLER_WORDS]
+            out |= set(words[-1:])
+    return out
+
+
+def _mostly_links(node: Node) -> bool:
+    def chars(some: Node, linked: bool) -> tuple[int, int]:
+        every = within = 0
+        for child in some.children:
+            if isinstance(child, str):
+                n = len(clean(child))
+                m = n if linked else 0
+            else:
+                n, m = chars(child, linked or child.tag == "a")
+            every, within = every + n, within + m
+        return every, within
+
+    every, within = chars(node, node.tag == "a")
+    return within > LINK_SHARE * every
+
+
 def is_boilerplate(node: Node, in_article: bool) -> bool:
     if node.tag in ("html", "body"):
         return False
     if node.tag in NO_ARTICLE or node.tag == "header" and not in_article:
         return True
     # An id of a heading, or of a section of an article, is made of its title.
-    names = node.marks if node.tag in HEADINGS or node.tag == "section" and in_article else node.names
+    by_marks = node.tag in HEADINGS or node.tag == "section" and in_article
+    names = node.marks if by_marks else node.names
     if not names:
         return False
-    if names & (NO_ARTICLE_WORDS - NOTE_WORDS if in_article else NO_ARTICLE_WORDS):
+    if in_article and not names & (NO_ARTICLE_WORDS - UNSURE_WORDS):
+        if not names & UNSURE_WORDS or not _subjects(node, not by_marks) & UNSURE_WORDS:
+            return False
+        if node.tag in PROSE:
+            return _mostly_links(node)
+    if names & NO_ARTICLE_WORDS:
         return node.tag not in ("article", "main") or bool(names & {"comment", "comments", "related"})
     return bool(names & HEADER_WORDS) and not in_article and not names & ARTICLE_WORDS
 
