@@ -8,7 +8,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tidyledger.functions.similarity import Leaders, Names, Texts, assign_to_block, first_similar, indel_ratio, pair_ratio, ratio
-from tidyledger.operators import dedupe as D
+from tidyledger.operators import dedupe as D, lineage
 
 
 def plain_lcs(a, b):
@@ -206,3 +206,55 @@ def test_assignment_function_needs_no_session():
     batch = pd.DataFrame({"value": ["Ab", "zz"], "n": [1, 1], "length": [2, 2], "low": ["ab", "zz"]})
     out = next(assign_to_block([("Ab", "ab")], 75)([batch]))
     assert out["leader"].tolist() == ["Ab", None]
+
+
+def _forest(log):
+    """Final forms by following the last merges one by one; of a circle the oldest merge goes."""
+    last = {}
+    for field, value, canonical, number in log:
+        if None not in (field, value, canonical, number) and value != canonical:
+            best = last.get((field, value))
+            if best is None or (-number, canonical) < (-best[0], best[1]):
+                last[field, value] = (number, canonical)
+    for field, value in list(last):
+        way = [value]
+        while (field, way[-1]) in last and way[-1] not in way[:-1]:
+            way.append(last[field, way[-1]][1])
+        if way[-1] in way[:-1]:
+            circle = way[way.index(way[-1]):-1]
+            del last[field, min((last[field, v][0], v) for v in circle)[1]]
+    out = {}
+    for field, value in last:
+        at, steps = value, 0
+        while (field, at) in last:
+            at, steps = last[field, at][1], steps + 1
+        out[field, value] = (at, steps)
+    return out
+
+
+LOG = "field string, value string, canonical string, round int"
+
+
+def _found(spark, log):
+    return {(r["field"], r["value"]): (r["canonical"], r["steps"]) for r in lineage.lineage(spark.createDataFrame(log, LOG)).collect()}
+
+
+def test_lineage_follows_merges_of_merged_names(spark):
+    first, second = [("f", "a", "b", 1), ("f", "c", "b", 1), ("g", "b", "a", 1)], [("f", "b", "d", 2), ("f", "c", "e", 2)]
+    want = {("f", "a"): ("d", 2), ("f", "b"): ("d", 1), ("f", "c"): ("e", 1), ("g", "b"): ("a", 1)}
+    assert _found(spark, first + second) == _found(spark, second + first + first) == want
+    # Merged back in a later round: the older merge goes.
+    assert _found(spark, [("f", "a", "b", 1), ("f", "b", "a", 2), ("f", "x", "b", 1), (None, "q", "r", 1), ("f", None, "r", 1),
+                          ("f", "s", "s", 3)]) == {("f", "b"): ("a", 1), ("f", "x"): ("a", 2)}
+    assert _found(spark, []) == {}
+    records = spark.createDataFrame([(1, " a ", "b"), (2, "z", None)], "id int, f string, g string")
+    found = lineage.lineage(spark.createDataFrame(first + second, LOG))
+    assert [tuple(r) for r in lineage.apply_lineage(records, found).orderBy("id").collect()] == [(1, "d", "a"), (2, "z", None)]
+
+
+def test_lineage_equals_following_the_merges_one_by_one(spark):
+    r = random.Random(4)
+    log = [(r.choice("fg"), f"n{r.randrange(60)}", f"n{r.randrange(60)}", r.randrange(4)) for _ in range(90)]
+    log += [("deep", f"d{i:03}", f"d{i + 1:03}", 1) for i in range(200)] + [("ring", f"r{i:02}", f"r{(i + 1) % 50:02}", 2) for i in range(50)]
+    log += [("ring", f"t{i:02}", f"t{i + 1:02}" if i < 40 else "r07", 1) for i in range(41)]
+    assert _found(spark, log) == _found(spark, log[::-1]) == _forest(log)

@@ -93,4 +93,21 @@ SQL = {
     "review_replay": _WITH + """
       SELECT coalesce(g.canonical, c.value) AS p_name, CAST(sum(c.n) AS BIGINT) AS n
       FROM clustered c LEFT JOIN grouped g ON g.leader = c.leader AND g.similarity < 99 GROUP BY 1""",
+    "review_lineage": """
+      WITH RECURSIVE c AS (
+        SELECT c_custkey, c_name, c_nationkey, n_regionkey,
+          lag(c_name) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS before
+        FROM customer JOIN nation ON n_nationkey = c_nationkey),
+      nations AS (SELECT c_nationkey, min(c_custkey) AS k, arg_min(c_name, c_custkey) AS of_nation FROM c GROUP BY 1),
+      regions AS (SELECT n_regionkey, arg_min(c_name, c_custkey) AS of_region FROM c GROUP BY 1),
+      log AS (
+        SELECT c_name AS value, before AS canonical, 1 AS round FROM c
+        UNION ALL SELECT c_name, of_nation, 2 FROM c JOIN nations USING (c_nationkey) WHERE before IS NULL OR c_custkey % 7 = 0
+        UNION ALL SELECT c_name, of_region, 3 FROM c JOIN nations USING (c_nationkey) JOIN regions USING (n_regionkey)
+          WHERE c_custkey = k),
+      parent AS (SELECT value, canonical FROM log WHERE value <> canonical
+        QUALIFY row_number() OVER (PARTITION BY value ORDER BY round DESC, canonical) = 1),
+      walk AS (SELECT value, canonical, 1::BIGINT AS steps FROM parent
+        UNION ALL SELECT w.value, p.canonical, steps + 1 FROM walk w JOIN parent p ON p.value = w.canonical)
+      SELECT value, canonical, steps FROM walk QUALIFY row_number() OVER (PARTITION BY value ORDER BY steps DESC) = 1""",
 }

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidyledger.functions.similarity import indel_ratio
 from tidyledger.operators import dedupe as D
+from tidyledger.operators.lineage import lineage
 from tidyledger.plans.ledger import invoices, table
 from tidyledger.sources.scratch import stored
 
@@ -93,6 +96,25 @@ def review_replay(spark, sf_dir):
     return merged.groupBy("p_name").agg(F.count("*").alias("n"))
 
 
+def review_lineage(spark, sf_dir):
+    """Three rounds of merged customer names: into the one before in the segment, into the nation's first, into the region's."""
+    customers = table(spark, sf_dir, "customer").join(
+        table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey"), "c_nationkey")
+    by_segment = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey")
+    numbered = stored(customers.select(
+        "c_custkey", "c_name", "c_nationkey", "n_regionkey", F.lag("c_name").over(by_segment).alias("before")), "customers")
+    first = lambda key, name: numbered.groupBy(key).agg(
+        F.min_by("c_name", "c_custkey").alias(name), F.min("c_custkey").alias(f"{name}_key"))
+    placed = numbered.join(first("c_nationkey", "of_nation"), "c_nationkey").join(first("n_regionkey", "of_region"), "n_regionkey")
+    rounds = ((1, "before", F.lit(True)), (2, "of_nation", F.col("before").isNull() | (F.col("c_custkey") % 7 == 0)),
+              (3, "of_region", F.col("c_custkey") == F.col("of_nation_key")))
+    log = reduce(DataFrame.unionByName, [
+        placed.filter(chosen).select(F.lit("c_name").alias("field"), F.col("c_name").alias("value"),
+                                     F.col(target).alias("canonical"), F.lit(n).alias("round")) for n, target, chosen in rounds])
+    return lineage(log).select("value", "canonical", "steps")
+
+
 QUERIES = {f.__name__: f for f in (
     name_similarity, similar_names, similar_names_small_blocks, dense_names, name_groups, dedupe_records,
-    dedupe_stats, review_summary, review_decisions, review_approve_above, review_replay)}
+    dedupe_stats, review_summary, review_decisions, review_approve_above, review_replay,
+    review_lineage)}
