@@ -3,13 +3,14 @@
 import math
 import random
 import statistics
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidyledger.functions import text as fn
-from tidyledger.operators import analytics as A, clean as C, increments, retrieval as R, search, selection, updates as U, validate as V
+from tidyledger.operators import analytics as A, clean as C, heavy, increments, retrieval as R, search, selection, updates as U, validate as V
 from tidyledger.plans import pipeline as P
 from tidyledger.schema import INVOICE_SPEC, FieldSpec, TableSpec
 from tidyledger.sources import files, scratch, store
@@ -300,6 +301,31 @@ def test_text_functions(spark, function, table):
     assert got == list(table.values())
 
 
+@pytest.mark.parametrize("hot,capacity,k,enough", [
+    (True, 64, 4, True), (True, 8, 3, True), (False, 16, 5, False), (True, 100_000, 5, True), (True, 64, 50, False), (False, 100_000, 10_000, True)])
+def test_heavy_hitters_equal_a_full_count(spark, hot, capacity, k, enough):
+    rng = random.Random(6)
+    values = [None if rng.random() < 0.02 else f"rare{rng.randrange(3000)}" for _ in range(6000)]
+    if hot:
+        values += ["a"] * 3000 + ["b"] * 3000 + [None] * 2000 + ["c"] * 2000
+    rng.shuffle(values)
+    df = spark.createDataFrame([(v,) for v in values], "v string").repartition(4)
+    found, proven = heavy.heavy_hitters_checked(df, "v", k, capacity)
+    counts = Counter(values)
+    want = sorted(counts, key=lambda v: (-counts[v], v is None, v or ""))[:k]
+    got = sorted((tuple(r) for r in found.collect()), key=lambda r: r[2])
+    assert got == [(v, counts[v], i) for i, v in enumerate(want, 1)]
+    assert proven == enough
+
+
+def test_heavy_hitters_of_numbers_and_of_nothing(spark):
+    df = spark.createDataFrame([(2**60 + i % 3,) for i in range(7)] + [(None,)], "v long")
+    assert [r["key"] for r in heavy.heavy_hitters(df, "v", 2).orderBy("rank").collect()] == [str(2**60), str(2**60 + 1)]
+    assert heavy.heavy_hitters(df.limit(0), "v", 2).count() == 0
+    with pytest.raises(ValueError):
+        heavy.heavy_hitters(df, "v", 0)
+
+
 def test_neighbours_equal_brute_force(spark):
     rng = random.Random(3)
     docs = [(i, [rng.randint(0, 3) * 1.0 for _ in range(4)], rng.choice("ab")) for i in range(200)]

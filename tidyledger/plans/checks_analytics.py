@@ -65,6 +65,14 @@ SQL = {
     "value_index_rows": BASE + _ROWS,
     "unique_values": BASE + f", idx AS ({_INDEX}) SELECT field, count(*) AS unique_values FROM idx GROUP BY field",
     "lookup": BASE + "SELECT _row_number, num_factura, importe_total FROM invoices WHERE categoria = 'Machinery'",
+    "heavy_words": """
+      SELECT word AS key, count(*) AS count, CAST(row_number() OVER (ORDER BY count(*) DESC, word) AS INTEGER) AS rank
+      FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) WHERE word <> '' GROUP BY word
+      QUALIFY rank <= 20""",
+    "heavy_orders": """
+      SELECT CAST(l_orderkey AS VARCHAR) AS key, count(*) AS count,
+        CAST(row_number() OVER (ORDER BY count(*) DESC, CAST(l_orderkey AS VARCHAR)) AS INTEGER) AS rank
+      FROM lineitem GROUP BY l_orderkey QUALIFY rank <= 10""",
     "top_k": BASE + _TOP + "SELECT field, key, count, rank FROM ranked WHERE rank <= 5",
     "summary": BASE + _TOP + """
       , stats AS (""" + " UNION ALL ".join(_STATS.format(f=f, t="invoices") for f in _MONEY) + """)

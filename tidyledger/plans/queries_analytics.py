@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidyledger.operators import analytics as A, clean as C, updates as U, validate as V
+from tidyledger.operators.heavy import heavy_hitters
 from tidyledger.plans.ledger import dirty_invoices, invoices, table
 from tidyledger.plans.queries_cleaning import stored_by_status
 from tidyledger.schema import INVOICE_SPEC
@@ -57,6 +58,17 @@ def top_k(spark, sf_dir):
     return A.top_k(A.value_index(invoices(spark, sf_dir)), 5)
 
 
+def heavy_words(spark, sf_dir):
+    """The 20 most frequent words of all texts, from summaries and an exact count of what can be among them."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).filter("word <> ''")
+    return heavy_hitters(words, "word", 20)
+
+
+def heavy_orders(spark, sf_dir):
+    """The 10 orders with most lines. All are about as long, so the summaries cannot tell and all are counted."""
+    return heavy_hitters(table(spark, sf_dir, "lineitem"), "l_orderkey", 10, capacity=256)
+
+
 def summary(spark, sf_dir):
     return _rounded(A.summary(A.aggregate(invoices(spark, sf_dir))))
 
@@ -120,5 +132,5 @@ def filter_compare(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     field_statistics, field_statistics_bracketed, segmented_statistics, segmented_long, value_index,
-    value_index_rows, unique_values, lookup, top_k, summary, dashboard_metrics, dataset_balance, category_counts,
+    value_index_rows, unique_values, lookup, top_k, heavy_words, heavy_orders, summary, dashboard_metrics, dataset_balance, category_counts,
     upsert, update_counts, keep_last, compare_layers, filter_compare)}
