@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidyledger.functions import text as fn
-from tidyledger.operators import analytics as A, clean as C, heavy, increments, retrieval as R, search, selection, updates as U, validate as V
+from tidyledger.operators import analytics as A, bitmaps, clean as C, heavy, increments, retrieval as R, search, selection, updates as U, validate as V
 from tidyledger.plans import pipeline as P
 from tidyledger.schema import INVOICE_SPEC, FieldSpec, TableSpec
 from tidyledger.sources import files, scratch, store
@@ -326,6 +326,35 @@ def test_heavy_hitters_of_numbers_and_of_nothing(spark):
         heavy.heavy_hitters(df, "v", 0)
 
 
+def test_bitmap_lookups_equal_the_filter_and_read_only_their_entries(spark, tmp_path):
+    n = 70_000
+    big = 2**60  # ids that a double cannot hold
+    df = spark.range(n).select(
+        (F.col("id") + F.when(F.col("id") % 5 == 0, -40_000).when(F.col("id") % 5 == 1, big).otherwise(0)).alias("id"),
+        F.when(F.col("id") % 10 < 9, "common").otherwise(F.concat(F.lit("r"), F.col("id") % 1000)).alias("kind"),
+        F.when(F.col("id") % 7 > 0, (F.col("id") % 7).cast("string")).alias("day")).repartition(5)
+    extra = spark.createDataFrame([(None, "common", "1"), (0, "common", "1"), (0, "common", "1")], "id long, kind string, day string")
+    df = df.unionByName(extra)
+    made = bitmaps.bitmap_index(df, ("kind", "day"), "id")
+    assert made.filter("bits is not null").count() and made.filter("positions is not null").count()
+    assert made.filter("(bits is null) = (positions is null) or octet_length(bits) > 4096 or size(positions) > 2048").count() == 0
+    index = bitmaps.write_bitmaps(made, str(tmp_path / "index"))
+    for clauses, sql in (
+            ([[("kind", "common")], [("day", "3")]], "kind = 'common' and day = '3'"),
+            ([[("kind", "r19"), ("kind", "r29")], [("day", None), ("day", "2")]], "kind in ('r19', 'r29') and (day is null or day = '2')"),
+            ([[("kind", "common"), ("day", "5")]], "kind = 'common' or day = '5'"),
+            ([[("kind", "r19")], [("kind", "r29")]], "false"), ([[("kind", "none")], [("day", "1")]], "false"),
+            ([[("day", "1")], []], "false")):
+        want = sorted({r[0] for r in df.filter(sql).filter("id is not null").select("id").collect()})
+        assert sorted(r[0] for r in bitmaps.lookup_rows(index, clauses).collect()) == want
+    asked = bitmaps.asked_entries(index, [[("kind", "r19")], [("day", "3")]])
+    assert {(r["field"], r["key"]) for r in asked.collect()} == {("kind", "r19"), ("day", "3")}
+    assert asked._jdf.queryExecution().executedPlan().toString().count("PartitionFilters: []") == 0
+    with pytest.raises(ValueError):
+        bitmaps.lookup_rows(index, [[]])
+    assert bitmaps.bitmap_index(df.limit(0), ("kind",), "id").count() == 0
+
+
 def test_neighbours_equal_brute_force(spark):
     rng = random.Random(3)
     docs = [(i, [rng.randint(0, 3) * 1.0 for _ in range(4)], rng.choice("ab")) for i in range(200)]

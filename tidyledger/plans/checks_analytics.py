@@ -65,6 +65,13 @@ SQL = {
     "value_index_rows": BASE + _ROWS,
     "unique_values": BASE + f", idx AS ({_INDEX}) SELECT field, count(*) AS unique_values FROM idx GROUP BY field",
     "lookup": BASE + "SELECT _row_number, num_factura, importe_total FROM invoices WHERE categoria = 'Machinery'",
+    "bitmap_index": BASE + """
+      SELECT 'categoria' AS field, categoria AS key, count(*) AS count FROM invoices GROUP BY categoria
+      UNION ALL SELECT 'tipo', tipo, count(*) FROM invoices GROUP BY tipo
+      UNION ALL SELECT 'fecha', CAST(CAST(fecha AS DATE) AS VARCHAR), count(*) FROM invoices GROUP BY fecha""",
+    "bitmap_lookup": BASE + """
+      SELECT _row_number FROM invoices WHERE categoria IN ('Machinery', 'Furniture') AND tipo = 'Ingreso'
+        AND estado_factura IN ('Pagada', 'Pendiente')""",
     "heavy_words": """
       SELECT word AS key, count(*) AS count, CAST(row_number() OVER (ORDER BY count(*) DESC, word) AS INTEGER) AS rank
       FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) WHERE word <> '' GROUP BY word

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidyledger.operators import analytics as A, clean as C, updates as U, validate as V
+from tidyledger.operators import analytics as A, bitmaps, clean as C, updates as U, validate as V
 from tidyledger.operators.heavy import heavy_hitters
 from tidyledger.plans.ledger import dirty_invoices, invoices, table
 from tidyledger.plans.queries_cleaning import stored_by_status
 from tidyledger.schema import INVOICE_SPEC
+from tidyledger.sources.scratch import new_path
 
 LINE_FIELDS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
@@ -58,6 +59,19 @@ def top_k(spark, sf_dir):
     return A.top_k(A.value_index(invoices(spark, sf_dir)), 5)
 
 
+def bitmap_index(spark, sf_dir):
+    index = bitmaps.bitmap_index(invoices(spark, sf_dir), ("categoria", "tipo", "fecha"))
+    return index.groupBy("field", "key").agg(F.sum("count").alias("count"))
+
+
+def bitmap_lookup(spark, sf_dir):
+    """Rows by values of three fields, answered on the stored index."""
+    index = bitmaps.write_bitmaps(bitmaps.bitmap_index(invoices(spark, sf_dir)), new_path(spark, "bitmaps"))
+    found = bitmaps.lookup_rows(index, [[("categoria", "Machinery"), ("categoria", "Furniture")], [("tipo", "Ingreso")],
+                                        [("estado_factura", "Pagada"), ("estado_factura", "Pendiente")]])
+    return found.withColumnRenamed("row", "_row_number")
+
+
 def heavy_words(spark, sf_dir):
     """The 20 most frequent words of all texts, from summaries and an exact count of what can be among them."""
     words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).filter("word <> ''")
@@ -132,5 +146,6 @@ def filter_compare(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     field_statistics, field_statistics_bracketed, segmented_statistics, segmented_long, value_index,
-    value_index_rows, unique_values, lookup, top_k, heavy_words, heavy_orders, summary, dashboard_metrics, dataset_balance, category_counts,
+    value_index_rows, unique_values, lookup, top_k, bitmap_index, bitmap_lookup, heavy_words, heavy_orders,
+    summary, dashboard_metrics, dataset_balance, category_counts,
     upsert, update_counts, keep_last, compare_layers, filter_compare)}
