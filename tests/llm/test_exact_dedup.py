@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 
 from tidyledger.llm import exact_dedup
 from tidyledger.llm.exact_dedup import CuckooFilter, DigestIndex, built
@@ -62,3 +63,26 @@ def test_index_takes_batches_and_deletions(spark):
     index = index.delete(rows((0, a), (0, digest("never seen"))))
     assert {r.text_sha256 for r in index.live().collect()} == {b, c}
     assert sorted(map(tuple, index.insert(rows((9, a))).live().collect()))[0:3] == sorted([(a, 9, 1, 1), (b, 3, 2, 1), (c, 4, 1, 1)])
+
+
+def test_number_of_batches_changes_nothing_and_ids_stay_exact(docs_of, odd_rows):
+    rows = odd_rows + [(2**60 + i, f"text {i % 5}") for i in range(1, 40)] + [(None, f"text {i}") for i in range(8)]
+    docs = docs_of(rows)
+    one, many = (sorted(map(tuple, exact_dedup.exact_groups(docs, n).collect()), key=repr) for n in (1, 5))
+    assert one == many
+    largest = {i % 5: 2**60 + i for i in range(1, 40)}
+    assert {r[1] for r in many if r[4] in {digest(f"text {i}") for i in range(5)}} == set(largest.values())
+
+
+def test_only_hits_of_the_filter_reach_the_stored_keys(monkeypatch):
+    def batch(*rows):
+        return pd.DataFrame([(3, digest(t), i, False, 1, 1) for t, i in rows],
+                            columns=["bucket", *exact_dedup.KEY]).astype({"keep_id": "int64"})
+
+    none = pd.DataFrame({c: [] for c in ("bucket", *exact_dedup.KEY, "room", "slots")})
+    state = exact_dedup._merge_bucket(none, batch(("a", 1), ("b", 2)), False)
+    after = exact_dedup._merge_bucket(state, batch(("a", 9), ("c", 4)), False)
+    assert list(after["keep_id"][:-1]) == [9, 2, 4] and list(after["group_size"][:-1]) == [2, 1, 1]
+    monkeypatch.setattr(CuckooFilter, "contains", lambda self, keys: np.zeros(len(keys), bool))
+    missed = exact_dedup._merge_bucket(state, batch(("a", 9)), False)
+    assert list(missed["text_sha256"][:-1]) == [digest("a"), digest("b"), digest("a")]

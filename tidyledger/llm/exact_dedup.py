@@ -7,8 +7,10 @@ not know is new for certain; a hit is verified against the bucket's stored keys.
 Deletion takes the fingerprint out of the filter and the key out of the bucket.
 When a filter overflows, it is built anew with twice the room from the stored keys.
 
-Copies meet in a map-side aggregate before anything is dealt out, so a group
-that holds a third of all rows reaches its bucket as one row per task.
+Documents are inserted in batches. The copies of one batch meet in a map-side aggregate
+before anything is dealt out, so a group that holds a third of all rows reaches its bucket as
+one row per task; copies of different batches meet in the index, where the filter's hits
+are verified and the live key takes the larger id and the sum of the counts.
 """
 
 from __future__ import annotations
@@ -18,12 +20,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import ascii_lower, discard, scratch_mark, ship, shuffle_partitions, stored
+from tidyledger.llm.common import ascii_lower, discard, forget, scratch_mark, ship, shuffle_partitions, stored
 
 SLOTS = 4
 MAX_KICKS = 200
 KEYS_PER_BUCKET = 20_000
-STATE = "bucket int, text_sha256 string, keep_id long, group_size long, n_keep long, room int, slots binary"
+BATCHES = 4
+# No number is ever null, as pandas would turn the ids beside a null into doubles.
+STATE = "bucket int, text_sha256 string, keep_id long, no_id boolean, group_size long, n_keep long, room int, slots binary"
+KEY = {"text_sha256": object, "keep_id": np.int64, "no_id": bool, "group_size": np.int64, "n_keep": np.int64}
 
 
 class CuckooFilter:
@@ -104,38 +109,40 @@ def built(digests) -> CuckooFilter:
 
 
 def _merge_bucket(stored_rows: pd.DataFrame, batch: pd.DataFrame, delete: bool) -> pd.DataFrame:
-    """New state of one bucket: key rows, then one row with the filter."""
+    """New state of one bucket: key rows, then one row with the filter (``room`` is 0 in key rows).
+
+    What the filter does not know is new; only its hits are looked up among the stored keys.
+    """
     bucket = int((stored_rows if len(stored_rows) else batch)["bucket"].iloc[0])
-    is_key = stored_rows["text_sha256"].notna()
-    keys, guard = stored_rows[is_key], stored_rows[~is_key]
-    index = (CuckooFilter(int(guard["room"].iloc[0]), guard["slots"].iloc[0]) if len(guard)
-             else CuckooFilter.for_keys(len(batch)))
-    hit = index.contains(filter_keys(batch["text_sha256"])) if len(batch) else np.zeros(0, bool)
-    live = hit & batch["text_sha256"].isin(keys["text_sha256"]).to_numpy(bool)
-    columns = ["text_sha256", "keep_id", "group_size", "n_keep"]
+    is_key = stored_rows["room"].to_numpy() == 0
+    keys = {c: stored_rows[c].to_numpy()[is_key].astype(t) for c, t in KEY.items()}
+    index = CuckooFilter.for_keys(len(batch))
+    for _, guard in stored_rows[~is_key].iterrows():
+        index = CuckooFilter(int(guard["room"]), guard["slots"])
+    more = {c: batch[c].to_numpy().astype(t) for c, t in KEY.items()}
+    place = np.full(len(batch), -1)
+    hit = np.flatnonzero(index.contains(filter_keys(more["text_sha256"])))
+    place[hit] = pd.Index(keys["text_sha256"]).get_indexer(more["text_sha256"][hit])
+    live, fresh = place >= 0, place < 0
+    at = place[live]
     if delete:
-        gone = batch["text_sha256"][live]
-        index.delete(filter_keys(gone))
-        keys = keys[~keys["text_sha256"].isin(gone)][columns]
+        index.delete(filter_keys(keys["text_sha256"][at]))
+        keys = {c: np.delete(v, at) for c, v in keys.items()}
     else:
-        known = keys[columns].merge(batch[columns], on="text_sha256", how="left", suffixes=("", "_new"))
-        if len(known):
-            old, new = known["keep_id"], known["keep_id_new"]
-            larger = new.notna() & (old.isna() | (new > old))
-            same = new.notna() & (new == old)
-            known["n_keep"] = np.where(larger, known["n_keep_new"], known["n_keep"] + np.where(same, known["n_keep_new"], 0))
-            known["keep_id"] = old.where(~larger, new)
-            known["group_size"] = known["group_size"] + known["group_size_new"].fillna(0)
-        fresh = batch[~live][columns]
-        keys = pd.concat([known[columns], fresh]) if len(known) else fresh
-        if not index.insert(filter_keys(fresh["text_sha256"])):
-            index = built(list(keys["text_sha256"]))
-    out = keys.assign(bucket=bucket, room=None, slots=None)
-    last = pd.DataFrame({"bucket": [bucket], "text_sha256": [None], "keep_id": [None], "group_size": [None],
-                         "n_keep": [None], "room": [index.room], "slots": [index.slots.tobytes()]})
-    both = pd.concat([out, last], ignore_index=True)[
-        ["bucket", "text_sha256", "keep_id", "group_size", "n_keep", "room", "slots"]]
-    return both.astype({c: "Int64" for c in ("keep_id", "group_size", "n_keep")} | {"room": "Int32"})
+        new = {c: v[live] for c, v in more.items()}
+        larger = ~new["no_id"] & (keys["no_id"][at] | (new["keep_id"] > keys["keep_id"][at]))
+        same = (new["no_id"] == keys["no_id"][at]) & (new["keep_id"] == keys["keep_id"][at])
+        keys["n_keep"][at] = np.where(larger, new["n_keep"], keys["n_keep"][at] + np.where(same, new["n_keep"], 0))
+        keys["keep_id"][at] = np.where(larger, new["keep_id"], keys["keep_id"][at])
+        keys["no_id"][at] &= ~larger
+        keys["group_size"][at] += new["group_size"]
+        keys = {c: np.concatenate([v, more[c][fresh]]) for c, v in keys.items()}
+        if not index.insert(filter_keys(more["text_sha256"][fresh])):
+            index = built(keys["text_sha256"])
+    last = {"text_sha256": None, "keep_id": 0, "no_id": True, "group_size": 0, "n_keep": 0}
+    n = len(keys["text_sha256"])
+    return pd.DataFrame({"bucket": np.full(n + 1, bucket, np.int32)} | {c: np.append(v, np.array([last[c]], v.dtype)) for c, v in keys.items()}
+                        | {"room": np.append(np.zeros(n, np.int32), np.int32(index.room)), "slots": [None] * n + [index.slots.tobytes()]})
 
 
 class DigestIndex:
@@ -160,26 +167,40 @@ class DigestIndex:
         """Add rows of (doc_id, text_sha256); a digest keeps its largest id and counts its rows."""
         copies = rows.groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n"))
         batch = copies.groupBy("text_sha256").agg(
-            F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"),
-            F.coalesce(F.max_by("n", "doc_id"), F.sum("n")).alias("n_keep"))
+            F.coalesce(F.max("doc_id"), F.lit(0)).alias("keep_id"), F.max("doc_id").isNull().alias("no_id"),
+            F.sum("n").alias("group_size"), F.coalesce(F.max_by("n", "doc_id"), F.sum("n")).alias("n_keep"))
         return self._changed(batch, delete=False)
 
+    def insert_all(self, rows: DataFrame, batches: int) -> DigestIndex:
+        """Insert in batches by a hash of the id, so copies of other ids meet the index. The states in between are deleted.
+
+        Any number of batches gives the same live digests.
+        """
+        index = self
+        for number in range(batches):
+            older = index.state
+            index = index.insert(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == number))
+            if number:
+                forget(older)
+        return index
+
     def delete(self, digests: DataFrame) -> DigestIndex:
         """Take whole digests out; digests that are not live change nothing."""
         batch = digests.select("text_sha256").distinct().selectExpr(
-            "text_sha256", "cast(null as long) keep_id", "0L group_size", "0L n_keep")
+            "text_sha256", "0L keep_id", "true no_id", "0L group_size", "0L n_keep")
         return self._changed(batch, delete=True)
 
     def live(self) -> DataFrame:
         """text_sha256, keep_id, group_size, n_keep (rows that share the largest id)."""
-        return self.state.filter("text_sha256 is not null").select("text_sha256", "keep_id", "group_size", "n_keep")
+        return self.state.filter("text_sha256 is not null").selectExpr(
+            "text_sha256", "if(no_id, null, keep_id) keep_id", "group_size", "n_keep")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.sha2(ascii_lower(F.col("text")).cast("binary"), 256).alias("text_sha256"))
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
+def exact_groups(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     A null text is the empty text. Null ids lose to any id; a group of null ids alone keeps its rows.
@@ -187,16 +208,19 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     No documents give no rows. Other columns are ignored.
     """
     rows = stored(digests(docs), "digests")
-    live = DigestIndex.empty(docs.sparkSession, rows.count()).insert(rows).live()
+    live = DigestIndex.empty(docs.sparkSession, rows.count()).insert_all(rows, batches).live()
     return rows.join(live, "text_sha256").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def drop_exact(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; of rows that repeat id and text, one."""
+def drop_exact(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """The documents that stay, with all their columns; of rows that repeat id and text, one.
+
+    A null text is the empty text, a null id loses to any id, no documents give no rows.
+    """
     mark = scratch_mark()
     rows = stored(digests(docs), "digests")
-    live = DigestIndex.empty(docs.sparkSession, rows.count()).insert(rows).live()
+    live = DigestIndex.empty(docs.sparkSession, rows.count()).insert_all(rows, batches).live()
     discard(docs.sparkSession, mark)
     packed = docs.select(F.struct("*").alias("row"))
     digest = F.sha2(ascii_lower(F.col("row.text")).cast("binary"), 256)
