@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import threading
 import zipfile
+from collections.abc import Callable
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -19,6 +20,8 @@ FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
+#: Empty the tables that operators keep in a worker process from task to task.
+releases: list[Callable[[], None]] = []
 
 
 class _Scratch(threading.local):
@@ -52,6 +55,12 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def release() -> None:
+    """For functions on executors that need memory themselves: other operators' tables are given back first."""
+    for empty in releases:
+        empty()
+
+
 @contextmanager
 def freed_shuffles(spark: SparkSession):
     """Drop the shuffle files of each query that ends inside, instead of at the driver's next full collection."""

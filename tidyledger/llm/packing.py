@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import id_back, id_text, ship, shuffle_partitions, stored
+from tidyledger.llm.common import id_back, id_text, releases, ship, shuffle_partitions, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -47,7 +47,8 @@ class WordIds:
     The vocabulary drops white space and never merges across it, lower-cases, and
     keeps letters, digits and marks apart. So a word's ids depend on the word alone, on
     its lower-cased form, and marks behind a letter or digit can be looked up apart. Known
-    words stay in a bounded table; a worker process keeps it from task to task.
+    words stay in a bounded table; a worker process keeps it from task to task, until
+    a function of another operator asks for the memory.
     """
 
     def __init__(self, path: str):
@@ -100,6 +101,9 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+releases.append(word_ids.cache_clear)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
            with_ids: bool = False) -> DataFrame:
     """Token pieces of every document, the end id included; ``ids`` holds the little-endian ids when asked for."""

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import ship
+from tidyledger.llm.common import release, ship
 
 WIDTH = 5
 FILTERS = 16
@@ -212,6 +212,7 @@ def score(docs: DataFrame, net: Network, column: str = "score") -> DataFrame:
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         for texts in batches:
             values = [("" if t is None else t).encode("utf-8", "surrogatepass") for t in texts]
             yield pd.Series([p for at in range(0, len(values), 32)

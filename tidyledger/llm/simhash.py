@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import discard, forget, scratch_mark, ship, stored
+from tidyledger.llm.common import discard, forget, release, scratch_mark, ship, stored
 from tidyledger.llm.components import components
 
 BITS = 64
@@ -72,6 +72,7 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
+        release()
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
 
     return docs.select("doc_id", of("text").alias("fp"))
@@ -146,6 +147,7 @@ def fingerprint_links(different: DataFrame, count: int, distance: int, turns: in
     nothing = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
 
     def link(key, pdf):
+        release()
         fps = np.sort(pdf["fp"].to_numpy(np.int64)).view(np.uint64)
         turn = np.uint64(int(key[0]) % turns)
         if turn:
@@ -208,6 +210,7 @@ def _frequent(docs: DataFrame, shingle: int, count: int) -> tuple[np.ndarray, np
 
     @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
+        release()
         return pd.Series([_different_shingles(t, shingle) for t in texts])
 
     share = max(1, count // FREQUENT_SAMPLE)
@@ -233,6 +236,7 @@ def _prefixes(docs: DataFrame, node, shingle: int, similarity: float, count: int
 
     @F.pandas_udf("n int, keys array<long>, " + ", ".join(f"{w} long" for w in words))
     def first(texts: pd.Series) -> pd.DataFrame:
+        release()
         sizes, chosen, parities = [], [], np.zeros((len(texts), PARITY_WORDS * 64), np.uint8)
         for i, text in enumerate(texts):
             keys = _different_shingles(text, shingle)
@@ -283,14 +287,17 @@ def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dista
 
     @F.pandas_udf(kind)
     def prints(texts: pd.Series) -> pd.DataFrame:
+        release()
         return _word_set_prints(texts, seeds)
 
     @F.pandas_udf("binary")
     def sets(texts: pd.Series) -> pd.Series:
+        release()
         return pd.Series([shingle_set(t, shingle) for t in texts])
 
     @F.pandas_udf("boolean")
     def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        release()
         out = []
         for a, b in zip(left, right, strict=True):
             x, y = np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")
