@@ -35,6 +35,8 @@ def test_gradients_are_those_of_the_loss():
         return float((weight * (np.logaddexp(0, z) - y * z)).sum() / len(y))
 
     grads = quality._gradients(net, chunks, starts, y, weight)
+    for name, g in quality._gradients(net, chunks, starts, y, weight, block=2).items():
+        assert g == pytest.approx(grads[name], abs=1e-6)
     for name, at in (("table", (2, ord("b"), 3)), ("bias", (4,)), ("w1", (5, 2)), ("w2", (15,)), ("b2", (0,))):
         before, step = net[name][at], 1e-5
         net[name][at] = before + step

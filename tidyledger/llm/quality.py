@@ -29,8 +29,8 @@ HIDDEN = 12
 CHUNK = 512
 OVERLAP = 64
 TRAINING_ROWS = 2000
-TRAINING_CHUNKS = 4
-EPOCHS = 6
+TRAINING_BLOCK = 1024  # chunks whose activations training holds at once
+EPOCHS = 3
 BATCH = 48
 PAD = 256  # byte value of the padding behind a text
 
@@ -116,8 +116,13 @@ def _blocks(parts: list[np.ndarray], block: int) -> Iterator[np.ndarray]:
         yield np.concatenate(waiting)
 
 
-def _gradients(net: dict, chunks: np.ndarray, starts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
-    pools, act, real, count = pooled(net, chunks)
+def _gradients(net: dict, chunks: np.ndarray, starts: np.ndarray, y: np.ndarray, weight: np.ndarray,
+               block: int = TRAINING_BLOCK) -> dict:
+    """Gradients of the loss of some documents. More chunks than a block go through the filters in blocks, a second time
+    for the way back, so the activations in memory do not grow with the texts."""
+    blocks = [slice(at, at + block) for at in range(0, len(chunks), block)]
+    forward = pooled(net, chunks) if len(blocks) == 1 else None
+    pools = forward[0] if forward else np.concatenate([pooled(net, chunks[b])[0] for b in blocks])
     hidden, top, vector, sizes = document_vectors(net, pools, starts)
     p = 1 / (1 + np.exp(-(vector @ net["w2"] + net["b2"])))
     d_out = ((p - y) * weight / len(y)).astype(np.float32)
@@ -128,27 +133,33 @@ def _gradients(net: dict, chunks: np.ndarray, starts: np.ndarray, y: np.ndarray,
     d_hidden *= 1 - hidden ** 2
     grads |= {"w1": pools.T @ d_hidden, "b1": d_hidden.sum(axis=0)}
     d_pools = d_hidden @ net["w1"].T
+    grads |= {"bias": np.zeros_like(net["bias"]), "table": np.zeros_like(net["table"])}
+    for b in blocks:
+        _add_filter_gradients(grads, forward or pooled(net, chunks[b]), chunks[b], d_pools[b])
+    grads["table"][:, PAD] = 0
+    return grads
+
+
+def _add_filter_gradients(grads: dict, forward: tuple, chunks: np.ndarray, d_pools: np.ndarray) -> None:
+    _, act, real, count = forward
     d_act = (d_pools[:, FILTERS:] / count[:, None])[:, None, :] * (act > 0)
     d_act *= real[:, :, None]
     best = act.argmax(axis=1)
     rows, cols = np.indices(best.shape)
     d_act[rows, best, cols] += d_pools[:, :FILTERS] * (act[rows, best, cols] > 0)
-    grads["bias"] = d_act.sum(axis=(0, 1))
+    grads["bias"] += d_act.sum(axis=(0, 1))
     flat = d_act.reshape(-1, FILTERS)
     places = act.shape[1]
-    table = np.zeros_like(net["table"])
     for j in range(WIDTH):
         # Rows of equal bytes add up by sorting once; np.add.at is far slower.
         value = chunks[:, j:j + places].reshape(-1)
         order = np.argsort(value, kind="stable")
         first = np.flatnonzero(np.diff(value[order], prepend=-1))
-        table[j][value[order][first]] = np.add.reduceat(flat[order], first, axis=0)
-    table[:, PAD] = 0
-    return grads | {"table": table}
+        grads["table"][j][value[order][first]] += np.add.reduceat(flat[order], first, axis=0)
 
 
 def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> Network:
-    """Adam on the log loss with both classes weighing the same. Long texts show a few random chunks per epoch."""
+    """Adam on the log loss with both classes weighing the same. Every pass reads every text whole."""
     net = Network.fresh()
     share = max(labels.mean(), 1e-3), max(1 - labels.mean(), 1e-3)
     weights = np.where(labels == 1, 0.5 / share[0], 0.5 / share[1]).astype(np.float32)
@@ -163,9 +174,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
             some = order[at:at + BATCH]
             parts = []
             for i in some:
-                part = chunks_of(texts[i])
-                parts.append(part if len(part) <= TRAINING_CHUNKS
-                             else part[np.sort(r.choice(len(part), TRAINING_CHUNKS, replace=False))])
+                parts.append(chunks_of(texts[i]))
             starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
             grads = _gradients(net.parts, np.concatenate(parts), starts, labels[some], weights[some])
             step += 1
