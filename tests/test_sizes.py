@@ -1,7 +1,11 @@
 """Faults that show on larger tables only."""
 
+from decimal import Decimal
+
+import pytest
 from pyspark.sql import functions as F
 
+from tidyledger.operators import analytics as A, increments
 from tidyledger.plans.queries_sources import bronze_row_numbers
 
 
@@ -9,3 +13,31 @@ def test_rows_keep_the_order_of_their_file_whatever_the_order_they_came_in(spark
     spark.range(30_000).withColumnRenamed("id", "o_orderkey").orderBy(F.xxhash64("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
     wrong = bronze_row_numbers(spark, str(tmp_path)).filter(F.col("row_number") != F.floor(F.col("o_orderkey") / 7) + 2)
     assert wrong.count() == 0
+
+
+def test_sums_of_many_amounts_are_exact_in_any_order(spark):
+    df = spark.range(200_000).select(
+        F.when(F.col("id") % 2 == 0, "Gasto").otherwise("Ingreso").alias("tipo"),
+        ((F.col("id") * 7919 % 50_000_011) / 100 + 250_000).alias("importe_total"))
+    want = {k: sum(Decimal(i * 7919 % 50_000_011) / 100 + 250_000 for i in range(200_000) if i % 2 == k) for k in (0, 1)}
+    for some in (df.repartition(3), df.orderBy(F.desc("importe_total"))):
+        found = A.field_statistics(some).first()
+        assert found["sum"] == float(want[0] + want[1]) and found["mean"] == pytest.approx(float(want[0] + want[1]) / 200_000, rel=1e-15)
+        row = A.balance(some).first()
+        assert (row["expense_total"], row["income_total"]) == (float(want[0]), float(want[1]))
+
+
+def test_sums_of_other_numbers_are_kept(spark):
+    values = [1e-9, 3e15, -2.5, float("inf")]
+    found = [A.field_statistics(spark.createDataFrame([(v,) for v in some], "iva double")).first()["sum"]
+             for some in (values[:1], values[:3], values)]
+    assert found == [1e-9, 3e15 - 2.5, float("inf")]
+
+
+def test_amounts_that_all_went_leave_no_deviation(spark):
+    was = spark.range(5000).select(F.lit("a").alias("tipo"), ((F.col("id") * 7919 % 50_000_011) / 100).alias("importe_total"))
+    paid = was.withColumn("importe_total", F.lit(0.0))
+    shape = increments.shape_of(was)
+    states = increments.changes(was, was.limit(0), shape).union(increments.changes(paid, was, shape))
+    found, segment = increments.statistics(states, shape).first(), increments.segments(states, shape).first()
+    assert (found["count"], found["sum"], found["std"], segment["importe_total_sum"]) == (5000, 0.0, 0.0, 0.0)
