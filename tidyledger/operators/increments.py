@@ -2,7 +2,8 @@
 
 A change is rows that came and rows that went. Everything that :func:`.analytics.aggregate` reports follows from
 states that can be added and taken back: counts and sums per segment, counts per index value, and, for every statistics
-field, count, sum and squares around a fixed pivot, a histogram over fixed edges, and how often each value occurs. States
+field, count, sum and squares around a fixed pivot, a histogram over fixed edges, and how often each value occurs. Sums
+and squares are kept as decimals, and as doubles what those do not hold: what goes then leaves nothing behind. States
 of several changes are rows of one table and are merged by adding, in any order.
 
 Minimum, maximum and median have no such state. The histogram says in which bucket each lies, and only the values of
@@ -11,19 +12,21 @@ those buckets are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from decimal import Decimal, localcontext
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from tidyledger.functions import vocabulary as words
-from tidyledger.operators.analytics import STATISTICS, _entries, _numbers, _text
+from tidyledger.operators.analytics import STATISTICS, _entries, _numbers, _text, exact_parts
 from tidyledger.operators.selection import Range, weighted_medians
 from tidyledger.sources.scratch import stored
 
 STATE = ("kind string, field string, key string, measure string, bucket int, value double, n long, total double, "
-         "squares double")
+         "squares double, exact_total decimal(38,4), exact_squares decimal(38,8)")
 EDGES = 127  # of the histogram of a field
 INDEX, SEGMENT, FIELD, HISTOGRAM, VALUE = "index", "segment", "field", "histogram", "value"
 
@@ -44,7 +47,8 @@ def shape_of(rows: DataFrame, index_fields: Sequence[str] = words.INDEX_FIELDS,
     shares = [(i + 1) / (EDGES + 1) for i in range(EDGES)]
     row = _numbers(rows, fields).agg(F.count("*"), *[x for f in fields for x in (
         F.avg(f).alias(f"mean_{f}"), F.percentile_approx(f, shares).alias(f"edges_{f}"))]).first()
-    return Shape({f: float(row[f"mean_{f}"] or 0.0) for f in fields}, {f: sorted(set(row[f"edges_{f}"] or [])) for f in fields},
+    # Pivots have the places of the exact sums, so differences to them are exact too.
+    return Shape({f: round(float(row[f"mean_{f}"] or 0.0), 4) for f in fields}, {f: sorted(set(row[f"edges_{f}"] or [])) for f in fields},
                  [f for f in index_fields if f in rows.columns], [s for s in segments if s in rows.columns])
 
 
@@ -58,6 +62,7 @@ def changes(came: DataFrame, went: DataFrame, shape: Shape) -> DataFrame:
 
     both = stored(signed(came, 1).unionByName(signed(went, -1), allowMissingColumns=True), "change")
     n = F.sum("_sign").alias("n")
+    sign = F.col("_sign").cast("decimal(1,0)")
     pieces = []
     if shape.index_fields:
         pieces.append(_entries(both, shape.index_fields, "_sign").groupBy("field", "key").agg(n).withColumn("kind", F.lit(INDEX)))
@@ -66,24 +71,31 @@ def changes(came: DataFrame, went: DataFrame, shape: Shape) -> DataFrame:
             F.struct(F.lit(f).alias("measure"), F.col(f).cast("double").alias("amount")) for f in fields]
         parts = F.array(*[F.struct(F.lit(s).alias("field"), F.coalesce(_text(both, s), F.lit("N/A")).alias("key"))
                           for s in shape.segments])
+        exact, rest = exact_parts(F.col("m.amount"))
         pieces.append(both.select("_sign", F.explode(parts).alias("part"), F.array(*measures).alias("measures"))
                       .select("_sign", "part.*", F.explode("measures").alias("m")).filter("m.amount is not null")
-                      .groupBy("field", "key", "m.measure").agg(n, F.sum(F.col("_sign") * F.col("m.amount")).alias("total"))
+                      .groupBy("field", "key", "m.measure").agg(
+                          n, F.sum(F.col("_sign") * rest).alias("total"), F.sum(sign * exact).cast("decimal(38,4)").alias("exact_total"))
                       .withColumn("kind", F.lit(SEGMENT)))
     if fields:
         numbers = _numbers(both, fields, "_sign")
-        values = numbers.unpivot(["_sign"], fields, "field", "value").filter("value is not null").groupBy("field", "value").agg(n)
+        amounts = numbers.unpivot(["_sign"], fields, "field", "value").filter("value is not null")
+        values = amounts.groupBy("field", "value").agg(n)
         bucket, pivot = F.lit(None).cast("int"), F.lit(0.0)
         for f in fields:
             edges = F.array(*map(F.lit, shape.edges[f])).cast("array<double>")
             bucket = F.when(F.col("field") == f, F.size(F.filter(edges, lambda e: e <= F.col("value")))).otherwise(bucket)
             pivot = F.when(F.col("field") == f, F.lit(shape.pivots[f])).otherwise(pivot)
+        # A value is exact + rest, its distance from the pivot off + rest_off.
+        exact, rest = exact_parts(F.col("value"))
+        pivot_exact, pivot_rest = exact_parts(pivot)
+        off, rest_off = (exact - pivot_exact).cast("decimal(15,4)"), rest - pivot_rest
         values = stored(values.filter("n <> 0").withColumns({"bucket": bucket, "kind": F.lit(VALUE)}), "changed-values")
         pieces += [values, values.groupBy("field", "bucket").agg(F.sum("n").alias("n")).withColumn("kind", F.lit(HISTOGRAM)),
-                   values.groupBy("field").agg(
-                       F.sum("n").alias("total_n"), F.sum(F.col("n") * F.col("value")).alias("total"),
-                       F.sum(F.col("n") * (F.col("value") - pivot) ** 2).alias("squares")).withColumnRenamed("total_n", "n")
-                   .withColumn("kind", F.lit(FIELD))]
+                   amounts.groupBy("field").agg(
+                       n, F.sum(F.col("_sign") * rest).alias("total"), F.sum(sign * exact).cast("decimal(38,4)").alias("exact_total"),
+                       F.sum(F.col("_sign") * (2 * off.cast("double") * rest_off + rest_off ** 2)).alias("squares"),
+                       F.sum(sign * (off * off)).cast("decimal(38,8)").alias("exact_squares")).withColumn("kind", F.lit(FIELD))]
     state = came.sparkSession.createDataFrame([], STATE)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pieces, state)
 
@@ -91,7 +103,14 @@ def changes(came: DataFrame, went: DataFrame, shape: Shape) -> DataFrame:
 def merged(states: DataFrame) -> DataFrame:
     """One state out of many; what came and went is gone from it."""
     return states.groupBy("kind", "field", "key", "measure", "bucket", "value").agg(
-        *(F.sum(c).alias(c) for c in ("n", "total", "squares"))).filter("n <> 0")
+        *(F.sum(c).alias(c) for c in ("n", "total", "squares")),
+        F.sum("exact_total").cast("decimal(38,4)").alias("exact_total"),
+        F.sum("exact_squares").cast("decimal(38,8)").alias("exact_squares")).filter("n <> 0")
+
+
+def _total() -> Column:
+    """The sum that a merged state stands for; states of older versions have no exact part."""
+    return F.coalesce(F.col("exact_total").cast("double"), F.lit(0.0)) + F.coalesce("total", F.lit(0.0))
 
 
 def value_counts(states: DataFrame) -> DataFrame:
@@ -103,11 +122,21 @@ def segments(states: DataFrame, shape: Shape) -> DataFrame:
     """As :func:`.analytics.segmented_statistics`."""
     counted = merged(states.filter(F.col("kind") == SEGMENT))
     sums = [x for f in shape.pivots for mine in [F.col("measure") == f] for x in (
-        F.max(F.when(mine, F.col("total"))).alias(f"{f}_sum"), F.max(F.when(mine, F.col("total") / F.col("n"))).alias(f"{f}_mean"))]
+        F.max(F.when(mine, _total())).alias(f"{f}_sum"), F.max(F.when(mine, _total() / F.col("n"))).alias(f"{f}_mean"))]
     return counted.groupBy(F.col("field").alias("segment_field"), F.col("key").alias("segment")).agg(
         F.max(F.when(F.col("measure").isNull(), F.col("n"))).alias("count"), *sums)
 
 
+def _moments(r: Row, pivot: float) -> tuple[float, float]:
+    """Sum of a field, and sum of the squared distances from its mean; no digit is lost between large squares."""
+    with localcontext() as context:
+        context.prec = 100
+        total, squares = (exact + Decimal(rest or 0.0) if rest is None or math.isfinite(rest) else Decimal("NaN")
+                          for exact, rest in ((r["exact_total"] or Decimal(0), r["total"]), (r["exact_squares"] or Decimal(0), r["squares"])))
+        around = squares - (total - r["n"] * Decimal(repr(pivot))) ** 2 / r["n"]
+    return (float(total) if total.is_finite() else r["total"]), float(around)
+
+
 def statistics(states: DataFrame, shape: Shape) -> DataFrame:
     """As :func:`.analytics.field_statistics`."""
     spark = states.sparkSession
@@ -143,8 +172,7 @@ def statistics(states: DataFrame, shape: Shape) -> DataFrame:
     medians |= weighted_medians(values, sought)
     out = []
     for f, r in totals.items():
-        n, total = r["n"], r["total"]
-        around = r["squares"] - (total - n * shape.pivots[f]) ** 2 / n
+        n, total, around = r["n"], *_moments(r, shape.pivots[f])
         buckets = [b for b, _ in counts[f]]
         out.append((f, n, total, total / n, medians[f], ends[f, min(buckets)][0], ends[f, max(buckets)][1],
                     (max(around, 0.0) / (n - 1)) ** 0.5 if n > 1 else 0.0))
