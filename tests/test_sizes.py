@@ -4,9 +4,12 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
-from tidyledger.operators import analytics as A, increments
+from tidyledger.functions.cleaning import strip_ws
+from tidyledger.operators import analytics as A, dedupe, increments
 from tidyledger.plans.queries_sources import bronze_row_numbers
+from tidyledger.sources import scratch
 
 
 def test_rows_keep_the_order_of_their_file_whatever_the_order_they_came_in(spark, tmp_path):
@@ -41,3 +44,29 @@ def test_amounts_that_all_went_leave_no_deviation(spark):
     states = increments.changes(was, was.limit(0), shape).union(increments.changes(paid, was, shape))
     found, segment = increments.statistics(states, shape).first(), increments.segments(states, shape).first()
     assert (found["count"], found["sum"], found["std"], segment["importe_total_sum"]) == (5000, 0.0, 0.0, 0.0)
+
+
+def test_rows_are_not_sorted_for_a_few_folders(spark, monkeypatch):
+    key, seen, write = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda w, path: (seen.append(int(spark.conf.get(key))), write(w, path))[1])
+    rows = spark.range(20).select("id", F.when(F.col("id") % 3 == 0, "invalid").otherwise("valid").alias("_status"))
+    stored = scratch.stored(rows, "folders", "_status")
+    # With this many files open a task sorts nothing; without, it holds and sorts all its rows.
+    assert seen[0] >= 4 and int(spark.conf.get(key)) == 0
+    assert {tuple(r) for r in stored.collect()} == {tuple(r) for r in rows.collect()}
+
+
+def test_a_small_mapping_moves_no_record(spark):
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 5 == 0, "Azul").otherwise("Rojo").alias("categoria"))
+    mapping = spark.range(500).groupBy(F.concat(F.lit("v"), "id").alias("value")).agg(F.max(F.lit("Rojo")).alias("canonical"))
+    plan = dedupe.apply_mapping(rows, mapping, "categoria")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_blanks_are_stripped_as_by_the_pattern(spark):
+    blanks = [chr(i) for i in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    kept = ["​", "﻿", "\x00", "\x1b", "é"]
+    texts = [f"{b}a{b} b{b}{b}" for b in [*blanks, *kept]] + ["", " "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    same = df.filter(strip_ws(F.col("t")) == F.regexp_replace("t", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
+    assert same.count() == len(texts)
