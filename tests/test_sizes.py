@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameWriter
 
 from tidyledger.functions.cleaning import strip_ws
-from tidyledger.operators import analytics as A, dedupe, increments
+from tidyledger.operators import analytics as A, clean, dedupe, increments, search
 from tidyledger.plans.queries_sources import bronze_row_numbers
 from tidyledger.sources import scratch
 
@@ -70,3 +70,12 @@ def test_blanks_are_stripped_as_by_the_pattern(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     same = df.filter(strip_ws(F.col("t")) == F.regexp_replace("t", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
     assert same.count() == len(texts)
+
+
+def test_small_pieces_grow_with_the_tables(spark):
+    docs = spark.range(2000).select("id", F.array(*[F.rand(i) for i in range(4)]).alias("_vector"))
+    cells = search.divide(docs, "id", share_rows=2)
+    assert cells.count.sum() == 2000 and len(cells.cell) <= 4 * search.SHARES
+    found, _ = search.nearest_counted(docs, docs.filter("id < 40").selectExpr("id query_id", "_vector", "1 k"), "id", "_vector",
+                                      block=2, share_rows=2)
+    assert {(r["query_id"], r["id"]) for r in found.collect()} == {(i, i) for i in range(40)}

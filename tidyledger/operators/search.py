@@ -18,14 +18,21 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidyledger.functions.vectors import cells_to_ask, nearest_in_share, nearest_pivot
 from tidyledger.sources.scratch import stored
 
-# Query vectors and documents that meet in one task.
+# Most query vectors and documents that meet in one task, and how many pieces smaller sizes may make of either side.
 QUERY_BLOCK = 1024
 SHARE_ROWS = 16_384
+BLOCKS = 16
+SHARES = 64
 # At most so many cells (4,096) whatever the size: their bounds come to the driver and go to every task.
 PIVOTS = 64
 RINGS = 64
 
 
+def grown(least: int, rows: int, pieces: int, most: int) -> int:
+    """Size of a piece: ``least``, or more where the rows would make more than ``pieces`` of them, up to ``most``."""
+    return max(least, min(most, -(-rows // pieces)))
+
+
 class Cells(NamedTuple):
     """``docs`` with their _cell, and of each cell: its number, pivot, smallest and largest distance, documents."""
 
@@ -39,8 +46,10 @@ class Cells(NamedTuple):
 
 
 def divide(docs: DataFrame, id_column: str, share_rows: int, pivots: int = PIVOTS, rings: int = RINGS) -> Cells:
-    """Cells of about ``share_rows`` documents; larger ones beyond ``pivots * rings`` cells. ``docs`` has _vector."""
+    """Cells of about ``share_rows`` documents; larger ones beyond ``SHARES`` of them, or beyond ``pivots * rings`` cells
+    of ``SHARE_ROWS``. ``docs`` has _vector."""
     n = docs.count()
+    share_rows = grown(share_rows, n, SHARES, SHARE_ROWS)
     shares = -(-n // share_rows)
     if shares <= 1:  # one cell needs no bounds
         return Cells(docs.withColumn("_cell", F.lit(0)), np.zeros((1, 1)), *(np.array([v]) for v in (0, 0, 0.0, np.inf, n)))
@@ -75,6 +84,8 @@ def nearest_counted(
         "query_id", k.alias("k"), F.col(vector).cast("array<double>").alias("_point"),
         *[F.col(f).alias(f"_asked_{f}") for f in filters]).filter("k > 0")
     kept = state.columns
+    block = grown(block, state.count(), BLOCKS, QUERY_BLOCK)
+    share_rows = grown(share_rows, int(cells.count.sum()), SHARES, SHARE_ROWS)
     state = state.withColumns({"_limit": F.lit(float("inf")), "_done": F.lit(0)})
     schema = (f"query_id {queries.schema['query_id'].dataType.simpleString()}, k int, "
               f"{id_column} {docs.schema[id_column].dataType.simpleString()}, distance double")
@@ -128,6 +139,7 @@ def nearest(
     condition); a query without k is refused. Null vectors take no part. Cells and
     queries are tables: a cell is dealt into shares and its queries into blocks by hash, a task gets one
     block and one share and keeps the best k of every query, and these are ranked once more.
-    What a task holds is bounded, and a cell that cannot hold one of the best k is never joined.
+    ``block`` and ``share_rows`` are least sizes: larger tables use larger pieces, up to ``QUERY_BLOCK`` and ``SHARE_ROWS``,
+    so neither the meetings of pieces nor the copies of a row grow with the square of the tables before that. What a task holds is bounded, and a cell that cannot hold one of the best k is never joined.
     """
     return nearest_counted(docs, queries, id_column, vector, filters, block, share_rows)[0]
