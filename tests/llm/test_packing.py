@@ -70,3 +70,15 @@ def test_pieces_come_back_as_the_documents(docs_of, odd_rows):
 
 def test_no_documents(docs_of):
     assert packing.pack(docs_of([]), PATH).count() == 0
+
+
+def test_word_tables_hold_no_words_that_came_once_and_stay_bounded(monkeypatch):
+    words = packing.WordIds(PATH)
+    once = " ".join(f"word{i}x" for i in range(2000))
+    plain = list(words.ids([once]))
+    assert len(words.words) < 20 and len(words.parts) < 20  # a few marks may meet by chance
+    assert list(words.ids([once])) == plain and len(words.words) > 1900
+    monkeypatch.setattr(packing, "CACHED_WORDS", 100)
+    small = packing.WordIds(PATH)
+    assert [list(small.ids([once])) for _ in range(3)] == [plain] * 3
+    assert len(small.words) <= 100 and len(small.parts) <= 100

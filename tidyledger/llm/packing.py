@@ -13,22 +13,23 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import id_back, id_text, releases, ship, shuffle_partitions, stored
+from tidyledger.llm.common import id_back, id_text, releases, ship, shuffle_partitions, stored, trim
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 600_000  # of either table of a worker; the older half goes when one is full
+CACHED_WORDS = 300_000  # of either table of a worker; the newer half goes when one is full
+SEEN_SLOTS = 1 << 21  # marks of a worker for words that came once
 PIECES_PER_BUCKET = 50_000
 PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
@@ -46,8 +47,9 @@ class WordIds:
 
     The vocabulary drops white space and never merges across it, lower-cases, and
     keeps letters, digits and marks apart. So a word's ids depend on the word alone, on
-    its lower-cased form, and marks behind a letter or digit can be looked up apart. Known
-    words stay in a bounded table; a worker process keeps it from task to task, until
+    its lower-cased form, and marks behind a letter or digit can be looked up apart. Words that
+    come again stay in a bounded table, as more than half of all different words come once; the first ones
+    in are the frequent ones, so the last ones go. A worker process keeps it from task to task, until
     a function of another operator asks for the memory.
     """
 
@@ -58,20 +60,32 @@ class WordIds:
         self.model = self.tokenizer.model
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
+        self.seen = bytearray(SEEN_SLOTS)
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         known = self.words
-        for table in (known, self.parts):
-            if len(table) > CACHED_WORDS:
-                for old in list(islice(table, len(table) // 2)):
-                    del table[old]
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        for words in split:
-            for word in words:
-                if word not in known:
-                    known[word] = self._word(word)
-        return [b"".join([known[w] for w in words]) for words in split]
+        for text in texts:
+            out = []
+            for word in text.encode("utf-8", "surrogatepass").split():
+                ids = known.get(word)
+                if ids is None:
+                    ids = self._word(word)
+                    self._keep(known, word, ids)
+                out.append(ids)
+            yield b"".join(out)
+
+    def _keep(self, table: dict[bytes, bytes], word: bytes, ids: bytes) -> None:
+        """Put a word into a table if it came before. Both tables share the marks, each at its own place."""
+        at = (hash(word) + (table is self.parts)) % SEEN_SLOTS
+        if not self.seen[at]:
+            self.seen[at] = 1
+            return
+        if len(table) >= CACHED_WORDS:
+            for _ in range(CACHED_WORDS // 2):
+                table.popitem()
+            self.seen = bytearray(SEEN_SLOTS)
+        table[word] = ids
 
     def _word(self, word: bytes) -> bytes:
         if b"<|" in word:  # may hold a special token, which is no ordinary text
@@ -82,18 +96,21 @@ class WordIds:
         return self._part(word)
 
     def _part(self, part: bytes) -> bytes:
-        part = part.lower()
+        low = part.lower()
+        part = part if low == part else low  # one object in both tables where it can be
         ids = self.parts.get(part)
         if ids is None:
-            ids = self.parts[part] = self._encoded(part)
+            ids = self._encoded(part)
+            self._keep(self.parts, part, ids)
         return ids
 
     def _encoded(self, part: bytes) -> bytes:
         text = part.decode("utf-8", "replace")
         if _LETTERS.fullmatch(text):  # normal form already, and one word for the vocabulary's rules
             tokens = self.model.tokenize(part.decode("latin-1").translate(_BYTE_NAMES))
-            return np.array([t.id for t in tokens], "<u4").tobytes()
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=2)
@@ -111,6 +128,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
         words = word_ids(tokenizer)
         for batch in batches:
             for at in range(0, len(batch), 64):
