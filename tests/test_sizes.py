@@ -8,6 +8,7 @@ from pyspark.sql.readwriter import DataFrameWriter
 
 from tidyledger.functions.cleaning import strip_ws
 from tidyledger.operators import analytics as A, clean, dedupe, increments, search
+from tidyledger.plans import ledger
 from tidyledger.plans.queries_sources import bronze_row_numbers
 from tidyledger.sources import scratch
 
@@ -79,3 +80,22 @@ def test_small_pieces_grow_with_the_tables(spark):
     found, _ = search.nearest_counted(docs, docs.filter("id < 40").selectExpr("id query_id", "_vector", "1 k"), "id", "_vector",
                                       block=2, share_rows=2)
     assert {(r["query_id"], r["id"]) for r in found.collect()} == {(i, i) for i in range(40)}
+
+
+def test_the_code_of_the_rules_is_split_and_another_choice_stays(spark):
+    rows = spark.createDataFrame([("x",)], "proveedor string")
+    before = spark.conf.get(clean.METHOD_LIMIT)
+    try:
+        for given, kept in (("65535", "8000"), ("20000", "20000")):
+            spark.conf.set(clean.METHOD_LIMIT, given)
+            clean.clean(rows)
+            assert spark.conf.get(clean.METHOD_LIMIT) == kept
+    finally:
+        spark.conf.set(clean.METHOD_LIMIT, before)
+
+
+def test_more_invoices_are_cleaned_by_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "ROWS_PER_TASK", 20)
+    dirty = ledger.dirty_invoices(spark, "/root/testdata/sf0.001")
+    sizes = dirty.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    assert sum(sizes) == dirty.count() > 1000 and max(sizes) <= 60
