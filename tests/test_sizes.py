@@ -11,6 +11,7 @@ from tidyledger.operators import analytics as A, clean, dedupe, increments, sear
 from tidyledger.plans import ledger
 from tidyledger.plans.queries_sources import bronze_row_numbers
 from tidyledger.sources import scratch
+from tidyledger.streaming import incremental
 
 
 def test_rows_keep_the_order_of_their_file_whatever_the_order_they_came_in(spark, tmp_path):
@@ -99,3 +100,38 @@ def test_more_invoices_are_cleaned_by_more_tasks(spark, monkeypatch):
     dirty = ledger.dirty_invoices(spark, "/root/testdata/sf0.001")
     sizes = dirty.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
     assert sum(sizes) == dirty.count() > 1000 and max(sizes) <= 60
+
+
+def test_a_batch_of_a_stream_is_read_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(key):
+        read.add(1)
+        return key
+
+    schema = "_row_number long, num_factura string, tipo string, importe_total double"
+    for n in range(2):
+        rows = spark.range(200).select(F.col("id").alias("_row_number"), F.concat(F.lit("k"), F.col("id") + 100 * n).alias("num_factura"),
+                                       F.lit("Gasto").alias("tipo"), (F.col("id") * 1.5).alias("importe_total"))
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        batches = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withColumn("num_factura", counted("num_factura"))
+        incremental.upsert_stream(batches, str(tmp_path / "out"), str(tmp_path / "progress"), analytics=True).awaitTermination()
+        assert read.value == 200 * (n + 1)
+    gold = incremental.gold_snapshot(spark, str(tmp_path / "out"))
+    assert (gold.records.count(), gold.statistics.first()["count"]) == (300, 300)
+
+
+def test_a_partition_of_a_stream_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "TASK_ROWS", 100)
+    # As on large tables, where adaptive execution has no small shuffle partitions to put together.
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spark.range(800).selectExpr("id _row_number", "concat('k', id) num_factura").coalesce(1).write.parquet(str(tmp_path / "in"))
+        batches = spark.readStream.schema("_row_number long, num_factura string").parquet(str(tmp_path / "in"))
+        incremental.upsert_stream(batches, str(tmp_path / "out"), str(tmp_path / "progress"), parts=1, part_rows=1000).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    rows = incremental.snapshot(spark, str(tmp_path / "out"))
+    assert rows.count() == 800 and len(rows.inputFiles()) >= 3

@@ -16,11 +16,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidyledger.operators import increments
 from tidyledger.operators.analytics import Gold
-from tidyledger.operators.clean import ROW
-from tidyledger.operators.updates import keep_last, upsert
+from tidyledger.operators.clean import ROW, ROW_ID
+from tidyledger.operators.updates import keep_last
+from tidyledger.sources.scratch import new_path
 
 PARTS = 8
 PART_ROWS = 2_000_000
+TASK_ROWS = 250_000  # about, of a full partition that one task writes
 STATES = 8  # states of single batches that are merged into one
 _MANIFEST = "kind string, depth int, bits long, rows long, folder string, query_id string, batch long"
 _PART, _QUERY, _STATE, _SHAPE = "part", "query", "state", "shape"
@@ -83,6 +85,11 @@ def _write_version(spark: SparkSession, path: str, v: Version) -> None:
     spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/log/version={v.number}")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    files, at = _files(spark, path)
+    files.delete(at, True)
+
+
 def _existing(spark: SparkSession, folders: list[str]) -> DataFrame:
     """Rows of some partitions; versions may have brought new columns."""
     return spark.read.option("mergeSchema", True).parquet(*folders)
@@ -153,8 +160,8 @@ def upsert_stream(batches: DataFrame, path: str, checkpoint: str, key: str = "nu
                   parts: int = PARTS, part_rows: int = PART_ROWS, analytics: bool = False) -> StreamingQuery:
     """Keep the last row per key over all batches seen, and with ``analytics`` the statistics, index and segments too.
 
-    A batch reads and rewrites only the partitions its keys fall into; a new table starts with ``parts`` of them (a power
-    of two). Analytics read only the rows that come and those they replace. A batch that is retried after a failure
+    A batch is read once: its last row per key is stored, and all further steps read that. It reads and rewrites only the
+    partitions its keys fall into; a new table starts with ``parts`` of them (a power of two). Analytics read only the rows that come and those they replace. A batch that is retried after a failure
     is known by its query and number. A stream whose checkpoint was lost has a new query id, so it goes on from the newest
     version. One stream at a time may write to a path. The batches must have an ``order`` column that says which of a
     batch's rows for a key is the last.
@@ -172,19 +179,32 @@ def upsert_stream(batches: DataFrame, path: str, checkpoint: str, key: str = "nu
         known = {(p.depth, p.bits): p for p in base.parts}
         directory = spark.createDataFrame(list(known), "_depth int, _bits long")
         depths = sorted({p.depth for p in base.parts})
+        # A batch has as few tasks as files, and every read of it would sort them again.
+        kept = new_path(spark, "batch")
+        last = [order, ROW_ID] if ROW_ID in batch.columns and order != ROW_ID else [order]
+        keep_last(batch, key, *last).write.parquet(kept)
+        came = spark.read.schema(batch.schema).parquet(kept)
         fresh = {(r["_depth"], r["_bits"]): r["count"] for r in
-                 _located(batch.select(key), key, directory, depths).groupBy("_depth", "_bits").count().collect()}
+                 _located(came.select(key), key, directory, depths).groupBy("_depth", "_bits").count().collect()}
         if not fresh:
+            _delete(spark, kept)
             return
         version = base.number + 1
         folders = [known[p].folder for p in fresh if known[p].folder]
-        existing = _existing(spark, folders) if folders else batch.limit(0)
+        existing = _existing(spark, folders) if folders else came.limit(0)
+        same = F.col(key).eqNullSafe(F.col("_came"))
+        keys = came.select(F.col(key).alias("_came"))
+        # Existing rows have one row per key already.
+        after = existing.join(keys, same, "left_anti").unionByName(came, allowMissingColumns=True) if folders else came
         depth_of = {p: _deeper(known[p], n, part_rows) for p, n in fresh.items()}
         aim = spark.createDataFrame([(*p, d) for p, d in depth_of.items()], "_depth int, _bits long, _aim int")
         target = f"{path}/data/version={version}"
-        rows = _located(upsert(existing, batch, key, order), key, aim, depths)
-        rows = rows.withColumns({"_depth": F.col("_aim"), "_bits": _low_bits(F.col("_aim"))}).drop("_aim", "_hash")
-        rows.repartition("_depth", "_bits").write.mode("overwrite").partitionBy("_depth", "_bits").parquet(target)
+        rows = _located(after, key, aim, depths)
+        rows = rows.withColumns({"_depth": F.col("_aim"), "_bits": _low_bits(F.col("_aim"))}).drop("_aim")
+        # A folder may have several files, so that a task writes no whole partition.
+        share = F.pmod(F.xxhash64("_hash"), F.lit(max(1, -(-part_rows // TASK_ROWS))))
+        rows = rows.repartition("_depth", "_bits", share).drop("_hash")
+        rows.write.mode("overwrite").partitionBy("_depth", "_bits").parquet(target)
         sizes = {(r["_depth"], r["_bits"]): r["count"] for r in
                  spark.read.parquet(target).groupBy("_depth", "_bits").count().collect()}
         new_parts = [p for at, p in known.items() if at not in fresh]
@@ -194,8 +214,7 @@ def upsert_stream(batches: DataFrame, path: str, checkpoint: str, key: str = "nu
                 new_parts.append(Part(*at, sizes.get(at, 0), f"{target}/_depth={at[0]}/_bits={at[1]}" if at in sizes else ""))
         states, shape = base.states, base.shape
         if analytics:
-            came = keep_last(batch, key, order)
-            went = existing.join(came.select(F.col(key).alias("_came")), F.col(key).eqNullSafe(F.col("_came")), "left_semi")
+            went = existing.join(keys, same, "left_semi")
             shape = shape or increments.shape_of(came)
             folder = f"{path}/state/version={version}"
             state = increments.changes(came, went, shape)
@@ -206,6 +225,7 @@ def upsert_stream(batches: DataFrame, path: str, checkpoint: str, key: str = "nu
              .write.mode("overwrite").parquet(folder))
             states = [*states, folder]
         _write_version(spark, path, Version(version, new_parts, base.batches | {query_id: number}, states, shape))
+        _delete(spark, kept)
 
     return (batches.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
