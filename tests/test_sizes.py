@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameWriter
 
+from test_names import sequential
 from tidyledger.functions.cleaning import strip_ws
 from tidyledger.operators import analytics as A, clean, dedupe, increments, search
 from tidyledger.plans import ledger
@@ -135,3 +136,13 @@ def test_a_partition_of_a_stream_is_written_by_several_tasks(spark, tmp_path, mo
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     rows = incremental.snapshot(spark, str(tmp_path / "out"))
     assert rows.count() == 800 and len(rows.inputFiles()) >= 3
+
+
+def test_names_of_few_leaders_meet_no_blocks(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("blocks of names met")
+
+    monkeypatch.setattr(dedupe, "_in_rounds", refused)
+    names = [f"Supplier#{i * 7919 % 1_000_000:09d}" for i in range(3000)]
+    found = dedupe.cluster(dedupe.value_counts(spark.createDataFrame([(n,) for n in names], "s_name string"), "s_name"))
+    assert {r["value"]: r["leader"] for r in found.collect()} == sequential(dict.fromkeys(names, 1), 75)
