@@ -11,7 +11,7 @@ from tidyledger.functions.cleaning import strip_ws
 from tidyledger.operators import analytics as A, clean, dedupe, increments, search
 from tidyledger.plans import ledger
 from tidyledger.plans.queries_sources import bronze_row_numbers
-from tidyledger.sources import scratch
+from tidyledger.sources import files, scratch
 from tidyledger.streaming import incremental
 
 
@@ -146,3 +146,18 @@ def test_names_of_few_leaders_meet_no_blocks(spark, monkeypatch):
     names = [f"Supplier#{i * 7919 % 1_000_000:09d}" for i in range(3000)]
     found = dedupe.cluster(dedupe.value_counts(spark.createDataFrame([(n,) for n in names], "s_name string"), "s_name"))
     assert {r["value"]: r["leader"] for r in found.collect()} == sequential(dict.fromkeys(names, 1), 75)
+
+
+def test_numbering_rows_moves_none_of_them(spark, tmp_path):
+    path, limit = f"{tmp_path}/lines", "spark.sql.autoBroadcastJoinThreshold"
+    spark.range(1000).selectExpr("cast(id as string) value").repartition(3).write.text(path)
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")  # as for a large table, whose splits Spark takes for many
+    try:
+        lines = files.raw_lines(spark, path)
+        joins = [line for line in lines._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+        ends = lines.groupBy("_file").agg(F.min("row_number").alias("a"), F.max("row_number").alias("z"), F.count("*").alias("n")).collect()
+    finally:
+        spark.conf.set(limit, before)
+    assert joins and all("BroadcastHashJoin" in line for line in joins)
+    assert sum(r["n"] for r in ends) == 1000 and all((r["a"], r["z"]) == (1, r["n"]) for r in ends)

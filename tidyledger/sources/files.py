@@ -34,7 +34,8 @@ def number_rows(df: DataFrame, name: str = ROW, start: int = 0) -> DataFrame:
         FILE, _BLOCK, (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("_shift"))
     number = F.coalesce(F.col(ROW_ID) + F.col("_shift"), F.raise_error(F.concat(
         F.lit("no offset for a split of "), F.col(FILE))).cast("long"))
-    return keyed.join(offsets, [FILE, _BLOCK], "left").withColumn(name, number + start).drop(_BLOCK, "_shift")
+    # One row per split; without the hint both sides are shuffled before their sizes are known.
+    return keyed.join(F.broadcast(offsets), [FILE, _BLOCK], "left").withColumn(name, number + start).drop(_BLOCK, "_shift")
 
 
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
