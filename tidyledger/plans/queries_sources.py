@@ -81,7 +81,8 @@ def encodings(spark, sf_dir):
     manifest = store.ingest(spark, f"{path}/*/*.csv", new_path(spark, "bronze"))
     rows = store.read_ingested(spark, manifest)
     found = manifest.select(F.explode("files").alias("f")).select(F.col("f.path").alias("_file"), F.col("f.encoding"))
-    return rows.join(found, "_file").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "encoding")
+    # One row per file.
+    return rows.join(F.broadcast(found), "_file").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "encoding")
 
 
 def infer_schema(spark, sf_dir):
