@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidyledger.llm import simhash
+from tidyledger.llm import common, simhash
+from tidyledger.llm import components as components_module
 from tidyledger.llm.components import components
 
 
@@ -161,3 +162,37 @@ def test_appended_cut_and_moved_passages_equal_brute_force(docs_of):
     want = kept_by_brute_force(rows)
     assert len(want) < len(rows) * 0.55
     assert {row.doc_id for row in simhash.drop_near(docs_of(rows)).collect()} == want
+
+
+def counted(monkeypatch, *modules):
+    """(label, rows) of every table that the modules store from here on."""
+    made = []
+
+    def stored(df, label):
+        out = common.stored(df, label)
+        made.append((label, out.count()))
+        return out
+
+    for module in modules:
+        monkeypatch.setattr(module, "stored", stored)
+    return made
+
+
+def test_texts_of_pairs_that_parities_rule_out_are_not_asked_for(docs_of, monkeypatch):
+    rows = []
+    for i in range(40):  # half of the shingles in common: similarity 0.3, but every pair shares one that is looked at
+        both = [f"c{i}x{k}" for k in range(60)]
+        rows += [(2 * i, " ".join(both + [f"a{i}x{k}" for k in range(60)])), (2 * i + 1, " ".join(both + [f"b{i}x{k}" for k in range(60)]))]
+    made = counted(monkeypatch, simhash)
+    assert simhash.drop_near(docs_of(rows)).count() == 80
+    assert sum(n for label, n in made if label == "pairs") >= 40
+    assert sum(n for label, n in made if label == "shingles") == 0
+    assert [label for label, _ in made].count("different") == 1  # one pass for all fingerprints
+
+
+def test_stars_need_no_further_round(spark, monkeypatch):
+    made = counted(monkeypatch, components_module)
+    stars = [(7, i) for i in range(1000, 1300)] + [(5, 6), (5, 5), (7, 1000)]
+    got = dict(map(tuple, components(spark.createDataFrame(stars, "a long, b long")).collect()))
+    assert got == {7: 7, 5: 5, 6: 5} | {i: 7 for i in range(1000, 1300)}
+    assert made == [("links", 301)]

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import discard, forget, release, scratch_mark, ship, stored
+from tidyledger.llm.common import discard, forget, freed_shuffles, release, scratch_mark, ship, stored
 from tidyledger.llm.components import components
 
 BITS = 64
@@ -133,10 +133,10 @@ def _linked(fps: np.ndarray, cls: int, bits: int, masks: np.ndarray) -> list[pd.
 
 
 def fingerprint_links(different: DataFrame, count: int, distance: int, turns: int = 1) -> DataFrame:
-    """(a, b): links between different fingerprints whose components are those of 'at most distance bits apart'.
+    """(kind, a, b): links between different fingerprints of a kind whose components are those of 'at most distance bits apart'.
 
-    In each class a fingerprint is linked to the first of those it is connected to
-    there. ``turns`` different orders make different ones the first, class by class.
+    ``count`` is the number of fingerprints of a kind. In each class a fingerprint is linked to the first of those it is
+    connected to there. ``turns`` different orders make different ones the first, class by class.
     """
     ship(different.sparkSession)
     masks = ball(distance // 2)
@@ -149,14 +149,15 @@ def fingerprint_links(different: DataFrame, count: int, distance: int, turns: in
     def link(key, pdf):
         release()
         fps = np.sort(pdf["fp"].to_numpy(np.int64)).view(np.uint64)
-        turn = np.uint64(int(key[0]) % turns)
+        kind, cls = map(int, key)
+        turn = np.uint64(cls % turns)
         if turn:
             fps = fps[np.argsort((fps ^ turn) * np.uint64(0x9E3779B97F4A7C15) * (turn * np.uint64(2) + np.uint64(1)))]
-        return pd.concat([nothing, *_linked(fps, int(key[0]), bits, masks)], ignore_index=True)
+        return pd.concat([nothing, *_linked(fps, cls, bits, masks)], ignore_index=True).assign(kind=kind)
 
-    dealt = different.select("fp", own.alias("own")).select(
-        "fp", F.explode(F.transform(steps, lambda s: s.bitwiseXOR(F.col("own")))).alias("cls"))
-    return dealt.groupBy("cls").applyInPandas(link, "a long, b long")
+    dealt = different.select("kind", "fp", own.alias("own")).select(
+        "kind", "fp", F.explode(F.transform(steps, lambda s: s.bitwiseXOR(F.col("own")))).alias("cls"))
+    return dealt.groupBy("kind", "cls").applyInPandas(link, "kind int, a long, b long")
 
 
 def near_groups(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -171,7 +172,7 @@ def near_groups(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFra
         raise ValueError("distance must be even: half of it is flipped on either side")
     rows = stored(fingerprints(docs, shingle), "fingerprints")
     different = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "different")
-    links = fingerprint_links(different, different.count(), distance)
+    links = fingerprint_links(different.withColumn("kind", F.lit(0)), different.count(), distance)
     roots = components(links)
     named = stored(different.join(roots, different["fp"] == roots["node"], "left").select(
         "fp", "doc_id", F.coalesce("root", "fp").alias("root")), "rooted")
@@ -214,9 +215,10 @@ def _frequent(docs: DataFrame, shingle: int, count: int) -> tuple[np.ndarray, np
         return pd.Series([_different_shingles(t, shingle) for t in texts])
 
     share = max(1, count // FREQUENT_SAMPLE)
-    rows = (docs.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select(F.explode(of("text")).alias("key"))
-            .groupBy("key").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "key")
-            .limit(FREQUENT_SHINGLES).collect())
+    with freed_shuffles(docs.sparkSession):
+        rows = (docs.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select(F.explode(of("text")).alias("key"))
+                .groupBy("key").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "key")
+                .limit(FREQUENT_SHINGLES).collect())
     keys, counts = np.array([r["key"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
     order = np.argsort(keys)
     rank = np.empty(len(keys), np.int64)
@@ -257,17 +259,13 @@ def _prefixes(docs: DataFrame, node, shingle: int, similarity: float, count: int
 
 def _ball_pairs(nodes: DataFrame, distance: int, tables: int) -> DataFrame:
     """Pairs of nodes that collide in one of several fingerprints: each with the first of those it is connected to."""
-    pairs = None
-    for j in range(tables):
-        own = nodes.select("node", F.col(f"fp{j}").alias("fp"))
-        different = stored(own.groupBy("fp").agg(F.min("node").alias("first")), "different")
-        links = stored(fingerprint_links(different, different.count(), distance, turns=8), "print-links")
-        same = own.join(different, "fp").selectExpr("first a", "node b")
-        other = (links.join(different.selectExpr("fp a", "first x"), "a")
-                 .join(different.selectExpr("fp b", "first y"), "b").selectExpr("x a", "y b"))
-        found = same.unionAll(other)
-        pairs = found if pairs is None else pairs.unionAll(found)
-    return pairs
+    own = nodes.select("node", F.posexplode(F.array(*[f"fp{j}" for j in range(tables)])).alias("kind", "fp"))
+    different = stored(own.groupBy("kind", "fp").agg(F.min("node").alias("first")), "different")
+    links = stored(fingerprint_links(different, different.count() // tables, distance, turns=8), "print-links")
+    same = own.join(different, ["kind", "fp"]).selectExpr("first a", "node b")
+    other = (links.join(different.selectExpr("kind", "fp a", "first x"), ["kind", "a"])
+             .join(different.selectExpr("kind", "fp b", "first y"), ["kind", "b"]).selectExpr("x a", "y b"))
+    return same.unionAll(other)
 
 
 def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 4, tables: int = 3) -> tuple:
@@ -319,18 +317,28 @@ def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dista
         discard(docs.sparkSession, mark)
         return near
 
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Pairs that sizes and parities do not rule out, so that only their texts are asked for."""
+        return stored(pairs.join(parities.withColumnRenamed("node", "a"), "a").join(others_parities, "b")
+                      .filter(sizes & few_differ).select("a", "b"), "possible")
+
     def different_pairs(pairs: DataFrame) -> DataFrame:
         return pairs.filter("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
 
     lists = stored(_prefixes(docs, node, shingle, similarity, nodes.count()), "prefixes")
     entries = lists.select("node", "n", F.posexplode("keys").alias("place", "key"))
-    met = stored(entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key"),
-                 "shared-keys")
+    met = stored(entries.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key"), "shared-keys")
     entries = stored(entries.join(met, "key"), "met-prefixes")
+    words = [f"w{i}" for i in range(PARITY_WORDS)]
+    parities = stored(lists.select("node", "n", *words).dropDuplicates(["node"]), "parities")
     forget(met)
+    forget(lists)
+    others_parities = parities.select(F.col("node").alias("b"), F.col("n").alias("m"), *(F.col(w).alias(f"x{w}") for w in words))
+    sizes = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-6
+    differ = reduce(Column.__add__, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"x{w}"))) for w in words])
+    few_differ = differ <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("m")) + 1e-6
     rest = 1 + F.least(F.col("n") - 1 - F.col("place"), F.col("m") - 1 - F.col("at"))
-    fits = ((F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-6)
-            & (rest >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6))
+    fits = sizes & (rest >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6)
 
     def opened(roots: DataFrame) -> DataFrame:
         """Entries, with their document's root, of the shingles that documents of several roots share."""
@@ -354,7 +362,7 @@ def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dista
     mark = scratch_mark()
     tried = stored(different_pairs(_ball_pairs(nodes, distance, tables).unionAll(stars(alone, 0))), "pairs")
     discard(docs.sparkSession, mark)
-    links = verify(tried)
+    links = verify(possible(tried))
     # Another centre each turn, while turns join many of the pairs they try.
     for turn in count(1):
         mark = scratch_mark()
@@ -362,7 +370,7 @@ def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dista
         discard(docs.sparkSession, mark)
         found = opened(roots)
         more = stored(different_pairs(stars(found, turn)).join(tried, ["a", "b"], "left_anti"), "pairs")
-        joined = verify(more)
+        joined = verify(possible(more))
         tried, links = tried.unionAll(more), links.unionAll(joined)
         if joined.count() < STAR_YIELD * more.count() or more.isEmpty():
             break
@@ -370,15 +378,12 @@ def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dista
         forget(roots)
 
     # What is left shares shingles without being near a centre. Only pairs that the parities do not rule out are made.
-    words = [f"w{i}" for i in range(PARITY_WORDS)]
-    found = found.withColumn("blocks", F.ceil(F.col("rows") / PAIR_BLOCK)).join(lists.select("node", *words), "node")
+    found = found.withColumn("blocks", F.ceil(F.col("rows") / PAIR_BLOCK)).join(parities.drop("n"), "node")
     left = found.select("key", F.col("node").alias("a"), "n", "place", "root", F.pmod(F.xxhash64("node"), "blocks").alias("block"), *words)
     right = found.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"),
                          F.col("root").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
                          *(F.col(w).alias(f"x{w}") for w in words))
-    differ = reduce(Column.__add__, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"x{w}"))) for w in words])
-    possible = differ <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("m")) + 1e-6
-    others = (left.join(right, ["key", "block"]).filter(fits & possible & (F.col("a") < F.col("b")) & (F.col("root") != F.col("other")))
+    others = (left.join(right, ["key", "block"]).filter(fits & few_differ & (F.col("a") < F.col("b")) & (F.col("root") != F.col("other")))
               .select("a", "b"))
     untried = stored(different_pairs(others).join(tried, ["a", "b"], "left_anti"), "untried")
     return nodes, verify(untried).unionAll(joined).unionAll(roots.filter("node <> root").selectExpr("root a", "node b"))
